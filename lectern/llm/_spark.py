@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 256  # rows of whole texts in one Arrow batch: bounds a Python worker's memory
 
 _written: list[tuple] = []
+_local: dict[str, str | None] = {}
 
 
 def session_for_texts(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
+    """Keeps Arrow batches of whole texts small, and lets Python workers import this package from its folder.
+
+    Where executors do not see that folder, install the package there or pass it with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -24,8 +33,8 @@ def scratch(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local.setdefault("root", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        _local["root"] = root
     return root
 
 
