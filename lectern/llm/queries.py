@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, mixing, secrets, sharding, warc
+from lectern.llm import ann, chat, decontaminate, mixing, secrets, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.is_held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.place(_read(spark, sf_dir, "documents").select("doc_id"), slot_col="slot")
 
@@ -20,8 +27,6 @@ def op4_warc(spark, sf_dir):
 
 
 def op5_secrets(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -41,13 +46,20 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_ann(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_chat_format": op6_chat_format,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL = {
