@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chat, decontaminate, mixing, secrets, sharding, toxicity, warc
+from lectern.llm import ann, chat, decontaminate, jaccard, mixing, secrets, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.component_ids(jaccard.link(_read(spark, sf_dir, "documents")))
+
+
 def op10_ann(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_ann": op10_ann,
 }
 
