@@ -9,9 +9,13 @@ decides. A pair can only link if the heads of both sets in that order share a sh
 (a fifth of a set) give the candidates. The order puts shingles that are frequent by a fixed-size
 sketch last; it steers cost alone, any order gives the same links.
 
+Before whole sets are compared, the heads bound the overlap: with k shared head
+shingles it is at most k plus the longer rest, and where a partner's head reaches into the
+frequent shingles, rare ones in no list cannot be shared. Few pairs are left to count.
+
 Only the components are wanted, so the shingles' posting lists are not expanded into
-pairs. Each list compares its members with one hub; what hubs leave apart is compared
-exhaustively, but only across components: members outside the hub's component against
+pairs. Each list compares its members with one hub, then long lists deal their members into
+small random groups with a hub each; what hubs leave apart is compared exhaustively, but only across components: members outside the hub's component against
 the list. A link inside a component can add nothing, so no link is lost.
 """
 
@@ -107,23 +111,24 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(shingle, rid, pos, n) of the head of each set."""
+    """(shingle, rid, pos, n, z) of the head of each set, z being how many of its shingles are rare (level 0)."""
 
     def run(batches):
         for b in batches:
-            heads, rids, sizes = [], [], []
+            heads, rids, sizes, rare = [], [], [], []
             of = b.column(1).to_pylist()
             for _, i, s in _sets([b]):
                 if len(s):
                     heads.append(_ordered(s, levels)[: head_length(len(s))])
                     rids.append(of[i])
                     sizes.append(len(s))
+                    rare.append(int((levels[_slot(heads[-1])] == 0).sum()))
             if heads:
                 n = [len(h) for h in heads]
                 pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(heads))), pa.array(np.repeat(np.array(rids, np.int64), n)), pa.array(pos), pa.array(np.repeat(np.array(sizes, np.int32), n))], ["shingle", "rid", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(heads))), pa.array(np.repeat(np.array(rids, np.int64), n)), pa.array(pos), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.repeat(np.array(rare, np.int32), n))], ["shingle", "rid", "pos", "n", "z"])
 
-    return docs.mapInArrow(run, "shingle bigint, rid bigint, pos int, n int")
+    return docs.mapInArrow(run, "shingle bigint, rid bigint, pos int, n int, z int")
 
 
 def _fragments(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -147,18 +152,36 @@ def _fragments(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "rid bigint, fragment int, part array<bigint>")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def _records(members: DataFrame) -> DataFrame:
+    """(rid, n, h, z, loose, listed): a set's size, its head's, how much of that is rare, and rare but in no list; the listed rest."""
+    head = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
+    own = members.groupBy("rid").agg(F.max("n").alias("n"), F.max("z").alias("z"), F.count_if(F.col("pos") < F.col("z")).cast("int").alias("_rare"), F.collect_list("shingle").alias("listed"))
+    return own.select("rid", "n", head.alias("h"), "z", (F.col("z") - F.col("_rare")).alias("loose"), "listed")
+
+
+# Columns of two records, ending in a and b: the sizes allow the similarity, and so do the rare shingles that are
+# in no list. Those are in no other head, so in no set whose head ends among the frequent ones.
+_SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
+_LOOSE = "(zb >= hb OR 9 * (na - loosea) >= 4 * (na + nb)) AND (za >= ha OR 9 * (nb - looseb) >= 4 * (na + nb))"
+# With k shared head shingles: the head that ends first in the order holds all that are shared up to there.
+_HEADS = "9 * (size(array_intersect(lista, listb)) + greatest(na - ha, nb - hb)) >= 4 * (na + nb)"
+
+
+def _record(records: DataFrame, x: str) -> DataFrame:
+    return records.select(F.col("rid").alias(f"_{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "h", "z", "loose")], F.col("listed").alias(f"list{x}"))
+
+
+def _verified(pairs: DataFrame, records: DataFrame, reps: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """Pairs (a, b) of classes that link: partial overlaps by fragment, summed for each pair."""
-    pairs = cut(pairs)
+    bounded = pairs.join(_record(records, "a"), F.col("a") == F.col("_a")).join(_record(records, "b"), F.col("b") == F.col("_b"))
+    pairs = cut(bounded.where(f"{_SIZES} AND {_LOOSE} AND {_HEADS}").select("a", "b", "na", "nb"))
     ids = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).distinct()
     wanted = cut(reps.join(ids, F.col("rid") == F.col("r"), "left_semi"))
     parts = cut(_fragments(_only(docs, wanted.select("_id", "_th", "rid")), levels))
     one, two = (parts.select(F.col("rid").alias(f"_{x}"), F.col("fragment").alias(f"f{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
     partial = pairs.join(two, F.col("b") == F.col("_b")).join(one, (F.col("a") == F.col("_a")) & (F.col("fa") == F.col("fb")))
-    overlap = partial.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("o"))
-    n = wanted.select("rid", "n")
-    sized = overlap.join(n.select(F.col("rid").alias("_ra"), F.col("n").alias("na")), F.col("a") == F.col("_ra")).join(n.select(F.col("rid").alias("_rb"), F.col("n").alias("nb")), F.col("b") == F.col("_rb"))
-    return sized.where("100 * o >= 80 * (na + nb - o)").select("a", "b")
+    overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("o"))
+    return overlap.where("100 * o >= 80 * (na + nb - o)").select("a", "b")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,17 +203,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     reps = classes.select("rid", "n", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
     postings = _postings(_only(body, reps.select("_id", "_th", "rid")), levels).repartition("shingle")
     hubs = postings.groupBy("shingle").agg(F.min("rid").alias("hub"), F.max("rid").alias("_other")).where("hub < _other").select(F.col("shingle").alias("_shingle"), "hub")
-    members = cut(postings.join(hubs.hint("merge"), F.col("shingle") == F.col("_shingle")).select("shingle", "rid", "pos", "n", "hub"))
+    members = cut(postings.join(hubs.hint("merge"), F.col("shingle") == F.col("_shingle")).select("shingle", "rid", "pos", "n", "z", "hub"))
+    records = cut(_records(members))
     labels = cut(classes.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
     # First each class against the hub that it shares most shingles with, then against its other hubs.
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
     near = cut(near)
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-    labels = merge(labels, _verified(best.select(F.col("hub").alias("a"), F.col("rid").alias("b")), reps, body, levels))
+    labels = merge(labels, _verified(best.select(F.col("hub").alias("a"), F.col("rid").alias("b")), records, reps, body, levels))
     rest = near.join(best.select(F.col("rid").alias("_r"), F.col("hub").alias("_h")), (F.col("rid") == F.col("_r")) & (F.col("hub") == F.col("_h")), "left_anti").select(F.col("hub").alias("a"), F.col("rid").alias("b"))
-    labels = merge(labels, _verified(_apart(rest, labels), reps, body, levels))
-    labels = merge(labels, _verified(_across(members, labels), reps, body, levels))
+    labels = merge(labels, _verified(_apart(rest, labels), records, reps, body, levels))
+    for deals in DEALS:
+        labels = merge(labels, _verified(_apart(_dealt(members, deals), labels), records, reps, body, levels))
+    labels = merge(labels, _verified(_across(members, records, labels), records, reps, body, levels))
 
     least = classes.join(labels, F.col("rid") == F.col("node")).select("n", "h1", "h2", "rid", "c", "least")
     component = least.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("component_id"))
@@ -199,28 +225,55 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rid").alias("class_id"), F.col("th").alias("text_hash"))
 
 
+LONG = 16  # members of a list from which it is dealt into random groups
+DEALS = (range(8), range(8, 24))  # ways of dealing in two rounds; a member meets about as many others
+
+
+def _dealt(members: DataFrame, deals: range) -> DataFrame:
+    """Pairs of each member of a long list with the hub of its random group, some four members large, for each deal.
+
+    Groups depend on the member and the length of the list, so similar lists give the same pairs.
+    """
+    sizes = members.groupBy(F.col("shingle").alias("_s")).agg(F.count("*").alias("m")).where(F.col("m") >= LONG)
+    groups = F.expr("shiftleft(1L, CAST(floor(log2(m / 4)) AS INT))")
+    long = cut(members.join(sizes, F.col("shingle") == F.col("_s")).select("shingle", "rid", groups.alias("groups")))
+    out = None
+    for deal in deals:
+        seat = long.withColumn("g", F.pmod(F.xxhash64("rid", F.lit(deal)), F.col("groups")))
+        first = seat.groupBy(F.col("shingle").alias("_s"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"))
+        pairs = seat.join(first, (F.col("shingle") == F.col("_s")) & (F.col("g") == F.col("_g"))).where("a <> rid").select("a", F.col("rid").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose ends are in different components."""
     one, two = (labels.select(F.col("node").alias(f"_{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
     return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).where("ca <> cb").select("a", "b")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a head shingle, neither being its hub, and may be alike by size and place.
 
     One end is always outside the hub's component, so a list whose members the hubs have
     joined costs nothing.
     """
-    own = labels.select(F.col("node").alias("_n"), "c")
+    own = records.drop("listed").join(labels.select(F.col("node").alias("_n"), "c"), F.col("rid") == F.col("_n")).select(F.col("rid").alias("_rid"), "c", "h", "loose")
     hub = labels.select(F.col("node").alias("_h"), F.col("c").alias("hc"))
-    lists = members.join(own, F.col("rid") == F.col("_n")).join(hub, F.col("hub") == F.col("_h")).select("shingle", "rid", "pos", "n", "c", "hc", "hub")
-    lists = cut(lists.where("rid <> hub"))
-    outside = lists.where("c <> hc").select("shingle", F.col("rid").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    mixed = outside.select("shingle").distinct()
-    inside = lists.join(mixed, "shingle", "left_semi")
-    pairs = outside.join(inside, "shingle").where("cx <> c AND (c = hc OR x < rid)")
-    pairs = pairs.where("5 * least(nx, n) >= 4 * greatest(nx, n) AND 9 * (least(px, pos) + 1 + least(nx - px - 1, n - pos - 1)) >= 4 * (nx + n)")
-    return pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
+    lists = members.where("rid <> hub").join(own, F.col("rid") == F.col("_rid")).join(hub, F.col("hub") == F.col("_h")).select("shingle", "rid", "pos", "n", "z", "h", "loose", "c", "hc")
+    lists = cut(lists)
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("rid", "pos", "n", "z", "h", "loose", "c")]
+    outside = lists.where("c <> hc").select("shingle", *side("a"))
+    inside = lists.join(outside.select("shingle").distinct(), "shingle", "left_semi").select("shingle", "hc", *side("b"))
+    places = "9 * (least(posa, posb) + 1 + least(na - posa - 1, nb - posb - 1)) >= 4 * (na + nb)"
+    # A pair that cannot do without a shared rare shingle is met in that shingle's list.
+    enough = "posa < za OR (9 * (na - za) >= 4 * (na + nb) AND 9 * (nb - zb) >= 4 * (na + nb))"
+    # Heads share at least `least` shingles, so the first of them stands before the last `least` places.
+    least = "4 * (na + nb) - 9 * greatest(na - ha, nb - hb)"
+    early = f"9 * (ha - posa) >= {least} AND 9 * (hb - posb) >= {least}"
+    alike = F.expr(f"ca <> cb AND (cb = hc OR rida < ridb) AND {_SIZES} AND {places} AND {early} AND {_LOOSE} AND ({enough})")
+    pairs = outside.alias("l").join(inside.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & alike)
+    return pairs.select(F.least("rida", "ridb").alias("a"), F.greatest("rida", "ridb").alias("b")).distinct()
 
 
 def component_ids(linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
