@@ -278,3 +278,26 @@ def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFr
 
 def component_ids(linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return linked.select(id_col, "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are their component's first: smallest id (null last), then text hash.
+
+    Texts without words are linked with nothing and all stay; of a repeated row that is first one
+    stays. All columns are kept.
+    """
+    linked = cut(link(docs, id_col, text))
+    rows = linked.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("class_id"), F.coalesce("component_id", "class_id").alias("_c"), F.col("component_id").isNull().alias("_none"))
+    worded = rows.where(F.col("class_id").isNotNull())
+    first = worded.groupBy("_c", "_none").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_th")).alias("at"))
+    first = cut(first.select("at._id", "at._th").join(worded.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.count("*").alias("_times")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", "_times"))
+    empty = rows.where(F.col("class_id").isNull()).select("_id", "_th").distinct().withColumn("_times", F.lit(1).cast("bigint"))
+    kept = cut(first.unionByName(empty))
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    # The row travels as one struct, so its columns' names cannot clash with the keys'.
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{id_col}`"].cast("bigint").alias("_i"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("_t"))
+    found = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")))
+    if not first.where("_times > 1").isEmpty():
+        found = found.where("_times = 1").unionByName(found.where("_times > 1").dropDuplicates(["_id", "_th"]))
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -185,3 +185,20 @@ MOST_SOURCES = 10_000  # sources up to this many are broadcast; more are joined
 
 def sources_are_few(mixed: DataFrame) -> bool:
     return mixed.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+
+BROADCAST_ROWS = 500_000  # documents up to this many (some 30 MB of keys) are broadcast to the scan; more are joined by shuffle
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as the mix holds them, all columns kept."""
+    drawn = cut(mix(docs, id_col, text, source, **options).where("n_copies > 0").select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("dup").alias("_dup"), "n_copies"))
+    # The row travels as one struct, so its columns' names cannot clash with the keys'.
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("_k"), docs[f"`{source}`"].cast("string").alias("_s"))
+    if keyed.groupBy("_k", "_s").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        keyed = keyed.withColumn("_d", F.lit(1).cast("bigint"))
+    else:
+        keyed = keyed.withColumn("_d", F.row_number().over(Window.partitionBy("_k", "_s").orderBy(F.to_json("_row"))).cast("bigint"))
+    if drawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        drawn = F.broadcast(drawn)
+    found = keyed.join(drawn, (F.col("_k") == F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_d") == F.col("_dup")))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

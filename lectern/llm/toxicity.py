@@ -30,7 +30,7 @@ BUCKETS = 1 << BUCKETS_LOG2
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
 WINDOW = 12
-SAMPLE = 4000
+SAMPLE = 3000
 SAMPLE_BYTES = 6000
 THRESHOLD = 0.3
 HELD_OUT = 2  # rows with crc32(id as text) mod 4 of this are never learnt from
