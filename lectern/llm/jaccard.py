@@ -32,9 +32,10 @@ from lectern.llm._spark import cut, session_for_texts
 from lectern.llm.components import merge
 
 WIDTH = 5
-SLOTS_LOG2 = 18  # of the frequency sketch: 256 KB whatever the data
-CHUNK = 2_000_000  # shingles that are counted together in a task
-OFTEN = 3  # sets of a chunk that hold a shingle from which it counts as frequent
+SLOTS_LOG2 = 20  # of the frequency sketch: 1 MB whatever the data
+CHUNK = 4_000_000  # shingles that are counted together in a task
+OFTEN = 2  # sets of a chunk that hold a shingle from which it is counted ...
+FREQUENT = 12  # ... and of all chunks from which it is frequent
 RARE_FRAGMENTS, FRAGMENTS = 6, 8  # fragments of the rare part of the order, and of all of it
 BROADCAST_ROWS = 500_000  # ids up to this many (some 30 MB) are broadcast to a scan; more are joined by shuffle
 
@@ -85,7 +86,7 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 def _sketch(described: DataFrame) -> np.ndarray:
     """For each slot the binary logarithm of the count of its most frequent shingle."""
-    counts = described.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n"))
+    counts = described.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     slot = F.shiftrightunsigned("h1", 64 - SLOTS_LOG2)
     rows = counts.groupBy(slot.alias("slot")).agg(F.max("n").alias("n")).toArrow()  # at most 2 ** SLOTS_LOG2 rows
     levels = np.zeros(1 << SLOTS_LOG2, np.uint8)
@@ -207,15 +208,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     records = cut(_records(members))
     labels = cut(classes.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
-    # First each class against the hub that it shares most shingles with, then against its other hubs.
+    # First each class against the hub that it shares most shingles with.
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
-    near = cut(near)
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     labels = merge(labels, _verified(best.select(F.col("hub").alias("a"), F.col("rid").alias("b")), records, reps, body, levels))
-    rest = near.join(best.select(F.col("rid").alias("_r"), F.col("hub").alias("_h")), (F.col("rid") == F.col("_r")) & (F.col("hub") == F.col("_h")), "left_anti").select(F.col("hub").alias("a"), F.col("rid").alias("b"))
-    labels = merge(labels, _verified(_apart(rest, labels), records, reps, body, levels))
-    for deals in DEALS:
-        labels = merge(labels, _verified(_apart(_dealt(members, deals), labels), records, reps, body, levels))
+    labels = merge(labels, _verified(_apart(_dealt(members), labels), records, reps, body, levels))
     labels = merge(labels, _verified(_across(members, records, labels), records, reps, body, levels))
 
     least = classes.join(labels, F.col("rid") == F.col("node")).select("n", "h1", "h2", "rid", "c", "least")
@@ -225,11 +222,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rid").alias("class_id"), F.col("th").alias("text_hash"))
 
 
-LONG = 16  # members of a list from which it is dealt into random groups
-DEALS = (range(8), range(8, 24))  # ways of dealing in two rounds; a member meets about as many others
+LONG = 64  # members of a list from which it is dealt into random groups
+DEALS = 16  # ways of dealing; a member meets about as many others
 
 
-def _dealt(members: DataFrame, deals: range) -> DataFrame:
+def _dealt(members: DataFrame) -> DataFrame:
     """Pairs of each member of a long list with the hub of its random group, some four members large, for each deal.
 
     Groups depend on the member and the length of the list, so similar lists give the same pairs.
@@ -237,13 +234,10 @@ def _dealt(members: DataFrame, deals: range) -> DataFrame:
     sizes = members.groupBy(F.col("shingle").alias("_s")).agg(F.count("*").alias("m")).where(F.col("m") >= LONG)
     groups = F.expr("shiftleft(1L, CAST(floor(log2(m / 4)) AS INT))")
     long = cut(members.join(sizes, F.col("shingle") == F.col("_s")).select("shingle", "rid", groups.alias("groups")))
-    out = None
-    for deal in deals:
-        seat = long.withColumn("g", F.pmod(F.xxhash64("rid", F.lit(deal)), F.col("groups")))
-        first = seat.groupBy(F.col("shingle").alias("_s"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"))
-        pairs = seat.join(first, (F.col("shingle") == F.col("_s")) & (F.col("g") == F.col("_g"))).where("a <> rid").select("a", F.col("rid").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    seat = long.withColumn("deal", F.explode(F.array(*[F.lit(d) for d in range(DEALS)]))).withColumn("g", F.pmod(F.xxhash64("rid", "deal"), F.col("groups")))
+    first = seat.groupBy(F.col("shingle").alias("_s"), F.col("deal").alias("_d"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"))
+    met = seat.join(first, (F.col("shingle") == F.col("_s")) & (F.col("deal") == F.col("_d")) & (F.col("g") == F.col("_g")))
+    return met.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,14 +247,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a head shingle, neither being its hub, and may be alike by size and place.
+    """Pairs (a, b) of different components that share a head shingle and may be alike by size and place.
 
     One end is always outside the hub's component, so a list whose members the hubs have
     joined costs nothing.
     """
     own = records.drop("listed").join(labels.select(F.col("node").alias("_n"), "c"), F.col("rid") == F.col("_n")).select(F.col("rid").alias("_rid"), "c", "h", "loose")
     hub = labels.select(F.col("node").alias("_h"), F.col("c").alias("hc"))
-    lists = members.where("rid <> hub").join(own, F.col("rid") == F.col("_rid")).join(hub, F.col("hub") == F.col("_h")).select("shingle", "rid", "pos", "n", "z", "h", "loose", "c", "hc")
+    lists = members.join(own, F.col("rid") == F.col("_rid")).join(hub, F.col("hub") == F.col("_h")).select("shingle", "rid", "pos", "n", "z", "h", "loose", "c", "hc")
     lists = cut(lists)
     side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("rid", "pos", "n", "z", "h", "loose", "c")]
     outside = lists.where("c <> hc").select("shingle", *side("a"))
