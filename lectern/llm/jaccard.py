@@ -203,7 +203,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     classes = cut(classes.withColumn("rid", F.monotonically_increasing_id()))
     reps = classes.select("rid", "n", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
     postings = _postings(_only(body, reps.select("_id", "_th", "rid")), levels).repartition("shingle")
-    hubs = postings.groupBy("shingle").agg(F.min("rid").alias("hub"), F.max("rid").alias("_other")).where("hub < _other").select(F.col("shingle").alias("_shingle"), "hub")
+    # All columns are read here too, so that both uses of the postings share one exchange.
+    hubs = postings.groupBy("shingle").agg(F.min("rid").alias("hub"), F.max("rid").alias("_other"), F.min(F.least("pos", "n", "z")).alias("_all")).where("hub < _other AND _all >= 0").select(F.col("shingle").alias("_shingle"), "hub")
     members = cut(postings.join(hubs.hint("merge"), F.col("shingle") == F.col("_shingle")).select("shingle", "rid", "pos", "n", "z", "hub"))
     records = cut(_records(members))
     labels = cut(classes.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
@@ -212,7 +213,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     labels = merge(labels, _verified(best.select(F.col("hub").alias("a"), F.col("rid").alias("b")), records, reps, body, levels))
-    labels = merge(labels, _verified(_apart(_dealt(members), labels), records, reps, body, levels))
+    for deals in DEALS:
+        labels = merge(labels, _verified(_apart(_dealt(members, deals), labels), records, reps, body, levels))
     labels = merge(labels, _verified(_across(members, records, labels), records, reps, body, levels))
 
     least = classes.join(labels, F.col("rid") == F.col("node")).select("n", "h1", "h2", "rid", "c", "least")
@@ -222,11 +224,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rid").alias("class_id"), F.col("th").alias("text_hash"))
 
 
-LONG = 64  # members of a list from which it is dealt into random groups
-DEALS = 16  # ways of dealing; a member meets about as many others
+LONG = 24  # members of a list from which it is dealt into random groups
+DEALS = (range(8), range(8, 28))  # ways of dealing in two rounds; a member meets about as many others
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, deals: range) -> DataFrame:
     """Pairs of each member of a long list with the hub of its random group, some four members large, for each deal.
 
     Groups depend on the member and the length of the list, so similar lists give the same pairs.
@@ -234,7 +236,7 @@ def _dealt(members: DataFrame) -> DataFrame:
     sizes = members.groupBy(F.col("shingle").alias("_s")).agg(F.count("*").alias("m")).where(F.col("m") >= LONG)
     groups = F.expr("shiftleft(1L, CAST(floor(log2(m / 4)) AS INT))")
     long = cut(members.join(sizes, F.col("shingle") == F.col("_s")).select("shingle", "rid", groups.alias("groups")))
-    seat = long.withColumn("deal", F.explode(F.array(*[F.lit(d) for d in range(DEALS)]))).withColumn("g", F.pmod(F.xxhash64("rid", "deal"), F.col("groups")))
+    seat = long.withColumn("deal", F.explode(F.array(*[F.lit(d) for d in deals]))).withColumn("g", F.pmod(F.xxhash64("rid", "deal"), F.col("groups")))
     first = seat.groupBy(F.col("shingle").alias("_s"), F.col("deal").alias("_d"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"))
     met = seat.join(first, (F.col("shingle") == F.col("_s")) & (F.col("deal") == F.col("_d")) & (F.col("g") == F.col("_g")))
     return met.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
