@@ -33,7 +33,7 @@ from lectern.llm.components import merge
 
 WIDTH = 5
 SLOTS_LOG2 = 20  # of the frequency sketch: 1 MB whatever the data
-CHUNK = 4_000_000  # shingles that are counted together in a task
+CHUNK = 3_000_000  # shingles that are counted together in a task
 OFTEN = 2  # sets of a chunk that hold a shingle from which it is counted ...
 FREQUENT = 12  # ... and of all chunks from which it is frequent
 RARE_FRAGMENTS, FRAGMENTS = 6, 8  # fragments of the rare part of the order, and of all of it

@@ -31,7 +31,7 @@ DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
 WINDOW = 12
 SAMPLE = 3000
-SAMPLE_BYTES = 6000
+SAMPLE_BYTES = 4000
 THRESHOLD = 0.3
 HELD_OUT = 2  # rows with crc32(id as text) mod 4 of this are never learnt from
 
@@ -164,20 +164,31 @@ class _Set:
 
     @classmethod
     def of(cls, texts: list[str]) -> _Set:
-        (_, _, data, offsets), = _text.text_slices(pa.array(texts, pa.string()), 1 << 40)
-        w = subwords(data, offsets)
-        n = len(w.first)
-        widest = np.repeat(np.arange(n), np.diff(np.concatenate((w.first, [len(w.codes[0])]))))
-        codes = np.concatenate([c[v] for c, v in zip(w.codes, w.valid)]).astype(np.int32)
-        word = np.concatenate([widest[v] for v in w.valid])
-        order = np.argsort(word, kind="stable")
-        cut = np.searchsorted(w.row, np.arange(len(texts) + 1))
-        place = (np.arange(n) - cut[w.row]) // WINDOW
-        fresh = np.flatnonzero(np.concatenate(([True], (np.diff(w.row) != 0) | (np.diff(place) != 0)))) if n else np.zeros(0, np.int64)
-        window_cut = np.concatenate((fresh, [n])).astype(np.int64)
-        start, end, _ = _text.words(_text.lower_ascii(data), offsets, SEPARATORS)
-        spans = np.stack([start[window_cut[:-1]], end[window_cut[1:] - 1]], 1) if n else np.zeros((0, 2), np.int64)
-        return cls(codes[order], np.searchsorted(word[order], np.arange(n + 1)), window_cut, w.row[fresh], spans, data)
+        """Built slice by slice, so that only the two bytes of each n-gram's bucket are held for all texts."""
+        codes, per_word, per_window, docs, spans, parts = [], [], [], [], [], []
+        base = 0
+        for i, _, data, offsets in _text.text_slices(pa.array(texts, pa.string()), 1 << 18):
+            w = subwords(data, offsets)
+            n = len(w.first)
+            parts.append(data.copy())
+            if n:
+                widest = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.concatenate((w.first, [len(w.codes[0])]))))
+                word = np.concatenate([widest[v] for v in w.valid])
+                order = np.argsort(word, kind="stable")
+                codes.append(np.concatenate([c[v] for c, v in zip(w.codes, w.valid)]).astype(np.uint16)[order])
+                per_word.append(np.bincount(word, minlength=n))
+                cut = np.searchsorted(w.row, np.arange(len(offsets)))
+                place = (np.arange(n) - cut[w.row]) // WINDOW
+                fresh = np.flatnonzero(np.concatenate(([True], (np.diff(w.row) != 0) | (np.diff(place) != 0))))
+                size = np.diff(np.concatenate((fresh, [n])))
+                start, end, _ = _text.words(_text.lower_ascii(data), offsets, SEPARATORS)
+                per_window.append(size)
+                docs.append(w.row[fresh] + i)
+                spans.append(np.stack([start[fresh], end[fresh + size - 1]], 1) + base)
+            base += len(data)
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        bounds = lambda x: np.concatenate(([0], np.cumsum(whole(x, np.int64)))).astype(np.int64)
+        return cls(whole(codes, np.uint16), bounds(per_word), bounds(per_window), whole(docs, np.int64), whole(spans, np.int64).reshape(-1, 2), whole(parts, np.uint8))
 
     def take(self, windows: np.ndarray):
         """Arguments of a training step for these windows."""
@@ -185,10 +196,10 @@ class _Set:
         words = np.concatenate([np.arange(self.window_cut[i], self.window_cut[i + 1]) for i in windows])
         n = self.word_cut[words + 1] - self.word_cut[words]
         shift = np.repeat(self.word_cut[words] - np.concatenate(([0], np.cumsum(n)))[:-1], n)
-        return self.codes[np.arange(n.sum()) + shift], np.repeat(np.arange(len(words)), n), len(words), np.repeat(np.arange(len(windows)), size), len(windows)
+        return self.codes[np.arange(n.sum()) + shift].astype(np.int64), np.repeat(np.arange(len(words)), n), len(words), np.repeat(np.arange(len(windows)), size), len(windows)
 
     def logits(self, model: Model) -> np.ndarray:
-        word = np.add.reduceat(model.bucket[self.codes], self.word_cut[:-1]) / np.diff(self.word_cut)
+        word = np.add.reduceat(model.bucket[self.codes].astype(np.float64), self.word_cut[:-1]) / np.diff(self.word_cut)
         return np.add.reduceat(word, self.window_cut[:-1]) / np.diff(self.window_cut) + model.bias
 
     def text(self, window: int) -> str:
@@ -256,8 +267,7 @@ def _calibrated(model: Model, texts: list[str], y: np.ndarray, prior: float) ->
     """Logistic regression of the label on the raw logit, lightly held towards slope 1."""
     if not len(texts):
         return model
-    (_, _, data, offsets), = _text.text_slices(pa.array(texts, pa.string()), 1 << 40)
-    x = model.logits(data, offsets)
+    x = np.concatenate([model.logits(data, offsets) for _, _, data, offsets in _text.text_slices(pa.array(texts, pa.string()), 1 << 18)])
     mid, wide = float(np.median(x)), float(x.std()) or 1.0
     v = (x - mid) / wide
     a, c = 1.0, float(np.log(prior / (1 - prior)))
