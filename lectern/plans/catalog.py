@@ -339,3 +339,22 @@ def rate_limit(spark, sf_dir):
 def cosine_scores(spark, sf_dir):
     q = data.query_vector(spark, sf_dir, 1)
     return data.points(spark, sf_dir).select("vec_id", F.round(vectors.cosine(F.col("vector"), vectors.literal(q)), 6).alias("score"))
+
+
+@_query(ORACLE_SQL["rate_limit"])
+def rate_limit_stream(spark, sf_dir):
+    """The limiter over `events` as a stream, run until the input is used up."""
+    import tempfile
+    import uuid
+
+    from lectern.streaming.limiter import admit
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = data.read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*.parquet")
+    requests = events.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("order"))
+    admitted = admit(requests, data.BURST, data.REPLENISH_SECONDS, idle_ms=None)
+    query = admitted.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("key").alias("user_id"), F.col("order").alias("event_id"), "accepted")
