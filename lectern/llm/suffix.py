@@ -116,7 +116,7 @@ def _items(batch, i):
 def _ranked(batches):
     """Step 3's rows: for each group of STEP suffixes of a run the hash of their common bytes and of all their bytes."""
     for b in batches:
-        for i, (_, _, data, _) in enumerate(_each(b.column(0))):
+        for i, data in enumerate(_each(b.column(0))):
             p, lo, hi, w, key = _items(b, i)
             first, last = (p - hi) // STEP, (p - lo) // STEP
             n = last - first + 1
@@ -132,14 +132,16 @@ def _ranked(batches):
 
 
 def _each(column):
-    """One slice for each row."""
-    return _text.text_slices(column, 0)
+    """The bytes of each row."""
+    for _, _, data, offsets in _text.text_slices(column):
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            yield data[a:b]
 
 
 def _compared(batches):
     """Step 4's rows: each suffix with its distance to the ranked sample and the STEP - 1 bytes beside the sample."""
     for b in batches:
-        for i, (_, _, data, _) in enumerate(_each(b.column(0))):
+        for i, data in enumerate(_each(b.column(0))):
             p, lo, hi, w, key = _items(b, i)
             n = hi - lo + 1
             of = np.repeat(np.arange(len(p)), n)
@@ -205,7 +207,7 @@ def _merged(items) -> list[tuple[int, int]]:
 def _removed(batches):
     for b in batches:
         size, spans, kept = [], [], []
-        for i, (_, _, data, _) in enumerate(_each(b.column(0))):
+        for i, data in enumerate(_each(b.column(0))):
             found = _merged(b.column(3)[i].as_py())
             keep, at = [], 0
             for lo, hi in found:

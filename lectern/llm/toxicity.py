@@ -225,7 +225,7 @@ def misspell(text: str, rng: np.random.RandomState) -> str:
     return " ".join(out)
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = 8, batch: int = 2048, rate: float = 0.05, decay: float = 0.03, variants: int = 3) -> Model:
+def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = 160, batch: int = 2048, rate: float = 0.05, decay: float = 0.03, variants: int = 3) -> Model:
     """Model of texts and their 0/1 labels. Without both classes, or without words, a constant one."""
     y = np.array(toxic, int)
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -242,8 +242,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = 8, batc
     trainer = _Trainer(seed)
 
     def run(sets):
-        """Epochs over windows of several sets; sets: (windows, the chosen ones, their labels)."""
-        for _ in range(epochs):
+        """Epochs over windows of several sets until `steps` are made; sets: (windows, the chosen ones, their labels)."""
+        per_epoch = sum(-(-len(chosen) // batch) for _, chosen, _ in sets)
+        for _ in range(-(-steps // max(1, per_epoch))):
             parts = [(s, part, to) for s, chosen, to in sets if len(chosen) for part in np.array_split(rng.permutation(chosen), -(-len(chosen) // batch))]
             for k in rng.permutation(len(parts)):
                 s, part, to = parts[k]
