@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern._workers import importable
+
 ARROW_ROWS = 256  # rows of whole texts in one Arrow batch: bounds a Python worker's memory
 
 _written: list[tuple] = []
@@ -17,14 +18,18 @@ _local: dict[str, str | None] = {}
 
 
 def session_for_texts(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, and lets Python workers import this package from its folder.
+    """Keeps Arrow batches of whole texts small, and lets Python workers import this package."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    importable(spark)
+
 
-    Where executors do not see that folder, install the package there or pass it with --py-files.
+def tidy(spark: SparkSession) -> None:
+    """Between rounds of a long operator: plans that are done go, and with them their shuffle files and broadcasts.
+
+    Spark removes those once the driver's garbage collector finds the plan gone, by itself every half hour only.
     """
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def scratch(spark: SparkSession) -> str:

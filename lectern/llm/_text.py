@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # rows are taken together up to this many bytes (one long row goes alone)
+SLICE_BYTES = 512 << 10  # rows are taken together up to this many bytes (one long row goes alone)
 
 _U = np.uint64
 _rng = np.random.RandomState(20240917)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._spark import cut, session_for_texts
+from lectern.llm._spark import cut, session_for_texts, tidy
 from lectern.llm.components import merge
 
 WIDTH = 5
@@ -194,7 +194,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     not smallest. Repeated rows are copies of each other. Other columns are not read; an empty
     table gives no rows.
     """
-    session_for_texts(docs.sparkSession)
+    spark = docs.sparkSession
+    session_for_texts(spark)
     body = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("th"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
     described = cut(body.select("text", "id", "th").mapInArrow(_describe, "kind tinyint, id bigint, th bigint, n bigint, h1 bigint, h2 bigint"))
     levels = _sketch(described)
@@ -209,13 +210,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     records = cut(_records(members))
     labels = cut(classes.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
-    # First each class against the hub that it shares most shingles with.
+    # First each class against the hub that it shares most shingles with, and the hubs of its groups.
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-    labels = merge(labels, _verified(best.select(F.col("hub").alias("a"), F.col("rid").alias("b")), records, reps, body, levels))
-    for deals in DEALS:
-        labels = merge(labels, _verified(_apart(_dealt(members, deals), labels), records, reps, body, levels))
-    labels = merge(labels, _verified(_across(members, records, labels), records, reps, body, levels))
+    best = best.select(F.col("hub").alias("a"), F.col("rid").alias("b"))
+    for pairs in (lambda: best.unionByName(_dealt(members, labels, DEALS[0])).distinct(), lambda: _dealt(members, labels, DEALS[1]), lambda: _across(members, records, labels)):
+        labels = merge(labels, _verified(pairs(), records, reps, body, levels))
+        tidy(spark)
 
     least = classes.join(labels, F.col("rid") == F.col("node")).select("n", "h1", "h2", "rid", "c", "least")
     component = least.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("component_id"))
@@ -228,24 +229,20 @@ LONG = 24  # members of a list from which it is dealt into random groups
 DEALS = (range(8), range(8, 28))  # ways of dealing in two rounds; a member meets about as many others
 
 
-def _dealt(members: DataFrame, deals: range) -> DataFrame:
+def _dealt(members: DataFrame, labels: DataFrame, deals: range) -> DataFrame:
     """Pairs of each member of a long list with the hub of its random group, some four members large, for each deal.
 
-    Groups depend on the member and the length of the list, so similar lists give the same pairs.
+    Groups depend on the member and the length of the list, so similar lists give the same pairs. Ends of
+    one component make no pair.
     """
     sizes = members.groupBy(F.col("shingle").alias("_s")).agg(F.count("*").alias("m")).where(F.col("m") >= LONG)
     groups = F.expr("shiftleft(1L, CAST(floor(log2(m / 4)) AS INT))")
-    long = cut(members.join(sizes, F.col("shingle") == F.col("_s")).select("shingle", "rid", groups.alias("groups")))
+    own = labels.select(F.col("node").alias("_n"), "c")
+    long = cut(members.join(sizes, F.col("shingle") == F.col("_s")).join(own, F.col("rid") == F.col("_n")).select("shingle", "rid", "c", groups.alias("groups")))
     seat = long.withColumn("deal", F.explode(F.array(*[F.lit(d) for d in deals]))).withColumn("g", F.pmod(F.xxhash64("rid", "deal"), F.col("groups")))
-    first = seat.groupBy(F.col("shingle").alias("_s"), F.col("deal").alias("_d"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"))
+    first = seat.groupBy(F.col("shingle").alias("_s"), F.col("deal").alias("_d"), F.col("g").alias("_g")).agg(F.min("rid").alias("a"), F.min_by("c", "rid").alias("ca"))
     met = seat.join(first, (F.col("shingle") == F.col("_s")) & (F.col("deal") == F.col("_d")) & (F.col("g") == F.col("_g")))
-    return met.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose ends are in different components."""
-    one, two = (labels.select(F.col("node").alias(f"_{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).where("ca <> cb").select("a", "b")
+    return met.where("a <> rid AND ca <> c").select("a", F.col("rid").alias("b")).distinct()
 
 
 def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._spark import cut, session_for_texts
+from lectern.llm._spark import cut, session_for_texts, tidy
 
 LENGTH = 400
 KEY = 128
@@ -167,7 +167,9 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = cut(rows.join(kept, (F.col("key") == F.col("_k")) & (F.col("hull") == F.col("_h"))).drop("_k", "_h"))
     marks = found.where("n > 1").select("id", "th", "lo", "hi")
     one = found.where("_m > 1").groupBy("key", "hull").agg(F.least(F.max("n"), F.lit(2)).cast("int").alias("w"), F.min(F.struct("id", "th", "p", "lo", "hi")).alias("at"))
-    return marks, cut(one.select("key", "w", "at.*"))
+    out = cut(one.select("key", "w", "at.*"))
+    tidy(rows.sparkSession)
+    return marks, out
 
 
 def _with(docs: DataFrame, table: DataFrame, items: int, how: str) -> DataFrame:
