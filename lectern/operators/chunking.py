@@ -16,43 +16,77 @@ from pyspark.sql import functions as F
 
 from lectern._workers import importable
 from lectern.config import Chunking
-from lectern.functions.text import byte_length, trim
+from lectern.functions.text import byte_length
 
 LEAST_FRAGMENT = 200  # bytes; smaller parts of a split section join their successor
 SECTION = "array<struct<text:string,line_start:bigint,line_end:bigint>>"
 CHUNK = "array<struct<chunk_index:bigint,text:string,line_start:bigint,line_end:bigint>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sections(body: Column) -> Column:
     """Array of (text, line_start, line_end), lines from 1.
 
     A line that starts with # opens a section unless only blank lines stand before it.
     """
     text = F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), "\n\\z", "")
-    pieces = F.split(text, "\n(?=#)")
-    blank = ~F.element_at(pieces, 1).rlike(r"(?U)\S")
-    merged = F.when(blank & (F.size(pieces) > 1), F.concat(F.array(F.concat_ws("\n", F.element_at(pieces, 1), F.element_at(pieces, 2))), F.slice(pieces, 3, F.size(pieces)))).when(blank, F.array().cast("array<string>")).otherwise(pieces)
+
+    def merged(pieces):
+        """The pieces with a blank first one joined to its successor; a blank text has none."""
+        blank = ~F.element_at(pieces, 1).rlike(r"(?U)\S")
+        joined = F.concat(F.array(F.concat_ws("\n", F.element_at(pieces, 1), F.element_at(pieces, 2))), F.slice(pieces, 3, F.size(pieces)))
+        return F.when(~blank, pieces).when(F.size(pieces) > 1, joined).otherwise(F.array().cast("array<string>"))
+
     zero = F.struct(F.lit(0).cast("bigint").alias("line"), F.array().cast(SECTION).alias("out"))
 
     def step(acc, piece):
-        last = acc["line"] + F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit(""))) + 1
-        section = F.struct(F.regexp_replace(piece, "^\n+", "").alias("text"), (acc["line"] + 1).alias("line_start"), last.cast("bigint").alias("line_end"))
-        return F.struct(last.cast("bigint").alias("line"), F.concat(acc["out"], F.array(section)).alias("out"))
+        lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit(""))) + 1
+        section = F.struct(F.regexp_replace(piece, "^\n+", "").alias("text"), (acc["line"] + 1).alias("line_start"), (acc["line"] + lines).cast("bigint").alias("line_end"))
+        return F.struct((acc["line"] + lines).cast("bigint").alias("line"), F.concat(acc["out"], F.array(section)).alias("out"))
+
+    return F.aggregate(let(F.split(text, "\n(?=#)"), merged), zero, step, lambda acc: acc["out"])
+
+
+def measured(secs: Column) -> Column:
+    """Sections with `size`, bytes of the trimmed text, and `lead` and `trail`, bytes of the white space around it."""
 
-    return F.aggregate(merged, zero, step, lambda acc: acc["out"])
+    def measure(s):
+        left = F.regexp_replace(s["text"], r"(?U)^\s+", "")
+        both = F.regexp_replace(left, r"(?U)\s+\z", "")
+        a, b, c = byte_length(s["text"]), byte_length(left), byte_length(both)
+        return F.struct(s["text"].alias("text"), s["line_start"].alias("line_start"), s["line_end"].alias("line_end"), c.alias("size"), (a - b).alias("lead"), (b - c).alias("trail"))
+
+    return F.transform(secs, measure)
 
 
 def packed(secs: Column, target: int) -> Column:
-    """Chunks of sections none of which is over the maximum: a section joins the last chunk if both fit in the target."""
-    zero = F.array().cast(SECTION)
+    """Chunks of measured sections none of which is over the maximum: a section joins the last chunk if both fit in the target.
+
+    The fold is over sizes; texts are joined once, when the chunks' first sections are known.
+    """
+    # The sections ride along in the accumulator: an outer column would be evaluated anew for each chunk.
+    zero = F.struct(secs.alias("secs"), F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(0).alias("trail"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc, s):
+        fits = (acc["i"] > 0) & (acc["size"] + 2 + s["size"] <= target)
+        size = F.when(fits, acc["size"] + acc["trail"] + 2 + s["lead"] + s["size"]).otherwise(s["size"])
+        starts = F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"] + 1)))
+        return F.struct(acc["secs"].alias("secs"), (acc["i"] + 1).alias("i"), size.alias("size"), s["trail"].alias("trail"), starts.alias("starts"))
 
-    def step(out, s):
-        last = F.element_at(out, -1)
-        fits = (F.size(out) > 0) & (byte_length(trim(last["text"])) + 2 + byte_length(trim(s["text"])) <= target)
-        joined = F.struct(F.concat(last["text"], F.lit("\n\n"), s["text"]).alias("text"), last["line_start"].alias("line_start"), s["line_end"].alias("line_end"))
-        return F.when(fits, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(s)))
+    def build(acc):
+        ends = F.concat(F.slice(acc["starts"], 2, F.greatest(F.size(acc["starts"]), F.lit(1))), F.array(acc["i"] + 1))
 
-    return F.when(F.size(secs) > 0, F.aggregate(secs, zero, lambda out, s: F.when(F.size(out) == 0, F.array(s)).otherwise(step(out, s)))).otherwise(zero)
+        def chunk_of(start, end):
+            own = F.slice(acc["secs"], start, end - start)
+            return F.struct(F.array_join(F.transform(own, lambda s: s["text"]), "\n\n").alias("text"), F.element_at(acc["secs"], start)["line_start"].alias("line_start"), F.element_at(acc["secs"], end - 1)["line_end"].alias("line_end"))
+
+        return F.when(acc["i"] > 0, F.zip_with(acc["starts"], ends, chunk_of)).otherwise(F.array().cast(SECTION))
+
+    return F.aggregate(secs, zero, step, build)
 
 
 def numbered(chunks: Column, description: Column | None = None) -> Column:
@@ -153,19 +187,21 @@ def chunk(docs: DataFrame, config: Chunking | None = None, body: str = "body", d
     config = config or Chunking()
     importable(docs.sparkSession)
     most, target = config.max_chunk_size, config.target
-    secs = docs.withColumn("_sections", sections(F.coalesce(F.col(body), F.lit(""))))
-    over = F.exists("_sections", lambda s: byte_length(trim(s["text"])) > most)
     prefix = F.col(description) if description and config.prepend_description else None
-    plain = secs.where(~over).withColumn("_chunks", packed(F.col("_sections"), target))
+
+    def work(secs):
+        over = F.exists(secs, lambda s: s["size"] > most)
+        return F.struct(F.when(~over, packed(secs, target)).alias("plain"), F.when(over, secs).alias("over"))
 
     @F.pandas_udf(SECTION)
     def split(column):
         import pandas as pd
 
-        return pd.Series([[{"text": t, "line_start": a, "line_end": b} for t, a, b in chunk_sections([(s["text"], s["line_start"], s["line_end"]) for s in row], most, target)] for row in column])
+        return pd.Series([None if row is None else [{"text": t, "line_start": a, "line_end": b} for t, a, b in chunk_sections([(s["text"], s["line_start"], s["line_end"]) for s in row], most, target)] for row in column])
 
-    forced = secs.where(over).withColumn("_chunks", split("_sections"))
-    return plain.unionByName(forced).withColumn("chunks", numbered(F.col("_chunks"), prefix)).drop("_sections", "_chunks")
+    done = docs.withColumn("_work", let(measured(sections(F.coalesce(F.col(body), F.lit("")))), work))
+    chunks = F.coalesce(F.col("_work.plain"), split.asNondeterministic()(F.col("_work.over")))  # so that it is not folded into later expressions
+    return done.withColumn("_chunks", chunks).withColumn("chunks", numbered(F.col("_chunks"), prefix)).drop("_work", "_chunks")
 
 
 def chunk_rows(chunked: DataFrame) -> DataFrame:
