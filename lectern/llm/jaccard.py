@@ -181,7 +181,9 @@ def _verified(pairs: DataFrame, records: DataFrame, reps: DataFrame, docs: DataF
     parts = cut(_fragments(_only(docs, wanted.select("_id", "_th", "rid")), levels))
     one, two = (parts.select(F.col("rid").alias(f"_{x}"), F.col("fragment").alias(f"f{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
     partial = pairs.join(two, F.col("b") == F.col("_b")).join(one, (F.col("a") == F.col("_a")) & (F.col("fa") == F.col("fb")))
-    overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("o"))
+    # A repeated row gives its class's parts again: each fragment of a pair counts once.
+    each = partial.groupBy("a", "b", "na", "nb", "fa").agg(F.max(F.size(F.array_intersect("pa", "pb"))).alias("o"))
+    overlap = each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return overlap.where("100 * o >= 80 * (na + nb - o)").select("a", "b")
 
 
