@@ -78,4 +78,5 @@ ORACLE_SQL = {
     "op3_sharding": sharding.oracle_sql(),
     "op4_warc": warc.oracle_sql(),
     "op6_chat_format": chat.ORACLE_SQL,
+    "op9_ngram_jaccard": jaccard.ORACLE_SQL,
 }
