@@ -36,7 +36,7 @@ SLOTS_LOG2 = 20  # of the frequency sketch: 1 MB whatever the data
 CHUNK = 3_000_000  # shingles that are counted together in a task
 OFTEN = 2  # sets of a chunk that hold a shingle from which it is counted ...
 FREQUENT = 12  # ... and of all chunks from which it is frequent
-RARE_FRAGMENTS = 3  # fragments of the rare part of the order; the frequent part is one more
+RARE_FRAGMENTS = 2  # fragments of the rare part of the order; the frequent part is one more
 BROADCAST_ROWS = 500_000  # ids up to this many (some 30 MB) are broadcast to a scan; more are joined by shuffle
 
 
@@ -228,7 +228,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 LONG = 24  # members of a list from which it is dealt into random groups
-DEALS = (range(8), range(8, 28))  # ways of dealing in two rounds; a member meets about as many others
+DEALS = (range(4), range(4, 20))  # ways of dealing in two rounds; a member meets about as many others
 
 
 def _dealt(members: DataFrame, labels: DataFrame, deals: range) -> DataFrame:
