@@ -10,6 +10,10 @@ makes the same ids. Digests are labelled base32 SHA-1. All of it is JVM expressi
 
 from __future__ import annotations
 
+import json
+import zlib
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +21,61 @@ CRLF = "\r\n"
 # Name space of URLs in RFC 4122, alphabet of RFC 4648 base32.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# Elements whose content is no text, elements that break lines, entities.
+# Elements whose content is no text, elements that break lines, entities of the SQL oracle.
 _DROPPED = "(?is)<!--.*?-->|<script[ >].*?</script *>|<style[ >].*?</style *>|<noscript[ >].*?</noscript *>|<template[ >].*?</template *>|<head[ >].*?</head *>|<!doctype[^>]*>"
 _BREAKS = "(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ /][^>]*)?>"
 _TAGS = "</?[A-Za-z][^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))  # the ampersand last
+# Fixed values of HTML5: runs of other text and references, names that need no semicolon, what 0x80 to 0x9F stand for (0 where for themselves).
+_PIECES = "[^&]+|&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|&"
+_BARE = "^&(" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
+_C1 = (0x20AC, 0, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0, 0x017D, 0, 0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0, 0x017E, 0x0178)
+NAME_SLOTS = 1024  # the names are spread over so many small maps, as a map is searched from its start
+
+
+def _named() -> str:
+    """All names of HTML5 with their characters, as a JSON array of maps by CRC-32 of the name."""
+    slots: list[dict[str, str]] = [{} for _ in range(NAME_SLOTS)]
+    for name, chars in html5.items():
+        slots[zlib.crc32(name.encode()) % NAME_SLOTS][name] = chars.replace("\xa0", " ")
+    return json.dumps(slots)
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference; null, surrogates and what lies beyond Unicode are U+FFFD."""
+    is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_replace(ref, "^&#[xX]?0*|;$", "")
+    first = F.concat(F.lit("0"), F.substring(digits, 1, 8))  # eight digits are beyond Unicode in either base
+    code = F.when(is_hex, F.conv(first, 16, 10)).otherwise(F.conv(first, 10, 10)).cast("bigint")
+    c1 = F.try_element_at(F.array(*[F.lit(c) for c in _C1]), (F.least(F.greatest(code, F.lit(0x80)), F.lit(0x9F)) - 0x7F).cast("int"))
+    code = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), 0xFFFD).when(code.between(0x80, 0x9F) & (c1 > 0), c1).when(code == 0xA0, 0x20).otherwise(code)
+    # The byte order mark first, or U+FEFF itself would be taken for one.
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+
+
+def decoded(text: Column) -> Column:
+    """Character references decoded once, as HTML5 has it in text; those to a no-break space are blanks.
+
+    Named ones are all of HTML5's, the old names without a semicolon too, where the longest counts;
+    numeric ones are decimal or hexadecimal. Names that HTML5 does not have and single ampersands stay.
+    """
+    table = F.from_json(F.lit(_named()), "array<map<string,string>>")
+    of = lambda name: F.try_element_at(F.element_at(table, (F.crc32(name) % NAME_SLOTS + 1).cast("int")), name)
+
+    def one(piece):
+        bare = F.regexp_extract(piece, _BARE, 1)
+        old = F.when(bare != "", F.concat(of(bare), F.substr(piece, F.length(bare) + 2)))
+        return F.when(~piece.startswith("&"), piece).when(piece.startswith("&#"), _numbered(piece)).otherwise(F.coalesce(of(F.substr(piece, F.lit(2))), old, piece))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), one), "")
 
 
 def html_text(html: Column) -> Column:
-    """Readable text: dropped elements gone, block ends as line breaks, entities decoded, blanks squeezed."""
+    """Readable text: dropped elements gone, block ends as line breaks, character references decoded, blanks squeezed."""
     t = F.regexp_replace(html, _DROPPED, " ")
     t = F.regexp_replace(t, _BREAKS, "\n")
     t = F.regexp_replace(t, _TAGS, "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = decoded(t)
     t = F.regexp_replace(t, "[ \\t\\r\\x0B\\f]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
@@ -110,7 +155,7 @@ def _sql_base32(h: str) -> str:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for derive() over `pages`."""
+    """DuckDB SQL for derive() over `pages`. It decodes ENTITIES alone, so conversion records with other references differ."""
     flags = lambda p: (p.replace("(?is)", ""), "gis") if p.startswith("(?is)") else (p.replace("(?i)", ""), "gi" if p.startswith("(?i)") else "g")
     text = "payload"
     for pattern, to in ((_DROPPED, "' '"), (_BREAKS, "chr(10)"), (_TAGS, "''")):

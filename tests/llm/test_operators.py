@@ -203,6 +203,45 @@ def test_warc_records(spark):
     assert warc.derive(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_warc_decodes_every_reference(spark):
+    import html
+
+    names = [f"&{n}" for n in html.entities.html5]
+    forms = ["&#8217;", "&#x2019;", "&#X1F600;", "&#8217 x", "&#x41;&#0065;", "&#128;&#x9f;&#129;", "&#0;&#xD800;&#1114112;&#99999999999999999999999;&#xFFFFFFFFFFFFFFFFFFFFFF;", "a&#xFEFF;b", "&copy2026", "&notit; &notin;", "&amp;copy; &am &unknown; & && &; &#; &#x; &#xg;", "Müller &mdash; caf&eacute; &copy; &middot;"]
+    rows = [(i, "u", f"<p>[{t}]</p>") for i, t in enumerate(names + forms)]
+    got = {r["page_id"]: r["block"] for r in warc.derive(spark.createDataFrame(rows, "page_id bigint, url string, html string")).where("record_type = 'conversion'").collect()}
+
+    def plain(t):
+        t = html.unescape(t.replace("&#129;", "\x81")).replace("\xa0", " ")  # 0x81 stands for itself in HTML5
+        return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\x0b\f]+", " ", f"[{t}]"))
+
+    assert len(names) > 2000 and got == {i: plain(t) for i, t in enumerate(names + forms)}
+
+
+def test_warc_pages_hold_no_references(spark):
+    got = warc.derive(spark.read.parquet(f"{SF}/pages.parquet")).where("record_type = 'conversion'").select("block", "payload_digest").collect()
+    assert got and all("©" in r[0] and "·" in r[0] and not re.search("&(copy|middot);", r[0]) for r in got)
+
+
+def test_warc_matches_its_oracle_but_for_references(spark):
+    import html
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    cur = con.execute(warc.oracle_sql())
+    names = [c[0] for c in cur.description]
+    want = {(r["page_id"], r["record_type"]): r for r in (dict(zip(names, x)) for x in cur.fetchall())}
+    got = {(r["page_id"], r["record_type"]): r.asDict() for r in warc.derive(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        if k[1] == "conversion":
+            assert r["block"] == html.unescape(want[k]["block"]) and all(r[c] == want[k][c] for c in ("record_id", "refers_to", "target_uri", "date", "content_type"))
+        else:
+            assert r == want[k]
+
+
 # -- operator 5 -----------------------------------------------------------------------------------
 
 def slow_base(text):
