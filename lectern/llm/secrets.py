@@ -42,7 +42,7 @@ LEAST_LITERAL = 8
 _OPERATOR = re.compile(r"=>|:=|[=:]")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["'\]]|\s*:\s*[A-Za-z_]\w*)?[ \t]*$""", re.ASCII)
 _NAME_REACH = 100  # a name is looked for this far to the left of its operator
-_TERM = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|([^\s"'`,;{}()\[\]<>+]+))""")
+_TERM = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}|[^\s"'`,;{}()\[\]<>+]+))""")
 _PLUS = re.compile(r"[ \t]*\+(?!\+)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$", re.ASCII)
@@ -81,8 +81,13 @@ class Pair:
 
 
 def name_literal_pairs(text: str) -> Iterator[Pair]:
-    """Pairs in text order, constants propagated: `A = "x"; token = A` also pairs token with "x"."""
+    """Pairs in text order, constants propagated: `A = "x"; token = A` also pairs token with "x".
+
+    Unquoted literals are constants too (`A=x`, `token=${A}`). As a bare word may be a literal as well as a
+    name, an unquoted constant hides neither a quoted one of its name nor, without a `$`, the word itself: all are paired.
+    """
     constants: dict[str, tuple[str, int, int]] = {}
+    unquoted: dict[str, tuple[str, int, int]] = {}
     done = 0
     for m in _OPERATOR.finditer(text):
         at = m.start()
@@ -94,6 +99,7 @@ def name_literal_pairs(text: str) -> Iterator[Pair]:
             continue
         target = name[1]
         pieces: list[str] = []
+        known = word = None
         start = end = -1
         quoted = False
         pos = m.end()
@@ -101,11 +107,11 @@ def name_literal_pairs(text: str) -> Iterator[Pair]:
             if t[1] is not None:
                 literal, a, b, is_quoted = t[1][1:-1], t.start(1) + 1, t.end(1) - 1, True
             else:
-                bare = t[2]
+                bare, word = t[2], (t[2], t.start(2), t.end(2))
                 known = _IDENTIFIER.fullmatch(bare)
-                if known and known[1] in constants:
-                    literal, a, b = constants[known[1]]
-                    is_quoted = True
+                if known and (known[1] in constants or known[1] in unquoted):
+                    is_quoted = known[1] in constants
+                    literal, a, b = constants[known[1]] if is_quoted else unquoted[known[1]]
                 else:
                     literal, a, b, is_quoted = bare, t.start(2), t.end(2), False
             pieces.append(literal)
@@ -119,10 +125,20 @@ def name_literal_pairs(text: str) -> Iterator[Pair]:
         if not pieces:
             continue
         literal = "".join(pieces)
+        others = []
+        if len(pieces) == 1 and known and known[1] in unquoted:
+            others = [unquoted[known[1]]]
+            if not word[0].startswith("$") and known[1] not in constants:
+                others.append(word)
         if quoted:
             constants[target] = (literal, start, end)
             done = max(done, pos)
-        yield Pair(target, literal, start, end)
+        elif literal[0] not in "=:":  # of `==` and `::`
+            unquoted[target] = (literal, start, end)
+        if others and quoted:
+            unquoted[target] = others[0]
+        for found in dict.fromkeys([(literal, start, end), *others]):
+            yield Pair(target, *found)
 
 
 def name_score(name: str) -> float:

@@ -273,6 +273,22 @@ def test_named_spans():
     assert named("note: token of love, 3 = 4") == []
 
 
+def test_unquoted_constants_are_carried_on():
+    def named(text):
+        return [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "named"]
+
+    value = "Zk93!fjw#Qz81"
+    for ref in ("$A", "${A}", "A"):
+        assert named(f"A={value}\npassphrase={ref}\n") == [value]
+        assert named(f"A: {value}\nB: {ref}\npassphrase: ${{B}}\n") == [value]
+        assert named(f'A = "{value}"\npassphrase = {ref}\n') == [value]
+    assert named(f"passphrase = ${{A}} + '!x'\nA={value}\n") == []
+    assert named(f'A = "{value}"\nif A == b:\n  A=none\npassphrase = A\n') == [value]
+    assert named(f"A=none\nA = \"{value}\"\nB = A\npassphrase = B\n") == [value]
+    assert named("Zk93fjwQz81x = 5\npassphrase = Zk93fjwQz81x\n") == ["Zk93fjwQz81x"]
+    assert named(f"A={value}\npassphrase = A + (b)\n") == [value]
+
+
 def test_secrets_rows(spark):
     rows = secrets.find_secrets(docs(spark, [(1, None), (1, None), (2, ""), (None, "token=abcdefghijkl"), (3, "x=" * 50_000)], extra=True)).collect()
     assert sorted(len(r["spans"]) for r in rows) == [0, 0, 0, 0, 1]
