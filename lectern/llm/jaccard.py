@@ -187,12 +187,12 @@ def _verified(pairs: DataFrame, records: DataFrame, reps: DataFrame, docs: DataF
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, and `class_rank` and `class_id` for dedup.
+    """One row per row of docs: id, n_shingles, component_id, and `class_id`, `component` and `text_hash` for dedup.
 
     Words are runs of anything but ASCII white space, A-Z lowered. Sets are of distinct 5-word
     shingles; fewer words are one shingle; no words (or null) are the empty set, linked with nothing.
     component_id is the smallest id that links reach, its own included; null ids link, but are
-    not smallest. Repeated rows are copies of each other. Other columns are not read; an empty
+    not smallest; `component` is one label for each component, whatever its ids. Repeated rows are copies of each other. Other columns are not read; an empty
     table gives no rows.
     """
     spark = docs.sparkSession
@@ -221,9 +221,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     least = classes.join(labels, F.col("rid") == F.col("node")).select("n", "h1", "h2", "rid", "c", "least")
     component = least.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("component_id"))
-    named = least.join(component, F.col("c") == F.col("_c")).select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rid", "component_id")
+    named = least.join(component, F.col("c") == F.col("_c")).select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rid", "c", "component_id")
     out = sets.join(named, (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rid").alias("class_id"), F.col("th").alias("text_hash"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rid").alias("class_id"), F.col("c").alias("component"), F.col("th").alias("text_hash"))
 
 
 LONG = 24  # members of a list from which it is dealt into random groups
@@ -281,9 +281,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     stays. All columns are kept.
     """
     linked = cut(link(docs, id_col, text))
-    rows = linked.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("class_id"), F.coalesce("component_id", "class_id").alias("_c"), F.col("component_id").isNull().alias("_none"))
+    rows = linked.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("class_id"), F.col("component").alias("_c"))
     worded = rows.where(F.col("class_id").isNotNull())
-    first = worded.groupBy("_c", "_none").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_th")).alias("at"))
+    first = worded.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_th")).alias("at"))
     first = cut(first.select("at._id", "at._th").join(worded.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.count("*").alias("_times")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", "_times"))
     empty = rows.where(F.col("class_id").isNull()).select("_id", "_th").distinct().withColumn("_times", F.lit(1).cast("bigint"))
     kept = cut(first.unionByName(empty))

@@ -477,6 +477,15 @@ def test_keep_one(spark):
     assert jaccard.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_of_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, f"x{k}"]) for k in range(3)]
+    lone, other = "only null ids are here", " ".join(f"v{i}" for i in range(60))
+    rows = [(None, t) for t in [*near, near[0], lone]] + [(None, other), (4, other + " y")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs(spark, rows, extra=True)).collect()]
+    assert len(kept) == 3 and {(None, lone), (4, other + " y")} < set(kept) and len([t for _, t in kept if t in near]) == 1
+
+
 # -- operator 10 ----------------------------------------------------------------------------------
 
 def exact(rows, queries_, k):
