@@ -36,7 +36,7 @@ SLOTS_LOG2 = 20  # of the frequency sketch: 1 MB whatever the data
 CHUNK = 3_000_000  # shingles that are counted together in a task
 OFTEN = 2  # sets of a chunk that hold a shingle from which it is counted ...
 FREQUENT = 12  # ... and of all chunks from which it is frequent
-RARE_FRAGMENTS = 1  # fragments of the rare part of the order; the frequent part is one more
+RARE_FRAGMENTS, FRAGMENTS = 6, 8  # fragments of the rare part of the order, and of all of it
 BROADCAST_ROWS = 500_000  # ids up to this many (some 30 MB) are broadcast to a scan; more are joined by shuffle
 
 
@@ -141,7 +141,7 @@ def _fragments(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             of = b.column(1).to_pylist()
             for _, i, s in _sets([b]):
                 level = levels[_slot(s)]
-                at = np.where(level == 0, ((s >> np.uint64(32)) * np.uint64(RARE_FRAGMENTS) >> np.uint64(32)).astype(np.int64), RARE_FRAGMENTS)
+                at = np.where(level == 0, ((s >> np.uint64(32)) * np.uint64(RARE_FRAGMENTS) >> np.uint64(32)).astype(np.int64), RARE_FRAGMENTS + (level > 8))
                 for f in np.unique(at).tolist():
                     rids.append(of[i])
                     numbers.append(f)

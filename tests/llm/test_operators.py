@@ -486,6 +486,15 @@ def test_keep_one_of_near_copies_without_ids(spark):
     assert len(kept) == 3 and {(None, lone), (4, other + " y")} < set(kept) and len([t for _, t in kept if t in near]) == 1
 
 
+def test_rare_and_frequent_shingles_are_cut_into_fragments(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(words, 1)], "text string, rid bigint")
+    for level, most in ((0, set(range(jaccard.RARE_FRAGMENTS))), (4, {6}), (12, {7})):
+        parts = jaccard._fragments(df, np.full(1 << jaccard.SLOTS_LOG2, level, np.uint8)).collect()
+        assert {r["fragment"] for r in parts} == most and sum(len(r["part"]) for r in parts) == 396
+    assert (jaccard.RARE_FRAGMENTS, jaccard.FRAGMENTS) == (6, 8)
+
+
 # -- operator 10 ----------------------------------------------------------------------------------
 
 def exact(rows, queries_, k):
