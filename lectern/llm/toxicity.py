@@ -301,12 +301,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Model of a bounded sample of labelled rows that are not held out.
 
     Of the labelled ids the `sample` with the smallest hashes are taken, then their texts of up
-    to `sample_bytes`. An id labelled several times has the highest label; null labels are none.
+    to `sample_bytes`. An id labelled several times has the highest label; null labels are none. Of
+    an id with several texts the one with the least hash counts, so at most `sample` rows are collected.
     """
     ids = labels.select(labels[f"`{id_col}`"].alias("_id"), labels[f"`{label}`"].cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~is_held_out(F.col("_id")))
     ids = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     body = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    rows = body.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "text", "_y").limit(2 * sample).collect()
+    least = F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("least")
+    rows = body.join(F.broadcast(ids), F.col("id") == F.col("_id")).groupBy("id").agg(least, F.max("_y").alias("_y")).select("id", "least.text", "_y").collect()
     rows.sort(key=lambda r: (str(r[0]), r[1]))
     return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 

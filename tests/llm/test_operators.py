@@ -128,6 +128,17 @@ def test_toxicity_learns_only_from_rows_that_are_not_held_out(spark):
     assert got == {i: util.held_out(i) for i in ids}
 
 
+def test_toxicity_learns_one_text_of_each_id(spark, monkeypatch):
+    ids = [i for i in range(20) if not util.held_out(i)]
+    rows = [(ids[0], f"copy {k}") for k in range(200)] + [(i, f"text {i}") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **k: seen.append(texts))
+    for part in (rows, rows[::-1]):
+        toxicity.train(docs(spark, part), labels, sample=len(ids))
+    assert seen[0] == seen[1] and len(seen[0]) == len(ids) and {t for _, t in rows[200:]} < set(seen[0])
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     scored = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
