@@ -443,6 +443,20 @@ def test_decontamination_against_brute_force(spark):
     assert want <= got and want
 
 
+def test_decontamination_equals_brute_force_on_all_documents(spark):
+    words = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").translate(util.LOWER))
+    items = [(r[0], words(r[1])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        d = words(r["text"])
+        runs = {k: {tuple(d[i : i + k]) for i in range(len(d) - k + 1)} for k in range(1, 6)}
+        for k, w in items:
+            n = min(5, len(w))
+            if n and any(tuple(w[i : i + n]) in runs[n] for i in range(len(w) - n + 1)) and slow_tiles(w, d, n) * 2 >= len(w):
+                want.add((r["doc_id"], k))
+    assert want and {(r["doc_id"], r["item_id"]) for r in queries.op8_decontaminate(spark, SF).collect()} == want
+
+
 # -- operator 9 -----------------------------------------------------------------------------------
 
 def linked(df):
