@@ -13,9 +13,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +41,16 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|non
 THRESHOLD = 0.55
 LEAST_LITERAL = 8
 
+MOST_LITERAL = 4096  # longer literals are data and no credentials: they score 0
+
 _OPERATOR = re.compile(r"=>|:=|[=:]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["'\]]|\s*:\s*[A-Za-z_]\w*)?[ \t]*$""", re.ASCII)
-_NAME_REACH = 100  # a name is looked for this far to the left of its operator
-_TERM = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}|[^\s"'`,;{}()\[\]<>+]+))""")
+# A name before its operator, read backwards: blanks, a closing quote or a type, the name.
+_EMAN = re.compile(r"""[ \t]*(?:["'\]]|\w*[A-Za-z_][^\S\n]*:[^\S\n]*)?([A-Za-z0-9_.\-]*[A-Za-z_])""", re.ASCII)
+_BARE = r"""[^\s"'`,;{}()\[\]<>+]+"""
+_TERM = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}|""" + _BARE + r"""))""")
 _PLUS = re.compile(r"[ \t]*\+(?!\+)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$", re.ASCII)
+_IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?", re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -70,14 +75,56 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+class Literal:
+    """A run of the text, or two literals joined. Joining copies nothing, so constants built of constants cost a node each."""
+
+    __slots__ = ("first", "start", "end", "length", "parts")
+
+    def __init__(self, start: int, end: int, parts: tuple[Literal, Literal] | None = None):
+        self.first = parts[0].first if parts else start
+        self.start, self.end, self.parts = start, end, parts
+        self.length = parts[0].length + parts[1].length if parts else end - start
+        if self.length > MOST_LITERAL:
+            self.length, self.parts = MOST_LITERAL + 1, None  # what it says is not asked for any more
+
+    def __add__(self, other: Literal) -> Literal:
+        start, end = min(self.start, other.start), max(self.end, other.end)
+        if not other.length or not self.length:
+            kept = Literal.__new__(Literal)
+            x = self if self.length else other
+            kept.first, kept.start, kept.end, kept.length, kept.parts = x.first, start, end, x.length, x.parts or ((x, _NOTHING) if x.length and (start, end) != (x.start, x.end) else None)
+            return kept
+        return Literal(start, end, (self, other))
+
+    def read(self, text: str) -> str | None:
+        """Its characters, None if they are over MOST_LITERAL."""
+        if self.length > MOST_LITERAL:
+            return None
+        out, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            if not x.length:
+                continue
+            if x.parts:
+                stack += reversed(x.parts)
+            else:
+                out.append(text[x.start : x.end])
+        return "".join(out)
+
+
+_NOTHING = Literal(0, 0)
+
+
 @dataclass(frozen=True)
 class Pair:
     """A literal that reaches `name`; several names if constants carry it on."""
 
     name: str
-    literal: str
-    start: int
-    end: int
+    literal: Literal
+
+    @property
+    def span(self) -> tuple[int, int]:
+        return self.literal.start, self.literal.end
 
 
 def name_literal_pairs(text: str) -> Iterator[Pair]:
@@ -85,60 +132,65 @@ def name_literal_pairs(text: str) -> Iterator[Pair]:
 
     Unquoted literals are constants too (`A=x`, `token=${A}`). As a bare word may be a literal as well as a
     name, an unquoted constant hides neither a quoted one of its name nor, without a `$`, the word itself: all are paired.
+    A sum ends before a bare term that holds an operator itself. The time is linear in the text.
     """
-    constants: dict[str, tuple[str, int, int]] = {}
-    unquoted: dict[str, tuple[str, int, int]] = {}
-    done = 0
+    constants: dict[str, Literal] = {}
+    unquoted: dict[str, Literal] = {}
+    n, txet = len(text), text[::-1]
+    done = run = 0  # run: end of the bare word that the last operator stood in
     for m in _OPERATOR.finditer(text):
         at = m.start()
         if at < done:
             continue
-        left = text[max(0, at - _NAME_REACH) : at]
-        name = _NAME.search(left.rsplit("\n", 1)[-1])
+        name = _EMAN.match(txet, n - at)
         if not name:
             continue
-        target = name[1]
-        pieces: list[str] = []
-        known = word = None
-        start = end = -1
+        target = name[1][::-1]
+        literal = known = word = None
         quoted = False
-        pos = m.end()
-        while t := _TERM.match(text, pos):
-            if t[1] is not None:
-                literal, a, b, is_quoted = t[1][1:-1], t.start(1) + 1, t.end(1) - 1, True
+        pos, count = m.end(), 0
+        while True:
+            if not count and pos < run and (run - pos > 2 or text[run : run + 1] not in "\"'`"):
+                a, b, is_quoted, end = pos, run, False, run
+            elif t := _TERM.match(text, pos):
+                is_quoted, end = t[1] is not None, t.end()
+                a, b = (t.start(1) + 1, t.end(1) - 1) if is_quoted else t.span(2)
+                if not is_quoted and count and _OPERATOR.search(text, a, b):
+                    break
+                if not is_quoted:
+                    run = max(run, b)
             else:
-                bare, word = t[2], (t[2], t.start(2), t.end(2))
-                known = _IDENTIFIER.fullmatch(bare)
+                break
+            piece = Literal(a, b)
+            if not is_quoted:
+                word, known = piece, _IDENTIFIER.fullmatch(text, a, b)
                 if known and (known[1] in constants or known[1] in unquoted):
                     is_quoted = known[1] in constants
-                    literal, a, b = constants[known[1]] if is_quoted else unquoted[known[1]]
-                else:
-                    literal, a, b, is_quoted = bare, t.start(2), t.end(2), False
-            pieces.append(literal)
-            start, end = (a, b) if start < 0 else (min(start, a), max(end, b))
+                    piece = constants[known[1]] if is_quoted else unquoted[known[1]]
+            literal = literal + piece if count else piece
+            count += 1
             quoted |= is_quoted
-            pos = t.end()
+            pos = end
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
             pos = plus.end()
-        if not pieces:
+        if literal is None:
             continue
-        literal = "".join(pieces)
         others = []
-        if len(pieces) == 1 and known and known[1] in unquoted:
+        if count == 1 and known and known[1] in unquoted:
             others = [unquoted[known[1]]]
-            if not word[0].startswith("$") and known[1] not in constants:
+            if text[word.start] != "$" and known[1] not in constants:
                 others.append(word)
         if quoted:
-            constants[target] = (literal, start, end)
+            constants[target] = literal
             done = max(done, pos)
-        elif literal[0] not in "=:":  # of `==` and `::`
-            unquoted[target] = (literal, start, end)
+        elif text[literal.first] not in "=:":  # of `==` and `::`
+            unquoted[target] = literal
         if others and quoted:
             unquoted[target] = others[0]
-        for found in dict.fromkeys([(literal, start, end), *others]):
-            yield Pair(target, *found)
+        for found in (literal, *(x for x in others if x is not literal)):
+            yield Pair(target, found)
 
 
 def name_score(name: str) -> float:
@@ -150,9 +202,9 @@ def name_score(name: str) -> float:
 
 
 def literal_score(literal: str) -> float:
-    """0 for placeholders, prose and short values; nears 1 for long values of high entropy."""
+    """0 for placeholders, prose, short and overlong values; nears 1 for long values of high entropy."""
     n = len(literal)
-    if n < LEAST_LITERAL or any(c.isspace() for c in literal) or PLACEHOLDER.match(literal):
+    if not LEAST_LITERAL <= n <= MOST_LITERAL or any(c.isspace() for c in literal) or PLACEHOLDER.match(literal):
         return 0.0
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
@@ -163,15 +215,18 @@ def named_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals whose names make them secrets and that no base span covers already."""
     if ":" not in text and "=" not in text:
         return []
-    covered = [(s.start, s.end) for s in base]
+    covered = sorted((s.start, s.end) for s in base)
+    starts, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
     found: dict[tuple[int, int], float] = {}
     for pair in name_literal_pairs(text):
         sensitive = name_score(pair.name)
-        if not sensitive:
+        literal = pair.literal.read(text) if sensitive else None
+        if not literal:
             continue
-        score = sensitive * literal_score(pair.literal)
-        if score >= THRESHOLD and not any(a <= pair.start and pair.end <= b for a, b in covered):
-            found[pair.start, pair.end] = max(score, found.get((pair.start, pair.end), 0.0))
+        score = sensitive * literal_score(literal)
+        before = bisect_right(starts, pair.span[0])
+        if score >= THRESHOLD and not (before and reach[before - 1] >= pair.span[1]):
+            found[pair.span] = max(score, found.get(pair.span, 0.0))
     return [Span("named", a, b, s) for (a, b), s in sorted(found.items())]
 
 
