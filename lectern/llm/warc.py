@@ -1,11 +1,12 @@
 """WARC derivative builder: responses to linked metadata and conversion records (operator 4).
 
 For each captured response three WARC/1.1 records come out: the response itself, a
-`metadata` record (application/warc-fields: the source's HTTP headers, as they were,
+`metadata` record (application/warc-fields: the source's HTTP and WARC headers, as they were,
 and facts about the capture) and a `conversion` record (text/plain). Both derivatives
 carry WARC-Refers-To with the response's record id and the response's target URI and
-date. Record ids are UUIDs of version 5 made from target, date and payload digest, so a rerun
-makes the same ids. Digests are labelled base32 SHA-1. All of it is JVM expressions.
+date. Where the source has record ids, payload digests or WARC headers of its own, those are
+kept. Ids that are made are UUIDs of version 5 from target, date and payload digest, so a rerun
+makes the same ones; digests that are made are labelled base32 SHA-1. All of it is JVM expressions.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ CRLF = "\r\n"
 # Name space of URLs in RFC 4122, alphabet of RFC 4648 base32.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# Elements whose content is no text, elements that break lines, entities of the SQL oracle.
+# Elements whose content is no text, elements that break lines.
 _DROPPED = "(?is)<!--.*?-->|<script[ >].*?</script *>|<style[ >].*?</style *>|<noscript[ >].*?</noscript *>|<template[ >].*?</template *>|<head[ >].*?</head *>|<!doctype[^>]*>"
 _BREAKS = "(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ /][^>]*)?>"
 _TAGS = "</?[A-Za-z][^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))  # the ampersand last
 # Fixed values of HTML5: runs of other text and references, names that need no semicolon, what 0x80 to 0x9F stand for (0 where for themselves).
 _PIECES = "[^&]+|&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|&"
 _BARE = "^&(" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
@@ -103,37 +103,53 @@ def _fields(*pairs) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)), F.lit("")) for k, v in pairs])
 
 
-def derive(df: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", http_headers: str | None = None, date: str | None = None, source_type: str = "text/html; charset=utf-8", default_date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+# Header fields that each record states by itself.
+OWN_FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type", "Content-Length")
+
+
+def derive(df: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", http_headers: str | None = None, date: str | None = None, source_id: str | None = None, source_digest: str | None = None, warc_headers: str | None = None, source_type: str = "text/html; charset=utf-8", default_date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Three rows for each response: response, metadata and conversion records.
 
     Columns: the id, record_type, record_id, refers_to (null for the response), target_uri,
     date, content_type, content_length (bytes of the block), block_digest, payload_digest
     (null for metadata), header and block; a record's bytes are header, CRLF, block, two CRLFs.
     Where df has no column of HTTP header lines, a minimal status line with the type and
-    length is made. A null payload or URL is empty; equal responses get equal ids, as repeated
+    length is made. `source_id` and `source_digest` name columns of the source's record id and payload
+    digest, which stand in the response and (the id) in both references to it as they are; nulls are made.
+    `warc_headers` names a column of the source record's `Name: value` lines: the response keeps those that it does not
+    state itself, the metadata record lists them all. A null payload or URL is empty; equal responses get equal made ids, as repeated
     captures of one date are one resource; an empty table gives no rows. No shuffle.
     """
+    optional = lambda c: df[f"`{c}`"].cast("string") if c else F.lit(None).cast("string")
     body = df.select(
         df[f"`{id_col}`"].alias("id"),
         F.coalesce(df[f"`{url}`"].cast("string"), F.lit("")).alias("uri"),
         F.coalesce(df[f"`{payload}`"].cast("string"), F.lit("")).alias("payload"),
         (F.coalesce(df[f"`{date}`"].cast("string"), F.lit(default_date)) if date else F.lit(default_date)).alias("date"),
-        (df[f"`{http_headers}`"].cast("string") if http_headers else F.lit(None).cast("string")).alias("given"),
+        optional(http_headers).alias("given"),
+        optional(source_id).alias("own_id"),
+        optional(source_digest).alias("own_digest"),
+        F.regexp_replace(F.regexp_replace(optional(warc_headers), "[\r\n]+$", ""), "\r?\n", "\r\n").alias("lines"),
     )
     made = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: {source_type}{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF))
     given = F.concat(F.regexp_replace(F.regexp_replace("given", "[\r\n]+$", ""), "\r?\n", "\r\n"), F.lit(CRLF))
-    body = body.withColumn("http", F.coalesce(given, made)).withColumn("payload_digest", digest(F.col("payload")))
+    body = body.withColumn("http", F.coalesce(given, made)).withColumn("payload_digest", F.coalesce("own_digest", digest(F.col("payload"))))
     name = F.concat_ws(" ", "uri", "date", "payload_digest")
-    body = body.withColumn("rid", record_id(F.concat(F.lit("response "), name))).withColumn("mid", record_id(F.concat(F.lit("metadata "), name))).withColumn("cid", record_id(F.concat(F.lit("conversion "), name)))
+    body = body.withColumn("rid", F.coalesce("own_id", record_id(F.concat(F.lit("response "), name)))).withColumn("mid", record_id(F.concat(F.lit("metadata "), name))).withColumn("cid", record_id(F.concat(F.lit("conversion "), name)))
     body = body.withColumn("text", html_text(F.col("payload"))).withColumn("text_digest", digest(F.col("text")))
-    source_header = F.regexp_replace(F.regexp_replace("http", "^HTTP/[^\r\n]*\r\n", ""), "(^|\r\n)(?=[^\r\n])", "$1source-header: ")
+    listed = lambda lines, name: F.regexp_replace(lines, "(^|\r\n)(?=[^\r\n])", f"$1{name}: ")
+    source_header = listed(F.regexp_replace("http", "^HTTP/[^\r\n]*\r\n", ""), "source-header")
+    warc_header = F.coalesce(F.concat(listed(F.nullif(F.col("lines"), F.lit("")), "source-warc-header"), F.lit(CRLF)), F.lit(""))
+    # Of the source's lines those whose field the response does not state.
+    others = F.filter(F.split("lines", CRLF), lambda x: (x != "") & ~F.lower(F.substring_index(x, ":", 1)).isin([f.lower() for f in OWN_FIELDS]))
+    kept_lines = F.array_join(F.transform(others, lambda x: F.concat(x, F.lit(CRLF))), "")
     status = F.regexp_extract("http", "^(HTTP/[^\r\n]*)", 1)
-    facts = F.concat(_fields(("source-status", status), ("source-length", F.octet_length("payload").cast("string")), ("source-payload-digest", F.col("payload_digest"))), source_header)
+    facts = F.concat(_fields(("source-status", status), ("source-length", F.octet_length("payload").cast("string")), ("source-payload-digest", F.col("payload_digest"))), source_header, warc_header)
     null = F.lit(None).cast("string")
     kinds = [
-        F.struct(F.lit("response").alias("record_type"), F.col("rid").alias("record_id"), null.alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), F.col("payload_digest"), F.concat("http", F.lit(CRLF), "payload").alias("block")),
-        F.struct(F.lit("metadata").alias("record_type"), F.col("mid").alias("record_id"), F.col("rid").alias("refers_to"), F.lit("application/warc-fields").alias("content_type"), null.alias("payload_digest"), facts.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.col("cid").alias("record_id"), F.col("rid").alias("refers_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text_digest").alias("payload_digest"), F.col("text").alias("block")),
+        F.struct(F.lit("response").alias("record_type"), F.col("rid").alias("record_id"), null.alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), F.col("payload_digest"), kept_lines.alias("more"), F.concat("http", F.lit(CRLF), "payload").alias("block")),
+        F.struct(F.lit("metadata").alias("record_type"), F.col("mid").alias("record_id"), F.col("rid").alias("refers_to"), F.lit("application/warc-fields").alias("content_type"), null.alias("payload_digest"), null.alias("more"), facts.alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.col("cid").alias("record_id"), F.col("rid").alias("refers_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text_digest").alias("payload_digest"), null.alias("more"), F.col("text").alias("block")),
     ]
     rows = body.select("id", "uri", "date", F.explode(F.array(*kinds)).alias("r")).select("id", "uri", "date", "r.*")
     rows = rows.withColumn("content_length", F.octet_length("block").cast("bigint"))
@@ -141,6 +157,7 @@ def derive(df: DataFrame, id_col: str = "page_id", url: str = "url", payload: st
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _fields(("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Target-URI", F.col("uri")), ("WARC-Date", F.col("date")), ("WARC-Block-Digest", F.col("block_digest")), ("WARC-Payload-Digest", F.col("payload_digest")), ("Content-Type", F.col("content_type")), ("Content-Length", F.col("content_length").cast("string"))),
+        F.coalesce("more", F.lit("")),
     )
     return rows.select(F.col("id").alias(id_col), "record_type", "record_id", "refers_to", F.col("uri").alias("target_uri"), "date", "content_type", "content_length", "block_digest", "payload_digest", header.alias("header"), "block")
 
@@ -154,18 +171,24 @@ def _sql_base32(h: str) -> str:
     return " || ".join(f"substr('{BASE32}', ((('0x' || substr({h}, {i * 5 + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def oracle_sql() -> str:
-    """DuckDB SQL for derive() over `pages`. It decodes ENTITIES alone, so conversion records with other references differ."""
+    """DuckDB SQL for derive() over `pages`, all references decoded; the names come from Python's table of HTML5."""
     flags = lambda p: (p.replace("(?is)", ""), "gis") if p.startswith("(?is)") else (p.replace("(?i)", ""), "gi" if p.startswith("(?i)") else "g")
-    text = "payload"
+    bare = "payload"
     for pattern, to in ((_DROPPED, "' '"), (_BREAKS, "chr(10)"), (_TAGS, "''")):
         p, f = flags(pattern)
-        text = f"regexp_replace({text}, '{p}', {to}, '{f}')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    text = rf"regexp_replace({text}, '[ \t\r\x0B\f]+', ' ', 'g')"
+        bare = f"regexp_replace({bare}, '{p}', {to}, '{f}')"
+    text = rf"regexp_replace(decoded, '[ \t\r\x0B\f]+', ' ', 'g')"
     text = rf"regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g')"
     text = rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
+    names = f"unnest([{', '.join(map(_quoted, html5))}]) AS name, unnest([{', '.join(_quoted(x.replace(chr(160), ' ')) for x in html5.values())}]) AS chars"
+    first = "('0' || substr(regexp_replace(piece, '^&#[xX]?0*|;$', '', 'g'), 1, 8))"
+    code = f"CASE WHEN lower(substr(piece, 3, 1)) = 'x' THEN ('0x' || {first})::BIGINT ELSE {first}::BIGINT END"
+    fixed = f"CASE WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN 65533 WHEN code BETWEEN 128 AND 159 AND {list(_C1)}[code - 127] > 0 THEN {list(_C1)}[code - 127] WHEN code = 160 THEN 32 ELSE code END"
     crlf = "chr(13) || chr(10)"
     return f"""
     WITH p AS (
@@ -173,7 +196,15 @@ def oracle_sql() -> str:
             'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} AS http,
             sha1(coalesce(html, '')) AS ph
         FROM pages),
-    q AS (SELECT *, 'sha1:' || {_sql_base32("ph")} AS pd, {text} AS txt FROM p),
+    stripped AS (SELECT *, row_number() OVER () AS nr, regexp_extract_all({bare}, '{_PIECES}') AS pieces FROM p),
+    named AS (SELECT {names}),
+    parts AS (SELECT nr, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM stripped),
+    refs AS (SELECT piece, CASE WHEN starts_with(piece, '&#') THEN {code} END AS code, regexp_extract(piece, '{_BARE}', 1) AS old FROM (SELECT DISTINCT piece FROM parts WHERE starts_with(piece, '&'))),
+    meant AS (
+        SELECT piece, CASE WHEN code IS NOT NULL THEN chr(({fixed})::INT) ELSE coalesce(a.chars, b.chars || substr(piece, length(old) + 2), piece) END AS chars
+        FROM refs LEFT JOIN named a ON a.name = substr(piece, 2) LEFT JOIN named b ON b.name = old),
+    joined AS (SELECT nr, string_agg(coalesce(chars, piece), '' ORDER BY i) AS decoded FROM parts LEFT JOIN meant USING (piece) GROUP BY nr),
+    q AS (SELECT page_id, uri, payload, date, http, ph, 'sha1:' || {_sql_base32("ph")} AS pd, {text} AS txt FROM (SELECT stripped.*, coalesce(decoded, '') AS decoded FROM stripped LEFT JOIN joined USING (nr))),
     n AS (SELECT *, uri || ' ' || date || ' ' || pd AS name, sha1(txt) AS th FROM q),
     kinds AS (
         SELECT page_id, uri, date, name, 'response' AS record_type, 'application/http; msgtype=response' AS content_type, pd AS payload_digest, http || {crlf} || payload AS block FROM n
