@@ -9,8 +9,9 @@ The flight phase walks the vector of inclusion probabilities through the null sp
 of the two balancing constraints (size and count) until almost every entry is 0 or 1.
 It runs in blocks of bounded size: a source is dealt into blocks by a hash of the
 document, each block flies alone and hands on the at most two documents that are
-still fractional, and the survivors fly again until one block per source is left,
-whose last entries are landed. So no task ever holds more than a block, however large a source is.
+still fractional, and the survivors fly again until one block per source is left. That one
+flies until LAND entries are fractional, and of all their outcomes the one nearest to both totals is taken. So
+no task ever holds more than a block, however large a source is.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 2000  # documents that fly together on average
+LAND = 14  # entries that are left to the landing, all of whose 2 ** LAND outcomes are compared
 EPS = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,8 +61,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return levelled.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def flight(pi: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """Flight phase over one block: at most two entries stay fractional.
+def flight(pi: np.ndarray, size: np.ndarray, unit: np.ndarray, leave: int = 2) -> np.ndarray:
+    """Flight phase over one block: at most `leave` entries, two or more, stay fractional.
 
     Three fractional documents at a time span one direction u with sum(u) = 0 and
     sum(u * size) = 0; a step along +u or -u, the side drawn by `unit`, ends where an
@@ -69,7 +71,7 @@ def flight(pi: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
     pi, n = pi.copy(), len(pi)
     live = [i for i in range(n) if EPS < pi[i] < 1 - EPS]
     hand, nxt, step = live[:3], 3, 0
-    while len(hand) == 3:
+    while len(hand) == 3 and len(hand) + len(live) - nxt > leave:
         a, b, c = hand
         u = np.array([size[b] - size[c], size[c] - size[a], size[a] - size[b]], float)
         if not u.any():  # equal sizes: two of them trade
@@ -94,17 +96,13 @@ def flight(pi: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
 
 
 def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Landing: of the few entries left, the choice nearest to both expected totals."""
+    """Landing: of all outcomes of the few entries left, the one nearest to both expected totals, sizes first."""
     rest = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
-    best, least = None, math.inf
-    for mask in range(1 << len(rest)):
-        x = np.array([(mask >> k) & 1 for k in range(len(rest))], float)
-        off = abs(float(((x - pi[rest]) * size[rest]).sum())) + 1e-6 * abs(float((x - pi[rest]).sum()))
-        if off < least:
-            best, least = x, off
     out = pi.copy()
     if len(rest):
-        out[rest] = best
+        taken = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+        off = np.abs((taken - pi[rest]) @ size[rest]) + 1e-6 * np.abs((taken - pi[rest]).sum(1))
+        out[rest] = taken[np.argmin(off)]
     return out
 
 
@@ -116,7 +114,7 @@ def _fly(last: bool):
         pdf = pdf.sort_values(["key", "dup", "size"], kind="stable").reset_index(drop=True)
         size = pdf["size"].to_numpy(float)
         unit = ((pdf["key"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(float)) / 2.0**53
-        pi = flight(pdf["pi"].to_numpy(float), size, unit)
+        pi = flight(pdf["pi"].to_numpy(float), size, unit, LAND if last else 2)
         pdf["pi"] = land(pi, size) if last else pi
         return pdf[["key", "dup", "source", "size", "pi"]]
 
@@ -149,7 +147,7 @@ def cube_sample(units: DataFrame, largest: int, block: int = BLOCK) -> DataFrame
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size and a `key` drawn from id and text; equal rows share a key and differ in `dup`."""
-    base = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("doc_id"), docs[f"`{source}`"].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[f"`{text}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("key"))
+    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source}`"].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[f"`{text}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("key"))
     return base
 
 
@@ -158,7 +156,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     n_copies is how often the mix holds the document, taken = n_copies * size. A null
     text has size 0; a null source is a source of its own, last in order; repeated rows
-    are documents of their own; an empty table gives no rows. Columns of docs other
+    are documents of their own; an empty table gives no rows. Ids may be of any type. Columns of docs other
     than the three named are not read.
     """
     session_for_texts(docs.sparkSession)
