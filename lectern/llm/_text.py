@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 512 << 10  # rows are taken together up to this many bytes (one long row goes alone)
 
@@ -73,7 +74,11 @@ def rolling(data: np.ndarray, which: int) -> np.ndarray:
 
 
 def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Karp-Rabin hash of bytes [start, end), whatever their place in the buffer."""
+    """Karp-Rabin hash of bytes [start, end), whatever their place in the buffer.
+
+    Good for choosing places by content and for finding candidates only: modulo 2**64 there are long texts
+    (Thue-Morse words) that differ and collide. What decides equality is hashed by `contents` or compared.
+    """
     p, _ = powers(which, len(prefix))
     with np.errstate(over="ignore"):
         return mix((prefix[end] - prefix[start]) * p[start])
@@ -89,6 +94,16 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(33))
 
 
+def contents(data: np.ndarray, start, end, seed=None) -> np.ndarray:
+    """XXH3 of each byte range [start, end), seeded by a number for each range."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    if seed is None:
+        found = [hashed(view[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+    else:
+        found = [hashed(view[a:b], s) for a, b, s in zip(start.tolist(), end.tolist(), seed.tolist())]
+    return np.array(found, _U)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
@@ -112,11 +127,34 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word, words being runs of bytes other than ASCII white space, A-Z lowered."""
+NEAR = 64  # places in a word whose values are looked up; those of later places are computed
+_NEAR_VALUES = mix(np.arange(NEAR * 256, dtype=_U) + _U(0x9E3779B97F4A7C15))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, none empty: the sum of a pseudo-random value for each byte at its place in the range."""
+    if not len(start):
+        return np.zeros(0, _U)
+    size = end - start
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    code = (place << 8) | data[place + np.repeat(start, size)]
+    late = place >= NEAR
+    if late.any():
+        values = _NEAR_VALUES[np.where(late, 0, code)]
+        with np.errstate(over="ignore"):
+            values[late] = mix(code[late].astype(_U) + _U(0x9E3779B97F4A7C15))
+    else:
+        values = _NEAR_VALUES[code]
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(values, first))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word, words being runs of bytes other than separators (ASCII white space), A-Z lowered."""
     low = lower_ascii(data)
-    start, end, row = words(low, offsets, SPACE)
-    return window_hash(rolling(low, 0), start, end, 0), row
+    start, end, row = words(low, offsets, separator)
+    return range_hashes(low, start, end), row
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:

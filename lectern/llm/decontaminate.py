@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from lectern.llm import _text
 from lectern.llm._spark import session_for_texts
 
 SEED = 5  # least words of a match
 THRESHOLD = 0.5  # coverage from which a document counts as contaminated
-BLOCK_ITEMS = 5_000  # items broadcast at a time ...
-BLOCK_BYTES = 32 << 20  # ... and the bytes of their texts
+BLOCK_ITEMS = 50_000  # items broadcast at a time ...
+BLOCK_BYTES = 16 << 20  # ... and the bytes of their texts
 
 # Separators: ASCII characters that are neither letter nor digit. Bytes of longer characters are letters.
 SEPARATORS = np.zeros(256, bool)
@@ -35,9 +37,7 @@ SEPARATORS[:128] = [not chr(i).isalnum() for i in range(128)]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = _text.lower_ascii(data)
-    start, end, row = _text.words(low, offsets, SEPARATORS)
-    return _text.window_hash(_text.rolling(low, 0), start, end, 0), row
+    return _text.word_hashes(data, offsets, SEPARATORS)
 
 
 def _runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -58,15 +58,15 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int
     marked_i, marked_d = np.zeros(len(item) + 1, np.int64), np.zeros(len(doc) + 1, np.int64)  # marked words up to each place
 
     def common(width: int) -> tuple[int, int] | None:
-        """Earliest unmarked match of `width` words."""
+        """Earliest unmarked match of `width` words; what the hashes find is compared word by word."""
         hi, hd = _runs(item, width), _runs(doc, width)
         free_i = np.flatnonzero(marked_i[width:] == marked_i[: len(hi)]) if len(hi) else np.zeros(0, np.int64)
         free_d = np.flatnonzero(marked_d[width:] == marked_d[: len(hd)]) if len(hd) else np.zeros(0, np.int64)
-        hits = free_i[np.isin(hi[free_i], hd[free_d])]
-        if not len(hits):
-            return None
-        i = int(hits[0])
-        return i, int(free_d[np.argmax(hd[free_d] == hi[i])])
+        for i in free_i[np.isin(hi[free_i], hd[free_d])].tolist():
+            for d in free_d[hd[free_d] == hi[i]].tolist():
+                if np.array_equal(item[i : i + width], doc[d : d + width]):
+                    return i, d
+        return None
 
     longest = min(len(item), len(doc))
     while longest >= least:
@@ -155,9 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Columns: the document's id, item_id, covered_words, item_words, coverage, tiles. Null and
     empty texts and items meet nothing; repeated documents or items give repeated rows; an
-    empty table gives none; columns other than ids and texts are not read.
+    empty table gives none; ids may be of any type and null; columns other than ids and texts are not read.
     """
     session_for_texts(docs.sparkSession)
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     body = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
     kinds = body.schema["id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"id {kinds[0]}, item_id {kinds[1]}, covered_words bigint, item_words bigint, coverage double, tiles bigint"
@@ -172,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if rows:
                     at = [r[0] for r in rows]
                     size = [len(m.items[r[1]]) for r in rows]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([m.ids[r[1]] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array(size, pa.int64()), pa.array([r[2] / s for r, s in zip(rows, size)], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["id", "item_id", "covered_words", "item_words", "coverage", "tiles"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([m.ids[r[1]] for r in rows], item_kind), pa.array([r[2] for r in rows], pa.int64()), pa.array(size, pa.int64()), pa.array([r[2] / s for r, s in zip(rows, size)], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["id", "item_id", "covered_words", "item_words", "coverage", "tiles"])
 
         part = body.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
