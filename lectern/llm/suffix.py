@@ -8,7 +8,8 @@ sort runs over buckets, and long ties are settled by ranks of cover samples:
 1. Cover. Sample positions are chosen by content: of each LENGTH-byte string the
    KEY-byte string with the least hash. This has what a difference cover is for: two
    equal strings have a sample at the same distance from their starts. Residues modulo
-   v have it too, but would sample every 14th byte, content every 137th or so.
+   v have it too, but would sample every 14th byte, content every 137th or so. Runs that repeat
+   inside their own text, as in periodic texts, are settled there: one of them stands for all.
 2. Buckets. The suffixes whose string has the same sample bytes are a bucket. A bucket of one
    suffix run (the suffixes around one sample) is done at once: nothing repeats.
    Inside a bucket, runs that are equal in all their bytes are repeats as a whole.
@@ -22,8 +23,8 @@ sort runs over buckets, and long ties are settled by ranks of cover samples:
 
 Each step is one pass over the texts that still matter, partial aggregation by
 (bucket, content) and a join back. Buckets are never gathered in a task, so a passage
-that a third of all rows share costs what its rows cost. Fingerprints are 64-bit Karp-Rabin hashes,
-always compared inside a bucket only.
+that a third of all rows share costs what its rows cost. Contents are compared by 64-bit XXH3 inside a
+bucket, buckets by 64-bit XXH3 of the sample; a rolling hash only chooses the samples.
 """
 
 from __future__ import annotations
@@ -34,41 +35,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._spark import cut, session_for_texts, tidy
+from lectern.llm._spark import Scope, cut, session_for_texts, tidy
 
 LENGTH = 400
 KEY = 128
 STEP = 16
-PIECE = 4 << 20  # a longer text is sampled in pieces of so many suffixes
+PIECE = 1 << 20  # a longer text is sampled in pieces of so many suffixes
+_PLACE_BITS = np.uint64(22)  # a place in a slice: of PIECE + LENGTH bytes, or of a slice of rows
 BROADCAST_ITEMS = 500_000  # rows up to this many (some 40 MB) are broadcast to a scan; more are joined by shuffle
 
-_ROWS = "key bigint, hull bigint, w int, id bigint, th bigint, p bigint, lo bigint, hi bigint"
+_ROWS = "key bigint, hull bigint, w int, id {kind}, th bigint, p bigint, lo bigint, hi bigint"
 _NAMES = ["key", "hull", "w", "id", "th", "p", "lo", "hi"]
 _U = np.uint64
 
 
-def _salted(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _text.mix(h + (n.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
-
-
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: int = KEY):
     """Suffix runs of rows: (row, lo, hi, p, key hash, content hash), places counted in `data`.
 
     lo to hi are consecutive starts whose strings have their sample at p (the leftmost of equal ones).
+    The sample depends on the string alone: hashes are cut to the same number of bits in every slice.
     """
     n, w = len(data), length - key + 1
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, _U)] * 2
     at = np.arange(n - key + 1)
     h = _text.window_hash(_text.rolling(data, 0), at, at + key, 0)
-    bits = _U(int(n).bit_length())
-    packed = ((h >> bits) << bits) | at.astype(_U)
+    assert n < 1 << int(_PLACE_BITS)
+    packed = ((h >> _PLACE_BITS) << _PLACE_BITS) | at.astype(_U)
     padded = np.concatenate((packed, np.full(-len(packed) % w, ~_U(0)))).reshape(-1, w)
     ahead = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(padded, 1).ravel()
     k = n - length + 1
-    p = (np.minimum(ahead[:k], behind[w - 1 : w - 1 + k]) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    p = (np.minimum(ahead[:k], behind[w - 1 : w - 1 + k]) & ((_U(1) << _PLACE_BITS) - _U(1))).astype(np.int64)
     row = np.searchsorted(offsets, at[:k], side="right") - 1
     inside = at[:k] + length <= offsets[row + 1]
     new = np.ones(k, bool)
@@ -77,8 +75,30 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: int =
     end[:-1] = new[1:] | ~inside[1:]
     lo, hi = np.flatnonzero(new & inside), np.flatnonzero(end & inside)
     p, row = p[lo], row[lo]
-    hull = _text.window_hash(_text.rolling(data, 1), lo, hi + length, 1)
-    return [row, lo, hi, p, h[p], _salted(hull, p - lo)]
+    return [row, lo, hi, p, _text.contents(data, p, p + key), _text.contents(data, lo, hi + length, p - lo)]
+
+
+def _own_repeats(row, lo, hi, key, hull, length: int = LENGTH):
+    """Runs of equal content in one row: (w, kept, marks).
+
+    w is 2 for a run that stands for several of its row, kept says which runs do not have one standing for them;
+    marks (row, lo, hi) are the starts that repeat inside their row, overlapping and touching strings merged.
+    """
+    order = np.lexsort((lo, hull, key, row))
+    same = np.zeros(len(row), bool)
+    same[1:] = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1]) & (hull[order][1:] == hull[order][:-1])
+    w, kept, marked = np.ones(len(row), np.int32), np.ones(len(row), bool), np.zeros(len(row), bool)
+    if same.any():
+        kept[order[same]] = False
+        first = np.concatenate((same[1:], [False])) & ~same
+        w[order[first]] = 2
+        marked[order[same | first]] = True
+    at = np.flatnonzero(marked)  # in order of row and lo, and so of hi
+    if not len(at):
+        return w, kept, (at, at, at)
+    new = np.ones(len(at), bool)
+    new[1:] = (row[at][1:] != row[at][:-1]) | (lo[at][1:] > hi[at][:-1] + length)
+    return w, kept, (row[at[new]], lo[at[new]], hi[at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]])
 
 
 def _pieces(column):
@@ -98,35 +118,38 @@ def _rows(parts) -> pa.RecordBatch:
 
 
 def _sampled(batches):
-    """Step 2's rows: all suffix runs."""
+    """Step 2's rows: all suffix runs, those that repeat inside their text once; w = 0 marks what is repeated there."""
     for b in batches:
         for i, base, data, offsets in _pieces(b.column(0)):
             row, lo, hi, p, key, hull = runs(data, offsets)
-            if len(row):
-                shift = base - offsets[row]
-                of = pa.array(row + i)
-                yield _rows((key, hull, np.ones(len(row), np.int32), b.column(1).take(of), b.column(2).take(of), p + shift, lo + shift, hi + shift))
+            if not len(row):
+                continue
+            w, kept, marks = _own_repeats(row, lo, hi, key, hull)
+            row, lo, hi, p, key, hull = (np.concatenate((x[kept], m)) for x, m in zip((row, lo, hi, p, key, hull), (*marks, marks[1], np.zeros(len(marks[0]), _U), np.zeros(len(marks[0]), _U))))
+            w = np.concatenate((w[kept], np.zeros(len(marks[0]), np.int32)))
+            shift = base - offsets[row]
+            of = pa.array(row + i)
+            yield _rows((key, hull, w, b.column(1).take(of), b.column(2).take(of), p + shift, lo + shift, hi + shift))
 
 
-def _items(batch, i):
-    got = batch.column(3)[i].as_py()
-    return tuple(np.array([x[f] for x in got], np.int64) for f in ("p", "lo", "hi", "w", "key"))
+def _items(batch, i, *fields):
+    got = batch.column(3)[i].values
+    return tuple(np.zeros(0, np.int64) if got is None else got.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
 
 
 def _ranked(batches):
     """Step 3's rows: for each group of STEP suffixes of a run the hash of their common bytes and of all their bytes."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
-            p, lo, hi, w, key = _items(b, i)
+            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
             first, last = (p - hi) // STEP, (p - lo) // STEP
             n = last - first + 1
             of = np.repeat(np.arange(len(p)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[of]
             near, far = np.maximum(step * STEP, (p - hi)[of]), np.minimum(step * STEP + STEP - 1, (p - lo)[of])
             sample = p[of] - step * STEP
-            prefix = _text.rolling(data, 1)
-            core = _salted(_text.window_hash(prefix, sample, sample + LENGTH - STEP + 1, 1), step)
-            hull = _salted(_text.window_hash(prefix, p[of] - far, p[of] - near + LENGTH, 1), (near % STEP) * STEP + far % STEP)
+            core = _text.contents(data, sample, sample + LENGTH - STEP + 1, step)
+            hull = _text.contents(data, p[of] - far, p[of] - near + LENGTH, (near % STEP) * STEP + far % STEP)
             ids = pa.array([i] * len(of))
             yield _rows((_text.mix(core ^ key[of].view(_U)), hull, w[of].astype(np.int32), b.column(1).take(ids), b.column(2).take(ids), sample, p[of] - far, p[of] - near))
 
@@ -142,7 +165,7 @@ def _compared(batches):
     """Step 4's rows: each suffix with its distance to the ranked sample and the STEP - 1 bytes beside the sample."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
-            p, lo, hi, w, key = _items(b, i)
+            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
             n = hi - lo + 1
             of = np.repeat(np.arange(len(p)), n)
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
@@ -155,17 +178,18 @@ def _compared(batches):
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(marks, open) of rows (key, hull, w, id, th, p, lo, hi), w being 2 where the row stands for several places.
+    """(marks, open) of rows (key, hull, w, id, th, p, lo, hi), w being 2 where the row stands for several places, 0 where it is a mark.
 
     marks (id, th, lo, hi) are rows whose content occurs more than once in its bucket. open are
     buckets with several contents: one row for each content, w saying whether it is repeated.
     """
-    rows = cut(rows)
+    every = cut(rows)
+    rows = every.where("w > 0")
     contents = cut(rows.groupBy("key", "hull").agg(F.sum("w").alias("n")))
     buckets = contents.groupBy(F.col("key").alias("_bk")).agg(F.sum("n").alias("_total"), F.count("*").alias("_m")).where("_total > 1")
     kept = contents.join(buckets, F.col("key") == F.col("_bk")).select(F.col("key").alias("_k"), F.col("hull").alias("_h"), "n", "_m")
     found = cut(rows.join(kept, (F.col("key") == F.col("_k")) & (F.col("hull") == F.col("_h"))).drop("_k", "_h"))
-    marks = found.where("n > 1").select("id", "th", "lo", "hi")
+    marks = found.where("n > 1").select("id", "th", "lo", "hi").unionByName(every.where("w = 0").select("id", "th", "lo", "hi"))
     one = found.where("_m > 1").groupBy("key", "hull").agg(F.least(F.max("n"), F.lit(2)).cast("int").alias("w"), F.min(F.struct("id", "th", "p", "lo", "hi")).alias("at"))
     out = cut(one.select("key", "w", "at.*"))
     tidy(rows.sparkSession)
@@ -182,56 +206,62 @@ def _with(docs: DataFrame, table: DataFrame, items: int, how: str) -> DataFrame:
 def _next(docs: DataFrame, open_: DataFrame, step) -> DataFrame:
     """Rows of the next step, from the texts of the open rows."""
     grouped = open_.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("p", "lo", "hi", "w", "key")).alias("items"))
-    kind = _ROWS if step is _ranked else _ROWS.replace("hull bigint", "hull binary")
+    kind = _ROWS.format(kind=_kind(docs))
+    kind = kind if step is _ranked else kind.replace("hull bigint", "hull binary")
     return _with(docs, cut(grouped), open_.count(), "inner").mapInArrow(step, kind)
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, th, items): for each text with repeats the byte ranges (lo, hi) of repeated strings, unmerged."""
-    marks, open_ = _settle(docs.select("text", "id", "th").mapInArrow(_sampled, _ROWS))
+    marks, open_ = _settle(docs.select("text", "id", "th").mapInArrow(_sampled, _ROWS.format(kind=_kind(docs))))
     more, open_ = _settle(_next(docs, open_, _ranked))
     last, _ = _settle(_next(docs, open_, _compared))
     every = marks.unionByName(more).unionByName(last).select("id", "th", "lo", (F.col("hi") + LENGTH).alias("hi"))
     return every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
 
 
-def _merged(items) -> list[tuple[int, int]]:
+def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of overlapping or touching ranges."""
-    if not items:
-        return []
-    lo, hi = (np.array([x[f] for x in items], np.int64) for f in ("lo", "hi"))
+    if not len(lo):
+        return lo, hi
     order = np.argsort(lo, kind="stable")
     lo, reach = lo[order], np.maximum.accumulate(hi[order])
     new = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1])))
-    return list(zip(lo[new].tolist(), reach[np.concatenate((new[1:] - 1, [len(lo) - 1]))].tolist()))
+    return lo[new], reach[np.concatenate((new[1:] - 1, [len(lo) - 1]))]
 
 
 def _removed(batches):
     for b in batches:
-        size, spans, kept = [], [], []
+        size, starts, ends, kept = [], [], [], []
         for i, data in enumerate(_each(b.column(0))):
-            found = _merged(b.column(3)[i].as_py())
-            keep, at = [], 0
-            for lo, hi in found:
-                keep.append(data[at:lo].tobytes())
-                at = hi
-            keep.append(data[at:].tobytes())
+            lo, hi = _merged(*_items(b, i, "lo", "hi"))
+            edges = [0, *np.stack((lo, hi), 1).ravel().tolist(), len(data)]
+            view = memoryview(np.ascontiguousarray(data))
+            kept.append(b"".join(view[x:y] for x, y in zip(edges[::2], edges[1::2])))
             size.append(len(data))
-            spans.append([{"start": lo, "end": hi} for lo, hi in found])
-            kept.append(b"".join(keep))
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            starts.append(lo)
+            ends.append(hi)
+        cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in starts]))), pa.int32())
+        whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+        spans = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([whole(starts), whole(ends)], ["start", "end"]))
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), spans, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, spans (maximal removed byte ranges, ends exclusive), kept (the other bytes).
 
     Texts are UTF-8 bytes, null is empty; strings are judged on the input, matches never cross
-    rows. Repeated rows are repeats of each other. Texts under LENGTH bytes keep everything. Null ids
-    are fine; other columns are not read; an empty table gives no rows.
+    rows. Repeated rows are repeats of each other. Texts under LENGTH bytes keep everything. Ids may be of any
+    type and null; other columns are not read; an empty table gives no rows.
     """
     session_for_texts(docs.sparkSession)
-    body = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = cut(repeated_spans(body))
+    body = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    with Scope() as scope:
+        spans = scope.keep(repeated_spans(body))
     items = spans.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
-    out = _with(body, spans, items, "left").mapInArrow(_removed, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = _with(body, spans, items, "left").mapInArrow(_removed, f"id {_kind(body)}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
