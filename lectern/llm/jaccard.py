@@ -11,7 +11,8 @@ sketch last; it steers cost alone, any order gives the same links.
 
 Before whole sets are compared, the heads bound the overlap: with k shared head
 shingles it is at most k plus the longer rest, and where a partner's head reaches into the
-frequent shingles, rare ones in no list cannot be shared. Few pairs are left to count.
+frequent shingles, rare ones in no list cannot be shared. So does a parity bitmap of each set: two
+sets differ in at least as many shingles as their bitmaps in bits. Few pairs are left to count.
 
 Only the components are wanted, so the shingles' posting lists are not expanded into
 pairs. Each list compares its members with one hub, then long lists deal their members into
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _text
-from lectern.llm._spark import cut, session_for_texts, tidy
+from lectern.llm._spark import Scope, cut, session_for_texts, tidy
 from lectern.llm.components import merge
 
 WIDTH = 5
@@ -37,6 +38,7 @@ CHUNK = 3_000_000  # shingles that are counted together in a task
 OFTEN = 2  # sets of a chunk that hold a shingle from which it is counted ...
 FREQUENT = 12  # ... and of all chunks from which it is frequent
 RARE_FRAGMENTS, FRAGMENTS = 6, 8  # fragments of the rare part of the order, and of all of it
+BITMAP = 1024  # bits of a set's parity bitmap
 BROADCAST_ROWS = 500_000  # ids up to this many (some 30 MB) are broadcast to a scan; more are joined by shuffle
 
 
@@ -48,8 +50,14 @@ def _sets(batches):
                 yield b, i + k, s
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITMAP bits in words of 64: whether an odd number of the set's shingles falls on each."""
+    odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(batches):
-    """Rows of sets (kind 0: id, th, n, two halves of a digest) and of frequent shingles (kind 1: shingle, count)."""
+    """Rows of sets (kind 0: id, th, n, two halves of a digest, bitmap) and of frequent shingles (kind 1: shingle, count)."""
     pending: list[np.ndarray] = []
     held, seen = 0, set()
 
@@ -58,12 +66,15 @@ def _describe(batches):
         often = n >= OFTEN
         k = int(often.sum())
         none = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), none, none, pa.array(n[often]), pa.array(_text.signed(values[often])), none], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, id_type), none, pa.array(n[often]), pa.array(_text.signed(values[often])), none, pa.nulls(k, pa.list_(pa.int64()))], names)
 
-    names = ["kind", "id", "th", "n", "h1", "h2"]
+    names = ["kind", "id", "th", "n", "h1", "h2", "bits"]
+    id_type = None
     for b in batches:
-        count, h1, h2 = [], [], []
+        id_type = b.column(1).type
+        count, h1, h2, bits = [], [], [], []
         for _, _, s in _sets([b]):
+            bits.append(bitmap(s))
             d = xxhash.xxh3_128_digest(s.tobytes())
             count.append(len(s))
             h1.append(int.from_bytes(d[:8], "little", signed=True))
@@ -72,7 +83,7 @@ def _describe(batches):
                 seen.add(d)
                 pending.append(s)
                 held += len(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(1), b.column(2), pa.array(count, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(1), b.column(2), pa.array(count, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names)
         if held >= CHUNK:
             yield frequent()
             pending, held, seen = [], 0, set()
@@ -152,11 +163,12 @@ def _fragments(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "rid bigint, fragment int, part array<bigint>")
 
 
-def _records(members: DataFrame) -> DataFrame:
-    """(rid, n, h, z, loose, listed): a set's size, its head's, how much of that is rare, and rare but in no list; the listed rest."""
+def _records(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rid, n, h, z, loose, listed, bits): a set's size, its head's, how much of that is rare, and rare but in no list; the listed rest; its bitmap."""
     head = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     own = members.groupBy("rid").agg(F.max("n").alias("n"), F.max("z").alias("z"), F.count_if(F.col("pos") < F.col("z")).cast("int").alias("_rare"), F.collect_list("shingle").alias("listed"))
-    return own.select("rid", "n", head.alias("h"), "z", (F.col("z") - F.col("_rare")).alias("loose"), "listed")
+    own = own.select("rid", "n", head.alias("h"), "z", (F.col("z") - F.col("_rare")).alias("loose"), "listed")
+    return own.join(classes.select(F.col("rid").alias("_rid"), "bits"), F.col("rid") == F.col("_rid")).drop("_rid")
 
 
 # Columns of two records, ending in a and b: the sizes allow the similarity, and so do the rare shingles that are
@@ -165,16 +177,18 @@ _SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 _LOOSE = "(zb >= hb OR 9 * (na - loosea) >= 4 * (na + nb)) AND (za >= ha OR 9 * (nb - looseb) >= 4 * (na + nb))"
 # With k shared head shingles: the head that ends first in the order holds all that are shared up to there.
 _HEADS = "9 * (size(array_intersect(lista, listb)) + greatest(na - ha, nb - hb)) >= 4 * (na + nb)"
+# The bitmaps' distance is at most the sets', na + nb - 2 overlap.
+_BITS = "9 * aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (d, x) -> d + x) <= na + nb"
 
 
 def _record(records: DataFrame, x: str) -> DataFrame:
-    return records.select(F.col("rid").alias(f"_{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "h", "z", "loose")], F.col("listed").alias(f"list{x}"))
+    return records.select(F.col("rid").alias(f"_{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "h", "z", "loose")], F.col("listed").alias(f"list{x}"), F.col("bits").alias(f"bits{x}"))
 
 
 def _verified(pairs: DataFrame, records: DataFrame, reps: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """Pairs (a, b) of classes that link: partial overlaps by fragment, summed for each pair."""
     bounded = pairs.join(_record(records, "a"), F.col("a") == F.col("_a")).join(_record(records, "b"), F.col("b") == F.col("_b"))
-    pairs = cut(bounded.where(f"{_SIZES} AND {_LOOSE} AND {_HEADS}").select("a", "b", "na", "nb"))
+    pairs = cut(bounded.where(f"{_SIZES} AND {_LOOSE} AND {_BITS} AND {_HEADS}").select("a", "b", "na", "nb"))
     ids = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).distinct()
     wanted = cut(reps.join(ids, F.col("rid") == F.col("r"), "left_semi"))
     parts = cut(_fragments(_only(docs, wanted.select("_id", "_th", "rid")), levels))
@@ -192,23 +206,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     Words are runs of anything but ASCII white space, A-Z lowered. Sets are of distinct 5-word
     shingles; fewer words are one shingle; no words (or null) are the empty set, linked with nothing.
     component_id is the smallest id that links reach, its own included; null ids link, but are
-    not smallest; `component` is one label for each component, whatever its ids. Repeated rows are copies of each other. Other columns are not read; an empty
+    not smallest; `component` is one label for each component, whatever its ids. Ids may be of any type with an order. Repeated rows are copies of each other. Other columns are not read; an empty
     table gives no rows.
     """
+    with Scope() as scope:
+        return scope.keep(_link(docs, id_col, text))
+
+
+def _link(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     session_for_texts(spark)
-    body = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("th"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
-    described = cut(body.select("text", "id", "th").mapInArrow(_describe, "kind tinyint, id bigint, th bigint, n bigint, h1 bigint, h2 bigint"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    body = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("th"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
+    described = cut(body.select("text", "id", "th").mapInArrow(_describe, f"kind tinyint, id {kind}, th bigint, n bigint, h1 bigint, h2 bigint, bits array<bigint>"))
     levels = _sketch(described)
     sets = described.where("kind = 0")
-    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"), F.any_value("bits").alias("bits"))
     classes = cut(classes.withColumn("rid", F.monotonically_increasing_id()))
     reps = classes.select("rid", "n", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
     postings = _postings(_only(body, reps.select("_id", "_th", "rid")), levels).repartition("shingle")
     # All columns are read here too, so that both uses of the postings share one exchange.
     hubs = postings.groupBy("shingle").agg(F.min("rid").alias("hub"), F.max("rid").alias("_other"), F.min(F.least("pos", "n", "z")).alias("_all")).where("hub < _other AND _all >= 0").select(F.col("shingle").alias("_shingle"), "hub")
     members = cut(postings.join(hubs.hint("merge"), F.col("shingle") == F.col("_shingle")).select("shingle", "rid", "pos", "n", "z", "hub"))
-    records = cut(_records(members))
+    records = cut(_records(members, classes))
     labels = cut(classes.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
     # First each class against the hub that it shares most shingles with, and the hubs of its groups.
@@ -252,7 +272,7 @@ def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFr
     One end is always outside the hub's component, so a list whose members the hubs have
     joined costs nothing.
     """
-    own = records.drop("listed").join(labels.select(F.col("node").alias("_n"), "c"), F.col("rid") == F.col("_n")).select(F.col("rid").alias("_rid"), "c", "h", "loose")
+    own = records.drop("listed", "bits").join(labels.select(F.col("node").alias("_n"), "c"), F.col("rid") == F.col("_n")).select(F.col("rid").alias("_rid"), "c", "h", "loose")
     hub = labels.select(F.col("node").alias("_h"), F.col("c").alias("hc"))
     lists = members.join(own, F.col("rid") == F.col("_rid")).join(hub, F.col("hub") == F.col("_h")).select("shingle", "rid", "pos", "n", "z", "h", "loose", "c", "hc")
     lists = cut(lists)
@@ -290,7 +310,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)
     # The row travels as one struct, so its columns' names cannot clash with the keys'.
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{id_col}`"].cast("bigint").alias("_i"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("_t"))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{id_col}`"].alias("_i"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("_t"))
     found = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")))
     if not first.where("_times > 1").isEmpty():
         found = found.where("_times = 1").unionByName(found.where("_times > 1").dropDuplicates(["_id", "_th"]))
