@@ -3,15 +3,17 @@
 Coarse centroids and residual codebooks are fitted by k-means on a bounded sample;
 every vector is indexed. A query visits the lists of its best centroids, ranks
 their members by asymmetric distance tables (query against codewords) and reranks the
-best of each block exactly on the original vectors in double precision.
+best of each portion exactly on the original vectors in double precision.
 
 Equal vectors are one class: whatever the query, they tie, and ties go to the smaller
-id, so of a class only its k + 1 smallest ids can ever be returned. Small lists share a
-cell, a crowded list is dealt into several, and queries are dealt into blocks, so the
-work of one task is a bounded cell against a bounded block of queries.
+id, so of a class only its k + 1 smallest ids can ever be returned. The index is a table of
+classes in the order of their lists, cut into portions of some PORTION classes wherever a list ends, so a crowded
+list is many tasks. Queries come in blocks of bounded size, which are broadcast to a scan of the index;
+vectors are never copied or shuffled for a query.
 
 PROBE_SHARE is high because vectors without clusters, like those of the test tables, have
-their neighbours in most lists; for clustered embeddings a few percent do.
+their neighbours in most lists; for clustered embeddings a few percent do. With probe_share=1 and shortlist=None the
+search is exact.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from __future__ import annotations
 import math
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.llm._spark import cut, session_for_texts
+from lectern.llm._spark import Scope, cut, session_for_texts
 
 K = 20
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on
@@ -34,8 +38,9 @@ PROBE_SHARE = 0.8  # share of the lists a query visits ...
 LEAST_PROBES = 16  # ... but at least so many
 SUBSPACES = 16
 CODEWORDS = 256
-SHORTLIST = 256  # classes of a cell that are reranked for a query
-BLOCK = 8192  # classes in a cell, or queries in a block, on average
+SHORTLIST = 256  # classes of a portion that are reranked for a query
+PORTION = 8192  # classes that are looked at together
+BLOCK_BYTES = 16 << 20  # of the queries that are broadcast at a time
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.RandomState) -> np.ndarray:
@@ -100,22 +105,6 @@ class Index:
         return out
 
 
-def _cells(sizes: dict[int, int], lists: int) -> tuple[list[int], list[int]]:
-    """First cell and number of cells of each list: small lists share one, a crowded list has its own."""
-    first, parts, cell, filled = [0] * lists, [1] * lists, 0, 0
-    for i in range(lists):
-        n = sizes.get(i, 0)
-        need = math.ceil(n / BLOCK) if n > BLOCK else 1
-        if filled and (need > 1 or filled + n > BLOCK):
-            cell, filled = cell + 1, 0
-        first[i], parts[i] = cell, need
-        if need > 1:
-            cell += need
-        else:
-            filled += n
-    return first, parts
-
-
 def _matrix(column, dimension: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
@@ -129,18 +118,24 @@ def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return body.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probe_share: float = PROBE_SHARE, least_probes: int = LEAST_PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probe_share: float = PROBE_SHARE, least_probes: int = LEAST_PROBES, shortlist: int | None = SHORTLIST, most_lists: int = MOST_LISTS) -> DataFrame:
     """Each query's k nearest among all other rows by inner product: query_id, rank, the id, score.
 
     Ties go to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty, zero,
     hold null or non-finite components, or have another length than most, take no part; rows
-    with a null id neither. Rows repeated under one id count once for a query and are never their own
-    neighbours. Other columns are not read. An empty table gives no rows.
+    with a null id neither. Ids may be of any type with an order. Rows of one id are one neighbour, by the nearest of
+    their vectors, and never their own; as a query an id asks with the least of its vectors. Other columns are not
+    read. An empty table gives no rows.
     """
+    with Scope() as scope:
+        return scope.keep(_search(vectors, queries, id_col, vector, k, probe_share, least_probes, shortlist, most_lists))
+
+
+def _search(vectors, queries, id_col, vector, k, probe_share, least_probes, shortlist, most_lists) -> DataFrame:
     spark = vectors.sparkSession
     session_for_texts(spark)
-    kind = vectors.schema[id_col].dataType.simpleString()
-    empty = spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    kind, id_type = vectors.schema[id_col].dataType.simpleString(), to_arrow_type(vectors.schema[id_col].dataType)
+    empty = spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
     good = usable(vectors, id_col, vector)
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -149,12 +144,12 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     good = good.where(F.size("v") == d)
     # Classes of equal vectors with their k + 1 smallest ids, gathered in two steps so that no class meets in one task whole.
     salted = good.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("v", "_s").orderBy("id"))).where(F.col("_r") <= k + 1)
+    few = salted.withColumn("_r", F.dense_rank().over(Window.partitionBy("v", "_s").orderBy("id"))).where(F.col("_r") <= k + 1).distinct()
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     classes = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")))
     n = classes.count()
     sample = classes.orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
-    lists = int(min(MOST_LISTS, max(1, round(math.sqrt(n)))))
+    lists = int(min(most_lists, max(1, round(math.sqrt(n)))))
     index = Index.fit(_matrix(sample.column(0), d), lists)
     lists = len(index.centroids)
     probes = min(lists, max(least_probes, math.ceil(probe_share * lists)))
@@ -166,59 +161,76 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
             near, codes = ix.encode(_matrix(b.column(0), d))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "h", "list", "codes"])
 
-    members = cut(classes.select("v", "ids", "h").mapInArrow(assign, f"v array<double>, ids array<{kind}>, h bigint, list int, codes binary"))
-    first, parts = _cells({r["list"]: r["n"] for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}, lists)  # at most MOST_LISTS rows
-    asked = usable(queries, id_col, vector).where(F.size("v") == d).select("id", "v").distinct()
-    distinct = cut(asked.groupBy("v").agg(F.min("id").alias("key")))  # equal queries are answered together
-    blocks = max(1, math.ceil(distinct.count() / BLOCK))
+    members = classes.select("v", "ids", "h").mapInArrow(assign, f"v array<double>, ids array<{kind}>, h bigint, list int, codes binary")
+    members = cut(members.repartitionByRange(max(1, math.ceil(n / PORTION)), "list", "h").sortWithinPartitions("list", "h"))
+    asked = usable(queries, id_col, vector).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
+    asked = cut(asked.withColumn("h", F.xxhash64("v")))
+    blocks = max(1, math.ceil(asked.count() * d * 8 / BLOCK_BYTES))
+    # Equal queries are answered together; a block is read by itself and holds about BLOCK_BYTES.
+    distinct = cut(asked.groupBy("v", "h").agg(F.min("id").alias("key")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "block")
+    found = [cut(_visited(members, distinct.where(F.col("block") == i), packed, d, k, kind, id_type, probes, shortlist)) for i in range(blocks)]
+    every = reduce(DataFrame.unionByName, found)
+    # An id in several classes counts with its nearest.
+    one = every.groupBy("key", "id").agg(F.max("score").alias("score"))
+    best = one.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).where(F.col("_r") <= k + 1)
+    best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_r", "id", "score"))).alias("near"))
+    best = best.join(distinct.select("key", F.col("v").alias("_v"), F.col("h").alias("_h")), "key")
+    answered = asked.select(F.col("id").alias("query_id"), "v", "h").join(best, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")))
+    kept = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    rows = answered.select("query_id", F.posexplode(kept).alias("_p", "x"))
+    return rows.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("x")["id"].alias(id_col), F.col("x")["score"].alias("score"))
 
-    def visit(batches):
-        ix = pickle.loads(packed)
-        for b in batches:
-            near = ix.probes(_matrix(b.column(0), d), probes)
-            cells = [np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in row])) for row in near]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(cells, pa.list_(pa.int32()))], ["v", "key", "lists", "cells"])
 
-    place = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("list") + 1)
-    among = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("list") + 1)
-    m_side = members.withColumn("cell", (place + F.pmod(F.col("h"), among.cast("bigint"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "block", "v", "ids", "codes", "list")
-    q_side = distinct.mapInArrow(visit, f"v array<double>, key {kind}, lists array<int>, cells array<int>").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).select("block", "v", "key", "lists", F.explode("cells").alias("cell"))
+def _visited(members: DataFrame, queries: DataFrame, packed: bytes, d: int, k: int, kind: str, id_type, probes: int, shortlist: int | None) -> DataFrame:
+    """(key, id, score): of each portion of the index the k + 1 ids nearest to each query of a block that visits one of its lists."""
+    block = queries.select("key", "v").toArrow()
+    asked, keys = _matrix(block.column("v"), d).copy(), block.column("key").to_pylist()
+    near = pickle.loads(packed).probes(asked, probes).astype(np.int32) if len(keys) else np.zeros((0, probes), np.int32)
 
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+    def portion(ix, visits, x, ids, lists, codes):
         out_q, out_id, out_s = [], [], []
-        if len(left) and len(right):
-            ix = pickle.loads(packed)
-            x = _matrix(left.column("v"), d)
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            near = left.column("list").to_numpy()
-            ids = left.column("ids").to_pylist()
-            asked_v, keys, probed = _matrix(right.column("v"), d), right.column("key").to_pylist(), right.column("lists").to_pylist()
-            for at in range(0, len(asked_v), 128):
-                q = asked_v[at : at + 128]
-                visited = np.zeros((len(q), lists), bool)
-                for i, row in enumerate(probed[at : at + 128]):
-                    visited[i, row] = True
-                estimate = np.where(visited[:, near], ix.asymmetric(q, near, codes), -np.inf)
-                short = np.argpartition(-estimate, SHORTLIST - 1, 1)[:, :SHORTLIST] if len(x) > SHORTLIST else np.tile(np.arange(len(x)), (len(q), 1))
-                for i in range(len(q)):
-                    own = np.sort(short[i][estimate[i, short[i]] > -np.inf])
-                    exact = (x[own] * q[i]).sum(1)
-                    got: list = []
-                    for j in np.argsort(-exact, kind="stable").tolist():
-                        if len(got) > k and exact[j] < got[k][0]:
-                            break
-                        got = sorted(got + [(exact[j], y) for y in ids[own[j]]], key=lambda r: (-r[0], r[1]))
-                    for s, y in got[: k + 1]:
-                        out_q.append(keys[at + i])
-                        out_id.append(y)
-                        out_s.append(s)
-        plain = pa.int64() if kind == "bigint" else None
-        return pa.table({"key": pa.array(out_q, plain), "id": pa.array(out_id, plain), "score": pa.array(out_s, pa.float64())})
-
-    found = m_side.groupBy("cell", "block").cogroup(q_side.groupBy("cell", "block")).applyInArrow(rank, f"key {kind}, id {kind}, score double")
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).where(F.col("_r") <= k + 1)
-    best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_r", "id", "score"))).alias("near")).join(distinct, "key")
-    answered = asked.select(F.col("id").alias("query_id"), "v").join(best, "v")
-    kept = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    rows = answered.select("query_id", F.posexplode(kept).alias("_p", "x"))
-    return rows.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("x")["id"].alias(id_col), F.col("x")["score"].alias("score"))
+        present = np.unique(lists)
+        some = np.flatnonzero(visits[:, present].any(1))
+        for at in range(0, len(some), 128):
+            rows = some[at : at + 128]
+            q = asked[rows]
+            estimate = np.where(visits[rows][:, lists], ix.asymmetric(q, lists, codes), -np.inf)
+            short = np.argpartition(-estimate, shortlist - 1, 1)[:, :shortlist] if shortlist and len(x) > shortlist else np.tile(np.arange(len(x)), (len(q), 1))
+            for i in range(len(q)):
+                own = np.sort(short[i][estimate[i, short[i]] > -np.inf])
+                exact = (x[own] * q[i]).sum(1)
+                got: dict = {}
+                last = None  # the score after which no class can add an id
+                for j in np.argsort(-exact, kind="stable").tolist():
+                    if last is not None and exact[j] < last:
+                        break
+                    for y in ids[own[j]]:
+                        got.setdefault(y, exact[j])
+                    if last is None and len(got) > k:
+                        last = exact[j]
+                for y, score in sorted(got.items(), key=lambda r: (-r[1], r[0]))[: k + 1]:
+                    out_q.append(keys[rows[i]])
+                    out_id.append(y)
+                    out_s.append(score)
+        return pa.RecordBatch.from_arrays([pa.array(out_q, id_type), pa.array(out_id, id_type), pa.array(out_s, pa.float64())], ["key", "id", "score"])
+
+    def run(batches):
+        ix = pickle.loads(packed)
+        visits = np.zeros((len(keys), len(ix.centroids)), bool)
+        np.put_along_axis(visits, near.astype(np.int64), True, 1)
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= PORTION:
+                yield portion(ix, visits, *columns(held))
+                held, n = [], 0
+        if n:
+            yield portion(ix, visits, *columns(held))
+
+    def columns(held):
+        t = pa.Table.from_batches(held)
+        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(t), -1)
+        return _matrix(t.column("v"), d), t.column("ids").to_pylist(), t.column("list").to_numpy(), codes
+
+    return members.select("v", "ids", "list", "codes").mapInArrow(run, f"key {kind}, id {kind}, score double")
