@@ -3,7 +3,7 @@
 Both are folds over arrays inside a row, so a document never leaves its partition. A
 section is what lies between heading lines; sections are packed up to the target, sizes being
 UTF-8 bytes of the trimmed text. Only documents with a section over the maximum go to Python,
-for the force split.
+for the force split, and those of very many sections, whose packing takes one pass there.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from lectern._workers import importable
 from lectern.config import Chunking
 from lectern.functions.text import byte_length
 
+MANY_SECTIONS = 1000  # from here on the native fold, which copies the list of chunks it has, is slower than one pass in Python
 LEAST_FRAGMENT = 200  # bytes; smaller parts of a split section join their successor
 SECTION = "array<struct<text:string,line_start:bigint,line_end:bigint>>"
 CHUNK = "array<struct<chunk_index:bigint,text:string,line_start:bigint,line_end:bigint>>"
@@ -31,24 +32,29 @@ def let(value: Column, body) -> Column:
 def sections(body: Column) -> Column:
     """Array of (text, line_start, line_end), lines from 1.
 
-    A line that starts with # opens a section unless only blank lines stand before it.
+    A line that starts with # opens a section unless only blank lines stand before it. Every step is one pass over the lines.
     """
     text = F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), "\n\\z", "")
 
-    def merged(pieces):
-        """The pieces with a blank first one joined to its successor; a blank text has none."""
-        blank = ~F.element_at(pieces, 1).rlike(r"(?U)\S")
-        joined = F.concat(F.array(F.concat_ws("\n", F.element_at(pieces, 1), F.element_at(pieces, 2))), F.slice(pieces, 3, F.size(pieces)))
-        return F.when(~blank, pieces).when(F.size(pieces) > 1, joined).otherwise(F.array().cast("array<string>"))
+    def split(lines, heads):
+        n = F.size(lines)
+        before = F.coalesce(F.try_element_at(heads, F.lit(1)) - 1, n)  # lines before the first heading
+        blank = ~F.exists(F.slice(lines, F.lit(1), before), lambda x: x.rlike(r"(?U)\S"))
+        starts = F.concat(F.array(F.lit(1)), F.when(blank, F.slice(heads, F.lit(2), n)).otherwise(heads))
+        ends = F.concat(F.transform(F.slice(starts, F.lit(2), n), lambda x: x - 1), F.array(n))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("line"), F.array().cast(SECTION).alias("out"))
+        def one(a, b):
+            own = F.array_join(F.slice(lines, a, b - a + 1), "\n")
+            return F.struct(F.regexp_replace(own, "^\n+", "").alias("text"), a.cast("bigint").alias("line_start"), b.cast("bigint").alias("line_end"))
 
-    def step(acc, piece):
-        lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit(""))) + 1
-        section = F.struct(F.regexp_replace(piece, "^\n+", "").alias("text"), (acc["line"] + 1).alias("line_start"), (acc["line"] + lines).cast("bigint").alias("line_end"))
-        return F.struct((acc["line"] + lines).cast("bigint").alias("line"), F.concat(acc["out"], F.array(section)).alias("out"))
+        cut = let(F.struct(starts.alias("s"), ends.alias("e")), lambda x: F.zip_with(x["s"], x["e"], one))
+        return F.when(blank & (F.size(heads) == 0), F.array().cast(SECTION)).otherwise(cut)
 
-    return F.aggregate(let(F.split(text, "\n(?=#)"), merged), zero, step, lambda acc: acc["out"])
+    def of_lines(lines):
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("#"), i + 1)), lambda x: x.isNotNull())
+        return let(heads, lambda h: split(lines, h))
+
+    return let(F.split(text, "\n"), of_lines)
 
 
 def measured(secs: Column) -> Column:
@@ -190,7 +196,7 @@ def chunk(docs: DataFrame, config: Chunking | None = None, body: str = "body", d
     prefix = F.col(description) if description and config.prepend_description else None
 
     def work(secs):
-        over = F.exists(secs, lambda s: s["size"] > most)
+        over = F.exists(secs, lambda s: s["size"] > most) | (F.size(secs) > MANY_SECTIONS)
         return F.struct(F.when(~over, packed(secs, target)).alias("plain"), F.when(over, secs).alias("over"))
 
     @F.pandas_udf(SECTION)

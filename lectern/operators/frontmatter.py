@@ -54,8 +54,9 @@ def yaml_json(text: str) -> str | None:
 def parse(files: DataFrame) -> DataFrame:
     """files (file_path, content, ...) plus `body` and `fields`, a map from top-level key to the JSON of its value."""
     importable(files.sparkSession)
-    fence = F.regexp_extract("content", _FENCE, 0)
-    split = files.withColumn("_yaml", F.regexp_extract("content", _FENCE, 1)).withColumn("body", F.when(fence != "", F.expr("substring(content, char_length(regexp_extract(content, r'%s', 0)) + 1)" % _FENCE)).otherwise(F.col("content")))
+    # One search of each text; what is inside is read from the fence alone.
+    fenced = files.withColumn("_fence", F.regexp_extract("content", _FENCE, 0))
+    split = fenced.withColumn("_yaml", F.regexp_extract("_fence", _FENCE, 1)).withColumn("body", F.when(F.col("_fence") != "", F.substr("content", F.char_length("_fence") + 1)).otherwise(F.col("content"))).drop("_fence")
 
     @F.pandas_udf("string")
     def to_json(s):
@@ -95,19 +96,21 @@ def lint(files: DataFrame, command, root: str = "") -> DataFrame:
     command = list(command)
     importable(files.sparkSession)
 
+    columns, place = files.columns, files.columns.index("file_path")
+
     def run(batches):
         for b in batches:
             found = []
-            for p in b.column(0).to_pylist():
+            for p in b.column(place).to_pylist():
                 try:
                     done = subprocess.run([*command, f"{root}/{p}" if root else p], capture_output=True, text=True)
                     found.append([] if done.returncode == 0 else [f"Lint command failed: {(done.stderr or done.stdout).strip()}"])
                 except OSError as e:
                     found.append([f"Failed to run lint command: {e}"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["_lint_path", "lint_errors"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*columns, "lint_errors"])
 
-    checked = files.select("file_path").distinct().mapInArrow(run, "_lint_path string, lint_errors array<string>")
-    return files.join(checked, F.col("file_path") == F.col("_lint_path")).drop("_lint_path")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{schema}, lint_errors array<string>")
 
 
 def validate(parsed: DataFrame, rules: Frontmatter, validation: Validation | None = None, root: str = "") -> DataFrame:

@@ -96,3 +96,27 @@ def test_force_split_parts(text):
 def test_small_tail_joins_the_chunk_before():
     got = chunking.chunk_sections([("# A " + "a" * 300, 1, 1), ("# B\n\n" + ("b" * 390 + "\n\n") * 2 + "tail", 2, 6)], 400, 400)
     assert got[-1][0].endswith("tail") and len(got) == 3
+
+
+def test_very_many_sections(spark):
+    body = "\n".join(f"# {i}\ntext" for i in range(20_000))
+    assert secs(spark, body) == restated(body)
+    got = [c[1:] for c in chunks(spark, body, 1500, 100)]
+    assert got == chunking.chunk_sections(restated(body), 1500, 100)
+
+
+def test_the_split_query_equals_plain_code(spark):
+    from lectern.plans import catalog, corpus
+    from tests.oracle import SF
+
+    got = {}
+    for r in catalog.QUERIES["split_chunks"](spark, SF).collect():
+        got.setdefault(r["file_path"], {})[r["chunk_index"]] = (r["text"], r["line_start"], r["line_end"])
+    config, over = Chunking(), 0
+    for r in corpus.corpus(spark, SF).collect():
+        prefix = f"{r['description']}\n\n" if r["description"] else ""
+        whole = restated(r["body"])
+        over += any(len(t.strip().encode()) > config.max_chunk_size for t, _, _ in whole)
+        want = [(prefix + t, a, b) for t, a, b in chunking.chunk_sections(whole, config.max_chunk_size, config.target)]
+        assert [got.get(r["file_path"], {})[i] for i in range(len(want))] == want and len(got.get(r["file_path"], {})) == len(want)
+    assert over
