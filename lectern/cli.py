@@ -1,4 +1,4 @@
-"""Command line: index, validate, status, search, document, health."""
+"""Command line: index, validate, status, search, document, health, serve."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lectern import config as settings
+from lectern import server
 from lectern.operators import documents, frontmatter, search
-from lectern.operators.embedding import HashingEmbedder, HttpEmbedder, embed_query
+from lectern.operators.embedding import HashingEmbedder, HttpEmbedder
 from lectern.plans import indexer
 from lectern.sources import discovery, store
 
@@ -28,7 +29,7 @@ def embedder_of(config: settings.Config):
 def validate(spark, config, out=print) -> int:
     """Reports invalid files; an error only if there are some and validation is strict."""
     found = discovery.discover(spark, config.source.data_path, config.indexing)
-    files = discovery.read(found, config.source.data_path)
+    files = discovery.load(spark, found, config.source.data_path, config.indexing)
     checked = frontmatter.validate(frontmatter.parse(files), config.frontmatter, config.validation, config.source.data_path)
     report = found.join(checked.select("file_path", "valid", "errors"), "file_path", "left").select("file_path", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("errors", F.array(F.lit("Failed to read file"))).alias("errors")).persist()
     for r in report.where("NOT valid").orderBy("file_path").toLocalIterator():
@@ -51,16 +52,8 @@ def status(spark, config, out=print) -> int:
 
 
 def find(spark, config, request: search.SearchRequest) -> str:
-    request.check()
     collection = store.Collection(spark, config.qdrant.url, config.qdrant.collection)
-    points = collection.points()
-    own = {f"f_{k}": v for k, v in request.filters().items() if f"f_{k}" in points.columns}
-    if len(own) < len(request.filters()):
-        return "No results found."  # a field without a column is on no point
-    best = search.top_k(points, embed_query(embedder_of(config), request.query), search.resolve_limit(request.limit), own)
-    text = lambda k: F.get_json_object("payload", f"$.{k}")
-    rows = best.withColumns({"title": text("title"), "domain": text("domain"), "type": text("type"), "tags": F.from_json(text("tags"), "array<string>")})
-    return search.result_text(rows)
+    return search.find(collection.points(), embedder_of(config), request)
 
 
 def check_health(url: str, out=print) -> int:
@@ -73,7 +66,7 @@ def check_health(url: str, out=print) -> int:
         out(f"unreachable: {e}")
         return 1
     out(f"status: {body.get('status')}")
-    for name, part in sorted(body.get("components", {}).items()):
+    for name, part in sorted((k, v) for k, v in body.items() if isinstance(v, dict)):
         out(f"  {name}: {part.get('status')}" + (f" ({part['error']})" if part.get("error") else ""))
     return 0 if good else 1
 
@@ -93,6 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--limit", type=int)
     sub.add_parser("document").add_argument("path")
     sub.add_parser("health").add_argument("--url", default="http://127.0.0.1:8001/health")
+    sub.add_parser("serve")
     a = p.parse_args(argv)
     if a.command == "health":
         return check_health(a.url)
@@ -104,6 +98,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "index":
         print(indexer.run_index(spark, config, embedder_of(config), a.full))
         return 0
+    if a.command == "serve":
+        return server.serve(spark, config, embedder_of(config))
     if a.command == "search":
         print(find(spark, config, search.SearchRequest(a.query, a.domain, a.type, a.tag, a.limit)))
         return 0

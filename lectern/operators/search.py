@@ -1,6 +1,6 @@
 """Filters, exact top-k search, batch search, rendering, facets and instructions.
 
-Filters act on promoted columns of strings, so they reach the Parquet scan; scoring is a JVM
+Filters act on promoted columns by the type of the value; those of scalars reach the Parquet scan. Scoring is a JVM
 expression; top-k is Spark's TakeOrderedAndProject. A batch of queries is broadcast in blocks of
 bounded size against the points.
 """
@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors
-from lectern.functions.text import SNIPPET, snippet
+from lectern.functions.text import SNIPPET, json_string, json_strings, snippet
+from lectern.operators.embedding import Embedder, embed_query
 
 # Fixed limits of a request, sizes in bytes.
 DEFAULT_LIMIT, MOST_LIMIT = 10, 50
@@ -64,19 +65,28 @@ def resolve_limit(requested: int | None) -> int:
 def condition(df: DataFrame, key: str, value: Any) -> Column:
     """Predicate of one filter: equality for strings, integers and booleans, any-of for lists of strings.
 
-    A list-valued column matches by any element. Floats, nulls, objects and mixed lists are errors.
+    A list-valued field matches by any element, and only values of the filter's own type match. Fields are columns of their
+    own, or the promoted columns of stored points; a field that is on no point matches nothing. Floats,
+    integers over 64 bits, nulls, objects and mixed lists are errors.
     """
-    kind = df.schema[key].dataType.typeName()
-    column = F.col(f"`{key}`")
-    if isinstance(value, (list, tuple)):
-        if not all(isinstance(v, str) for v in value):
-            raise RequestError(f"filter {key}: a list must hold strings only")
-        if not value:
-            return F.lit(False)
-        return F.arrays_overlap(column, F.array(*[F.lit(v) for v in value])) if kind == "array" else column.isin(list(value))
-    if isinstance(value, bool) or isinstance(value, (str, int)):
-        return F.array_contains(column, F.lit(value)) if kind == "array" else column == F.lit(value)
-    raise RequestError(f"filter {key}: values of type {type(value).__name__} cannot be matched")
+    many = isinstance(value, (list, tuple))
+    if many and not all(isinstance(v, str) for v in value):
+        raise RequestError(f"filter {key}: a list must hold strings only")
+    if not many and not (isinstance(value, (bool, str)) or isinstance(value, int) and -(2**63) <= value < 2**63):
+        raise RequestError(f"filter {key}: values of type {type(value).__name__} cannot be matched")
+    if many and not value:
+        return F.lit(False)
+    kind = "s" if many or isinstance(value, str) else "b" if isinstance(value, bool) else "i"
+    tests = []
+    for name in (key, f"{kind}_{key}", f"{kind}list_{key}") if key not in df.columns else (key,):
+        if name not in df.columns:
+            continue
+        column, is_list = F.col(f"`{name}`"), df.schema[name].dataType.typeName() == "array"
+        if many:
+            tests.append(F.arrays_overlap(column, F.array(*[F.lit(v) for v in value])) if is_list else column.isin(list(value)))
+        else:
+            tests.append(F.array_contains(column, F.lit(value).cast("bigint") if kind == "i" else F.lit(value)) if is_list else column == F.lit(value))
+    return reduce(or_, tests) if tests else F.lit(False)
 
 
 def where_all(df: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
@@ -132,23 +142,37 @@ def result_text(results: DataFrame) -> str:
     return "".join(r[0] for r in rows).strip() or "No results found."
 
 
+def find(points: DataFrame, embedder: Embedder, request: SearchRequest) -> str:
+    """The text that answers a request on stored points; title, domain, type and tags are shown where they are strings."""
+    request.check()
+    best = top_k(points, embed_query(embedder, request.query), resolve_limit(request.limit), request.filters())
+    text = lambda k: json_string(F.col("payload"), f"$.{k}")
+    return result_text(best.withColumns({"title": text("title"), "domain": text("domain"), "type": text("type"), "tags": json_strings(F.col("payload"), "$.tags")}))
+
+
 def facet(points: DataFrame, field: str, limit: int = FACET_LIMIT) -> DataFrame:
-    """Distinct string values of a field by count, arrays by element: value, count."""
-    kind = points.schema[field].dataType
-    if kind.typeName() == "array":
-        values = points.select(F.explode(F.array_distinct(F.col(f"`{field}`"))).alias("value"))
-    elif kind.typeName() == "string":
-        values = points.select(F.col(f"`{field}`").alias("value"))
+    """Distinct string values of a field by count, lists by element, a point counting once for each: value, count.
+
+    Values of other types are not listed. The field is a column, or the promoted columns of stored points.
+    """
+    own = [field] if field in points.columns else [c for c in (f"s_{field}", f"slist_{field}") if c in points.columns]
+    kinds = {c: points.schema[c].dataType.simpleString() for c in own}
+    one, many = ([F.col(f"`{c}`") for c in own if kinds[c] == k] for k in ("string", "array<string>"))
+    if many:
+        listed = [F.coalesce(c, F.array().cast("array<string>")) for c in many] + [F.array(c) for c in one]
+        values = points.select(F.explode(F.array_distinct(F.concat(*listed))).alias("value"))
+    elif one:
+        values = points.select(one[0].alias("value"))
     else:
-        values = points.select(F.lit(None).cast("string").alias("value")).limit(0)  # only strings are listed
+        values = points.select(F.lit(None).cast("string").alias("value")).limit(0)
     return values.where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(limit)
 
 
-def instructions(points: DataFrame, fields: Sequence[str], base: str = BASE_INSTRUCTIONS, prefix: str = "") -> DataFrame:
+def instructions(points: DataFrame, fields: Sequence[str], base: str = BASE_INSTRUCTIONS) -> DataFrame:
     """One row `text`: the base and, for each field but file_path that has values, a line of them."""
     lines = None
     for i, f in enumerate(x for x in fields if x != "file_path"):
-        own = facet(points, f"{prefix}{f}").withColumn("pos", F.row_number().over(Window.orderBy(F.desc("count"), "value")))
+        own = facet(points, f).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("count"), "value")))
         line = own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), ", ").alias("v")).select(F.lit(i).alias("i"), F.when(F.col("v") != "", F.concat(F.lit(f"\nAvailable {f}: "), F.col("v"))).otherwise(F.lit("")).alias("line"))
         lines = line if lines is None else lines.unionByName(line)
     if lines is None:

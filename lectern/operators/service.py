@@ -9,10 +9,22 @@ from dataclasses import dataclass
 from lectern import __version__
 
 
+_TEXT = {"type": "string"}
+TOOLS = (
+    {
+        "name": "search",
+        "description": "Search by meaning. Gives ranked chunks with title, score, place, a snippet and metadata; domain, type and tags narrow the search.",
+        "inputSchema": {"type": "object", "properties": {"query": _TEXT, "domain": _TEXT, "type": _TEXT, "tags": {"type": "array", "items": _TEXT}, "limit": {"type": "integer", "minimum": 0}}, "required": ["query"]},
+    },
+    {"name": "get_document", "description": "The whole text of a file, frontmatter included, by a path that search gave.", "inputSchema": {"type": "object", "properties": {"path": _TEXT}, "required": ["path"]}},
+)
+
+
 @dataclass(frozen=True)
 class Component:
+    """`ok` or `unavailable`. What failed is in the log; a client gets no error text."""
+
     status: str
-    error: str | None = None
 
 
 @dataclass(frozen=True)
@@ -24,6 +36,9 @@ class Health:
     def http_status(self) -> int:
         return 200 if self.status == "healthy" else 503
 
+    def body(self) -> dict:
+        return {"status": self.status} | {name: {"status": c.status} for name, c in self.components.items()}
+
 
 def health(checks: Mapping[str, Callable[[], object]], log: Callable[[str], object] = print) -> Health:
     """All checks at once; healthy if all pass. Errors are logged, not shown."""
@@ -35,7 +50,7 @@ def health(checks: Mapping[str, Callable[[], object]], log: Callable[[str], obje
             return name, Component("ok")
         except Exception as e:
             log(f"health check of {name} failed: {e}")
-            return name, Component("error", "unavailable")
+            return name, Component("unavailable")
 
     with ThreadPoolExecutor(max(1, len(checks))) as pool:
         parts = dict(pool.map(run, checks.items()))
@@ -43,7 +58,7 @@ def health(checks: Mapping[str, Callable[[], object]], log: Callable[[str], obje
 
 
 def server_info(instructions: str) -> dict:
-    return {"name": "lectern", "version": __version__, "instructions": instructions, "tools": ["search", "get_document"]}
+    return {"name": "lectern", "version": __version__, "instructions": instructions, "tools": [t["name"] for t in TOOLS]}
 
 
 def bearer_token(env: Mapping[str, str], name: str, allow_unauthenticated: bool) -> str | None:

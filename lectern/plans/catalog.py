@@ -105,6 +105,50 @@ def instructions(spark, sf_dir):
     return search.instructions(data.points(spark, sf_dir), ["domain", "type", "tags", "file_path"], "Base.")
 
 
+# -- stored points: typed filters and facets --------------------------------------------------------
+
+@_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 2 = 0 AND vec_id % 7 = 3")
+def stored_integer(spark, sf_dir):
+    """An integer filter matches integers only, not the strings of the same digits."""
+    return search.where_all(data.stored_points(spark, sf_dir), {"priority": 3}).select("vec_id")
+
+
+@_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 2 = 1 AND vec_id % 7 = 3")
+def stored_string(spark, sf_dir):
+    return search.where_all(data.stored_points(spark, sf_dir), {"priority": "3"}).select("vec_id")
+
+
+@_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 3 = 0 AND vec_id % 5 IN (1, 2)")
+def stored_boolean(spark, sf_dir):
+    return search.where_all(data.stored_points(spark, sf_dir), {"active": True, "tags": ["x1", "x2"]}).select("vec_id")
+
+
+@_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 4 = 2")
+def stored_list_element(spark, sf_dir):
+    """Elements of a list match by their own type, too."""
+    return search.where_all(data.stored_points(spark, sf_dir), {"tags": 2}).select("vec_id")
+
+
+@_query(f"""WITH {data.TYPED_SQL}, f AS (
+        SELECT 'priority' AS field, (vec_id % 7)::VARCHAR AS value FROM typed WHERE vec_id % 2 = 1
+        UNION ALL SELECT 'tags', 'x' || (vec_id % 5) FROM typed
+        UNION ALL SELECT 'tags', 'u' || vec_id FROM typed),
+    n AS (SELECT field, value, count(*)::BIGINT AS count FROM f GROUP BY field, value),
+    r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS k FROM n)
+    SELECT field, value, count FROM r WHERE k <= 50""")
+def stored_facets(spark, sf_dir):
+    """Strings only, 50 values of a field at most: `tags` has far more."""
+    p = data.stored_points(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [search.facet(p, f).select(F.lit(f).alias("field"), "value", "count") for f in ("priority", "active", "tags")])
+
+
+@_query(f"WITH {data.TYPED_SQL} SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN (vec_id % 7)::VARCHAR END AS priority, 'x' || (vec_id % 5) || ',u' || vec_id AS tags FROM typed")
+def payload_strings(spark, sf_dir):
+    """Strings read from payloads; values and elements of other types are left out."""
+    shown = text.json_string(F.col("payload"), "$.priority"), F.array_join(text.json_strings(F.col("payload"), "$.tags"), ",")
+    return data.stored_points(spark, sf_dir).select("vec_id", shown[0].alias("priority"), shown[1].alias("tags"))
+
+
 # -- identity and text ---------------------------------------------------------------------------
 
 @_query("SELECT doc_id, sha256(text) AS content_hash, left(sha256(text), 12) AS short_hash FROM documents")
@@ -318,7 +362,7 @@ def webhook_branch(spark, sf_dir):
 
 
 @_query(f"""WITH {_HOOKS_SQL} SELECT event_id, branch, CASE WHEN good THEN 200 ELSE 401 END::BIGINT AS status,
-    CASE WHEN NOT good THEN 'Invalid signature' WHEN branch = 'main' THEN 'Reindex triggered' ELSE 'ignored' END AS message, good AND branch = 'main' AS triggered FROM hooks""")
+    CASE WHEN NOT good THEN 'Invalid signature' WHEN branch = 'main' THEN 'Reindex triggered' ELSE 'Branch ignored: ''' || branch || ''' (expected ''main'')' END AS message, good AND branch = 'main' AS triggered FROM hooks""")
 def webhook_outcome(spark, sf_dir):
     return webhook.outcomes(data.deliveries(spark, sf_dir), "github", data.WEBHOOK_SECRET, "main").select("event_id", "branch", "status", "message", "triggered")
 
@@ -344,13 +388,12 @@ def cosine_scores(spark, sf_dir):
 @_query(ORACLE_SQL["rate_limit"])
 def rate_limit_stream(spark, sf_dir):
     """The limiter over `events` as a stream, run until the input is used up."""
-    import tempfile
     import uuid
 
+    from lectern._workers import shared_folder
     from lectern.streaming.limiter import admit
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = data.read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*.parquet")
     requests = events.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("order"))

@@ -31,6 +31,8 @@ points AS (
         ['t' || (vec_id % 3), 'u' || (vec_id % 4)] AS tags
     FROM embeddings)"""
 
+TYPED_SQL = "typed AS (SELECT vec_id FROM embeddings)"
+
 DELIVERIES_SQL = """
 deliveries AS (
     SELECT event_id, '{"ref":"' || CASE event_id % 3 WHEN 0 THEN 'refs/heads/main' WHEN 1 THEN 'refs/heads/dev' ELSE 'main' END || '","id":' || event_id || '}' AS body
@@ -75,6 +77,28 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as an index run stores them, one for each vector: priorities are integers or strings, tags hold both, flags are booleans."""
+    from lectern.plans.indexer import point_rows
+
+    n = F.col("vec_id")
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    fields = F.create_map(
+        F.lit("priority"), F.when(n % 2 == 0, (n % 7).cast("string")).otherwise(quoted(n % 7)),
+        F.lit("active"), (n % 3 == 0).cast("string"),
+        F.lit("tags"), F.concat(F.lit("["), quoted(F.concat(F.lit("x"), (n % 5).cast("string"))), F.lit(","), quoted(F.concat(F.lit("u"), n.cast("string"))), F.lit(","), (n % 4).cast("string"), F.lit(",true]")),
+    )
+    chunk = F.array(F.struct(F.lit(0).cast("bigint").alias("chunk_index"), n.cast("string").alias("text"), F.lit(1).cast("bigint").alias("line_start"), F.lit(1).cast("bigint").alias("line_end")))
+    files = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("vec/"), n.cast("string")).alias("file_path"), fields.alias("fields"), chunk.alias("chunks"))
+    points = point_rows(files, ["file_path", "priority", "active", "tags"], _Unit(), 1)
+    return points.withColumn("vec_id", F.col("text").cast("bigint"))
+
+
+class _Unit:
+    def embed(self, texts):
+        return [[1.0]] * len(texts)
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 

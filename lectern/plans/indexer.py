@@ -7,6 +7,7 @@ the new rows. Nothing is visible before the pointer moves.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from lectern.operators import chunking, frontmatter
 from lectern.operators.embedding import Embedder, embed
 from lectern.sources import discovery, store
 
+log = logging.getLogger(__name__)
+
 
 class ValidationFailed(RuntimeError):
     pass
@@ -61,7 +64,7 @@ def plan(files: DataFrame, state: DataFrame, config: Config, full: bool = False,
 
 
 def point_rows(ready: DataFrame, indexed: list[str], embedder: Embedder, size: int) -> DataFrame:
-    """Points of ready files: id, vector, payload (JSON, reserved keys win), promoted fields as arrays of strings."""
+    """Points of ready files: id, vector, payload (JSON, reserved keys win), the indexed fields promoted to typed columns."""
     rows = ready.select("file_path", "fields", F.explode("chunks").alias("c")).select("file_path", "fields", "c.*")
     plain = F.map_filter("fields", lambda k, _: ~k.isin(list(store.RESERVED)))
     quoted = lambda k: F.regexp_extract(F.to_json(F.struct(k.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
@@ -69,13 +72,10 @@ def point_rows(ready: DataFrame, indexed: list[str], embedder: Embedder, size: i
     reserved = F.to_json(F.struct("file_path", "chunk_index", "text", "line_start", "line_end"))
     body = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit(","), F.expr("substring(_reserved, 2)"))).otherwise(F.col("_reserved"))
     rows = rows.withColumn("_reserved", reserved).withColumn("payload", body).drop("_reserved").withColumn("id", point_id(F.col("file_path"), F.col("chunk_index")))
-    for f in (x for x in indexed if x != "file_path"):
-        raw = F.col("fields")[f]
-        many = F.from_json(raw, "array<string>")
-        one = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]
-        rows = rows.withColumn(f"f_{f}", F.when(raw.startswith("["), many).when(raw.isNull() | (raw == "null"), F.array().cast("array<string>")).otherwise(F.array(one)))
+    fields = [x for x in indexed if x != "file_path"]
+    rows = rows.select("*", *[c for f in fields for c in store.promoted(f, F.col("fields")[f])])
     vectors = embed(rows.drop("fields"), embedder, "text", "vector", size)
-    return vectors.select("id", "vector", "payload", "file_path", "chunk_index", "text", "line_start", "line_end", *[f"f_{x}" for x in indexed if x != "file_path"])
+    return vectors.select("id", "vector", "payload", "file_path", "chunk_index", "text", "line_start", "line_end", *[F.col(f"`{c}`") for f in fields for c in store.promoted_names(f)])
 
 
 @dataclass(frozen=True)
@@ -88,33 +88,31 @@ class Summary:
     chunks: int
 
 
-def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: bool = False) -> Summary:
-    """One index run. Any failure leaves the previous snapshot in place."""
+def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: bool = False, collection: store.VectorStore | None = None) -> Summary:
+    """One index run into a store, the configured collection if none is given. Any failure leaves the previous version in place."""
     root, size = config.source.data_path, config.embedding.vector_size
-    collection = store.Collection(spark, config.qdrant.url, config.qdrant.collection)
+    collection = collection or store.Collection(spark, config.qdrant.url, config.qdrant.collection)
     collection.ensure(size, config.indexed_fields())
     with collection.writing():
         found = discovery.discover(spark, root, config.indexing)
         state = collection.state()
-        planned = plan(discovery.read(found, root), state, config, full, root).persist()  # each file is read and validated once
+        planned = plan(discovery.load(spark, found, root, config.indexing), state, config, full, root).persist()  # each file is read and validated once
         try:
             counts = {r["outcome"]: r["count"] for r in planned.groupBy("outcome").count().collect()}
-            if counts.get("invalid") and config.validation.strict:
-                bad = planned.where("outcome = 'invalid'").orderBy("file_path").select("file_path", "errors").limit(20).collect()
-                raise ValidationFailed("; ".join(f"{r[0]}: {', '.join(r[1])}" for r in bad))
+            if counts.get("invalid"):
+                for r in planned.where("outcome = 'invalid'").orderBy("file_path").select("file_path", "errors").toLocalIterator():
+                    log.error("%s: %s", r[0], ", ".join(r[1]))
+                if config.validation.strict:
+                    first = planned.where("outcome = 'invalid'").orderBy("file_path").select("file_path").first()[0]
+                    raise ValidationFailed(f"{counts['invalid']} invalid files, {first} the first; all are in the log")
             ready = planned.where("outcome = 'ready'")
             gone = orphans(state, found)
             n_gone = gone.count()
-            fresh = point_rows(ready, collection._pointer()["indexed"], embedder, size)
-            stale = ready.select("file_path").unionByName(gone.select("file_path"))
-            points, old_state = collection.points(), state
-            if full:
-                points, old_state = points.limit(0), state.limit(0)
-            points = store.delete_by_files(points, stale)
+            fresh = point_rows(ready, collection.indexed(), embedder, size)
             new_state = ready.select("file_path", "content_hash", F.size("chunks").cast("bigint").alias("chunk_count"))
             n_chunks = new_state.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
             if counts.get("ready") or n_gone or full:
-                collection.commit(store.upsert(points, fresh), store.upsert_state(store.delete_state(old_state, stale), new_state))
+                collection.apply(fresh, gone, new_state, full)
         finally:
             planned.unpersist()
         return Summary(found.count(), counts.get("ready", 0), counts.get("skipped", 0), counts.get("invalid", 0), n_gone, n_chunks)

@@ -1,7 +1,8 @@
 """Discovery and reading of Markdown files as a DataFrame.
 
-Folders are walked on the driver (names only; symbolic links are skipped, hidden files
-are not special), contents are read by the executors in parallel, each file once.
+Local folders are walked on the driver (names only; symbolic links are skipped, hidden files
+are not special), contents are read by the executors in parallel, each file once. Other stores, which have no
+symbolic links, are listed and read by Spark's file source; names that begin with _ or . are invisible there.
 """
 
 from __future__ import annotations
@@ -39,12 +40,42 @@ def walk(root: str, indexing: Indexing) -> Iterator[str]:
                         yield rel
 
 
+def is_local(root: str) -> bool:
+    return "://" not in root
+
+
+def _stored(spark: SparkSession, root: str, indexing: Indexing) -> DataFrame:
+    """(file_path, bytes) of the selected files under a URL. Where bytes are not asked for no file is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = raw.select(F.expr(f"substring(path, instr(path, '{_escaped(base)}/') + {len(base) + 1})").alias("file_path"), F.col("content").alias("bytes"))
+    return select_paths(files, indexing)
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def discover(spark: SparkSession, root: str, indexing: Indexing | None = None) -> DataFrame:
-    """(file_path) of all selected files, sorted."""
+    """(file_path) of all selected files, sorted. The root is a local folder or a URL that Spark can read."""
+    if not is_local(root):
+        return _stored(spark, root, indexing or Indexing()).select("file_path").orderBy("file_path")
     paths = sorted(walk(root, indexing or Indexing()))
     return spark.createDataFrame([(p,) for p in paths], "file_path string")
 
 
+def load(spark: SparkSession, found: DataFrame, root: str, indexing: Indexing | None = None) -> DataFrame:
+    """(file_path, content) of what `discover` found under a root."""
+    if is_local(root):
+        return read(found, root)
+    return _decoded(_stored(spark, root, indexing or Indexing()))
+
+
+def _decoded(raw: DataFrame) -> DataFrame:
+    return raw.where(F.is_valid_utf8("bytes")).select("file_path", F.decode("bytes", "UTF-8").alias("content"))
+
+
 def select_paths(paths: DataFrame, indexing: Indexing, column: str = "file_path") -> DataFrame:
     """The same selection over a DataFrame of relative paths."""
     c = F.col(column)
@@ -71,4 +102,4 @@ def read(files: DataFrame, root: str) -> DataFrame:
 
     importable(files.sparkSession)
     raw = files.select("file_path").mapInArrow(load, "file_path string, bytes binary")
-    return raw.where(F.is_valid_utf8("bytes")).select("file_path", F.decode("bytes", "UTF-8").alias("content"))
+    return _decoded(raw)

@@ -1,32 +1,83 @@
-"""Versioned Parquet snapshots of points and state behind one pointer.
+"""Versioned Parquet tables of points and state behind one pointer.
 
-Parquet tables know no MERGE, so an update writes the next version of both tables and then
-replaces the pointer file that names them, by an atomic rename. Readers see the old or the
-new version; a failed run leaves the old one. One writer at a time holds the lock file.
-All paths go through Hadoop's file systems.
+Both tables are dealt into buckets by a checksum of the file's path. Parquet knows no MERGE, so an
+update writes the touched buckets anew, in a folder of its version, and then replaces the pointer file that names
+every bucket's folder, by an atomic rename. Readers see the old or the new version; a failed run leaves
+the old one. One writer at a time holds the lock file, others wait for it. All paths go through
+Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
-from contextlib import contextmanager
+import logging
+import threading
+import time
+import uuid
+import zlib
+from collections.abc import Iterable
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 STATE = "file_path string, content_hash string, chunk_count bigint, indexed_at timestamp"
 RESERVED = ("file_path", "chunk_index", "text", "line_start", "line_end")  # payload keys that documents cannot set
+POINT = "id string, vector array<float>, payload string, file_path string, chunk_index bigint, text string, line_start bigint, line_end bigint"
+BUCKETS = 64
+WAIT = 5.0  # seconds that a writer waits for the lock
+LEASE = 120.0  # seconds after which a lock that nobody renews is taken for that of a dead writer
+
+#: Kinds of promoted columns: prefix, SQL type, type name of the JSON value.
+SCALARS = (("s", "string", "STRING"), ("i", "bigint", "BIGINT"), ("b", "boolean", "BOOLEAN"))
 
 
 class StoreError(RuntimeError):
     pass
 
 
-def points_schema(indexed: list[str]) -> str:
-    """Points: id, vector, payload as JSON and one promoted column of strings for each indexed field."""
-    fields = ", ".join(f"`f_{x}` array<string>" for x in indexed if x != "file_path")
-    return "id string, vector array<float>, payload string, file_path string, chunk_index bigint, text string, line_start bigint, line_end bigint" + (f", {fields}" if fields else "")
+class VectorStore(Protocol):
+    """What an index run and a search need of a store; `Collection` is the one on Parquet."""
+
+    def ensure(self, vector_size: int, indexed: list[str]) -> None: ...
+    def exists(self) -> bool: ...
+    def drop(self) -> None: ...
+    def indexed(self) -> list[str]: ...
+    def points(self) -> DataFrame: ...
+    def state(self) -> DataFrame: ...
+    def count(self) -> int | None: ...
+    def apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool = False) -> int: ...
+    def writing(self) -> AbstractContextManager: ...
+
+
+# -- promoted columns ------------------------------------------------------------------------------
+
+def promoted_names(field: str) -> dict[str, str]:
+    """Column names of an indexed field and their types: one for each kind of scalar and of list element."""
+    return {f"{p}_{field}": t for p, t, _ in SCALARS} | {f"{p}list_{field}": f"array<{t}>" for p, t, _ in SCALARS}
+
+
+def promoted(field: str, raw: Column) -> list[Column]:
+    """Columns of a field from the JSON of its value: each value and each element of a list by its own type; others are null."""
+    v = F.try_parse_json(raw)
+    kind = F.schema_of_variant(v)
+    items = F.when(kind.startswith("ARRAY"), v.cast("array<variant>"))
+
+    def elements(t: str, name: str) -> Column:
+        own = F.filter(F.transform(items, lambda x: F.when(F.schema_of_variant(x) == name, x.cast(t))), lambda x: x.isNotNull())
+        return F.when(F.size(own) > 0, own)
+
+    return [F.when(kind == name, v.cast(t)).alias(f"{p}_{field}") for p, t, name in SCALARS] + [elements(t, name).alias(f"{p}list_{field}") for p, t, name in SCALARS]
+
+
+def points_schema(indexed: Iterable[str]) -> str:
+    """Points: id, vector, payload as JSON, the reserved keys and the promoted columns of each indexed field."""
+    fields = [f"`{c}` {t}" for f in indexed if f != "file_path" for c, t in promoted_names(f).items()]
+    return ", ".join([POINT, *fields])
 
 
 # -- set operations on the two tables ------------------------------------------------------------
@@ -51,7 +102,7 @@ def delete_state(state: DataFrame, paths: DataFrame) -> DataFrame:
     return state.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(state.columns)
 
 
-# -- snapshots -------------------------------------------------------------------------------------
+# -- tables ----------------------------------------------------------------------------------------
 
 @dataclass
 class Collection:
@@ -60,6 +111,7 @@ class Collection:
     spark: SparkSession
     root: str
     name: str
+    buckets: int = BUCKETS
 
     @property
     def path(self) -> str:
@@ -82,20 +134,33 @@ class Collection:
             stream.close()
         return json.loads(data)
 
+    def _rename(self, old: str, new: str) -> None:
+        """An atomic rename that replaces what is there."""
+        fs, jvm, gateway = self._fs(), self.spark._jvm, self.spark.sparkContext._gateway
+        overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        qualified = fs.makeQualified(self._jpath(old))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(self._jpath(new)), overwrite)
+
     def _point_to(self, pointer: dict) -> None:
-        fs, new = self._fs(), self._jpath(f"{self.path}/CURRENT.new")
-        out = fs.create(new, True)
+        new = f"{self.path}/CURRENT.new"
+        out = self._fs().create(self._jpath(new), True)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        qualified = fs.makeQualified(new)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(self._jpath(f"{self.path}/CURRENT")), overwrite)
+        self._rename(new, f"{self.path}/CURRENT")
+
+    def _have(self) -> dict:
+        pointer = self._pointer()
+        if pointer is None:
+            raise StoreError(f"collection {self.name} does not exist")
+        return pointer
 
     def exists(self) -> bool:
         return self._pointer() is not None
 
+    def indexed(self) -> list[str]:
+        return self._have()["indexed"]
+
     def ensure(self, vector_size: int, indexed: list[str]) -> None:
         """Creates the collection if it is not there; one of another vector size is an error. The distance is cosine."""
         have = self._pointer()
@@ -103,63 +168,132 @@ class Collection:
             if have["vector_size"] != vector_size:
                 raise StoreError(f"collection {self.name} has vectors of {have['vector_size']}, not {vector_size}")
             return
-        self._point_to({"version": 0, "vector_size": vector_size, "distance": "cosine", "indexed": indexed})
+        self._point_to({"version": 0, "vector_size": vector_size, "distance": "cosine", "indexed": indexed, "buckets": self.buckets, "points": {}, "state": {}, "used": [], "old": []})
 
     def drop(self) -> None:
         """Removes the collection if it exists."""
         self._fs().delete(self._jpath(self.path), True)
 
-    def _table(self, kind: str, schema: str) -> DataFrame:
-        pointer = self._pointer()
-        if not pointer or not pointer["version"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{pointer['version']}/{kind}")
+    def _read(self, pointer: dict, kind: str, buckets=None) -> DataFrame:
+        """A table, or those of its buckets."""
+        schema = STATE if kind == "state" else points_schema(pointer["indexed"])
+        folders = [f"{self.path}/{kind}/v{v}/bucket={b}" for b, v in sorted(pointer[kind].items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def points(self) -> DataFrame:
-        pointer = self._pointer()
-        if pointer is None:
-            raise StoreError(f"collection {self.name} does not exist")
-        return self._table("points", points_schema(pointer["indexed"]))
+        """All points. Of the promoted columns those that hold any value are there."""
+        pointer = self._have()
+        unused = {c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)} - set(pointer["used"])
+        return self._read(pointer, "points").drop(*sorted(unused))
 
     def state(self) -> DataFrame:
         """All indexed files; order by file_path where it shows."""
-        return self._table("state", STATE)
+        pointer = self._pointer()
+        return self._read(pointer, "state") if pointer else self.spark.createDataFrame([], STATE)
 
     def state_of(self, path: str):
-        return self.state().where(F.col("file_path") == path).first()
+        """The state of one file, from its bucket alone."""
+        pointer = self._have()
+        return self._read(pointer, "state", {zlib.crc32(path.encode()) % pointer["buckets"]}).where(F.col("file_path") == path).first()
 
     def count(self) -> int | None:
         """Number of points, None without a collection."""
         return self.points().count() if self.exists() else None
 
+    def _write(self, pointer: dict, version: int, kind: str, rows: DataFrame) -> dict[str, int]:
+        """Writes rows as a version's buckets; the buckets that have rows."""
+        base = f"{self.path}/{kind}/v{version}"
+        fs = self._fs()
+        fs.delete(self._jpath(base), True)
+        bucket = F.pmod(F.crc32("file_path"), F.lit(pointer["buckets"])).cast("int")
+        # Rebalancing splits a crowded bucket into several files and gathers small ones.
+        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(base)
+        found = [s.getPath().getName() for s in fs.listStatus(self._jpath(base))]
+        return {n.removeprefix("bucket="): version for n in found if n.startswith("bucket=")}
+
+    def apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool = False) -> int:
+        """One update: points and state of the stale files go, fresh points and new state (file_path, content_hash, chunk_count) come.
+
+        Files of new_state are stale too. Buckets without any of these files are not read or written; a full
+        update replaces everything. `fresh` is evaluated once. Returns the version.
+        """
+        pointer = self._have()
+        gone = stale.select("file_path").unionByName(new_state.select("file_path")).distinct()
+        touched = None
+        if not full:
+            touched = {r[0] for r in gone.select(F.pmod(F.crc32("file_path"), F.lit(pointer["buckets"])).cast("int")).distinct().collect()}  # at most as many as there are buckets
+        nothing = set() if full else touched
+        points = delete_by_files(self._read(pointer, "points", nothing), gone).unionByName(fresh)
+        state = upsert_state(delete_state(self._read(pointer, "state", nothing), gone), new_state)
+        return self._replace(pointer, points, state, touched)
+
     def commit(self, points: DataFrame, state: DataFrame) -> int:
-        """Writes both tables as the next version, then moves the pointer. Earlier versions but the last go."""
-        pointer = self._pointer()
-        if pointer is None:
-            raise StoreError(f"collection {self.name} does not exist")
+        """Replaces both tables as a whole."""
+        return self._replace(self._have(), points, state, None)
+
+    def _replace(self, pointer: dict, points: DataFrame, state: DataFrame, touched: set[int] | None) -> int:
         version = pointer["version"] + 1
-        base = f"{self.path}/v{version}"
-        self._fs().delete(self._jpath(base), True)
-        points.write.parquet(f"{base}/points")
-        state.write.parquet(f"{base}/state")
-        self._point_to(pointer | {"version": version})
-        if version > 2:
-            self._fs().delete(self._jpath(f"{self.path}/v{version - 2}"), True)
+        fresh = {"points": self._write(pointer, version, "points", points), "state": self._write(pointer, version, "state", state)}
+        kept = {k: {b: v for b, v in pointer[k].items() if touched is not None and int(b) not in touched} for k in fresh}
+        columns = [c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)]
+        used = set(pointer["used"]) if touched is not None else set()
+        if columns and fresh["points"]:
+            own = self._read({**pointer, "points": fresh["points"]}, "points").agg(*[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+            used |= {c for c, x in zip(columns, own) if x}
+        replaced = [f"{k}/v{v}/bucket={b}" for k in fresh for b, v in pointer[k].items() if b not in kept[k]]
+        self._point_to(pointer | {"version": version, "used": sorted(used), "old": replaced} | {k: kept[k] | fresh[k] for k in fresh})
+        for folder in pointer["old"]:  # readers may still be at the last version's files, not at those before
+            self._fs().delete(self._jpath(f"{self.path}/{folder}"), True)
         return version
 
     def clear(self) -> None:
         """No points and no state, the collection stays."""
-        self.commit(self.points().limit(0), self.state().limit(0))
+        self.commit(self.points_of_none(), self.spark.createDataFrame([], STATE))
 
-    @contextmanager
-    def writing(self):
-        """The writer's lock, shared by all processes that use the folder."""
-        fs, lock = self._fs(), self._jpath(f"{self.path}/LOCK")
+    def points_of_none(self) -> DataFrame:
+        return self.spark.createDataFrame([], points_schema(self.indexed()))
+
+    # -- the writer's lock ---------------------------------------------------------------------------
+
+    def _take(self, lock) -> bool:
         try:
-            fs.create(lock, False).close()
-        except Exception as e:
-            raise StoreError(f"collection {self.name} is being written by another run (or {lock} is stale)") from e
+            self._fs().create(lock, False).close()
+            return True
+        except Exception:
+            return False
+
+    def _break_stale(self, lock) -> None:
+        """Moves a lock away that nobody has renewed for LEASE seconds; of several that try one succeeds."""
+        fs = self._fs()
+        try:
+            age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
+            if age > LEASE and fs.rename(lock, self._jpath(f"{self.path}/LOCK.stale.{uuid.uuid4().hex}")):
+                log.warning("the lock of %s was %.0f seconds old and has been removed", self.name, age)
+        except Exception:
+            return  # it went meanwhile
+
+    @contextmanager
+    def writing(self, wait: float = WAIT):
+        """The writer's lock, shared by all processes that use the folder. It is waited for, and renewed while it is held."""
+        fs, lock, until = self._fs(), self._jpath(f"{self.path}/LOCK"), time.monotonic() + wait
+        while not self._take(lock):
+            self._break_stale(lock)
+            if time.monotonic() >= until:
+                raise StoreError(f"collection {self.name} is being written by another run")
+            time.sleep(min(0.1, wait))
+        done = threading.Event()
+
+        def renew():
+            while not done.wait(LEASE / 4):
+                try:
+                    fs.setTimes(lock, int(time.time() * 1000), -1)
+                except Exception:
+                    log.exception("the lock of %s could not be renewed", self.name)
+
+        threading.Thread(target=renew, daemon=True).start()
         try:
             yield self
         finally:
+            done.set()
             fs.delete(lock, False)
+

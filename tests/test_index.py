@@ -1,6 +1,10 @@
 """Discovery, snapshots and whole index runs on folders."""
 
 import json
+import os
+import threading
+import time
+import zlib
 from dataclasses import replace
 
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern import config as settings
+from lectern.operators import search
 from lectern.operators.embedding import HashingEmbedder
 from lectern.plans import indexer
 from lectern.sources import discovery, store
@@ -57,7 +62,7 @@ def test_incremental_runs(spark, config, tmp_path):
     assert (s.discovered, s.indexed, s.skipped, s.orphans, col.count()) == (4, 3, 0, 0, 3)
     a = col.points().where("file_path = 'a.md'").first()
     payload = json.loads(a["payload"])
-    assert payload["file_path"] == "a.md" and payload["title"] == "A" and payload["tags"] == ["x", "y"] and payload["text"] == "# A\nalpha beta" and a["f_tags"] == ["x", "y"] and a["f_domain"] == ["eng"]
+    assert payload["file_path"] == "a.md" and payload["title"] == "A" and payload["tags"] == ["x", "y"] and payload["text"] == "# A\nalpha beta" and a["slist_tags"] == ["x", "y"] and a["s_domain"] == "eng" and "i_domain" not in a
     assert indexer.run_index(spark, config, e).skipped == 3
     (data / "a.md").write_text("# A\nchanged")
     (data / "sub/b.md").unlink()
@@ -87,7 +92,7 @@ def test_a_failed_run_leaves_the_old_snapshot(spark, config, tmp_path, embedder,
 
 def test_strict_validation_aborts(spark, config):
     strict = replace(config, frontmatter=replace(config.frontmatter, required=("title",)), validation=settings.Validation(strict=True))
-    with pytest.raises(indexer.ValidationFailed, match="_c.md"):
+    with pytest.raises(indexer.ValidationFailed, match="1 invalid files, sub/.hidden/_c.md"):
         indexer.run_index(spark, strict, HashingEmbedder(8))
     loose = replace(strict, validation=settings.Validation())
     s = indexer.run_index(spark, loose, HashingEmbedder(8))
@@ -107,19 +112,86 @@ def test_store_rules(spark, tmp_path):
     col.ensure(4, ["tags", "file_path"])
     with pytest.raises(store.StoreError, match="vectors of 4"):
         col.ensure(5, [])
-    with col.writing(), pytest.raises(store.StoreError, match="another run"), col.writing():
+    with col.writing(), pytest.raises(store.StoreError, match="another run"), col.writing(wait=0.2):
         pass
-    points = spark.createDataFrame([("1", [1.0] * 4, "{}", "a.md", 0, "t", 1, 2, ["x"])], col.points().schema)
+    points = spark.createDataFrame([("1", [1.0] * 4, "{}", "a.md", 0, "t", 1, 2, None, None, None, ["x"], None, None)], store.points_schema(["tags", "file_path"]))
     state = store.upsert_state(col.state(), spark.createDataFrame([("a.md", "h", 1)], "file_path string, content_hash string, chunk_count bigint"))
     for version in (1, 2, 3):
         assert col.commit(points, state) == version
     assert col.count() == 1 and col.state_of("a.md")["content_hash"] == "h" and col.state_of("b.md") is None
     none = spark.createDataFrame([], "file_path string")
     assert store.delete_by_files(col.points(), none).count() == 1
+    assert col.points().columns[-1] == "slist_tags" and search.where_all(col.points(), {"tags": "x"}).count() == 1
     col.clear()
     assert col.count() == 0 and col.state().count() == 0
 
 
+def test_updates_touch_only_their_buckets(spark, tmp_path):
+    col = store.Collection(spark, f"file://{tmp_path}/s", "c", buckets=8)
+    col.ensure(1, ["n"])
+    schema, names = store.points_schema(["n"]), [f"{i}.md" for i in range(40)]
+    rows = lambda paths, text: spark.createDataFrame([(f"{p}#{text}", [1.0], "{}", p, 0, text, 1, 1, None, len(p), None, None, None, None) for p in paths], schema)
+    state = lambda paths: spark.createDataFrame([(p, "h", 1) for p in paths], "file_path string, content_hash string, chunk_count bigint")
+    gone = lambda paths: spark.createDataFrame([(p,) for p in paths], "file_path string")
+    col.apply(rows(names, "old"), gone([]), state(names))
+    before = col._pointer()["points"]
+    assert len(before) == 8
+    col.apply(rows(["3.md", "new.md"], "new"), gone(["5.md"]), state(["3.md", "new.md"]))
+    after = col._pointer()["points"]
+    touched = {str(zlib.crc32(p.encode()) % 8) for p in ("3.md", "5.md", "new.md")}
+    assert {b for b in before if before[b] != after[b]} == touched
+    got = {(r["file_path"], r["text"]) for r in col.points().collect()}
+    assert got == {(p, "old") for p in names if p not in ("3.md", "5.md")} | {("3.md", "new"), ("new.md", "new")}
+    assert col.state().count() == 40 and col.state_of("5.md") is None and col.state_of("new.md")["chunk_count"] == 1
+    col.apply(rows([], ""), gone(["7.md"]), state([]))
+    assert not (tmp_path / f"s/c/points/v1/bucket={zlib.crc32(b'3.md') % 8}").exists()  # two versions old
+    col.apply(rows(["only.md"], "x"), gone([]), state(["only.md"]), full=True)
+    assert [r["file_path"] for r in col.points().collect()] == ["only.md"] and col.state().count() == 1
+    assert search.where_all(col.points(), {"n": 7}).count() == 1 and search.where_all(col.points(), {"n": "7"}).count() == 0
+
+
+def test_scalar_filters_reach_the_scan(spark, config):
+    indexer.run_index(spark, config, HashingEmbedder(8))
+    points = store.Collection(spark, config.qdrant.url, "kb").points()
+    plan = search.where_all(points, {"domain": "eng"}).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(s_domain), EqualTo(s_domain,eng)]" in plan
+
+
+def test_writers_wait_for_each_other(spark, tmp_path):
+    col = store.Collection(spark, f"file://{tmp_path}/s", "c")
+    col.ensure(1, [])
+    done = []
+
+    def first():
+        with col.writing():
+            time.sleep(0.5)
+            done.append(1)
+
+    t = threading.Thread(target=first)
+    t.start()
+    time.sleep(0.2)
+    with col.writing():
+        done.append(2)
+    t.join()
+    assert done == [1, 2]
+    with col.writing():  # a writer that died an hour ago
+        lock = tmp_path / "s/c/LOCK"
+        os.utime(lock, (time.time() - 3600,) * 2)
+        with col.writing(wait=1):
+            pass
+
+
+def test_stores_that_only_spark_reads(spark, config, tmp_path):
+    (tmp_path / "data/sub/it's.md").write_text("# Q")
+    root = f"file://{tmp_path}/data"
+    (tmp_path / "data/link.md").unlink()  # such stores have no links
+    (tmp_path / "data/loop").unlink()
+    found = discovery.discover(spark, root, config.indexing)
+    assert [r[0] for r in found.collect()] == ["a.md", "bad.md", "sub/b.md", "sub/it's.md"]
+    texts = {r["file_path"]: r["content"] for r in discovery.load(spark, found, root, config.indexing).collect()}
+    assert texts["sub/it's.md"] == "# Q" and "bad.md" not in texts
+
+
 def test_search_and_status_commands(spark, config):
     indexer.run_index(spark, config, HashingEmbedder(8))
     from lectern.operators.search import SearchRequest
@@ -164,3 +236,13 @@ def test_limiter_batch_bursts(spark):
     df = spark.createDataFrame(rows, "k string, t string, i int").withColumn("t", F.to_timestamp("t"))
     got = {r["i"]: r["accepted"] for r in limiter.admitted(df, "k", "t", "i", 2, 10).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: False}
+    rows = [(None, "2024-01-01 00:00:00", 0), (None, "2024-01-01 00:00:00", 1), ("a", None, 2), ("a", "2024-01-01 00:00:00", 3)]
+    df = spark.createDataFrame(rows, "k string, t string, i int").withColumn("t", F.to_timestamp("t"))
+    assert {r["i"]: r["accepted"] for r in limiter.admitted(df, "k", "t", "i", 1, 10).collect()} == {0: True, 1: False, 2: False, 3: True}
+
+
+def test_limiter_takes_long_keys_in_one_pass(spark):
+    from lectern.operators import limiter
+
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.timestamp_seconds(F.col("id")).alias("t"), F.col("id").alias("i"))
+    assert limiter.admitted(df, "k", "t", "i", 1, 2).where("accepted").count() == 100_000

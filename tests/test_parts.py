@@ -93,8 +93,9 @@ def test_filters(spark):
     df = spark.createDataFrame([("eng", 42, True, ["rust", "rag"]), ("ops", 7, False, [])], "domain string, priority bigint, active boolean, tags array<string>")
     count = lambda f: search.where_all(df, f).count()
     assert count({}) == 2 and count({"domain": "eng"}) == 1 and count({"priority": 42, "active": True}) == 1
+    assert count({"nowhere": "x"}) == 0
     assert count({"tags": ["rag", "x"]}) == 1 and count({"tags": "rust"}) == 1 and count({"tags": []}) == 0 and count({"domain": ["eng", "ops"]}) == 2
-    for bad in (1.5, None, {"a": 1}, ["a", 1]):
+    for bad in (1.5, None, {"a": 1}, ["a", 1], 2**63):
         with pytest.raises(search.RequestError):
             count({"domain": bad})
 
@@ -134,12 +135,43 @@ def test_webhook_providers(spark):
         df = spark.createDataFrame([(body, header)], "body string, signature string")
         r = webhook.outcomes(df, provider, "s", "master").first()
         assert (r["status"], r["triggered"]) == ((200, True) if good else (401, False)), (provider, header)
-    df = spark.createDataFrame([(b, hmac.new(b"s", b.encode(), hashlib.sha256).hexdigest()) for b in ('{"ref":"main"}', '{"action":"push"}', "not json")], "body string, signature string")
-    assert [(r["status"], r["message"]) for r in webhook.outcomes(df, "gitea", "s", "master").collect()] == [(200, "ignored")] * 3
+    df = spark.createDataFrame([(b, hmac.new(b"s", b.encode(), hashlib.sha256).hexdigest()) for b in ('{"ref":"main"}', '{"action":"push"}', "not json", '{"ref":5}')], "body string, signature string")
+    assert [(r["status"], r["message"]) for r in webhook.outcomes(df, "gitea", "s", "master").collect()] == [(200, "Branch ignored: 'main' (expected 'master')")] + [(200, "No ref in payload, ignored")] * 3
     with pytest.raises(ValueError):
         webhook.verified(F.col("body"), F.col("signature"), "other", "s")
 
 
+@pytest.mark.parametrize("body", ['{"ref":"refs/heads/master"}', '{"ref":"x"}', '{"ref":5}', "[1]", "no", '{"ref":"master"}'])
+@pytest.mark.parametrize("provider", ["github", "gitlab"])
+def test_one_delivery_and_many_agree(spark, provider, body):
+    mac = "s" if provider == "gitlab" else "sha256=" + hmac.new(b"s", body.encode(), hashlib.sha256).hexdigest()
+    for header in (mac, "other", None):
+        r = webhook.outcomes(spark.createDataFrame([(body, header)], "body string, signature string"), provider, "s", "master").first()
+        calls = []
+        assert webhook.respond(body.encode(), header, provider, "s", "master", trigger=lambda: calls.append(1)) == (r["status"], r["message"])  # noqa: B023
+        assert bool(calls) == r["triggered"]
+
+
+def test_a_failing_update_is_a_server_error():
+    body = b'{"ref":"master"}'
+    calls = []
+    fail = lambda code, err: webhook.GitUpdate("/d", "https://h/r.git", "master", "tok", lambda *a, **_: type("R", (), {"returncode": code, "stderr": err}))
+    assert webhook.respond(body, "s", "gitlab", "s", "master", fail(1, "https://tok@h"), lambda: calls.append(1)) == (500, "Git fetch failed")
+    assert webhook.respond(body, "s", "gitlab", "s", "master", fail(0, ""), lambda: calls.append(1)) == (200, "Reindex triggered") and calls == [1]
+    assert webhook.respond(b"x" * (1 << 20) + b"x", "s", "gitlab", "s", "master")[0] == 413
+
+    def none(*_, **__):
+        raise OSError("no git")
+
+    assert webhook.respond(body, "s", "gitlab", "s", "master", webhook.GitUpdate("/d", "u", "master", run=none)) == (500, "Failed to run git")
+
+
+def test_strings_of_json(spark):
+    df = spark.createDataFrame([('{"a":"x","l":["a",1,true,null,"b"]}',), ('{"a":5,"l":"x"}',), ("no",), (None,)], "j string")
+    got = df.select(text.json_string(F.col("j"), "$.a"), text.json_strings(F.col("j"), "$.l")).collect()
+    assert [tuple(r) for r in got] == [("x", ["a", "b"]), (None, None), (None, None), (None, None)]
+
+
 def test_git_update_hides_the_token():
     calls = []
 
@@ -160,7 +192,7 @@ def test_auth_and_health():
     assert service.bearer_token({}, "T", True) is None and service.bearer_token({"T": "x"}, "T", False) == "x"
     assert service.health({"a": lambda: 1}).http_status == 200
     bad = service.health({"a": lambda: 1, "b": lambda: 1 / 0}, log=lambda _: None)
-    assert (bad.status, bad.http_status, bad.components["b"].error) == ("degraded", 503, "unavailable")
+    assert (bad.status, bad.http_status, bad.body()) == ("degraded", 503, {"status": "degraded", "a": {"status": "ok"}, "b": {"status": "unavailable"}})
 
 
 ENV = {"EMBEDDING_BASE_URL": "u", "EMBEDDING_MODEL": "m", "QDRANT_URL": "/store"}
