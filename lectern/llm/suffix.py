@@ -2,28 +2,27 @@
 
 A byte goes if a LENGTH-byte string that covers it starts anywhere else too. So the
 suffixes of all texts are compared to a depth of LENGTH bytes, and each one that
-ties with another marks LENGTH bytes. Sorting every suffix of the corpus is out of reach; the
-sort runs over buckets, and long ties are settled by ranks of cover samples:
+ties with another marks LENGTH bytes. The suffixes are dealt into buckets, one bucket is sorted at a
+time, and long ties are settled by ranks of cover samples:
 
 1. Cover. Sample positions are chosen by content: of each LENGTH-byte string the
    KEY-byte string with the least hash. This has what a difference cover is for: two
    equal strings have a sample at the same distance from their starts. Residues modulo
    v have it too, but would sample every 14th byte, content every 137th or so. Runs that repeat
    inside their own text, as in periodic texts, are settled there: one of them stands for all.
-2. Buckets. The suffixes whose string has the same sample bytes are a bucket. A bucket of one
-   suffix run (the suffixes around one sample) is done at once: nothing repeats.
-   Inside a bucket, runs that are equal in all their bytes are repeats as a whole.
-3. Ranks. In runs that are unequal, every STEP-th distance to the sample is a
-   finer cover position; its rank is the class of the LENGTH - STEP + 1 bytes that all STEP
-   suffixes at these distances have in common. Ranks without a tie end their suffixes;
-   STEP suffixes that agree in all their bytes are repeats together.
-4. Suffixes. What is left lies at the edges of repeats. Two suffixes of a rank are
-   ordered by the STEP - 1 bytes beside it: the long tie is the rank's, the short
-   comparison is on bytes.
-
-Each step is one pass over the texts that still matter, partial aggregation by
-(bucket, content) and a join back. Buckets are never gathered in a task, so a passage
-that a third of all rows share costs what its rows cost. Contents are compared by 64-bit XXH3 inside a
+2. Buckets. The suffixes whose string has the same sample bytes are a bucket, those at one distance from
+   the sample a part of it. A bucket of one suffix run (the suffixes around one sample) is done at once: nothing repeats.
+   Inside a bucket, runs that are equal in all their bytes are repeats as a whole, and one of them stands for all.
+3. Ranks. Of the unequal runs that are left, each with the bytes around its sample, a task takes one bucket after the
+   other. Every STEP-th distance to the sample is a cover position there, a difference cover of the distances;
+   the LENGTH - STEP + 1 bytes from it on, which all STEP suffixes at these distances have in common, are sorted, and the place in
+   that order is its rank. Ranks without a tie end their suffixes.
+4. Suffixes. What is left is sorted by rank, then by the STEP - 1 bytes beside it: the long tie is the
+   rank's, the short comparison is on bytes. Neighbours that are equal are repeats.
+
+A bucket of more than MOST unequal runs is too much for a task. There ranks are classes of hashes: the
+runs' parts are grouped by rank in a shuffle, and suffixes by rank and bytes in another, so a passage
+that a third of all rows share costs what its rows cost. Contents of runs are compared by 64-bit XXH3 inside a
 bucket, buckets by 64-bit XXH3 of the sample; a rolling hash only chooses the samples.
 """
 
@@ -40,6 +39,7 @@ from lectern.llm._spark import Scope, cut, session_for_texts, tidy
 LENGTH = 400
 KEY = 128
 STEP = 16
+MOST = 2048  # unequal runs of a bucket that a task sorts; there are some 400 to 700 bytes to each
 PIECE = 1 << 20  # a longer text is sampled in pieces of so many suffixes
 _PLACE_BITS = np.uint64(22)  # a place in a slice: of PIECE + LENGTH bytes, or of a slice of rows
 BROADCAST_ITEMS = 500_000  # rows up to this many (some 40 MB) are broadcast to a scan; more are joined by shuffle
@@ -137,8 +137,97 @@ def _items(batch, i, *fields):
     return tuple(np.zeros(0, np.int64) if got is None else got.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
 
 
+def _around(batches):
+    """The open runs with their bytes."""
+    for b in batches:
+        for i, data in enumerate(_each(b.column(0))):
+            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
+            view = memoryview(np.ascontiguousarray(data))
+            around = pa.array([bytes(view[x:y]) for x, y in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary())
+            of = pa.array([i] * len(p))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w.astype(np.int32)), b.column(1).take(of), b.column(2).take(of), pa.array(p), pa.array(lo), pa.array(hi), around], [*_AROUND])
+
+
+_AROUND = {"key": "bigint", "w": "int", "id": "{kind}", "th": "bigint", "p": "bigint", "lo": "bigint", "hi": "bigint", "around": "binary"}
+
+
+def _whole_buckets(batches):
+    """Batches sorted by key, put together so that none ends inside a bucket; some MOST rows each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= MOST:
+            t = pa.Table.from_batches(held)
+            keys = t.column(0).to_numpy()
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield t.slice(0, end).combine_chunks()
+                held, n = t.slice(end).to_batches(), len(t) - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes in lexicographic order: (rank of each row, equal rows having one rank; an order by rank)."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order
+
+
+def ties(key: np.ndarray, w: np.ndarray, near: np.ndarray, far: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+    """Steps 3 and 4 for runs in order of their bucket: (run, least distance, largest distance) of suffixes that tie.
+
+    A run holds the suffixes at distances near to far from its sample; data[offsets[r] : offsets[r + 1]] are its bytes, from
+    the farthest suffix's first to the nearest one's last. w is 2 for a run that stands for several.
+    """
+    first, last = near // STEP, far // STEP
+    n = last - first + 1
+    run = np.repeat(np.arange(len(key)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
+    sample = offsets[:-1][run] + far[run] - step * STEP
+    bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+    depth = LENGTH - STEP + 1
+    part = (bucket[run] << 16 | step).astype(">i8").view(np.uint8).reshape(-1, 8)
+    rank, _ = _order(np.concatenate((part, np.lib.stride_tricks.sliding_window_view(data, depth)[sample]), 1))
+    tied = np.flatnonzero(np.bincount(rank, weights=w[run])[rank] >= 2)
+    run, step, sample, rank = run[tied], step[tied], sample[tied], rank[tied]
+    least, most = np.maximum(step * STEP, near[run]), np.minimum(step * STEP + STEP - 1, far[run])
+    n = most - least + 1
+    of = np.repeat(np.arange(len(run)), n)
+    distance = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[of]
+    left = (distance - step[of] * STEP)[:, None]
+    beside = np.arange(STEP - 1)
+    place = sample[of][:, None] - left + beside + np.where(beside < left, 0, depth)
+    head = (rank[of] << 8 | left[:, 0]).astype(">i8").view(np.uint8).reshape(-1, 8)
+    rank, _ = _order(np.concatenate((head, data[place]), 1)) if len(of) else (of, of)
+    run = run[of]
+    found = np.flatnonzero((np.bincount(rank, weights=w[run])[rank] >= 2) & (w[run] == 1)) if len(of) else of
+    run, distance = run[found], distance[found]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (distance[1:] != distance[:-1] + 1)
+    end = np.roll(new, -1)
+    return run[new], distance[new], distance[end]
+
+
+def _sorted_buckets(batches):
+    for t in _whole_buckets(batches):
+        key, w, p, lo, hi = (t.column(c).to_numpy() for c in ("key", "w", "p", "lo", "hi"))
+        around = t.column("around").combine_chunks()
+        around = around.chunk(0) if isinstance(around, pa.ChunkedArray) else around
+        offsets = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1].astype(np.int64)
+        data = np.frombuffer(around.buffers()[2], np.uint8)
+        run, least, most = ties(key, w, p - hi, p - lo, data, offsets)
+        of = pa.array(run)
+        # A run that stands for several is marked as a whole already.
+        yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(of), t.column("th").combine_chunks().take(of), pa.array(p[run] - most), pa.array(p[run] - least)], ["id", "th", "lo", "hi"])
+
+
 def _ranked(batches):
-    """Step 3's rows: for each group of STEP suffixes of a run the hash of their common bytes and of all their bytes."""
+    """For buckets over MOST: for each group of STEP suffixes of a run the hash of their common bytes and of all their bytes."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
             p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
@@ -162,7 +251,7 @@ def _each(column):
 
 
 def _compared(batches):
-    """Step 4's rows: each suffix with its distance to the ranked sample and the STEP - 1 bytes beside the sample."""
+    """For buckets over MOST: each suffix with its distance to the ranked sample and the STEP - 1 bytes beside the sample."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
             p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
@@ -181,7 +270,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(marks, open) of rows (key, hull, w, id, th, p, lo, hi), w being 2 where the row stands for several places, 0 where it is a mark.
 
     marks (id, th, lo, hi) are rows whose content occurs more than once in its bucket. open are
-    buckets with several contents: one row for each content, w saying whether it is repeated.
+    buckets with several contents: one row for each content, w saying whether it is repeated, m how many there are in the bucket.
     """
     every = cut(rows)
     rows = every.where("w > 0")
@@ -190,8 +279,8 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = contents.join(buckets, F.col("key") == F.col("_bk")).select(F.col("key").alias("_k"), F.col("hull").alias("_h"), "n", "_m")
     found = cut(rows.join(kept, (F.col("key") == F.col("_k")) & (F.col("hull") == F.col("_h"))).drop("_k", "_h"))
     marks = found.where("n > 1").select("id", "th", "lo", "hi").unionByName(every.where("w = 0").select("id", "th", "lo", "hi"))
-    one = found.where("_m > 1").groupBy("key", "hull").agg(F.least(F.max("n"), F.lit(2)).cast("int").alias("w"), F.min(F.struct("id", "th", "p", "lo", "hi")).alias("at"))
-    out = cut(one.select("key", "w", "at.*"))
+    one = found.where("_m > 1").groupBy("key", "hull").agg(F.least(F.max("n"), F.lit(2)).cast("int").alias("w"), F.max("_m").alias("m"), F.min(F.struct("id", "th", "p", "lo", "hi")).alias("at"))
+    out = cut(one.select("key", "w", "m", "at.*"))
     tidy(rows.sparkSession)
     return marks, out
 
@@ -203,12 +292,10 @@ def _with(docs: DataFrame, table: DataFrame, items: int, how: str) -> DataFrame:
     return docs.join(table, docs["id"].eqNullSafe(table["_id"]) & (docs["th"] == table["_th"]), how).select("text", "id", "th", "items")
 
 
-def _next(docs: DataFrame, open_: DataFrame, step) -> DataFrame:
-    """Rows of the next step, from the texts of the open rows."""
+def _next(docs: DataFrame, open_: DataFrame, step, kind: str) -> DataFrame:
+    """Rows that a step makes of the open rows and their texts."""
     grouped = open_.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("p", "lo", "hi", "w", "key")).alias("items"))
-    kind = _ROWS.format(kind=_kind(docs))
-    kind = kind if step is _ranked else kind.replace("hull bigint", "hull binary")
-    return _with(docs, cut(grouped), open_.count(), "inner").mapInArrow(step, kind)
+    return _with(docs, cut(grouped), open_.count(), "inner").mapInArrow(step, kind.format(kind=_kind(docs)))
 
 
 def _kind(docs: DataFrame) -> str:
@@ -217,10 +304,17 @@ def _kind(docs: DataFrame) -> str:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, th, items): for each text with repeats the byte ranges (lo, hi) of repeated strings, unmerged."""
-    marks, open_ = _settle(docs.select("text", "id", "th").mapInArrow(_sampled, _ROWS.format(kind=_kind(docs))))
-    more, open_ = _settle(_next(docs, open_, _ranked))
-    last, _ = _settle(_next(docs, open_, _compared))
-    every = marks.unionByName(more).unionByName(last).select("id", "th", "lo", (F.col("hi") + LENGTH).alias("hi"))
+    kind = _kind(docs)
+    marks, open_ = _settle(docs.select("text", "id", "th").mapInArrow(_sampled, _ROWS.format(kind=kind)))
+    bounded = _next(docs, open_.where(F.col("m") <= MOST), _around, ", ".join(f"{c} {t}" for c, t in _AROUND.items()))
+    ordered = bounded.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_buckets, f"id {kind}, th bigint, lo bigint, hi bigint")
+    marks = marks.unionByName(ordered)
+    large = open_.where(F.col("m") > MOST)
+    if not large.isEmpty():
+        more, open_ = _settle(_next(docs, large, _ranked, _ROWS))
+        last, _ = _settle(_next(docs, open_, _compared, _ROWS.replace("hull bigint", "hull binary")))
+        marks = marks.unionByName(more).unionByName(last)
+    every = marks.select("id", "th", "lo", (F.col("hi") + LENGTH).alias("hi"))
     return every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
 
 
