@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm._spark import session_for_texts
+
 # Fixed values of the template.
 MARKERS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>> ", " <</SYS>>"), "assistant": ("<s> ", " </s>")}
 ROLE_OPEN, ROLE_SAYS, ROLE_END = "<|role|>", "<|says|>", "<|end|>"
@@ -140,6 +142,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     and texts are empty; an empty table gives no rows; columns other than the four
     named are not read.
     """
+    session_for_texts(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -164,6 +167,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn") -
     sorted by conversation and turn (ties: role, piece) inside each partition and
     streamed, digests being updated turn by turn.
     """
+    session_for_texts(formatted.sparkSession)
     kind = formatted.schema[conv].dataType.simpleString()
     body = formatted.select(formatted[f"`{conv}`"].alias("conv"), formatted[f"`{turn}`"].alias("turn"), "role", "piece", "text_start", "text_end", "in_loss")
     dealt = body.repartition("conv").sortWithinPartitions("conv", "turn", "role", "piece")

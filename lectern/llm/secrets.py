@@ -44,8 +44,8 @@ LEAST_LITERAL = 8
 MOST_LITERAL = 4096  # longer literals are data and no credentials: they score 0
 
 _OPERATOR = re.compile(r"=>|:=|[=:]")
-# A name before its operator, read backwards: blanks, a closing quote or a type, the name.
-_EMAN = re.compile(r"""[ \t]*(?:["'\]]|\w*[A-Za-z_][^\S\n]*:[^\S\n]*)?([A-Za-z0-9_.\-]*[A-Za-z_])""", re.ASCII)
+# A name before its operator, read backwards: blanks, a closing quote, a bracket or both, or a type, the name.
+_EMAN = re.compile(r"""[ \t]*(?:\]?["']|\]|\w*[A-Za-z_][^\S\n]*:[^\S\n]*)?([A-Za-z0-9_.\-]*[A-Za-z_])""", re.ASCII)
 _BARE = r"""[^\s"'`,;{}()\[\]<>+]+"""
 _TERM = re.compile(r"""[ \t]*(?:[rbfuRBFU]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}|""" + _BARE + r"""))""")
 _PLUS = re.compile(r"[ \t]*\+(?!\+)")
