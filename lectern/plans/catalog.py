@@ -105,6 +105,30 @@ def instructions(spark, sf_dir):
     return search.instructions(data.points(spark, sf_dir), ["domain", "type", "tags", "file_path"], "Base.")
 
 
+@_query(" UNION ALL ".join(f"SELECT '{n}' AS requested, * FROM ({_topk_sql('', k)})" for n, k in (("none", 10), ("0", 0), ("3", 3), ("1000000", 50))))
+def search_limits(spark, sf_dir):
+    """Ten by default, fifty at most, none at all for a limit of 0."""
+    p, q = data.points(spark, sf_dir), data.query_vector(spark, sf_dir)
+    best = [_shown(search.top_k(p, q, search.resolve_limit(n), id_col="vec_id")).withColumn("requested", F.lit("none" if n is None else str(n))) for n in (None, 0, 3, 1_000_000)]
+    return reduce(DataFrame.unionByName, best)
+
+
+@_query("""WITH w AS (SELECT vec_id, unnest(['term' || (vec_id % 3), 'item' || (vec_id % 5), 'term' || (vec_id % 3)]) AS word FROM embeddings),
+    h AS (SELECT vec_id, md5(word) AS h FROM w),
+    v AS (SELECT vec_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT % 16 AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE) AS x FROM h GROUP BY ALL),
+    n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)
+    SELECT vec_id, slot::BIGINT AS slot, round(x / n, 5) AS value FROM v JOIN n USING (vec_id) WHERE x <> 0""")
+def embedded_words(spark, sf_dir):
+    """Texts through an embedder; words count whatever their case."""
+    from lectern.operators.embedding import HashingEmbedder, embed
+
+    n = F.col("vec_id")
+    said = F.concat(F.lit("Term"), (n % 3).cast("string"), F.lit(" ITEM"), (n % 5).cast("string"), F.lit(" term"), (n % 3).cast("string"))
+    rows = embed(data.read(spark, sf_dir, "embeddings").select("vec_id", said.alias("text")), HashingEmbedder(16), size=16)
+    slots = rows.select("vec_id", F.posexplode("vector").alias("slot", "value")).where("value <> 0")
+    return slots.select("vec_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 # -- stored points: typed filters and facets --------------------------------------------------------
 
 @_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 2 = 0 AND vec_id % 7 = 3")
@@ -284,6 +308,30 @@ def frontmatter_parsed(spark, sf_dir):
     return frontmatter.parse(files).select("file_path", first("title"), first("description"), "body")
 
 
+@_query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"a":' || doc_id || ',"b":true,"c":null,"d":1.5}' WHEN 1 THEN '{"d":"2024-01-02","l":[1,"x",null],"m":{"k":"v' || doc_id || '"}}'
+    WHEN 2 THEN '{}' WHEN 3 THEN '{}' WHEN 4 THEN '{"n":null,"s":"12"}' ELSE '{}' END AS fields, 'rest ' || doc_id AS body FROM documents""")
+def yaml_values(spark, sf_dir):
+    """Types of YAML values; lists, broken YAML and no frontmatter at all give no fields."""
+    n = F.col("doc_id").cast("string")
+    heads = [F.concat(F.lit("---\na: "), n, F.lit("\nb: yes\nc: ~\nd: 1.5\n---\n")), F.concat(F.lit("---\nd: 2024-01-02\nl: [1, x, null]\nm: {k: v"), n, F.lit("}\n---\n")), F.lit("---\n- 1\n---\n"), F.lit("---\na: b: c\n---\n"), F.lit("---\nn: .inf\ns: '12'\n---\n"), F.lit("")]
+    files = data.read(spark, sf_dir, "documents").select("doc_id", n.alias("file_path"), F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("rest "), n).alias("content"))
+    shown = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return frontmatter.parse(files).select("doc_id", F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}")).alias("fields"), "body")
+
+
+@_query(f"""WITH {data.CORPUS_SQL} SELECT file_path, title IS NOT NULL AND description IS NOT NULL AS valid,
+    array_to_string(list_filter([CASE WHEN title IS NULL THEN 'Missing required frontmatter field: ''title''' END, CASE WHEN description IS NULL THEN 'Missing required frontmatter field: ''description''' END], lambda x: x IS NOT NULL), '; ') AS errors FROM corpus""")
+def validation_report(spark, sf_dir):
+    """Files with frontmatter through the whole validation."""
+    from lectern.config import Frontmatter
+
+    d = data.corpus(spark, sf_dir)
+    line = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}: "), F.to_json(F.array(F.col(k))), F.lit("\n"))).otherwise(F.lit(""))
+    files = d.select("file_path", F.concat(F.lit("---\n"), line("title"), line("description"), F.lit("x: 1\n---\nbody")).alias("content"))
+    checked = frontmatter.validate(frontmatter.parse(files), Frontmatter(required=("title", "description", "status"), defaults={"status": "active"}))
+    return checked.select("file_path", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
 # -- index plan and store ----------------------------------------------------------------------------------
 
 _PLAN_SQL = f"""{data.CORPUS_SQL}, {data.STATE_SQL}, plan AS (
@@ -343,6 +391,60 @@ def state_totals(spark, sf_dir):
     return _plan(spark, sf_dir)[1].agg(F.count("*").alias("files"), F.sum("chunk_count").alias("chunks"))
 
 
+_STORED_SQL = f"""{data.TYPED_SQL}, stored AS (
+    SELECT 'vec/' || vec_id AS file_path, CASE WHEN vec_id % 5 = 0 THEN 'again ' ELSE '' END || vec_id AS text, CASE WHEN vec_id % 5 = 0 THEN 'h2' ELSE 'h1' END AS content_hash FROM typed WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0)"""
+
+
+def _stored(spark, sf_dir) -> store.Collection:
+    """A collection after two updates: all vectors, then every fifth anew and every seventh gone."""
+    import uuid
+
+    from lectern._workers import shared_folder
+
+    collection = store.Collection(spark, shared_folder(spark), f"collection-{uuid.uuid4().hex}", buckets=8)
+    collection.ensure(1, ["file_path", "priority", "active", "tags"])
+    points = data.stored_points(spark, sf_dir)
+    state = lambda rows, h: rows.select("file_path", F.lit(h).alias("content_hash"), F.lit(1).alias("chunk_count"))
+    with collection.writing():
+        collection.apply(points.drop("vec_id"), points.limit(0).select("file_path"), state(points, "h1"))
+        fifth = points.where("vec_id % 5 = 0").withColumn("text", F.concat(F.lit("again "), "text"))
+        collection.apply(fifth.drop("vec_id"), points.where("vec_id % 7 = 0 AND vec_id % 5 <> 0").select("file_path"), state(fifth, "h2"))
+    return collection
+
+
+@_query(f"WITH {_STORED_SQL} SELECT file_path, text, content_hash, 1::BIGINT AS chunk_count FROM stored")
+def stored_collection(spark, sf_dir):
+    """Points and state of a collection on disk after updates of its buckets."""
+    c = _stored(spark, sf_dir)
+    return c.points().select("file_path", "text").join(c.state().select("file_path", "content_hash", "chunk_count"), "file_path", "full")
+
+
+@_query(f"WITH {_STORED_SQL} SELECT (SELECT count(*) FROM stored)::BIGINT AS points, (SELECT content_hash FROM stored WHERE file_path = 'vec/10') AS found, (SELECT content_hash FROM stored WHERE file_path = 'vec/14') AS gone, 0::BIGINT AS cleared")
+def stored_counts(spark, sf_dir):
+    """Size, state of single files, and size once cleared."""
+    c = _stored(spark, sf_dir)
+    n, found, gone = c.count(), c.state_of("vec/10"), c.state_of("vec/14")
+    c.clear()
+    row = (n, found["content_hash"], gone and gone["content_hash"], c.count() + c.state().count())
+    c.drop()
+    return spark.createDataFrame([row], "points bigint, found string, gone string, cleared bigint")
+
+
+@_query(f"""WITH {data.TYPED_SQL} SELECT vec_id, '{{"active":' || (vec_id % 3 = 0) || ',"priority":' || CASE WHEN vec_id % 2 = 0 THEN (vec_id % 7)::VARCHAR ELSE '"' || (vec_id % 7) || '"' END
+    || ',"tags":["x' || (vec_id % 5) || '","u' || vec_id || '",' || (vec_id % 4) || ',true],"file_path":"vec/' || vec_id || '","chunk_index":0,"text":"' || vec_id || '","line_start":1,"line_end":1}}' AS payload FROM typed""")
+def stored_payloads(spark, sf_dir):
+    """Payloads keep every value's type; the reserved keys come last."""
+    return data.stored_points(spark, sf_dir).select("vec_id", "payload")
+
+
+@_query(f"WITH {_PLAN_SQL} SELECT file_path, was_indexed, true AS changed, CASE WHEN title IS NULL THEN 'invalid' ELSE 'ready' END AS outcome FROM plan JOIN corpus USING (file_path)")
+def index_plan_full(spark, sf_dir):
+    """A full run takes every file, whatever its hash."""
+    docs = data.corpus(spark, sf_dir)
+    planned = indexer.join_state(docs.withColumn("content_hash", identity.content_hash(F.col("body"))), data.state_before(spark, docs), full=True)
+    return planned.select("file_path", "was_indexed", "changed", indexer.outcome(F.col("changed"), F.col("title").isNotNull(), F.lit(1)).alias("outcome"))
+
+
 # -- webhooks and limits ---------------------------------------------------------------------------------------
 
 _INNER, _OUTER = identity.hmac_pads(data.WEBHOOK_SECRET)
@@ -356,6 +458,25 @@ def webhook_verify(spark, sf_dir):
     return data.deliveries(spark, sf_dir).select("event_id", webhook.verified(F.col("body"), F.col("signature"), "github", data.WEBHOOK_SECRET).alias("verified"))
 
 
+@_query(f"""WITH {_HOOKS_SQL} SELECT event_id, 'gitea' AS provider, good AS verified FROM hooks
+    UNION ALL SELECT event_id, 'gitlab', event_id % 4 = 0 FROM hooks""")
+def webhook_providers(spark, sf_dir):
+    """Plain hex signatures, and tokens that are missing, wrong or right."""
+    d = data.deliveries(spark, sf_dir)
+    bare = d.withColumn("signature", F.regexp_replace("signature", "^sha256=", ""))
+    token = F.when(F.col("event_id") % 4 == 0, data.WEBHOOK_SECRET).when(F.col("event_id") % 4 == 1, data.WEBHOOK_SECRET.upper())
+    check = lambda rows, p: rows.select("event_id", F.lit(p).alias("provider"), webhook.verified(F.col("body"), F.col("signature"), p, data.WEBHOOK_SECRET).alias("verified"))
+    return check(bare, "gitea").unionByName(check(d.withColumn("signature", token), "gitlab"))
+
+
+@_query(f"WITH {_HOOKS_SQL} SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x/' || event_id END AS branch FROM hooks")
+def webhook_branch_types(spark, sf_dir):
+    """Only a string ref is a branch: numbers, missing ones and texts that are no JSON give none."""
+    n = F.col("event_id").cast("string")
+    kinds = [F.concat(F.lit('{"ref":"refs/heads/x/'), n, F.lit('"}')), F.concat(F.lit('{"ref":'), n, F.lit("}")), F.concat(F.lit('{"id":'), n, F.lit("}")), F.concat(F.lit("ref="), n)]
+    return data.read(spark, sf_dir, "events").select("event_id", webhook.branch(F.element_at(F.array(*kinds), (F.col("event_id") % 4 + 1).cast("int"))).alias("branch"))
+
+
 @_query(f"WITH {_HOOKS_SQL} SELECT event_id, branch FROM hooks")
 def webhook_branch(spark, sf_dir):
     return data.deliveries(spark, sf_dir).select("event_id", webhook.branch(F.col("body")).alias("branch"))
