@@ -132,8 +132,8 @@ def _sampled(batches):
             yield _rows((key, hull, w, b.column(1).take(of), b.column(2).take(of), p + shift, lo + shift, hi + shift))
 
 
-def _items(batch, i, *fields):
-    got = batch.column(3)[i].values
+def _items(batch, i, column, *fields):
+    got = batch.column(column)[i].values
     return tuple(np.zeros(0, np.int64) if got is None else got.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
 
 
@@ -141,7 +141,7 @@ def _around(batches):
     """The open runs with their bytes."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
-            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
+            p, lo, hi, w, key = _items(b, i, 3, "p", "lo", "hi", "w", "key")
             view = memoryview(np.ascontiguousarray(data))
             around = pa.array([bytes(view[x:y]) for x, y in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary())
             of = pa.array([i] * len(p))
@@ -230,7 +230,7 @@ def _ranked(batches):
     """For buckets over MOST: for each group of STEP suffixes of a run the hash of their common bytes and of all their bytes."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
-            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
+            p, lo, hi, w, key = _items(b, i, 3, "p", "lo", "hi", "w", "key")
             first, last = (p - hi) // STEP, (p - lo) // STEP
             n = last - first + 1
             of = np.repeat(np.arange(len(p)), n)
@@ -254,7 +254,7 @@ def _compared(batches):
     """For buckets over MOST: each suffix with its distance to the ranked sample and the STEP - 1 bytes beside the sample."""
     for b in batches:
         for i, data in enumerate(_each(b.column(0))):
-            p, lo, hi, w, key = _items(b, i, "p", "lo", "hi", "w", "key")
+            p, lo, hi, w, key = _items(b, i, 3, "p", "lo", "hi", "w", "key")
             n = hi - lo + 1
             of = np.repeat(np.arange(len(p)), n)
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
@@ -303,7 +303,7 @@ def _kind(docs: DataFrame) -> str:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, th, items): for each text with repeats the byte ranges (lo, hi) of repeated strings, unmerged."""
+    """(_id, _th, items): for each text with repeats the maximal byte ranges (lo, hi) of repeated strings."""
     kind = _kind(docs)
     marks, open_ = _settle(docs.select("text", "id", "th").mapInArrow(_sampled, _ROWS.format(kind=kind)))
     bounded = _next(docs, open_.where(F.col("m") <= MOST), _around, ", ".join(f"{c} {t}" for c, t in _AROUND.items()))
@@ -315,7 +315,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         last, _ = _settle(_next(docs, open_, _compared, _ROWS.replace("hull bigint", "hull binary")))
         marks = marks.unionByName(more).unionByName(last)
     every = marks.select("id", "th", "lo", (F.col("hi") + LENGTH).alias("hi"))
-    return every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
+    own = every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
+    return own.mapInArrow(_maximal, f"_id {kind}, _th bigint, items array<struct<lo:bigint,hi:bigint>>")
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,21 +329,31 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.concatenate((new[1:] - 1, [len(lo) - 1]))]
 
 
+def _ranges(los: list, his: list, names) -> pa.ListArray:
+    """Ranges of each row as an array of structs."""
+    cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in los]))), pa.int32())
+    whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([whole(los), whole(his)], names))
+
+
+def _maximal(batches):
+    for b in batches:
+        los, his = zip(*(_merged(*_items(b, i, 2, "lo", "hi")) for i in range(len(b)))) if len(b) else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _ranges(los, his, ["lo", "hi"])], ["_id", "_th", "items"])
+
+
 def _removed(batches):
     for b in batches:
         size, starts, ends, kept = [], [], [], []
         for i, data in enumerate(_each(b.column(0))):
-            lo, hi = _merged(*_items(b, i, "lo", "hi"))
+            lo, hi = _items(b, i, 3, "lo", "hi")
             edges = [0, *np.stack((lo, hi), 1).ravel().tolist(), len(data)]
             view = memoryview(np.ascontiguousarray(data))
             kept.append(b"".join(view[x:y] for x, y in zip(edges[::2], edges[1::2])))
             size.append(len(data))
             starts.append(lo)
             ends.append(hi)
-        cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in starts]))), pa.int32())
-        whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        spans = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([whole(starts), whole(ends)], ["start", "end"]))
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), spans, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), _ranges(starts, ends, ["start", "end"]), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
