@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._spark import cut, session_for_texts
+from lectern.llm._spark import Scope, cut, session_for_texts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -34,31 +34,44 @@ EPS = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _running(rows: DataFrame, order: list, *sums: str) -> DataFrame:
+    """rows with `_nr`, the place of each in a total order, from 0, and for each of `sums` the total over the rows before it.
+
+    The rows are dealt by ranges of the order; what reaches the driver is one row for each range.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in sums]).orderBy("_part").collect()
+    offsets, at = [], [0, *[0.0] * len(sums)]
+    for r in totals:
+        offsets.append((r["_part"], *at))
+        at = [x + r[k + 1] for k, x in enumerate(at)]
+    schema = "_part int, _first bigint" + "".join(f", `_first{c}` double" for c in sums)
+    own = Window.partitionBy("_part").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, schema)), "_part")
+    out = placed.withColumn("_nr", F.col("_first") + F.row_number().over(own) - 1)
+    for c in sums:
+        out = out.withColumn(f"_before{c}", F.col(f"_first{c}") + F.coalesce(F.sum(c).over(before), F.lit(0.0)))
+    return out.drop("_part", "_first", *[f"_first{c}" for c in sums])
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, n_docs) with `target`: the words that the mix takes from the source.
 
     Water filling in closed form: with level L, target = min(most * size, L * weight).
     Sources that are full come first in order of most * size / weight, so L follows
-    from running sums over the sources, one row each.
+    from running sums over the sources, one row each, dealt by ranges.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % F.lit(len(weights)) + 1).cast("int"))
-    one = F.lit(1)
-    ranked = sources.withColumn("_rank", F.row_number().over(Window.partitionBy(one).orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("_w", w).withColumn("_cap", F.lit(most) * F.col("source_size"))
-    # Caps up to and including each source, and the weight of those after it.
-    order = Window.partitionBy(one).orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("_rank"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(one)
-    levelled = (
-        ranked.withColumn("_full", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_left", F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_need", F.lit(share) * F.sum("source_size").over(everything))
-        .withColumn("_level", (F.col("_need") - F.col("_full")) / F.col("_left"))
-        # The right level is the first that leaves its source, and so all later ones, at or under the
-        # cap; levels fall from there on, so it is the largest of those that do.
-        .withColumn("_level", F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything))
-    )
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w")))
-    return levelled.select("source", "source_size", "n_docs", target.alias("target"))
+    ranked = _running(sources, [F.col("source").asc_nulls_last()]).withColumnRenamed("_nr", "_rank").withColumn("_w", w).withColumn("_cap", F.lit(most) * F.col("source_size"))
+    filled = _running(ranked.withColumn("_order", F.col("_cap") / F.col("_w")), [F.col("_order").asc(), F.col("_rank").asc()], "_cap", "_w")
+    size, weight = filled.agg(F.sum("source_size"), F.sum("_w")).first()
+    # The right level is the first that leaves its source, and so all later ones, at or under the
+    # cap; levels fall from there on, so it is the largest of those that do.
+    level = (F.lit(share * (size or 0.0)) - F.col("_before_cap")) / (F.lit(weight or 0.0) - F.col("_before_w"))
+    best = filled.agg(F.max(F.when(level * F.col("_w") <= F.col("_cap"), level))).first()[0]
+    target = F.col("_cap") if best is None else F.least(F.col("_cap"), F.lit(best) * F.col("_w"))
+    return filled.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def flight(pi: np.ndarray, size: np.ndarray, unit: np.ndarray, leave: int = 2) -> np.ndarray:
@@ -159,6 +172,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     are documents of their own; an empty table gives no rows. Ids may be of any type. Columns of docs other
     than the three named are not read.
     """
+    with Scope() as scope:
+        return scope.keep(_mix(docs, id_col, text, source, weights, share, most))
+
+
+def _mix(docs, id_col, text, source, weights, share, most) -> DataFrame:
     session_for_texts(docs.sparkSession)
     every = cut(sized(docs, id_col, text, source))
     sources = every.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count("*").alias("n_docs"))
@@ -178,7 +196,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "key", "dup", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("n_copies"), (copies * F.col("size")).alias("taken"))
 
 
-MOST_SOURCES = 10_000  # sources up to this many are broadcast; more are joined by shuffle
+MOST_SOURCES = 100_000  # sources up to this many (some 10 MB) are broadcast; more are joined by shuffle
 
 
 def sources_are_few(mixed: DataFrame) -> bool:
