@@ -121,29 +121,26 @@ class _Trainer:
         self.v = [np.zeros_like(x) for x in self.p]
         self.t = 0
 
-    def step(self, codes, word_of, words, window_of, windows, y, rate, decay):
-        """codes[i] is an n-gram of word word_of[i]; word j is in window window_of[j]."""
+    def step(self, codes, weight, first, count, y, rate, decay):
+        """Window k is the sum of weight * embedding over its `count[k]` n-grams from first[k] on."""
         E, W, b = self.p
-        per_word = np.bincount(word_of, minlength=words).astype(np.float32)
-        per_window = np.bincount(window_of, minlength=windows).astype(np.float32)
-        weight = 1.0 / (per_word[word_of] * per_window[window_of[word_of]])
-        window = window_of[word_of]
-        x = np.stack([np.bincount(window, weights=E[codes, d] * weight, minlength=windows) for d in range(DIMENSIONS)], 1).astype(np.float32)
+        x = np.add.reduceat(E[codes] * weight[:, None], first, axis=0)
         z = x @ W + b
         z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        g = p.copy()
-        g[np.arange(windows), y] -= 1
-        g /= windows
-        gx = g @ W.T
-        gE = np.stack([np.bincount(codes, weights=gx[window, d] * weight, minlength=BUCKETS) for d in range(DIMENSIONS)], 1).astype(np.float32)
+        g = np.exp(z)
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(len(y)), y] -= 1
+        g /= len(y)
+        spread = np.repeat(g @ W.T, count, axis=0) * weight[:, None]
+        gE = np.stack([np.bincount(codes, weights=spread[:, d], minlength=BUCKETS) for d in range(DIMENSIONS)], 1).astype(np.float32)
         grads = [gE, x.T @ g, g.sum(0)]
         self.t += 1
         for k, grad in enumerate(grads):
-            self.m[k] = 0.9 * self.m[k] + 0.1 * grad
-            self.v[k] = 0.999 * self.v[k] + 0.001 * grad * grad
-            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+            self.m[k] *= 0.9
+            self.m[k] += 0.1 * grad
+            self.v[k] *= 0.999
+            self.v[k] += 0.001 * grad * grad
+            self.p[k] -= rate / (1 - 0.9**self.t) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
         self.p[0] *= 1 - rate * decay
 
     def model(self) -> Model:
@@ -161,6 +158,11 @@ class _Set:
     doc: np.ndarray
     spans: np.ndarray  # bytes of each window
     data: np.ndarray
+    weight: np.ndarray = None  # of each n-gram: a word is the mean of its n-grams, a window that of its words
+
+    def __post_init__(self):
+        grams, words = np.diff(self.word_cut), np.diff(self.window_cut)
+        self.weight = np.repeat(1.0 / (grams * np.repeat(words, words)), grams).astype(np.float32)
 
     @classmethod
     def of(cls, texts: list[str]) -> _Set:
@@ -192,11 +194,11 @@ class _Set:
 
     def take(self, windows: np.ndarray):
         """Arguments of a training step for these windows."""
-        size = self.window_cut[windows + 1] - self.window_cut[windows]
-        words = np.concatenate([np.arange(self.window_cut[i], self.window_cut[i + 1]) for i in windows])
-        n = self.word_cut[words + 1] - self.word_cut[words]
-        shift = np.repeat(self.word_cut[words] - np.concatenate(([0], np.cumsum(n)))[:-1], n)
-        return self.codes[np.arange(n.sum()) + shift].astype(np.int64), np.repeat(np.arange(len(words)), n), len(words), np.repeat(np.arange(len(windows)), size), len(windows)
+        cut = self.word_cut[self.window_cut]
+        count = cut[windows + 1] - cut[windows]
+        first = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(cut[windows] - first, count)
+        return self.codes[at], self.weight[at], first, count
 
     def logits(self, model: Model) -> np.ndarray:
         word = np.add.reduceat(model.bucket[self.codes].astype(np.float64), self.word_cut[:-1]) / np.diff(self.word_cut)
