@@ -1,3 +1,3 @@
 """Lectern: Markdown knowledge-base indexing and search as Spark DataFrame plans."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

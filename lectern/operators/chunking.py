@@ -18,6 +18,8 @@ from lectern._workers import importable
 from lectern.config import Chunking
 from lectern.functions.text import byte_length
 
+# Fixed value: the characters with Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY_SECTIONS = 1000  # from here on the native fold, which copies the list of chunks it has, is slower than one pass in Python
 LEAST_FRAGMENT = 200  # bytes; smaller parts of a split section join their successor
 SECTION = "array<struct<text:string,line_start:bigint,line_end:bigint>>"
@@ -61,8 +63,8 @@ def measured(secs: Column) -> Column:
     """Sections with `size`, bytes of the trimmed text, and `lead` and `trail`, bytes of the white space around it."""
 
     def measure(s):
-        left = F.regexp_replace(s["text"], r"(?U)^\s+", "")
-        both = F.regexp_replace(left, r"(?U)\s+\z", "")
+        left = F.ltrim(s["text"], F.lit(WHITE_SPACE))
+        both = F.rtrim(left, F.lit(WHITE_SPACE))
         a, b, c = byte_length(s["text"]), byte_length(left), byte_length(both)
         return F.struct(s["text"].alias("text"), s["line_start"].alias("line_start"), s["line_end"].alias("line_end"), c.alias("size"), (a - b).alias("lead"), (b - c).alias("trail"))
 
@@ -109,7 +111,7 @@ _LEVELS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+
 
 
 def _size(text: str) -> int:
-    return len(text.strip().encode())
+    return len(text.strip(WHITE_SPACE).encode())
 
 
 def force_split(text: str, most: int) -> list[str]:

@@ -10,6 +10,7 @@ import datetime
 import json
 import math
 import subprocess
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,14 +23,19 @@ _FENCE = r"(?s)^---[ \t]*\r?\n(.*?)(?:(?<=\n)|(?<=^---\n))---[ \t]*(?:\r?\n|$)"
 _MAP = "map<string,string>"
 
 
-def yaml_json(text: str) -> str | None:
-    """JSON of a YAML mapping; None for anything else, malformed YAML included. Dates stay text, non-finite numbers are null."""
+@cache
+def _loader():
+    """YAML's safe loader without timestamps, in C where that is there."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
-        pass
+    base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:timestamp"] for k, v in base.yaml_implicit_resolvers.items()}
+    return type("Loader", (base,), {"yaml_implicit_resolvers": resolvers})
+
 
-    Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+def yaml_json(text: str) -> str | None:
+    """JSON of a YAML mapping; None for anything else, malformed YAML included. Dates stay text, non-finite numbers are null."""
+    import yaml
 
     def plain(x):
         if isinstance(x, dict):
@@ -45,7 +51,7 @@ def yaml_json(text: str) -> str | None:
         return x if isinstance(x, (str, int, float, bool)) or x is None else str(x)
 
     try:
-        value = yaml.load(text, Loader)
+        value = yaml.load(text, _loader())
     except (yaml.YAMLError, ValueError, RecursionError):
         return None
     return json.dumps(plain(value), ensure_ascii=False) if isinstance(value, dict) else None

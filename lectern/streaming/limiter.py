@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,10 +27,13 @@ class TokenBucket(StatefulProcessor):
         self.tat = handle.getValueState("tat", schema, ttlDurationMs=self.idle) if self.idle else handle.getValueState("tat", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "order"], kind="stable")
+        parts = [(p["at"].to_numpy(), p["order"].to_numpy()) for p in rows]  # sixteen bytes a request
+        at, order = (np.concatenate(x) for x in zip(*parts))
+        by_time = np.lexsort((order, at))
+        at, order = at[by_time], order[by_time]
         tat = self.tat.get()[0] if self.tat.exists() else None
         accepted = []
-        for t in batch["at"].tolist():
+        for t in at.tolist():
             nxt = (t if tat is None else max(tat, t)) + self.replenish
             ok = nxt - t <= self.burst * self.replenish
             accepted.append(ok)
@@ -37,7 +41,7 @@ class TokenBucket(StatefulProcessor):
                 tat = nxt
         if tat is not None:
             self.tat.update((tat,))
-        yield pd.DataFrame({"key": key[0], "order": batch["order"].to_numpy(), "accepted": accepted})
+        yield pd.DataFrame({"key": key[0], "order": order, "accepted": accepted})
 
     def close(self) -> None:
         pass
