@@ -459,6 +459,17 @@ def test_chat_rows(spark):
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], kind))).count() == 0
 
 
+def test_chat_with_clashing_names_and_long_texts(spark):
+    rows = [(k, t, "assistant" if t % 2 else "user", "y </s> " * 20_000 if t else None) for k in range(3) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for c in ("conv", "piece", "escaped", "text_start", "text_end", "in_loss"):
+        df = df.withColumn(c, F.lit(7))
+    got = chat.read_back(chat.format_turns(df)).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got) == [(k, 4, 2 * 140_000) for k in range(3)]
+    renamed = df.drop("conv").withColumnsRenamed({"conv_id": "c d", "text": "t"})
+    assert chat.read_back(chat.format_turns(renamed, conv="c d", text="t"), conv="c d").count() == 3
+
+
 # -- operator 7 -----------------------------------------------------------------------------------
 
 def sized_docs(rng, n, sources):
@@ -802,6 +813,29 @@ def test_ann_repeated_rows_and_any_ids(spark, monkeypatch):
         assert got == {q: sorted(x, key=lambda i: (-x[i], i))[:10] for q, x in best.items()}
 
 
+# -- scratch tables ---------------------------------------------------------------------------------
+
+def test_operators_remove_their_scratch_tables(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from lectern.llm import _spark
+
+    folder = Path(urlparse(_spark.scratch(spark)).path)
+    tables = lambda: len(list(folder.glob("lectern-*")))
+    df = docs(spark, [(k, "a b c d e f " * (k % 3) + str(k)) for k in range(20)])
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id int, embedding array<double>")
+    for make in (lambda: jaccard.link(df), lambda: suffix.dedup(df), lambda: mixing.mix(df), lambda: ann.search(vectors, vectors)):
+        before = tables()
+        kept = make()
+        assert tables() == before + 1 and kept.count()
+    with pytest.raises(ZeroDivisionError), _spark.Scope():
+        before = tables()
+        _spark.cut(df)
+        raise ZeroDivisionError
+    assert tables() == before
+
+
 # -- all -----------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
