@@ -23,7 +23,7 @@ CRLF = "\r\n"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Elements whose content is no text, elements that break lines.
-_DROPPED = "(?is)<!--.*?-->|<script[ >].*?</script *>|<style[ >].*?</style *>|<noscript[ >].*?</noscript *>|<template[ >].*?</template *>|<head[ >].*?</head *>|<!doctype[^>]*>"
+_DROPPED = "(?is)<(?:!--.*?-->|script[ >].*?</script *>|style[ >].*?</style *>|noscript[ >].*?</noscript *>|template[ >].*?</template *>|head[ >].*?</head *>|!doctype[^>]*>)"
 _BREAKS = "(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ /][^>]*)?>"
 _TAGS = "</?[A-Za-z][^>]*>"
 # Fixed values of HTML5: runs of other text and references, names that need no semicolon, what 0x80 to 0x9F stand for (0 where for themselves).
@@ -76,9 +76,9 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, _BREAKS, "\n")
     t = F.regexp_replace(t, _TAGS, "")
     t = decoded(t)
-    t = F.regexp_replace(t, "[ \\t\\r\\x0B\\f]+", " ")
+    t = F.regexp_replace(t, "[\\t\\r\\x0B\\f][ \\t\\r\\x0B\\f]*| [ \\t\\r\\x0B\\f]+", " ")  # single blanks are not touched
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
-    return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
+    return F.btrim(t, F.lit(" \n"))
 
 
 def base32(hex_digest: Column) -> Column:
