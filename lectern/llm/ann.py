@@ -40,7 +40,7 @@ SUBSPACES = 16
 CODEWORDS = 256
 SHORTLIST = 256  # classes of a portion that are reranked for a query
 PORTION = 8192  # classes that are looked at together
-BLOCK_BYTES = 16 << 20  # of the queries that are broadcast at a time
+BLOCK_BYTES = 16 << 20  # of the queries that are broadcast at a time, and of the lists each of them visits
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.RandomState) -> np.ndarray:
@@ -165,7 +165,7 @@ def _search(vectors, queries, id_col, vector, k, probe_share, least_probes, shor
     members = cut(members.repartitionByRange(max(1, math.ceil(n / PORTION)), "list", "h").sortWithinPartitions("list", "h"))
     asked = usable(queries, id_col, vector).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     asked = cut(asked.withColumn("h", F.xxhash64("v")))
-    blocks = max(1, math.ceil(asked.count() * d * 8 / BLOCK_BYTES))
+    blocks = max(1, math.ceil(asked.count() * (d * 8 + probes * 4 + lists) / BLOCK_BYTES))
     # Equal queries are answered together; a block is read by itself and holds about BLOCK_BYTES.
     distinct = cut(asked.groupBy("v", "h").agg(F.min("id").alias("key")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "block")
     found = [cut(_visited(members, distinct.where(F.col("block") == i), packed, d, k, kind, id_type, probes, shortlist)) for i in range(blocks)]

@@ -75,6 +75,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_suffix_dedup": suffix.ORACLE_SQL,
     "op3_sharding": sharding.oracle_sql(),
     "op4_warc": warc.oracle_sql(),
     "op6_chat_format": chat.ORACLE_SQL,

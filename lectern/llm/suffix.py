@@ -370,3 +370,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     items = spans.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
     out = _with(body, spans, items, "left").mapInArrow(_removed, f"id {_kind(body)}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
+
+
+#: DuckDB SQL of the query's rows: every window of 400 bytes of hexadecimal text, cut out of pieces of 800, is counted by its MD5.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS nr, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT nr, length(h) // 2 AS n, p, substr(h, 800 * p + 1, 1600) AS piece FROM (SELECT nr, h, unnest(range(0, greatest(0, length(h) // 800))) AS p FROM t)),
+starts AS (SELECT nr, 400 * p + i AS s, md5(substr(piece, 2 * i + 1, 800)) AS k FROM (SELECT nr, n, p, piece, unnest(range(0, least(400, n - 399 - 400 * p))) AS i FROM pieces)),
+twice AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT nr, s, s > lag(s) OVER w + 400 AS apart FROM starts SEMI JOIN twice USING (k) WINDOW w AS (PARTITION BY nr ORDER BY s)),
+runs AS (SELECT nr, min(s) AS a, max(s) + 400 AS b FROM (SELECT nr, s, sum(CASE WHEN coalesce(apart, true) THEN 1 ELSE 0 END) OVER (PARTITION BY nr ORDER BY s) AS g FROM marked) GROUP BY nr, g),
+edges AS (SELECT nr, list(a ORDER BY a) AS lo, list(b ORDER BY a) AS hi, sum(b - a) AS gone, count(*) AS spans FROM runs GROUP BY nr)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(array_to_string(list_transform(range(0, len(lo) + 1), lambda i: CASE WHEN i = 0 THEN substr(h, 1, 2 * lo[1]) WHEN i = len(lo) THEN substr(h, 2 * hi[i] + 1) ELSE substr(h, 2 * hi[i] + 1, 2 * (lo[i + 1] - hi[i])) END), ''), h))) AS kept_sha256
+FROM t LEFT JOIN edges USING (nr)
+"""
