@@ -113,6 +113,11 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_field(json: Column, path: str) -> Column:
     """Variant at a path (as `$.a`) of a JSON text, null where the text is no JSON or has nothing there."""
     return F.try_variant_get(F.try_parse_json(json), path, "variant")
@@ -120,12 +125,10 @@ def json_field(json: Column, path: str) -> Column:
 
 def json_string(json: Column, path: str) -> Column:
     """The string at a path of a JSON text; null for values of other types."""
-    v = json_field(json, path)
-    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    return _let(json_field(json, path), lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
 
 
 def json_strings(json: Column, path: str) -> Column:
     """The strings of a list at a path of a JSON text, elements of other types left out; null for values that are no list."""
-    v = json_field(json, path)
-    own = F.transform(F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<variant>")), lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")))
-    return F.filter(own, lambda x: x.isNotNull())
+    items = _let(json_field(json, path), lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<variant>")))
+    return F.filter(F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))), lambda x: x.isNotNull())

@@ -45,16 +45,17 @@ def branch(body: Column) -> Column:
 
 def outcomes(deliveries: DataFrame, provider: str, secret: str, expected_branch: str, body: str = "body", signature: str = "signature") -> DataFrame:
     """deliveries plus `branch`, `status`, `message` and `triggered`: 401 for a bad signature, 200 otherwise, ignored or triggered."""
-    good = verified(F.col(body), F.col(signature), provider, secret)
-    ref = branch(F.col(body))
+    # Columns of their own, so that each is evaluated once.
+    known = deliveries.withColumn("branch", branch(F.col(body))).withColumn("_good", verified(F.col(body), F.col(signature), provider, secret))
+    ref, good = F.col("branch"), F.col("_good")
     on = F.coalesce(ref == expected_branch, F.lit(False))
     too_large = F.octet_length(F.col(body)) > MOST_BODY
     ignored = F.when(ref.isNull(), "No ref in payload, ignored").otherwise(F.concat(F.lit("Branch ignored: '"), ref, F.lit(f"' (expected '{expected_branch}')")))
     return (
-        deliveries.withColumn("branch", ref)
-        .withColumn("status", F.when(too_large, 413).when(~good, 401).otherwise(200).cast("bigint"))
+        known.withColumn("status", F.when(too_large, 413).when(~good, 401).otherwise(200).cast("bigint"))
         .withColumn("message", F.when(too_large, "body too large").when(~good, "Invalid signature").when(~on, ignored).otherwise("Reindex triggered"))
         .withColumn("triggered", ~too_large & good & on)
+        .drop("_good")
     )
 
 
