@@ -131,15 +131,16 @@ NEAR = 64  # places in a word whose values are looked up; those of later places
 _NEAR_VALUES = mix(np.arange(NEAR * 256, dtype=_U) + _U(0x9E3779B97F4A7C15))
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte range, none empty: the sum of a pseudo-random value for each byte at its place in the range."""
-    if not len(start):
-        return np.zeros(0, _U)
+PORTION = 1 << 20  # bytes whose values are held at a time
+
+
+def _range_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, offset: int = 0) -> np.ndarray:
+    """Sum of the bytes' values in each range, none empty, places counted from `offset` on."""
     size = end - start
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     place = np.arange(int(size.sum())) - np.repeat(first, size)
-    code = (place << 8) | data[place + np.repeat(start, size)]
-    late = place >= NEAR
+    code = ((place + offset) << 8) | data[place + np.repeat(start, size)]
+    late = code >= NEAR << 8
     if late.any():
         values = _NEAR_VALUES[np.where(late, 0, code)]
         with np.errstate(over="ignore"):
@@ -147,7 +148,26 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     else:
         values = _NEAR_VALUES[code]
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(values, first))
+        return np.add.reduceat(values, first)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, none empty: the sum of a pseudo-random value for each byte at its place in the range."""
+    if not len(start):
+        return np.zeros(0, _U)
+    total = np.cumsum(end - start)
+    sums, i = np.zeros(len(start), _U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PORTION, side="right")))
+        if end[i] - start[i] > PORTION:  # one long range, piece by piece
+            j, n = i + 1, int(end[i] - start[i])
+            with np.errstate(over="ignore"):
+                for at in range(0, n, PORTION):
+                    sums[i] += _range_sums(data, start[i : i + 1] + at, np.minimum(start[i : i + 1] + at + PORTION, end[i]), at)[0]
+        else:
+            sums[i:j] = _range_sums(data, start[i:j], end[i:j])
+        i = j
+    return mix(sums)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,7 @@ NGRAMS = (3, 4, 5)
 WINDOW = 12
 SAMPLE = 3000
 SAMPLE_BYTES = 4000
+PORTION = 1 << 20  # bytes of a longer text that are scored at a time
 THRESHOLD = 0.3
 HELD_OUT = 2  # rows with crc32(id as text) mod 4 of this are never learnt from
 
@@ -107,8 +108,23 @@ class Model:
         return self.scale * best + self.shift
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        parts = [1 / (1 + np.exp(-np.clip(self.logits(data, offsets), -30, 30))) for _, _, data, offsets in _text.text_slices(column)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+        parts = [self.logits(data, offsets) if len(data) <= PORTION else np.array([self._long(data)]) for _, _, data, offsets in _text.text_slices(column)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30))) if parts else np.zeros(0)
+
+    def _long(self, data: np.ndarray) -> float:
+        """The logit of one text over PORTION bytes: the highest of its portions, which share WINDOW - 1 words, so that no window is missed."""
+        start, end, _ = _text.words(_text.lower_ascii(data), np.array([0, len(data)]), SEPARATORS)
+        pieces, i = [], 0
+        while i < len(start):
+            j = max(i + WINDOW, int(np.searchsorted(end, start[i] + PORTION, side="right")))
+            pieces.append(data[start[i] : end[min(j, len(end)) - 1]])
+            if j >= len(start):
+                break
+            i = j - WINDOW + 1
+        # The scale may be negative: raw logits are compared, as in `logits`.
+        plain = Model(self.bucket, self.bias)
+        raw = max((float(plain.logits(x, np.array([0, len(x)]))[0]) for x in pieces), default=min(0.0, self.bias))
+        return self.scale * raw + self.shift
 
 
 class _Trainer:

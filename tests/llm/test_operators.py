@@ -213,6 +213,30 @@ def slow_score(model, text):
     return 1 / (1 + np.exp(-(model.scale * best + model.shift)))
 
 
+def test_long_texts_are_scored_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    model = toxicity.fit(["good day " * 5, "vile wretch " * 5] * 30, [0, 1] * 30)
+    texts = [" ".join(rng.choice(["good", "day", "vile", "w" * rng.randrange(1, 90)]) for _ in range(rng.randrange(1, 400))) for _ in range(60)] + ["x" * 700, "?" * 700, " " * 700 + "vile"]
+    whole = [float(model.scores(pa.array([t]))[0]) for t in texts]
+    monkeypatch.setattr(toxicity, "PORTION", 200)
+    assert [float(model.scores(pa.array([t]))[0]) for t in texts] == pytest.approx(whole, abs=1e-9)
+
+
+def test_words_are_hashed_in_portions(monkeypatch):
+    from lectern.llm import _text
+
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abé") for _ in range(rng.choice([1, 3, 60, 64, 65, 200, 900]))) for _ in range(300)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    whole, _ = _text.word_hashes(data, np.array([0, len(data)]))
+    assert len(set(whole.tolist())) == len(set(words))
+    for n in (1, 7, 100, 5000):
+        monkeypatch.setattr(_text, "PORTION", n)
+        assert np.array_equal(_text.word_hashes(data, np.array([0, len(data)]))[0], whole)
+
+
 def test_toxicity_query_against_a_slow_scorer(spark):
     df, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(df, labels)
