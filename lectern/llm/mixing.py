@@ -34,11 +34,18 @@ EPS = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _running(rows: DataFrame, order: list, *sums: str) -> DataFrame:
+MOST_SOURCES = 100_000  # sources up to this many (some 10 MB) are ranked in one window and broadcast; more are dealt by ranges and joined by shuffle
+
+
+def _running(rows: DataFrame, few: bool, order: list, *sums: str) -> DataFrame:
     """rows with `_nr`, the place of each in a total order, from 0, and for each of `sums` the total over the rows before it.
 
-    The rows are dealt by ranges of the order; what reaches the driver is one row for each range.
+    Many rows are dealt by ranges of the order; what reaches the driver is one row for each range.
     """
+    if few:
+        own = Window.partitionBy(F.lit(1)).orderBy(*order)
+        before = own.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", (F.row_number().over(own) - 1).alias("_nr"), *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"_before{c}") for c in sums])
     dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = dealt.groupBy("_part").agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in sums]).orderBy("_part").collect()
     offsets, at = [], [0, *[0.0] * len(sums)]
@@ -55,16 +62,16 @@ def _running(rows: DataFrame, order: list, *sums: str) -> DataFrame:
     return out.drop("_part", "_first", *[f"_first{c}" for c in sums])
 
 
-def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, few: bool = False) -> DataFrame:
     """(source, source_size, n_docs) with `target`: the words that the mix takes from the source.
 
     Water filling in closed form: with level L, target = min(most * size, L * weight).
     Sources that are full come first in order of most * size / weight, so L follows
-    from running sums over the sources, one row each, dealt by ranges.
+    from running sums over the sources, one row each. `few` says that there are at most MOST_SOURCES.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % F.lit(len(weights)) + 1).cast("int"))
-    ranked = _running(sources, [F.col("source").asc_nulls_last()]).withColumnRenamed("_nr", "_rank").withColumn("_w", w).withColumn("_cap", F.lit(most) * F.col("source_size"))
-    filled = _running(ranked.withColumn("_order", F.col("_cap") / F.col("_w")), [F.col("_order").asc(), F.col("_rank").asc()], "_cap", "_w")
+    ranked = _running(sources, few, [F.col("source").asc_nulls_last()]).withColumnRenamed("_nr", "_rank").withColumn("_w", w).withColumn("_cap", F.lit(most) * F.col("source_size"))
+    filled = _running(ranked.withColumn("_order", F.col("_cap") / F.col("_w")), few, [F.col("_order").asc(), F.col("_rank").asc()], "_cap", "_w")
     size, weight = filled.agg(F.sum("source_size"), F.sum("_w")).first()
     # The right level is the first that leaves its source, and so all later ones, at or under the
     # cap; levels fall from there on, so it is the largest of those that do.
@@ -180,13 +187,15 @@ def _mix(docs, id_col, text, source, weights, share, most) -> DataFrame:
     session_for_texts(docs.sparkSession)
     every = cut(sized(docs, id_col, text, source))
     sources = every.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count("*").alias("n_docs"))
-    mixed = cut(targets(sources, weights, share, most))
+    sources = cut(sources)
+    few = sources.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    mixed = cut(targets(sources, weights, share, most, few))
     largest = mixed.agg(F.max("n_docs")).first()[0] or 0
     # Rows equal in key, source and size are interchangeable: they are counted, not told apart.
     grouped = every.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("_n"))
     apart = grouped.withColumn("dup", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n").withColumn("dup", F.col("dup").cast("bigint"))
     rate = mixed.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumnRenamed("source", "_source")
-    full = apart.join(F.broadcast(rate) if sources_are_few(mixed) else rate, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    full = apart.join(F.broadcast(rate) if few else rate, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor(F.col("rate") + F.lit(EPS))
     full = full.withColumn("whole", whole).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - whole))
     units = full.where(F.col("pi") > EPS).select("key", "dup", "source", "size", "pi")
@@ -196,12 +205,6 @@ def _mix(docs, id_col, text, source, weights, share, most) -> DataFrame:
     return out.select("doc_id", "key", "dup", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("n_copies"), (copies * F.col("size")).alias("taken"))
 
 
-MOST_SOURCES = 100_000  # sources up to this many (some 10 MB) are broadcast; more are joined by shuffle
-
-
-def sources_are_few(mixed: DataFrame) -> bool:
-    return mixed.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-
 BROADCAST_ROWS = 500_000  # documents up to this many (some 30 MB of keys) are broadcast to the scan; more are joined by shuffle
 
 
