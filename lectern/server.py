@@ -106,7 +106,7 @@ class App:
 
     def stop(self) -> None:
         """Waits for a running index run."""
-        self.idle.wait()
+        self.idle.wait(600)
         self.stopping.set()
         self.wanted.set()
         for t in self.threads:
@@ -188,6 +188,9 @@ def http_server(app: App, host: str = "0.0.0.0", port: int | None = None) -> Thr
             if size > webhook.MOST_BODY:
                 status, kind, body = 413, "text/plain", b"body too large"
                 self.close_connection = True
+                for _ in range(min(size, 8 * webhook.MOST_BODY) >> 16):  # so that the client reads the answer
+                    self.rfile.read(1 << 16)
+                self.rfile.read(min(size, 8 * webhook.MOST_BODY) & 0xFFFF)
             else:
                 status, kind, body = app.handle(self.command, self.path, {k.lower(): v for k, v in self.headers.items()}, self.rfile.read(size), self.client_address[0])
             self.send_response(status)

@@ -95,12 +95,12 @@ def test_a_token_is_needed(app):
 
 def test_graceful_shutdown(app):
     s = server.http_server(app, "127.0.0.1", 0)
-    t = threading.Thread(target=s.serve_forever)
+    t = threading.Thread(target=s.serve_forever, daemon=True)
     t.start()
     base = f"http://127.0.0.1:{s.server_address[1]}"
-    assert json.load(urllib.request.urlopen(f"{base}/health"))["status"] == "healthy"
+    assert json.load(urllib.request.urlopen(f"{base}/health", timeout=60))["status"] == "healthy"
     with pytest.raises(urllib.error.HTTPError) as e:
-        urllib.request.urlopen(urllib.request.Request(f"{base}/mcp", b"x" * ((1 << 20) + 1)))
+        urllib.request.urlopen(urllib.request.Request(f"{base}/mcp", b"x" * ((1 << 20) + 1)), timeout=60)
     assert e.value.code == 413
     s.shutdown()
     t.join(10)
