@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chat, decontaminate, jaccard, mixing, secrets, sharding, suffix, toxicity, warc
+from lectern.llm import ann, audit, chat, decontaminate, jaccard, mixing, secrets, sharding, spelling, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,14 @@ def op10_ann(spark, sf_dir):
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +80,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_ann": op10_ann,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -80,4 +90,6 @@ ORACLE_SQL = {
     "op4_warc": warc.oracle_sql(),
     "op6_chat_format": chat.ORACLE_SQL,
     "op9_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_filter_audit": audit.ORACLE_SQL,
 }
