@@ -115,11 +115,25 @@ def head_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs (id, th, text) with the `rid` of wanted (_id, _th, rid)."""
+def representatives(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rid, n, _id, _th, more) of classes (rid, n, rep): the row that stands for each; `more` if sets (id, th, n) holds that row repeatedly."""
+    repeated = cut(sets.where("n > 0").groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.count("*").alias("_k")).where("_k > 1"))
+    reps = classes.select("rid", "n", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
+    if repeated.isEmpty():
+        return reps.withColumn("more", F.lit(False))
+    return cut(reps.join(repeated, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").select("rid", "n", "_id", "_th", F.col("_k").isNotNull().alias("more")))
+
+
+def one_text_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, rid): of docs (id, th, text) one row for each of wanted (_id, _th, rid, more), however often it is repeated."""
+    copies = not wanted.where("more").isEmpty()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]) & (docs["th"] == wanted["_th"])).select("text", "rid")
+    found = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]) & (docs["th"] == wanted["_th"])).select("text", "rid", "more")
+    if not copies:
+        return found.select("text", "rid")
+    # Copies are reduced to one in each task before they move.
+    return found.where("NOT more").select("text", "rid").unionByName(found.where("more").groupBy("rid").agg(F.any_value("text").alias("text")).select("text", "rid"))
 
 
 def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -191,12 +205,10 @@ def _verified(pairs: DataFrame, records: DataFrame, reps: DataFrame, docs: DataF
     pairs = cut(bounded.where(f"{_SIZES} AND {_LOOSE} AND {_BITS} AND {_HEADS}").select("a", "b", "na", "nb"))
     ids = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).distinct()
     wanted = cut(reps.join(ids, F.col("rid") == F.col("r"), "left_semi"))
-    parts = cut(_fragments(_only(docs, wanted.select("_id", "_th", "rid")), levels))
+    parts = cut(_fragments(one_text_each(docs, wanted), levels))
     one, two = (parts.select(F.col("rid").alias(f"_{x}"), F.col("fragment").alias(f"f{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
     partial = pairs.join(two, F.col("b") == F.col("_b")).join(one, (F.col("a") == F.col("_a")) & (F.col("fa") == F.col("fb")))
-    # A repeated row gives its class's parts again: each fragment of a pair counts once.
-    each = partial.groupBy("a", "b", "na", "nb", "fa").agg(F.max(F.size(F.array_intersect("pa", "pb"))).alias("o"))
-    overlap = each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("o"))
     return overlap.where("100 * o >= 80 * (na + nb - o)").select("a", "b")
 
 
@@ -223,8 +235,8 @@ def _link(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     sets = described.where("kind = 0")
     classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"), F.any_value("bits").alias("bits"))
     classes = cut(classes.withColumn("rid", F.monotonically_increasing_id()))
-    reps = classes.select("rid", "n", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
-    postings = _postings(_only(body, reps.select("_id", "_th", "rid")), levels).repartition("shingle")
+    reps = representatives(classes, sets)
+    postings = _postings(one_text_each(body, reps), levels).repartition("shingle")
     # All columns are read here too, so that both uses of the postings share one exchange.
     hubs = postings.groupBy("shingle").agg(F.min("rid").alias("hub"), F.max("rid").alias("_other"), F.min(F.least("pos", "n", "z")).alias("_all")).where("hub < _other AND _all >= 0").select(F.col("shingle").alias("_shingle"), "hub")
     members = cut(postings.join(hubs.hint("merge"), F.col("shingle") == F.col("_shingle")).select("shingle", "rid", "pos", "n", "z", "hub"))
@@ -235,7 +247,7 @@ def _link(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     best = best.select(F.col("hub").alias("a"), F.col("rid").alias("b"))
-    for pairs in (lambda: best.unionByName(_dealt(members, labels, DEALS[0])).distinct(), lambda: _dealt(members, labels, DEALS[1]), lambda: _across(members, records, labels)):
+    for pairs in (lambda: best.unionByName(dealt(members, labels, DEALS[0])).distinct(), lambda: dealt(members, labels, DEALS[1]), lambda: _across(members, records, labels)):
         labels = merge(labels, _verified(pairs(), records, reps, body, levels))
         tidy(spark)
 
@@ -250,7 +262,7 @@ LONG = 24  # members of a list from which it is dealt into random groups
 DEALS = (range(4), range(4, 20))  # ways of dealing in two rounds; a member meets about as many others
 
 
-def _dealt(members: DataFrame, labels: DataFrame, deals: range) -> DataFrame:
+def dealt(members: DataFrame, labels: DataFrame, deals: range) -> DataFrame:
     """Pairs of each member of a long list with the hub of its random group, some four members large, for each deal.
 
     Groups depend on the member and the length of the list, so similar lists give the same pairs. Ends of
@@ -317,8 +329,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
-#: DuckDB SQL of the query's rows: all pairs that share a shingle are counted, links are followed to their closure.
-ORACLE_SQL = r"""
+def oracle_sql(percent: int = 80) -> str:
+    """DuckDB SQL of the query's rows: all pairs that share a shingle are counted, links are followed to their closure."""
+    return rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
@@ -328,8 +341,11 @@ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
     SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
     JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
-    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(p.n) + any_value(q.n) - count(*))),
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(p.n) + any_value(q.n) - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM words UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y)::BIGINT AS component_id
 FROM words d JOIN reach r ON r.x = d.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
 """
+
+
+ORACLE_SQL = oracle_sql()

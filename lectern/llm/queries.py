@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, audit, chat, decontaminate, jaccard, mixing, secrets, sharding, spelling, suffix, toxicity, warc
+from lectern.llm import ann, audit, chat, decontaminate, jaccard, minhash, mixing, secrets, sharding, spelling, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_ann(spark, sf_dir):
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash.link(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents")))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_ann": op10_ann,
+    "op11_minhash": op11_minhash,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -90,6 +95,7 @@ ORACLE_SQL = {
     "op4_warc": warc.oracle_sql(),
     "op6_chat_format": chat.ORACLE_SQL,
     "op9_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op11_minhash": minhash.ORACLE_SQL,
     "op12_spelling_variants": spelling.ORACLE_SQL,
     "op13_filter_audit": audit.ORACLE_SQL,
 }

@@ -29,7 +29,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def components(rows):
+def components(rows, percent=80):
     """(id, set size, smallest id reachable) of (id, text) rows: all pairs compared."""
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -43,7 +43,7 @@ def components(rows):
         for b in range(a):
             if sets[a] and sets[b] and find(a) != find(b):
                 o = len(sets[a] & sets[b])
-                if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                if 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o):
                     root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):
