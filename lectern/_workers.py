@@ -1,18 +1,24 @@
-"""Lets Python workers import this package from its folder.
+"""Python workers that can import this package, and folders that driver and executors share.
 
-Where executors do not see that folder, install the package there or pass it with --py-files.
+Where executors do not see the package's folder, install it there or pass it with --py-files.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
+_local: list[str] = []
+_used: list[tuple[SparkSession, str]] = []
+
 
 def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
@@ -27,4 +33,40 @@ def shared_folder(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='lectern-')}")
+    return _local[0]
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends, or by `remove`."""
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _used.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if (spark, path) in _used:
+        _used.remove((spark, path))
+
+
+@contextmanager
+def scope():
+    """Scratch paths made inside go at the end."""
+    before = list(_used)
+    try:
+        yield
+    finally:
+        for x in [x for x in _used if x not in before]:
+            remove(*x)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in list(_used):
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone by now; the files are scratch
+            return

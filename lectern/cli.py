@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         return check_health(a.url)
     config = settings.load(a.config)
     if a.command == "document":
-        print(documents.get_document(config.source.data_path, a.path, config.indexing.include))
+        print(documents.get_document(config.source.data_path, a.path, config.indexing.include, spark))
         return 0
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if a.command == "index":

@@ -3,33 +3,37 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
 from lectern.functions import text as fn
+from lectern.sources import trees
 
 
 class DocumentError(Exception):
     pass
 
 
-def get_document(root: str, path: str, include) -> str:
-    """Text of a file under root that an include pattern selects. Excluded names stay readable."""
-    base = Path(root).resolve()
+def get_document(root: str, path: str, include, spark=None) -> str:
+    """Text of a file under root that an include pattern selects. Excluded names stay readable.
+
+    The root is whatever `discover` takes: a folder, or a URL (a session is needed for what only the JVM opens). Paths are relative to it or
+    absolute; links on disks are followed and must end inside.
+    """
     try:
-        real = (base / path).resolve(strict=True)
+        tree = trees.portable(root) or trees.HadoopTree(spark, root)
+        inside = tree.resolve(path)
     except (FileNotFoundError, NotADirectoryError):
         raise DocumentError(f"File not found: {path}") from None
     except PermissionError:
         raise DocumentError(f"Permission denied: {path}") from None
     except (OSError, RuntimeError, ValueError):
         raise DocumentError(f"Cannot access file: {path}") from None
-    if not real.is_relative_to(base):
+    if inside is None:
         raise DocumentError("File path is outside the data directory")
     pattern = fn.any_glob(include, strict=False, fallback="**/*.md")
-    if not re.search(pattern, real.relative_to(base).as_posix()):
+    if not re.search(pattern, inside):
         raise DocumentError("File type not permitted")
     try:
-        return real.read_text("utf-8")
+        return tree.read(inside).decode("utf-8")
     except PermissionError:
         raise DocumentError(f"Permission denied: {path}") from None
     except (OSError, UnicodeDecodeError):

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern._workers import scope
 from lectern.config import Config
 from lectern.functions.identity import content_hash, point_id
 from lectern.operators import chunking, frontmatter
@@ -93,7 +94,7 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
     root, size = config.source.data_path, config.embedding.vector_size
     collection = collection or store.Collection(spark, config.qdrant.url, config.qdrant.collection)
     collection.ensure(size, config.indexed_fields())
-    with collection.writing():
+    with collection.writing(), scope():
         found = discovery.discover(spark, root, config.indexing)
         state = collection.state()
         planned = plan(discovery.load(spark, found, root, config.indexing), state, config, full, root).persist()  # each file is read and validated once

@@ -171,7 +171,7 @@ class App:
             elif name == "get_document":
                 if not isinstance(given.get("path"), str):
                     raise documents.DocumentError("arguments of the wrong type")
-                said = documents.get_document(self.config.source.data_path, given["path"], self.config.indexing.include)
+                said = documents.get_document(self.config.source.data_path, given["path"], self.config.indexing.include, self.spark)
             else:
                 raise RpcError(INVALID_PARAMS, f"no tool {name}")
         except (search.RequestError, documents.DocumentError) as e:

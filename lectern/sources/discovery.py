@@ -1,105 +1,204 @@
 """Discovery and reading of Markdown files as a DataFrame.
 
-Local folders are walked on the driver (names only; symbolic links are skipped, hidden files
-are not special), contents are read by the executors in parallel, each file once. Other stores, which have no
-symbolic links, are listed and read by Spark's file source; names that begin with _ or . are invisible there.
+Folders are listed by a data source whose partitions are folders: planning looks at the upper levels until there are enough folders
+to deal out, and keeps their names only; tasks walk what is below, and yield paths. There is no list of files on the driver.
+Symbolic links are skipped, and names that begin with _ or . are names like others, on disks and stores alike. What only
+the JVM can open is listed from the driver, in portions that are written as a table.
 """
 
 from __future__ import annotations
 
+import json
 import logging
-import os
+import posixpath
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lectern._workers import importable
+from lectern._workers import importable, scratch
 from lectern.config import Indexing
 from lectern.functions import text as fn
+from lectern.sources import trees
 
 log = logging.getLogger(__name__)
 
+PORTION = 10_000  # paths in a batch
+PORTION_BYTES = 32 << 20  # of contents that the driver reads at a time, where only it can
 
-def walk(root: str, indexing: Indexing) -> Iterator[str]:
-    """Relative paths of the regular files that the settings select. An unreadable folder is an error."""
-    include, exclude = fn.any_glob(indexing.include), fn.any_glob(indexing.exclude)
-    names = set(indexing.exclude_files)
-    folders = [root]
+
+# -- what is selected ------------------------------------------------------------------------------
+
+class Selection:
+    """The settings' choice of files, by name and relative path."""
+
+    def __init__(self, indexing: Indexing):
+        self.include, self.exclude, self.names = fn.any_glob(indexing.include), fn.any_glob(indexing.exclude), set(indexing.exclude_files)
+
+    def __call__(self, path: str) -> bool:
+        if posixpath.basename(path) in self.names or not (self.include and re.search(self.include, path)):
+            return False
+        return not (self.exclude and re.search(self.exclude, path))
+
+
+def select_paths(paths: DataFrame, indexing: Indexing, column: str = "file_path") -> DataFrame:
+    """The same selection over a DataFrame of relative paths."""
+    c = F.col(column)
+    keep = fn.matches_any(c, indexing.include) & ~fn.file_name(c).isin(list(indexing.exclude_files))
+    return paths.where(keep & ~fn.matches_any(c, indexing.exclude))
+
+
+# -- listing ---------------------------------------------------------------------------------------
+
+def walk(tree, selected, folder: str = "", deep: bool = True) -> Iterator[str]:
+    """Selected files of a folder and, if deep, of those below. A folder that cannot be read is an error."""
+    folders = [folder]
     while folders:
-        with os.scandir(folders.pop()) as entries:
-            for e in entries:
-                if e.is_symlink():
-                    log.warning("skipping symbolic link %s", e.path)
-                elif e.is_dir():
-                    folders.append(e.path)
-                elif e.is_file() and e.name not in names:
-                    rel = os.path.relpath(e.path, root).replace(os.sep, "/")
-                    if include and re.search(include, rel) and not (exclude and re.search(exclude, rel)):
-                        yield rel
+        at = folders.pop()
+        for name, kind in tree.entries(at):
+            path = f"{at}/{name}" if at else name
+            if kind == trees.LINK:
+                log.warning("skipping symbolic link %s", path)
+            elif kind == trees.FOLDER and deep:
+                folders.append(path)
+            elif kind == trees.FILE and selected(path):
+                yield path
+
+
+@dataclass
+class Folder(InputPartition):
+    path: str
+    deep: bool
+
+
+def dealt(tree, least: int) -> list[Folder]:
+    """Folders that hold every file once: upper ones by themselves, and at least so many with all that is below, if there are so many."""
+    upper, level = [], [""]
+    while level and len(level) < least:
+        below = []
+        for at in level:
+            below += [f"{at}/{name}" if at else name for name, kind in tree.entries(at) if kind == trees.FOLDER]
+        upper += level
+        level = below
+    return [Folder(p, False) for p in upper] + [Folder(p, True) for p in level]
 
 
-def is_local(root: str) -> bool:
-    return "://" not in root
+class Listing(DataSource):
+    """Format `files_below`: the paths (file_path) below option `root`; `indexing` has the patterns as JSON, `folders` how many to deal out."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "files_below"
 
-def _stored(spark: SparkSession, root: str, indexing: Indexing) -> DataFrame:
-    """(file_path, bytes) of the selected files under a URL. Where bytes are not asked for no file is opened."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = raw.select(F.expr(f"substring(path, instr(path, '{_escaped(base)}/') + {len(base) + 1})").alias("file_path"), F.col("content").alias("bytes"))
-    return select_paths(files, indexing)
+    def schema(self) -> str:
+        return "file_path string"
 
+    def reader(self, schema) -> DataSourceReader:
+        patterns = json.loads(self.options.get("indexing", "{}"))
+        return ListingReader(trees.portable(self.options["root"]), Indexing(**{k: tuple(v) for k, v in patterns.items()}), int(self.options.get("folders", 64)))
 
-def _escaped(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+class ListingReader(DataSourceReader):
+    def __init__(self, tree, indexing: Indexing, folders: int):
+        self.tree, self.indexing, self.folders = tree, indexing, folders
+
+    def partitions(self) -> list[Folder]:
+        return dealt(self.tree, self.folders)
+
+    def read(self, partition: Folder):
+        paths: list[str] = []
+        for p in walk(self.tree, Selection(self.indexing), partition.path, partition.deep):
+            paths.append(p)
+            if len(paths) == PORTION:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["file_path"])
+                paths = []
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["file_path"])
+
+
+def _patterns(indexing: Indexing) -> str:
+    return json.dumps({k: list(getattr(indexing, k)) for k in ("include", "exclude", "exclude_files")})
+
+
+def _portions(rows: Iterator[tuple], size) -> Iterator[list[tuple]]:
+    held, total = [], 0
+    for r in rows:
+        held.append(r)
+        total += size(r)
+        if total >= 1:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _written(spark: SparkSession, rows: Iterator[tuple], schema: str, size) -> DataFrame:
+    """A table of rows that the driver makes, some of them at a time."""
+    at = scratch(spark, "listing")
+    spark.createDataFrame([], schema).write.parquet(at)
+    for some in _portions(rows, size):
+        spark.createDataFrame(some, schema).write.mode("append").parquet(at)
+    return spark.read.schema(schema).parquet(at)
 
 
 def discover(spark: SparkSession, root: str, indexing: Indexing | None = None) -> DataFrame:
-    """(file_path) of all selected files, sorted. The root is a local folder or a URL that Spark can read."""
-    if not is_local(root):
-        return _stored(spark, root, indexing or Indexing()).select("file_path").orderBy("file_path")
-    paths = sorted(walk(root, indexing or Indexing()))
-    return spark.createDataFrame([(p,) for p in paths], "file_path string")
+    """(file_path) of all selected files, sorted. The root is a folder, its file: URL, or the URL of a store. It has to exist."""
+    indexing, tree = indexing or Indexing(), trees.tree(spark, root)
+    next(iter(tree.entries("")), None)  # a root that cannot be read is an error now, and not when the plan runs
+    if isinstance(tree, trees.HadoopTree):
+        paths = ((p,) for p in walk(tree, Selection(indexing)))
+        return _written(spark, paths, "file_path string", lambda _: 1 / PORTION).orderBy("file_path")
+    importable(spark)
+    spark.dataSource.register(Listing)
+    folders = max(64, 4 * spark.sparkContext.defaultParallelism)
+    found = spark.read.format("files_below").option("root", root).option("indexing", _patterns(indexing)).option("folders", folders).load()
+    return found.orderBy("file_path")
 
 
+# -- reading ---------------------------------------------------------------------------------------
+
 def load(spark: SparkSession, found: DataFrame, root: str, indexing: Indexing | None = None) -> DataFrame:
-    """(file_path, content) of what `discover` found under a root."""
-    if is_local(root):
-        return read(found, root)
-    return _decoded(_stored(spark, root, indexing or Indexing()))
+    """(file_path, content) of the files that `discover` found under a root."""
+    return read(found, root)
 
 
-def _decoded(raw: DataFrame) -> DataFrame:
-    return raw.where(F.is_valid_utf8("bytes")).select("file_path", F.decode("bytes", "UTF-8").alias("content"))
+def _text(path: str, data: bytes) -> str | None:
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        log.error("%s is not UTF-8: %s", path, e)
+        return None
 
 
-def select_paths(paths: DataFrame, indexing: Indexing, column: str = "file_path") -> DataFrame:
-    """The same selection over a DataFrame of relative paths."""
-    c = F.col(column)
-    keep = fn.matches_any(c, indexing.include) & ~fn.file_name(c).isin(list(indexing.exclude_files))
-    return paths.where(keep & ~fn.matches_any(c, indexing.exclude))
+def _contents(tree, paths) -> Iterator[tuple[str, str]]:
+    for p in paths:
+        try:
+            content = _text(p, tree.read(p))
+        except OSError as e:
+            log.error("cannot read %s: %s", p, e)
+            continue
+        if content is not None:
+            yield p, content
 
 
 def read(files: DataFrame, root: str) -> DataFrame:
     """(file_path, content) of readable UTF-8 files; what cannot be read or decoded is logged and left out."""
-
-    def load(batches):
-        import pyarrow as pa
-
+    spark = files.sparkSession
+    tree = trees.portable(root)
+    if tree is None:
+        hadoop = trees.HadoopTree(spark, root)
+        rows = _contents(hadoop, (r[0] for r in files.select("file_path").toLocalIterator()))
+        return _written(spark, rows, "file_path string, content string", lambda r: len(r[1]) / PORTION_BYTES + 1 / PORTION)
+
+    def run(batches):
         for b in batches:
-            paths, contents = [], []
-            for p in b.column(0).to_pylist():
-                try:
-                    with open(os.path.join(root, p), "rb") as f:
-                        contents.append(f.read())
-                    paths.append(p)
-                except OSError as e:
-                    log.error("cannot read %s: %s", p, e)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["file_path", "bytes"])
-
-    importable(files.sparkSession)
-    raw = files.select("file_path").mapInArrow(load, "file_path string, bytes binary")
-    return _decoded(raw)
+            for p, content in _contents(tree, b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([content], pa.string())], ["file_path", "content"])
+
+    importable(spark)
+    # Paths are small and their contents are not: dealt out by number, not by size.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("file_path").repartition(tasks, "file_path").mapInArrow(run, "file_path string, content string")

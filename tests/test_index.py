@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern import config as settings
-from lectern.operators import search
+from lectern.operators import documents, search
 from lectern.operators.embedding import HashingEmbedder
 from lectern.plans import indexer
 from lectern.sources import discovery, store
@@ -181,15 +181,73 @@ def test_writers_wait_for_each_other(spark, tmp_path):
             pass
 
 
-def test_stores_that_only_spark_reads(spark, config, tmp_path):
-    (tmp_path / "data/sub/it's.md").write_text("# Q")
-    root = f"file://{tmp_path}/data"
-    (tmp_path / "data/link.md").unlink()  # such stores have no links
-    (tmp_path / "data/loop").unlink()
+@pytest.fixture
+def mounted(spark, tmp_path):
+    """tmp_path under a URL that only the JVM opens."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.disk.link./m", f"file://{tmp_path}")
+    return "viewfs://disk/m"
+
+
+def test_the_same_files_by_folder_and_by_url(spark, config, tmp_path):
+    for name in ("sub/it's.md", "sub/a b%20.md", "_x/.y/_z.md"):
+        (tmp_path / "data" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "data" / name).write_text(f"# {name}")
+    (tmp_path / "data/sub/up").symlink_to(tmp_path / "data")
+    want = sorted(["a.md", "bad.md", "sub/.hidden/_c.md", "sub/b.md", "sub/it's.md", "sub/a b%20.md", "_x/.y/_z.md"])
+    for root in (f"{tmp_path}/data", f"file://{tmp_path}/data", f"file:{tmp_path}/data"):
+        found = discovery.discover(spark, root, config.indexing)
+        assert [r[0] for r in found.collect()] == want, root
+        read = {r["file_path"]: r["content"] for r in discovery.load(spark, found, root).collect()}
+        assert set(read) == set(want) - {"bad.md"} and read["_x/.y/_z.md"] == "# _x/.y/_z.md"
+
+
+def test_stores_that_only_the_jvm_reads(spark, config, tmp_path, mounted, caplog):
+    for link in ("link.md", "loop"):
+        (tmp_path / "data" / link).unlink()
+    root = f"{mounted}/data"
     found = discovery.discover(spark, root, config.indexing)
-    assert [r[0] for r in found.collect()] == ["a.md", "bad.md", "sub/b.md", "sub/it's.md"]
-    texts = {r["file_path"]: r["content"] for r in discovery.load(spark, found, root, config.indexing).collect()}
-    assert texts["sub/it's.md"] == "# Q" and "bad.md" not in texts
+    assert [r[0] for r in found.collect()] == ["a.md", "bad.md", "sub/.hidden/_c.md", "sub/b.md"]
+    with caplog.at_level("ERROR"):
+        texts = {r["file_path"]: r["content"] for r in discovery.load(spark, found, root).collect()}
+    assert texts["sub/.hidden/_c.md"] == "# C\nepsilon" and "bad.md" not in texts and "bad.md is not UTF-8" in caplog.text
+    with pytest.raises(FileNotFoundError):
+        discovery.discover(spark, f"{mounted}/no")
+    by_url = replace(config, source=replace(config.source, data_path=root))
+    assert indexer.run_index(spark, by_url, HashingEmbedder(8)).indexed == 3
+    get = lambda p, at=root: documents.get_document(at, p, ["**/*.md"], spark)
+    assert get("a.md").startswith("---") and get("./sub/../README.md") == "no" and get(f"{root}/sub/b.md").endswith("gamma delta")
+    for path, message in (("no.md", "File not found"), ("../x.md", "outside"), ("a/../../x.md", "outside"), ("/etc/passwd", "outside"), ("file:///etc/passwd", "outside"), ("other.txt", "not permitted"), ("bad.md", "Failed to read")):
+        with pytest.raises(documents.DocumentError, match=message):
+            get(path)
+    assert documents.get_document(f"file://{tmp_path}/data", "sub/b.md", ["**/*.md"]) == get("sub/b.md")
+
+
+def test_folders_are_dealt_out_without_listing_files(tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k % 4}/e{k}").mkdir(parents=True)
+        (tmp_path / f"d{k % 4}/e{k}/f.md").write_text("")
+        (tmp_path / f"d{k % 4}/g{k}.md").write_text("")
+    (tmp_path / "top.md").write_text("")
+    tree = discovery.trees.LocalTree(str(tmp_path))
+    for least in (1, 3, 20, 1000):
+        parts = discovery.dealt(tree, least)
+        assert least > 40 or sum(p.deep for p in parts) >= least
+        paths = [x for p in parts for x in discovery.walk(tree, lambda _: True, p.path, p.deep)]
+        assert len(paths) == len(set(paths)) == 81
+
+
+def test_object_stores_are_listed_and_read_through_arrow(tmp_path):
+    from pyarrow import fs
+
+    (tmp_path / "kb/.d").mkdir(parents=True)
+    (tmp_path / "kb/.d/_a.md").write_text("x")
+    tree = discovery.trees.portable("s3a://bucket/kb")
+    assert tree.url == "s3://bucket/kb"
+    tree._fs = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "kb"  # what the URL would open
+    assert list(discovery.walk(tree, lambda _: True)) == [".d/_a.md"] and tree.read(".d/_a.md") == b"x"
+    assert tree.resolve("s3a://bucket/kb/.d/./_a.md") == ".d/_a.md" and tree.resolve("s3://bucket/other") is None and tree.resolve("../kb/x") is None
+    with pytest.raises(FileNotFoundError):
+        tree.resolve("no.md")
 
 
 def test_search_and_status_commands(spark, config):
