@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -17,7 +18,7 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 _local: list[str] = []
-_used: list[tuple[SparkSession, str]] = []
+_used: list[tuple[SparkSession, str, int]] = []
 
 
 def importable(spark: SparkSession) -> None:
@@ -39,34 +40,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends, or by `remove`."""
+    """A new path in the shared folder; what is written there goes with the `scope` around the call, or when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _used.append((spark, path))
+    _used.append((spark, path, threading.get_ident()))
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if (spark, path) in _used:
-        _used.remove((spark, path))
 
 
 @contextmanager
 def scope():
-    """Scratch paths made inside go at the end."""
+    """Scratch paths that this thread makes inside go at the end."""
     before = list(_used)
     try:
         yield
     finally:
-        for x in [x for x in _used if x not in before]:
-            remove(*x)
+        for x in [x for x in _used if x not in before and x[2] == threading.get_ident()]:
+            _used.remove(x)
+            _remove(*x[:2])
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in list(_used):
+    for spark, path, _ in _used:
         try:
-            remove(spark, path)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone by now; the files are scratch
             return

@@ -17,7 +17,7 @@ from lectern import server
 from lectern.operators import documents, frontmatter, search
 from lectern.operators.embedding import HashingEmbedder, HttpEmbedder
 from lectern.plans import indexer
-from lectern.sources import discovery, store
+from lectern.sources import discovery, store, trees
 
 
 def embedder_of(config: settings.Config):
@@ -53,7 +53,7 @@ def status(spark, config, out=print) -> int:
 
 def find(spark, config, request: search.SearchRequest) -> str:
     collection = store.Collection(spark, config.qdrant.url, config.qdrant.collection)
-    return search.find(collection.points(), embedder_of(config), request)
+    return search.find(collection.points(request.filters()), embedder_of(config), request)
 
 
 def check_health(url: str, out=print) -> int:
@@ -92,7 +92,8 @@ def main(argv: list[str] | None = None) -> int:
         return check_health(a.url)
     config = settings.load(a.config)
     if a.command == "document":
-        print(documents.get_document(config.source.data_path, a.path, config.indexing.include, spark))
+        opens = trees.portable(config.source.data_path)
+        print(documents.get_document(config.source.data_path, a.path, config.indexing.include, None if opens else SparkSession.builder.getOrCreate()))
         return 0
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if a.command == "index":

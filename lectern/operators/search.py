@@ -7,7 +7,7 @@ bounded size against the points.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -168,6 +168,12 @@ def facet(points: DataFrame, field: str, limit: int = FACET_LIMIT) -> DataFrame:
     return values.where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(limit)
 
 
+def instructions_text(facet_of: Callable[[str, int], DataFrame], fields: Sequence[str], base: str = BASE_INSTRUCTIONS) -> str:
+    """The text of `instructions` from facets that a store maintains; no more than FACET_LIMIT values of a field reach the driver."""
+    values = {f: [r["value"] for r in facet_of(f, FACET_LIMIT).collect()] for f in fields if f != "file_path"}
+    return base + "".join(f"\nAvailable {f}: {', '.join(v)}" for f, v in values.items() if v)
+
+
 def instructions(points: DataFrame, fields: Sequence[str], base: str = BASE_INSTRUCTIONS) -> DataFrame:
     """One row `text`: the base and, for each field but file_path that has values, a line of them."""
     lines = None

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern._workers import scratch
 from lectern.config import Chunking
 from lectern.functions import identity, text, vectors
 from lectern.operators import chunking, frontmatter, limiter, search, webhook
@@ -392,16 +393,12 @@ def state_totals(spark, sf_dir):
 
 
 _STORED_SQL = f"""{data.TYPED_SQL}, stored AS (
-    SELECT 'vec/' || vec_id AS file_path, CASE WHEN vec_id % 5 = 0 THEN 'again ' ELSE '' END || vec_id AS text, CASE WHEN vec_id % 5 = 0 THEN 'h2' ELSE 'h1' END AS content_hash FROM typed WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0)"""
+    SELECT vec_id, 'vec/' || vec_id AS file_path, CASE WHEN vec_id % 5 = 0 THEN 'again ' ELSE '' END || vec_id AS text, CASE WHEN vec_id % 5 = 0 THEN 'h2' ELSE 'h1' END AS content_hash FROM typed WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0)"""
 
 
 def _stored(spark, sf_dir) -> store.Collection:
     """A collection after two updates: all vectors, then every fifth anew and every seventh gone."""
-    import uuid
-
-    from lectern._workers import shared_folder
-
-    collection = store.Collection(spark, shared_folder(spark), f"collection-{uuid.uuid4().hex}", buckets=8)
+    collection = store.Collection(spark, scratch(spark, "store"), "c")
     collection.ensure(1, ["file_path", "priority", "active", "tags"])
     points = data.stored_points(spark, sf_dir)
     state = lambda rows, h: rows.select("file_path", F.lit(h).alias("content_hash"), F.lit(1).alias("chunk_count"))
@@ -412,22 +409,78 @@ def _stored(spark, sf_dir) -> store.Collection:
     return collection
 
 
+def _joined(c: store.Collection) -> DataFrame:
+    return c.points().select("file_path", "text").join(c.state().select("file_path", "content_hash", "chunk_count"), "file_path", "full")
+
+
 @_query(f"WITH {_STORED_SQL} SELECT file_path, text, content_hash, 1::BIGINT AS chunk_count FROM stored")
 def stored_collection(spark, sf_dir):
-    """Points and state of a collection on disk after updates of its buckets."""
+    """Points and state of a collection on disk after updates and deletions, read through its deletion bitmaps."""
+    return _joined(_stored(spark, sf_dir))
+
+
+@_query(f"WITH {_STORED_SQL} SELECT file_path, text, content_hash, 1::BIGINT AS chunk_count FROM stored WHERE vec_id % 11 <> 0")
+def stored_compacted(spark, sf_dir):
+    """The same after one more deletion and a merge of all segments."""
     c = _stored(spark, sf_dir)
-    return c.points().select("file_path", "text").join(c.state().select("file_path", "content_hash", "chunk_count"), "file_path", "full")
+    gone = data.typed(spark, sf_dir).where("vec_id % 11 = 0").select(F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("file_path"))
+    c.apply(c.points_of_none(), gone, spark.createDataFrame([], "file_path string, content_hash string, chunk_count bigint"))
+    c.compact(full=True)
+    return _joined(c)
+
+
+@_query(f"""WITH {_STORED_SQL}, again AS (SELECT *, vec_id % 2 = 0 AS even FROM stored)
+    SELECT 'priority' AS field, (vec_id % 7)::VARCHAR AS value, count(*)::BIGINT AS count FROM again WHERE NOT even GROUP BY ALL
+    UNION ALL SELECT 'tags', value, n FROM (SELECT unnest(['x' || (vec_id % 5), 'u' || vec_id]) AS value, count(*)::BIGINT AS n FROM stored GROUP BY value ORDER BY n DESC, value LIMIT 50)""")
+def maintained_facets(spark, sf_dir):
+    """Facets from the keyword index, which updates have added to and taken from; no point is read."""
+    c = _stored(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [c.facet(f, search.FACET_LIMIT).select(F.lit(f).alias("field"), "value", "count") for f in ("priority", "active", "tags")])
+
+
+_INDEX_FILTERS = (("p3", {"priority": 4}), ("ps", {"priority": "3"}), ("off", {"active": False}), ("one", {"tags": "u10"}), ("any", {"tags": ["u11", "u12", "u14"]}), ("both", {"tags": "x1", "active": True}))
 
 
-@_query(f"WITH {_STORED_SQL} SELECT (SELECT count(*) FROM stored)::BIGINT AS points, (SELECT content_hash FROM stored WHERE file_path = 'vec/10') AS found, (SELECT content_hash FROM stored WHERE file_path = 'vec/14') AS gone, 0::BIGINT AS cleared")
+@_query(f"""WITH {_STORED_SQL} SELECT 'p3' AS name, file_path FROM stored WHERE vec_id % 2 = 0 AND vec_id % 7 = 4 UNION ALL SELECT 'ps', file_path FROM stored WHERE vec_id % 2 = 1 AND vec_id % 7 = 3
+    UNION ALL SELECT 'off', file_path FROM stored WHERE vec_id % 3 <> 0 UNION ALL SELECT 'one', file_path FROM stored WHERE vec_id = 10
+    UNION ALL SELECT 'any', file_path FROM stored WHERE vec_id IN (11, 12, 14) UNION ALL SELECT 'both', file_path FROM stored WHERE vec_id % 5 = 1 AND vec_id % 3 = 0""")
+def keyword_filters(spark, sf_dir):
+    """Equality and any-of, of scalars and lists, on the files that the keyword index names."""
+    c = _stored(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [search.where_all(c.points(f), f).select(F.lit(n).alias("name"), "file_path") for n, f in _INDEX_FILTERS])
+
+
+@_query(f"WITH {_STORED_SQL} SELECT (SELECT count(*) FROM stored)::BIGINT AS points, (SELECT content_hash FROM stored WHERE file_path = 'vec/10') AS found, (SELECT content_hash FROM stored WHERE file_path = 'vec/14') AS gone, 0::BIGINT AS cleared, false AS dropped")
 def stored_counts(spark, sf_dir):
-    """Size, state of single files, and size once cleared."""
+    """Size, state of single files, size once cleared, and whether a dropped collection is there."""
     c = _stored(spark, sf_dir)
     n, found, gone = c.count(), c.state_of("vec/10"), c.state_of("vec/14")
     c.clear()
-    row = (n, found["content_hash"], gone and gone["content_hash"], c.count() + c.state().count())
+    cleared = c.count() + c.state().count()
     c.drop()
-    return spark.createDataFrame([row], "points bigint, found string, gone string, cleared bigint")
+    return spark.createDataFrame([(n, found["content_hash"], gone and gone["content_hash"], cleared, c.exists())], "points bigint, found string, gone string, cleared bigint, dropped boolean")
+
+
+# -- discovery ---------------------------------------------------------------------------------------------
+
+_TREE_SQL = f"""{data.CORPUS_SQL}, tree AS (
+    SELECT CASE WHEN doc_id % 6 = 0 THEN '_' WHEN doc_id % 6 = 1 THEN '.' ELSE '' END || type || '/' || CASE WHEN doc_id % 4 = 0 THEN '.h/' ELSE '' END || CASE WHEN doc_id % 10 = 3 THEN '_' ELSE '' END
+        || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS file_path, body, doc_id FROM corpus)"""
+
+
+@_query(f"WITH {_TREE_SQL} SELECT file_path, sha256(body) AS content_hash FROM tree WHERE file_path LIKE '%.md' AND file_path NOT LIKE '%/_3_.md' AND doc_id % 10 <> 7")
+def discovered_files(spark, sf_dir):
+    """The corpus written as a tree of files, hidden names and links among them, and discovered by its URL. Files of doc_ids that end in 7 are links."""
+    from lectern.config import Indexing
+    from lectern.sources import discovery
+
+    d = data.corpus(spark, sf_dir)
+    n = F.col("doc_id")
+    name = F.concat(F.when(n % 6 == 0, "_").when(n % 6 == 1, ".").otherwise(""), "type", F.lit("/"), F.when(n % 4 == 0, ".h/").otherwise(""), F.when(n % 10 == 3, "_").otherwise(""), n.cast("string"), F.when(n % 9 == 0, ".txt").otherwise(".md"))
+    root = scratch(spark, "tree")
+    data.write_tree(d.select(name.alias("path"), "body", (n % 10 == 7).alias("link")), root)
+    found = discovery.discover(spark, root, Indexing(exclude=("**/?3?.md",)))
+    return discovery.load(spark, found, root).select("file_path", identity.content_hash(F.col("content")).alias("content_hash"))
 
 
 @_query(f"""WITH {data.TYPED_SQL} SELECT vec_id, '{{"active":' || (vec_id % 3 = 0) || ',"priority":' || CASE WHEN vec_id % 2 = 0 THEN (vec_id % 7)::VARCHAR ELSE '"' || (vec_id % 7) || '"' END
@@ -509,12 +562,9 @@ def cosine_scores(spark, sf_dir):
 @_query(ORACLE_SQL["rate_limit"])
 def rate_limit_stream(spark, sf_dir):
     """The limiter over `events` as a stream, run until the input is used up."""
-    import uuid
-
-    from lectern._workers import shared_folder
     from lectern.streaming.limiter import admit
 
-    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = data.read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*.parquet")
     requests = events.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("order"))

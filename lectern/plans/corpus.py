@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern._workers import importable
 from lectern.functions.identity import uuid5
+from lectern.sources import trees
 
 WEBHOOK_SECRET = "not-a-real-secret"
 REPLENISH_SECONDS, BURST = 6 * 3600, 3
@@ -99,6 +103,30 @@ class _Unit:
         return [[1.0]] * len(texts)
 
 
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes (path, body, link) as files below a folder that all tasks see; a link leads to a file beside the tree."""
+    top = trees.portable(root).root
+
+    def run(batches):
+        for b in batches:
+            for path, body, link in zip(*(c.to_pylist() for c in b.columns)):
+                at = Path(top, path)
+                at.parent.mkdir(parents=True, exist_ok=True)
+                if link:
+                    at.unlink(missing_ok=True)
+                    at.symlink_to(top)
+                else:
+                    at.write_bytes(body.encode())
+            yield b.slice(0, 0).select(["path"])
+
+    importable(files.sparkSession)
+    files.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 

@@ -1,45 +1,46 @@
-"""Versioned Parquet tables of points and state behind one pointer.
+"""Points and state of a collection: merge-on-read Parquet tables under numbered versions.
 
-Both tables are dealt into buckets by a checksum of the file's path. Parquet knows no MERGE, so an
-update writes the touched buckets anew, in a folder of its version, and then replaces the pointer file that names
-every bucket's folder, by an atomic rename. Readers see the old or the new version; a failed run leaves
-the old one. One writer at a time holds the lock file, others wait for it. All paths go through
-Hadoop's file systems.
+An update writes what is new as segments, and for what it replaces deletion bitmaps of the old segments' files; no old row is written
+again. Readers join the bitmaps where there are any. Segments of like size are merged once there are several, as are those that have lost
+many rows, so a row is rewritten a logarithm of times. A version is one file that names everything (`versions`); a failed run leaves the old
+one. Beside the points stands an index of the indexed fields: how many points of each file hold each value. Filters read the files it names, facets
+are its sums; both follow from what an update adds and deletes, without a look at the other points.
 """
 
 from __future__ import annotations
 
-import json
 import logging
-import threading
-import time
+import math
 import uuid
-import zlib
-from collections.abc import Iterable
-from contextlib import AbstractContextManager, contextmanager
-from dataclasses import dataclass
-from typing import Protocol
+from collections import Counter
+from collections.abc import Iterable, Mapping
+from contextlib import AbstractContextManager
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern._workers import scope, scratch
+from lectern.sources.versions import Conflict, StoreError, Versions
+
 log = logging.getLogger(__name__)
 
 STATE = "file_path string, content_hash string, chunk_count bigint, indexed_at timestamp"
 RESERVED = ("file_path", "chunk_index", "text", "line_start", "line_end")  # payload keys that documents cannot set
+POINT_COLUMNS = ("id", "vector", "payload", "file_path", "chunk_index", "text", "line_start", "line_end")
 POINT = "id string, vector array<float>, payload string, file_path string, chunk_index bigint, text string, line_start bigint, line_end bigint"
-BUCKETS = 64
+KEYWORDS = "field string, kind string, value string, segment string, file string, n bigint"
+LOOKUP = 1000  # paths up to which they are a filter of the scan; more are joined
+MERGE = 8  # segments of like size that are merged into one ...
+FACTOR = 4  # ... sizes being alike within such a factor
+DEAD = 0.3  # share of a segment's rows from which it is written anew
+ATTEMPTS = 5  # of a commit that others overtake
 WAIT = 5.0  # seconds that a writer waits for the lock
-LEASE = 120.0  # seconds after which a lock that nobody renews is taken for that of a dead writer
 
 #: Kinds of promoted columns: prefix, SQL type, type name of the JSON value.
 SCALARS = (("s", "string", "STRING"), ("i", "bigint", "BIGINT"), ("b", "boolean", "BOOLEAN"))
 
 
-class StoreError(RuntimeError):
-    pass
-
-
 class VectorStore(Protocol):
     """What an index run and a search need of a store; `Collection` is the one on Parquet."""
 
@@ -47,7 +48,8 @@ class VectorStore(Protocol):
     def exists(self) -> bool: ...
     def drop(self) -> None: ...
     def indexed(self) -> list[str]: ...
-    def points(self) -> DataFrame: ...
+    def points(self, filters: Mapping[str, Any] | None = None) -> DataFrame: ...
+    def facet(self, field: str, limit: int) -> DataFrame: ...
     def state(self) -> DataFrame: ...
     def count(self) -> int | None: ...
     def apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool = False) -> int: ...
@@ -102,150 +104,317 @@ def delete_state(state: DataFrame, paths: DataFrame) -> DataFrame:
     return state.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(state.columns)
 
 
-# -- tables ----------------------------------------------------------------------------------------
+# -- deletion bitmaps ------------------------------------------------------------------------------
 
-@dataclass
-class Collection:
-    """A named set of points of one vector size, with its state table."""
+def bitmaps(positions: DataFrame) -> DataFrame:
+    """(file, bucket, bits): positions (file, pos) as bitmaps of 32,768 rows each."""
+    at = F.col("pos") + 1
+    return positions.groupBy("file", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
-    spark: SparkSession
-    root: str
-    name: str
-    buckets: int = BUCKETS
 
-    @property
-    def path(self) -> str:
-        return f"{self.root.rstrip('/')}/{self.name}"
+def not_in(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows (.., _file, _pos) whose bit no bitmap (file, bucket, bits) sets."""
+    all_bits = deleted.groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    joined = rows.join(all_bits, (F.col("_file") == F.col("file")) & (F.bitmap_bucket_number(F.col("_pos") + 1) == F.col("bucket")), "left")
+    bit = F.expr("shiftright(CAST(conv(hex(substring(bits, CAST(bitmap_bit_position(_pos + 1) div 8 + 1 AS INT), 1)), 16, 10) AS INT), CAST(bitmap_bit_position(_pos + 1) % 8 AS INT)) & 1")
+    return joined.where(F.col("bits").isNull() | (bit == 0)).drop("file", "bucket", "bits")
 
-    def _jpath(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _fs(self):
-        return self._jpath(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+# -- keyword index ---------------------------------------------------------------------------------
 
-    def _pointer(self) -> dict | None:
-        fs, p = self._fs(), self._jpath(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            data = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(data)
-
-    def _rename(self, old: str, new: str) -> None:
-        """An atomic rename that replaces what is there."""
-        fs, jvm, gateway = self._fs(), self.spark._jvm, self.spark.sparkContext._gateway
-        overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        qualified = fs.makeQualified(self._jpath(old))
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(self._jpath(new)), overwrite)
-
-    def _point_to(self, pointer: dict) -> None:
-        new = f"{self.path}/CURRENT.new"
-        out = self._fs().create(self._jpath(new), True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        self._rename(new, f"{self.path}/CURRENT")
+def keywords(points: DataFrame, indexed: Iterable[str]) -> DataFrame:
+    """(field, kind, value, segment, file, n): how many of points (.., _segment, _file) hold each value of each indexed field, lists by element."""
+    def entry_of(field: str, kind: str):
+        return lambda v: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+
+    entries = []
+    for f in indexed:
+        if f == "file_path":
+            continue
+        for p, _, _ in SCALARS:
+            entry = entry_of(f, p)
+            if f"{p}_{f}" in points.columns:
+                entries.append(F.array(entry(F.col(f"`{p}_{f}`"))))
+            if f"{p}list_{f}" in points.columns:
+                entries.append(F.coalesce(F.transform(F.array_distinct(F.col(f"`{p}list_{f}`")), entry), F.array().cast("array<struct<field:string,kind:string,value:string>>")))
+    if not entries:
+        return points.sparkSession.createDataFrame([], KEYWORDS)
+    each = points.select("_segment", "_file", F.explode(F.concat(*entries)).alias("e")).where("e.value IS NOT NULL")
+    return each.groupBy("e.field", "e.kind", "e.value", F.col("_segment").alias("segment"), F.col("_file").alias("file")).agg(F.count("*").alias("n"))
+
+
+def sought(key: str, value: Any) -> tuple[str, list[str]] | None:
+    """Kind and texts of the values that a filter accepts, as the index holds them; None where it does not know the type."""
+    if isinstance(value, bool):
+        return "b", [str(value).lower()]
+    if isinstance(value, int):
+        return "i", [str(value)]
+    if isinstance(value, str):
+        return "s", [value]
+    return ("s", list(value)) if isinstance(value, (list, tuple)) and all(isinstance(v, str) for v in value) else None
+
+
+# -- tables ----------------------------------------------------------------------------------------
+
+class Collection:
+    """A named set of points of one vector size, with its state table and its keyword index."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
+        self.versions = Versions(spark, self.path, f"collection {name}")
 
     def _have(self) -> dict:
-        pointer = self._pointer()
+        pointer = self.versions.latest()
         if pointer is None:
             raise StoreError(f"collection {self.name} does not exist")
         return pointer
 
     def exists(self) -> bool:
-        return self._pointer() is not None
+        return self.versions.latest() is not None
 
     def indexed(self) -> list[str]:
         return self._have()["indexed"]
 
     def ensure(self, vector_size: int, indexed: list[str]) -> None:
         """Creates the collection if it is not there; one of another vector size is an error. The distance is cosine."""
-        have = self._pointer()
-        if have:
-            if have["vector_size"] != vector_size:
-                raise StoreError(f"collection {self.name} has vectors of {have['vector_size']}, not {vector_size}")
-            return
-        self._point_to({"version": 0, "vector_size": vector_size, "distance": "cosine", "indexed": indexed, "buckets": self.buckets, "points": {}, "state": {}, "used": [], "old": []})
+        have = self.versions.latest()
+        if have is None:
+            empty = {"segments": [], "deletes": []}
+            try:
+                return self.versions.put({"version": 0, "vector_size": vector_size, "distance": "cosine", "indexed": list(indexed), "used": [], "points": empty, "state": empty, "keywords": [], "old": []})
+            except Conflict:
+                have = self._have()
+        if have["vector_size"] != vector_size:
+            raise StoreError(f"collection {self.name} has vectors of {have['vector_size']}, not {vector_size}")
 
     def drop(self) -> None:
         """Removes the collection if it exists."""
-        self._fs().delete(self._jpath(self.path), True)
-
-    def _read(self, pointer: dict, kind: str, buckets=None) -> DataFrame:
-        """A table, or those of its buckets."""
-        schema = STATE if kind == "state" else points_schema(pointer["indexed"])
-        folders = [f"{self.path}/{kind}/v{v}/bucket={b}" for b, v in sorted(pointer[kind].items()) if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        self.versions.delete(self.path)
 
-    def points(self) -> DataFrame:
-        """All points. Of the promoted columns those that hold any value are there."""
+    def writing(self, wait: float = WAIT):
+        """The writer's lock, waited for. It spares others work that would be in vain; what keeps versions apart is the commit."""
+        return self.versions.writing(wait)
+
+    # -- reading -------------------------------------------------------------------------------------
+
+    def _schema(self, pointer: dict, kind: str) -> str:
+        return STATE if kind == "state" else points_schema(pointer["indexed"])
+
+    def _scan(self, pointer: dict, kind: str, segments: Iterable[str] | None = None, files: Iterable[tuple[str, str]] | None = None, places: bool = False) -> DataFrame:
+        """The rows of a table that no bitmap deletes: of some segments or files, or all; `places` adds _segment, _file and _pos."""
+        table = pointer[kind]
+        chosen = [s["id"] for s in table["segments"]] if segments is None else list(segments)
+        touched = {i for d in table["deletes"] for i in d["segments"]}
+        schema = self._schema(pointer, kind)
+        paths: dict[bool, list[str]] = {False: [], True: []}
+        for s, f in [(s, "") for s in chosen] if files is None else files:
+            paths[s in touched].append(f"{self.path}/{s}" + (f"/{f}" if f else ""))
+        out = None
+        for dirty, some in paths.items():
+            if not some:
+                continue
+            rows = self.spark.read.schema(schema).parquet(*some)
+            own = rows.columns
+            if dirty or places:
+                segment = F.regexp_extract("_metadata.file_path", f"({kind}/[0-9a-f]+)/[^/]+$", 1)
+                rows = rows.select("*", segment.alias("_segment"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+            if dirty:
+                rows = not_in(rows, self.spark.read.parquet(*[f"{self.path}/{d['id']}" for d in table["deletes"]]))
+            rows = rows if places else rows.select(own)
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema + (", _segment string, _file string, _pos bigint" if places else "")) if out is None else out
+
+    def _index(self, pointer: dict) -> DataFrame:
+        """The keyword index: what updates have added and deleted, of the segments that are in use."""
+        live = [s["id"] for s in pointer["points"]["segments"]]
+        if not pointer["keywords"] or not live:
+            return self.spark.createDataFrame([], KEYWORDS)
+        return self.spark.read.schema(KEYWORDS).parquet(*[f"{self.path}/{k}" for k in pointer["keywords"]]).where(F.col("segment").isin(live))
+
+    def files_with(self, filters: Mapping[str, Any]) -> list[tuple[str, str]] | None:
+        """(segment, file) of the files that hold a point for each filter by itself; None where the index cannot tell."""
+        pointer = self._have()
+        found: set[tuple[str, str]] | None = None
+        for key, value in filters.items():
+            wanted = sought(key, value)
+            if wanted is None or key not in pointer["indexed"] or key == "file_path":
+                continue
+            kind, values = wanted
+            own = self._index(pointer).where((F.col("field") == key) & (F.col("kind") == kind) & F.col("value").isin(values))
+            rows = own.groupBy("segment", "file").agg(F.sum("n").alias("n")).where("n > 0").select("segment", "file").collect()  # no more than there are files
+            found = {tuple(r) for r in rows} & (found if found is not None else {tuple(r) for r in rows})
+        return None if found is None else sorted(found)
+
+    def points(self, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        """All points, or at least those that meet the filters: files without any are not read. Of the promoted columns those that hold any value are there."""
         pointer = self._have()
         unused = {c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)} - set(pointer["used"])
-        return self._read(pointer, "points").drop(*sorted(unused))
+        files = self.files_with(filters) if filters else None
+        return self._scan(pointer, "points", files=files).drop(*sorted(unused))
+
+    def facet(self, field: str, limit: int) -> DataFrame:
+        """(value, count) of the string values of an indexed field, as `search.facet`, from the index alone."""
+        own = self._index(self._have()).where((F.col("field") == field) & (F.col("kind") == "s"))
+        return own.groupBy("value").agg(F.sum("n").alias("count")).where("count > 0").orderBy(F.desc("count"), "value").limit(limit)
 
     def state(self) -> DataFrame:
         """All indexed files; order by file_path where it shows."""
-        pointer = self._pointer()
-        return self._read(pointer, "state") if pointer else self.spark.createDataFrame([], STATE)
+        pointer = self.versions.latest()
+        return self._scan(pointer, "state") if pointer else self.spark.createDataFrame([], STATE)
 
     def state_of(self, path: str):
-        """The state of one file, from its bucket alone."""
-        pointer = self._have()
-        return self._read(pointer, "state", {zlib.crc32(path.encode()) % pointer["buckets"]}).where(F.col("file_path") == path).first()
+        """The state of one file. Rows are in order of paths within files, so few row groups are read."""
+        return self._scan(self._have(), "state").where(F.col("file_path") == path).first()
 
     def count(self) -> int | None:
         """Number of points, None without a collection."""
-        return self.points().count() if self.exists() else None
-
-    def _write(self, pointer: dict, version: int, kind: str, rows: DataFrame) -> dict[str, int]:
-        """Writes rows as a version's buckets; the buckets that have rows."""
-        base = f"{self.path}/{kind}/v{version}"
-        fs = self._fs()
-        fs.delete(self._jpath(base), True)
-        bucket = F.pmod(F.crc32("file_path"), F.lit(pointer["buckets"])).cast("int")
-        # Rebalancing splits a crowded bucket into several files and gathers small ones.
-        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(base)
-        found = [s.getPath().getName() for s in fs.listStatus(self._jpath(base))]
-        return {n.removeprefix("bucket="): version for n in found if n.startswith("bucket=")}
+        pointer = self.versions.latest()
+        return sum(s["rows"] - s["dead"] for s in pointer["points"]["segments"]) if pointer else None
+
+    # -- writing -------------------------------------------------------------------------------------
+
+    def _new(self, what: str) -> str:
+        self._made.append(f"{what}/{uuid.uuid4().hex}")
+        return self._made[-1]
+
+    def _write(self, kind: str, rows: DataFrame, flags: Iterable[str] = ()) -> tuple[list[dict], set[str]]:
+        """Rows as a new segment, if there are any, and those of the columns `flags` that hold values."""
+        name, flags = self._new(kind), list(flags)
+        # Rebalancing makes files of a good size and keeps a path's rows together.
+        rows.hint("rebalance", "file_path").sortWithinPartitions("file_path").write.parquet(f"{self.path}/{name}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+        got = written.agg(F.count(F.lit(1)).alias("rows"), *[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(f"f{i}") for i, c in enumerate(flags)]).first()
+        if not got["rows"]:
+            self.versions.delete(f"{self.path}/{self._made.pop()}")
+            return [], set()
+        return [{"id": name, "rows": got["rows"], "dead": 0}], {c for i, c in enumerate(flags) if got[f"f{i}"]}
+
+    def _write_keywords(self, rows: DataFrame) -> list[str]:
+        name = self._new("keywords")
+        rows.hint("rebalance", "field", "value").sortWithinPartitions("field", "kind", "value").write.parquet(f"{self.path}/{name}")
+        return [name]
+
+    def _delete(self, pointer: dict, kind: str, gone: DataFrame, few: list[str] | None) -> tuple[dict, DataFrame | None]:
+        """The table without the rows of the paths in `gone`, and the rows that go, with their places and promoted columns."""
+        table = pointer[kind]
+        rows = self._scan(pointer, kind, places=True)
+        promoted = [c for c in rows.columns if kind == "points" and c not in POINT_COLUMNS and not c.startswith("_")]
+        rows = rows.where(F.col("file_path").isin(few)) if few is not None else rows.join(gone, "file_path", "left_semi")
+        at = scratch(self.spark, "gone")
+        rows.select("_segment", "_file", "_pos", *[F.col(f"`{c}`") for c in promoted]).write.parquet(at)
+        hit = self.spark.read.parquet(at)
+        dead = {r[0]: r[1] for r in hit.groupBy("_segment").count().collect()}  # no more than there are segments
+        if not dead:
+            return table, None
+        name = self._new(f"{kind}-deleted")
+        bitmaps(hit.select(F.col("_file").alias("file"), F.col("_pos").alias("pos"))).write.parquet(f"{self.path}/{name}")
+        segments = [s | {"dead": s["dead"] + dead.get(s["id"], 0)} for s in table["segments"]]
+        return {"segments": segments, "deletes": [*table["deletes"], {"id": name, "segments": sorted(dead)}]}, hit
 
     def apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool = False) -> int:
         """One update: points and state of the stale files go, fresh points and new state (file_path, content_hash, chunk_count) come.
 
-        Files of new_state are stale too. Buckets without any of these files are not read or written; a full
-        update replaces everything. `fresh` is evaluated once. Returns the version.
+        Files of new_state are stale too. What is written is in proportion to the update; a full update replaces everything. `fresh` is
+        evaluated once, however often other writers are first. Returns the version.
         """
-        pointer = self._have()
-        gone = stale.select("file_path").unionByName(new_state.select("file_path")).distinct()
-        touched = None
-        if not full:
-            touched = {r[0] for r in gone.select(F.pmod(F.crc32("file_path"), F.lit(pointer["buckets"])).cast("int")).distinct().collect()}  # at most as many as there are buckets
-        nothing = set() if full else touched
-        points = delete_by_files(self._read(pointer, "points", nothing), gone).unionByName(fresh)
-        state = upsert_state(delete_state(self._read(pointer, "state", nothing), gone), new_state)
-        return self._replace(pointer, points, state, touched)
+        with scope():
+            return self._apply(fresh, stale, new_state, full)
+
+    def _apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool) -> int:
+        at = scratch(self.spark, "stale")
+        stale.select("file_path").unionByName(new_state.select("file_path")).distinct().write.parquet(at)
+        gone = self.spark.read.schema("file_path string").parquet(at)
+        some = [r[0] for r in gone.limit(LOOKUP + 1).collect()]
+        few = some if len(some) <= LOOKUP else None
+
+        def deleted(pointer: dict) -> dict:
+            if full:
+                return {k: {"segments": [], "deletes": []} for k in ("points", "state")} | {"keywords": [], "used": []}
+            points, hit = self._delete(pointer, "points", gone, few)
+            state, _ = self._delete(pointer, "state", gone, few)
+            less = self._write_keywords(keywords(hit, pointer["indexed"]).withColumn("n", -F.col("n"))) if hit is not None and len(pointer["indexed"]) else []
+            return {"points": points, "state": state, "keywords": [*pointer["keywords"], *less], "used": pointer["used"]}
+
+        stamped = upsert_state(self.spark.createDataFrame([], STATE), new_state)
+        return self._replace(deleted, fresh, stamped)
 
     def commit(self, points: DataFrame, state: DataFrame) -> int:
         """Replaces both tables as a whole."""
-        return self._replace(self._have(), points, state, None)
-
-    def _replace(self, pointer: dict, points: DataFrame, state: DataFrame, touched: set[int] | None) -> int:
-        version = pointer["version"] + 1
-        fresh = {"points": self._write(pointer, version, "points", points), "state": self._write(pointer, version, "state", state)}
-        kept = {k: {b: v for b, v in pointer[k].items() if touched is not None and int(b) not in touched} for k in fresh}
-        columns = [c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)]
-        used = set(pointer["used"]) if touched is not None else set()
-        if columns and fresh["points"]:
-            own = self._read({**pointer, "points": fresh["points"]}, "points").agg(*[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-            used |= {c for c, x in zip(columns, own) if x}
-        replaced = [f"{k}/v{v}/bucket={b}" for k in fresh for b, v in pointer[k].items() if b not in kept[k]]
-        self._point_to(pointer | {"version": version, "used": sorted(used), "old": replaced} | {k: kept[k] | fresh[k] for k in fresh})
-        for folder in pointer["old"]:  # readers may still be at the last version's files, not at those before
-            self._fs().delete(self._jpath(f"{self.path}/{folder}"), True)
+        return self._replace(lambda _: {k: {"segments": [], "deletes": []} for k in ("points", "state")} | {"keywords": [], "used": []}, points, state)
+
+    def _replace(self, deleted, points: DataFrame, state: DataFrame) -> int:
+        """Commits points and state on top of what `deleted` leaves of a version, of the newest one if others commit meanwhile."""
+        self._made: list[str] = []
+        try:
+            pointer = self._have()
+            columns = [c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)]
+            new_points, used = self._write("points", points, columns)
+            new_state, _ = self._write("state", state)
+            words = self._write_keywords(keywords(self._scan({**pointer, "points": {"segments": new_points, "deletes": []}}, "points", places=True), pointer["indexed"])) if new_points and columns else []
+            for attempt in range(ATTEMPTS):
+                made = list(self._made)
+                left = deleted(pointer)
+                tables = {k: left[k] | {"segments": [*left[k]["segments"], *new]} for k, new in (("points", new_points), ("state", new_state))}
+                version = self._put(pointer, tables | {"keywords": [*left["keywords"], *words], "used": sorted({*left["used"], *used})})
+                if version is not None:
+                    break
+                for x in self._made[len(made) :]:  # bitmaps of a version that is no longer the newest
+                    self.versions.delete(f"{self.path}/{x}")
+                self._made, pointer = made, self._have()
+            else:
+                raise StoreError(f"collection {self.name}: other writers were first {ATTEMPTS} times")
+        except BaseException:
+            for x in self._made:
+                self.versions.delete(f"{self.path}/{x}")
+            raise
+        self.compact()
         return version
 
+    def _put(self, pointer: dict, change: dict) -> int | None:
+        """The version after pointer, or None if another has it. Folders that the last version but one used go."""
+        new = pointer | change
+        new["version"] = pointer["version"] + 1
+        new["old"] = sorted(_folders(pointer) - _folders(new))
+        try:
+            self.versions.put(new)
+        except Conflict:
+            return None
+        for folder in pointer["old"]:  # readers may still be at the last version's files, not at those before
+            self.versions.delete(f"{self.path}/{folder}")
+        return new["version"]
+
+    def compact(self, full: bool = False) -> bool:
+        """Merges segments of like size, and writes those anew that have lost many rows; `full` makes one segment of all. Whether there was anything to do.
+
+        If another writer is first, nothing changes: the next update tries again.
+        """
+        pointer, self._made, change = self._have(), [], {}
+        for kind in ("points", "state"):
+            table = pointer[kind]
+            alike = Counter(_size(s) for s in table["segments"])
+            chosen = [s for s in table["segments"] if s["dead"] > DEAD * s["rows"] or alike[_size(s)] >= MERGE or full and (len(table["segments"]) > 1 or s["dead"])]
+            if not chosen:
+                continue
+            ids = {s["id"] for s in chosen}
+            merged, _ = self._write(kind, self._scan(pointer, kind, segments=sorted(ids)))
+            kept = [s for s in table["segments"] if s["id"] not in ids]
+            deletes = [d for d in ({**d, "segments": [i for i in d["segments"] if i not in ids]} for d in table["deletes"]) if d["segments"]]
+            change[kind] = {"segments": [*kept, *merged], "deletes": deletes}
+        if "points" in change or len(pointer["keywords"]) > MERGE or full and len(pointer["keywords"]) > 1:
+            after = pointer | change
+            own = self._index(after)
+            fresh = [s for s in after["points"]["segments"] if s not in pointer["points"]["segments"]]
+            if fresh and any(f != "file_path" for f in pointer["indexed"]):
+                own = own.unionByName(keywords(self._scan({**after, "points": {"segments": fresh, "deletes": []}}, "points", places=True), pointer["indexed"]))
+            sums = own.groupBy("field", "kind", "value", "segment", "file").agg(F.sum("n").alias("n")).where("n <> 0")
+            change["keywords"] = self._write_keywords(sums)
+        if not change:
+            return False
+        if self._put(pointer, change) is None:
+            for x in self._made:
+                self.versions.delete(f"{self.path}/{x}")
+        return True
+
     def clear(self) -> None:
         """No points and no state, the collection stays."""
         self.commit(self.points_of_none(), self.spark.createDataFrame([], STATE))
@@ -253,47 +422,12 @@ class Collection:
     def points_of_none(self) -> DataFrame:
         return self.spark.createDataFrame([], points_schema(self.indexed()))
 
-    # -- the writer's lock ---------------------------------------------------------------------------
 
-    def _take(self, lock) -> bool:
-        try:
-            self._fs().create(lock, False).close()
-            return True
-        except Exception:
-            return False
+def _size(segment: dict) -> int:
+    return int(math.log(max(1, segment["rows"] - segment["dead"]), FACTOR))
 
-    def _break_stale(self, lock) -> None:
-        """Moves a lock away that nobody has renewed for LEASE seconds; of several that try one succeeds."""
-        fs = self._fs()
-        try:
-            age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
-            if age > LEASE and fs.rename(lock, self._jpath(f"{self.path}/LOCK.stale.{uuid.uuid4().hex}")):
-                log.warning("the lock of %s was %.0f seconds old and has been removed", self.name, age)
-        except Exception:
-            return  # it went meanwhile
-
-    @contextmanager
-    def writing(self, wait: float = WAIT):
-        """The writer's lock, shared by all processes that use the folder. It is waited for, and renewed while it is held."""
-        fs, lock, until = self._fs(), self._jpath(f"{self.path}/LOCK"), time.monotonic() + wait
-        while not self._take(lock):
-            self._break_stale(lock)
-            if time.monotonic() >= until:
-                raise StoreError(f"collection {self.name} is being written by another run")
-            time.sleep(min(0.1, wait))
-        done = threading.Event()
-
-        def renew():
-            while not done.wait(LEASE / 4):
-                try:
-                    fs.setTimes(lock, int(time.time() * 1000), -1)
-                except Exception:
-                    log.exception("the lock of %s could not be renewed", self.name)
-
-        threading.Thread(target=renew, daemon=True).start()
-        try:
-            yield self
-        finally:
-            done.set()
-            fs.delete(lock, False)
 
+def _folders(pointer: dict) -> set[str]:
+    """Everything that a version names."""
+    tables = [pointer[k] for k in ("points", "state")]
+    return {x["id"] for t in tables for part in ("segments", "deletes") for x in t[part]} | set(pointer["keywords"])

@@ -4,7 +4,6 @@ import json
 import os
 import threading
 import time
-import zlib
 from dataclasses import replace
 
 import pytest
@@ -126,30 +125,141 @@ def test_store_rules(spark, tmp_path):
     assert col.count() == 0 and col.state().count() == 0
 
 
-def test_updates_touch_only_their_buckets(spark, tmp_path):
-    col = store.Collection(spark, f"file://{tmp_path}/s", "c", buckets=8)
+class Files:
+    """Points and state of files, one point each, for a collection with the indexed field n (the length of the name, and a list)."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def points(self, paths, text):
+        return self.spark.createDataFrame([(f"{p}#{text}", [1.0], "{}", p, 0, text, 1, 1, None, len(p), None, [text, p, text], None, None) for p in paths], store.points_schema(["n"]))
+
+    def state(self, paths):
+        return self.spark.createDataFrame([(p, "h", 1) for p in paths], "file_path string, content_hash string, chunk_count bigint")
+
+    def gone(self, paths):
+        return self.spark.createDataFrame([(p,) for p in paths], "file_path string")
+
+    def update(self, col, paths, text, gone=()):
+        return col.apply(self.points(paths, text), self.gone(gone), self.state(paths))
+
+
+@pytest.mark.parametrize("lookup", [store.LOOKUP, 1])
+def test_updates_write_what_they_change(spark, tmp_path, monkeypatch, lookup):
+    monkeypatch.setattr(store, "LOOKUP", lookup)
+    col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
     col.ensure(1, ["n"])
-    schema, names = store.points_schema(["n"]), [f"{i}.md" for i in range(40)]
-    rows = lambda paths, text: spark.createDataFrame([(f"{p}#{text}", [1.0], "{}", p, 0, text, 1, 1, None, len(p), None, None, None, None) for p in paths], schema)
-    state = lambda paths: spark.createDataFrame([(p, "h", 1) for p in paths], "file_path string, content_hash string, chunk_count bigint")
-    gone = lambda paths: spark.createDataFrame([(p,) for p in paths], "file_path string")
+    names = [f"{i}.md" for i in range(40)]
+    rows, state, gone = files.points, files.state, files.gone
     col.apply(rows(names, "old"), gone([]), state(names))
-    before = col._pointer()["points"]
-    assert len(before) == 8
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "s/c/points").rglob("part-*")}
     col.apply(rows(["3.md", "new.md"], "new"), gone(["5.md"]), state(["3.md", "new.md"]))
-    after = col._pointer()["points"]
-    touched = {str(zlib.crc32(p.encode()) % 8) for p in ("3.md", "5.md", "new.md")}
-    assert {b for b in before if before[b] != after[b]} == touched
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "s/c/points").rglob("part-*")}
+    assert before.items() <= after.items()  # no old file is written again
+    table = col.versions.latest()["points"]
+    assert sorted((s["rows"], s["dead"]) for s in table["segments"]) == [(2, 0), (40, 2)] and len(table["deletes"]) == 1
     got = {(r["file_path"], r["text"]) for r in col.points().collect()}
     assert got == {(p, "old") for p in names if p not in ("3.md", "5.md")} | {("3.md", "new"), ("new.md", "new")}
-    assert col.state().count() == 40 and col.state_of("5.md") is None and col.state_of("new.md")["chunk_count"] == 1
-    col.apply(rows([], ""), gone(["7.md"]), state([]))
-    assert not (tmp_path / f"s/c/points/v1/bucket={zlib.crc32(b'3.md') % 8}").exists()  # two versions old
+    assert col.count() == 40 and col.state().count() == 40 and col.state_of("5.md") is None and col.state_of("new.md")["chunk_count"] == 1
+    col.apply(rows([], ""), gone(["7.md", "new.md"]), state([]))
+    assert col.count() == 38 and {(r["value"], r["count"]) for r in col.facet("n", 3).collect()} == {("old", 37), ("0.md", 1), ("1.md", 1)}
+    want = sorted((r["file_path"], r["text"]) for r in col.points().collect())
+    assert col.compact(full=True) and sorted((r["file_path"], r["text"]) for r in col.points().collect()) == want
+    table = col.versions.latest()["points"]
+    assert [(s["rows"], s["dead"]) for s in table["segments"]] == [(38, 0)] and not table["deletes"] and not col.compact()
+    assert {(r["value"], r["count"]) for r in col.facet("n", 3).collect()} == {("old", 37), ("0.md", 1), ("1.md", 1)}
+    files.update(col, ["9.md"], "again")
+    kept = {x for k in ("points", "state") for t in (col.versions.latest()[k],) for part in ("segments", "deletes") for x in [y["id"] for y in t[part]]}
+    assert {f"points/{p.name}" for p in (tmp_path / "s/c/points").iterdir()} == {x for x in kept if x.startswith("points/")}  # two versions old ones are gone
     col.apply(rows(["only.md"], "x"), gone([]), state(["only.md"]), full=True)
     assert [r["file_path"] for r in col.points().collect()] == ["only.md"] and col.state().count() == 1
     assert search.where_all(col.points(), {"n": 7}).count() == 1 and search.where_all(col.points(), {"n": "7"}).count() == 0
 
 
+def test_many_updates_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MERGE", 3)
+    col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
+    col.ensure(1, ["n"])
+    have = {}
+    for k in range(7):
+        paths = [f"{(3 * k + j) % 11}.md" for j in range(3)]
+        files.update(col, paths, f"t{k}", gone=[f"{(5 * k) % 11}.md"])
+        have = {p: t for p, t in have.items() if p != f"{(5 * k) % 11}.md"} | {p: f"t{k}" for p in paths}
+        assert {r["file_path"]: r["text"] for r in col.points().collect()} == have and col.count() == len(have)
+        counts = {t: list(have.values()).count(t) for t in have.values()} | {p: 1 for p in have}
+        assert {r["value"]: r["count"] for r in col.facet("n", 50).collect()} == counts
+    assert len(col.versions.latest()["points"]["segments"]) <= 5
+
+
+def test_filters_read_the_files_that_hold_them(spark, tmp_path):
+    col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
+    col.ensure(1, ["n"])
+    for k in range(5):
+        files.update(col, [f"{'x' * k}{j}.md" for j in range(3)], f"t{k}", gone=["xx1.md"] if k == 4 else [])
+    all_files = len(col.points().inputFiles())
+    for filters, rows, few in (({"n": 6}, 2, 1), ({"n": "t3"}, 3, 1), ({"n": ["t0", "xxx2.md"]}, 4, 2), ({"n": "none"}, 0, 0), ({"n": "xx1.md"}, 0, 0), ({"n": True}, 0, 0), ({"n": []}, 0, 0), ({"other": 1}, 0, 5)):
+        found = search.where_all(col.points(filters), filters)
+        assert found.count() == rows and len(col.points(filters).inputFiles()) == few <= all_files == 5, filters
+
+
+def test_a_writer_that_has_lost_the_lock_changes_nothing(spark, tmp_path):
+    col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
+    col.ensure(1, ["n"])
+    files.update(col, ["a.md"], "one")
+    lock, other = tmp_path / "s/c/LOCK", store.Collection(spark, f"file://{tmp_path}/s", "c")
+    seen = []
+    with pytest.raises(store.StoreError, match="gone to another run"), col.writing():
+        os.utime(lock, (time.time() - 1000,) * 2)
+
+        def second():
+            with other.writing(wait=2):
+                files.update(other, ["b.md"], "two")
+                seen.append("in")
+                ready.set()
+                go.wait(60)
+            seen.append("out")
+
+        ready, go = threading.Event(), threading.Event()
+        t = threading.Thread(target=second)
+        t.start()
+        assert ready.wait(60)
+        files.update(col, ["c.md"], "late")
+    assert seen == ["in"] and lock.exists()  # the first has not taken the second's lock away
+    with pytest.raises(store.StoreError, match="another run"), col.writing(wait=0.2):
+        pass
+    go.set()
+    t.join()
+    assert not lock.exists() and sorted(r["file_path"] for r in col.points().collect()) == ["a.md", "b.md"]
+    assert len(list((tmp_path / "s/c/points").iterdir())) == 2  # what the late one wrote is gone
+
+
+def test_writers_without_a_lock_follow_each_other(spark, tmp_path, monkeypatch):
+    """A commit that another overtakes is made again on top of the newer version."""
+    one, two = (store.Collection(spark, f"file://{tmp_path}/s", "c") for _ in range(2))
+    files = Files(spark)
+    one.ensure(1, ["n"])
+    files.update(one, ["a.md", "b.md"], "old")
+    put, first = one.versions.put, []
+
+    def late(version):
+        if not first:
+            first.append(files.update(two, ["b.md", "c.md"], "two"))
+        put(version)
+
+    monkeypatch.setattr(one.versions, "put", late)
+    assert files.update(one, ["a.md", "c.md"], "one") >= 3 and first == [2]
+    assert {r["file_path"]: r["text"] for r in one.points().collect()} == {"a.md": "one", "b.md": "two", "c.md": "one"}
+    assert {(r["value"], r["count"]) for r in one.facet("n", 2).collect()} == {("one", 2), ("a.md", 1)}
+    stale = one.versions.latest() | {"version": 1}
+    with pytest.raises(store.Conflict):
+        two.versions.put(stale)
+    (tmp_path / "s/c/log/00000000000000000000.json").unlink()
+    (tmp_path / "s/c/log/00000000000000000001.json").unlink()
+    with pytest.raises(store.Conflict, match="long ago"):
+        two.versions.put(stale)
+    assert two.versions.latest()["version"] >= 3
+
+
 def test_scalar_filters_reach_the_scan(spark, config):
     indexer.run_index(spark, config, HashingEmbedder(8))
     points = store.Collection(spark, config.qdrant.url, "kb").points()
