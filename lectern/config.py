@@ -76,6 +76,7 @@ class Validation:
 class Webhook:
     secret_env: str = "WEBHOOK_SECRET"
     provider: str = "gitea"
+    spool: str | None = None  # a folder for accepted deliveries; with it none is lost when the service goes down
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,8 @@ class Mcp:
 
 @dataclass(frozen=True)
 class RateLimit:
+    """`per_second` is the number of seconds after which a client gains one request, whatever its name says: the key is read as it has always worked."""
+
     per_second: int = 2
     burst_size: int = 10
 

@@ -9,8 +9,9 @@ for the force split, and those of very many sections, whose packing takes one pa
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterable
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +106,11 @@ def numbered(chunks: Column, description: Column | None = None) -> Column:
 
 # -- force split ---------------------------------------------------------------------------------
 
+_CLUSTER = regex.compile(r"\X")
 _HEADING = re.compile(r"(?m)^(?=#{1,6}\s)")
 _FENCED = re.compile(r"(?ms)^(```|~~~).*?^\1[^\n]*$")
+# Images, links, code, strong and stressed text, automatic links. No pattern looks past a line or past another opening, so all are linear.
+_INLINE = re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]*(?: +\"[^\"\n]*\")? *\)|`[^`\n]+`|\*\*[^*\n]+\*\*|__[^_\n]+__|\*[^*\s][^*\n]*\*|<[^<>\s]+>")
 _LEVELS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 
 
@@ -117,8 +121,9 @@ def _size(text: str) -> int:
 def force_split(text: str, most: int) -> list[str]:
     """Parts of at most `most` characters, in order; nothing but white space between parts is lost.
 
-    Cuts fall at the coarsest level that helps: headings, blank lines (not inside fences that fit),
-    lines, sentences, words, characters that do not combine with the one before. Neighbours are joined while they fit.
+    Cuts fall at the coarsest level that helps: headings, blank lines (not inside fences that fit), inline elements,
+    lines, sentences, words (none inside an inline element that fits), extended grapheme clusters, and characters where a cluster does
+    not fit. Neighbours are joined while they fit.
     """
     text = text.strip()
     if len(text) <= most:
@@ -126,23 +131,50 @@ def force_split(text: str, most: int) -> list[str]:
     return [t.strip() for t in _join(text, _cut(text, 0, len(text), most, 0), most) if t.strip()]
 
 
+def _outside(places: Iterable[int], spans: list[tuple[int, int]]) -> list[int]:
+    """Places that are in none of the spans, both in order."""
+    kept, k = [], 0
+    for p in places:
+        while k < len(spans) and spans[k][1] <= p:
+            k += 1
+        if k == len(spans) or p <= spans[k][0]:
+            kept.append(p)
+    return kept
+
+
+def _clusters(text: str, a: int, b: int, most: int) -> list[int]:
+    """Places to cut at: parts are filled with whole grapheme clusters, and a cluster of more than `most` characters is cut where it must be."""
+    places, at, end = [], a, a  # the part begins at `at` and is full up to `end`
+    for m in _CLUSTER.finditer(text, a, b):
+        if m.end() - at > most:
+            if end > at:
+                places.append(end)
+                at = end
+            while m.end() - at > most:
+                at += most
+                places.append(at)
+        end = m.end()
+    return places
+
+
 def _cut(text: str, a: int, b: int, most: int, level: int) -> list[tuple[int, int]]:
     if len(text[a:b].strip()) <= most:
         return [(a, b)]
+    within = lambda spans: [(x, y) for x, y in spans if y - x <= most]
     if level == 0:
         places = [m.start() for m in _HEADING.finditer(text, a, b) if m.start() > a]
-    elif level <= len(_LEVELS):
-        places = [m.end() for m in _LEVELS[level - 1].finditer(text, a, b) if a < m.end() < b]
-        if level == 1:
-            fences = [m.span() for m in _FENCED.finditer(text, a, b) if m.end() - m.start() <= most]
-            places = sorted({*(p for p in places if not any(x < p < y for x, y in fences)), *(x for f in fences for x in f if a < x < b)})
+    elif level == 1:
+        fences = within(m.span() for m in _FENCED.finditer(text, a, b))
+        found = (m.end() for m in _LEVELS[0].finditer(text, a, b) if a < m.end() < b)
+        places = sorted({*_outside(found, fences), *(x for f in fences for x in f if a < x < b)})
     else:
-        places, at = [], a
-        while b - at > most:
-            at += most
-            while at > a + 1 and unicodedata.combining(text[at]) and at > (places[-1] if places else a) + 1:
-                at -= 1
-            places.append(at)
+        inline = within(m.span() for m in _INLINE.finditer(text, a, b))
+        if level == 2:
+            places = sorted({x for s in inline for x in s if a < x < b})
+        elif level <= len(_LEVELS) + 1:
+            places = _outside((m.end() for m in _LEVELS[level - 2].finditer(text, a, b) if a < m.end() < b), inline)
+        else:
+            places = _clusters(text, a, b, most)
     edges = [a, *places, b]
     if len(edges) == 2:
         return _cut(text, a, b, most, level + 1)

@@ -1,8 +1,7 @@
 """Filters, exact top-k search, batch search, rendering, facets and instructions.
 
 Filters act on promoted columns by the type of the value; those of scalars reach the Parquet scan. Scoring is a JVM
-expression; top-k is Spark's TakeOrderedAndProject. A batch of queries is broadcast in blocks of
-bounded size against the points.
+expression; top-k is Spark's TakeOrderedAndProject. Batches of queries are matrix products (`blocks`).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import vectors
 from lectern.functions.text import SNIPPET, json_string, json_strings, snippet
+from lectern.operators import blocks
 from lectern.operators.embedding import Embedder, embed_query
 
 # Fixed limits of a request, sizes in bytes.
@@ -102,25 +102,9 @@ def top_k(points: DataFrame, vector: Sequence[float], k: int, filters: Mapping[s
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.col(id_col))).cast("bigint"))
 
 
-QUERY_BLOCK = 2000  # queries broadcast at a time
-
-
 def top_k_batch(points: DataFrame, queries: DataFrame, k: int, column: str = "vector", id_col: str = "id") -> DataFrame:
-    """For each row (query_id, qv) of queries its k nearest points: query_id, id, score, rank.
-
-    The ranking limit is pushed below the exchange, so each task sends k rows of a query at most.
-    """
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    unit = points.select(F.col(id_col).alias("id"), F.col(column).alias("_v"), vectors.norm(F.col(column)).alias("_n"))
-    out = None
-    for i in range(parts):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "qv", vectors.norm(F.col("qv")).alias("_qn"))
-        scored = unit.crossJoin(F.broadcast(block)).select("query_id", "id", F.try_divide(vectors.dot(F.col("_v"), F.col("qv")), F.col("_n") * F.col("_qn")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id"))
-        best = scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    """For each row (query_id, qv) of queries its k nearest points: query_id, id, score, rank. Exact, in one pass over the points for each block of queries."""
+    return blocks.nearest(points, queries, k, column, id_col)
 
 
 def rendered(results: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
     collection = collection or store.Collection(spark, config.qdrant.url, config.qdrant.collection)
     collection.ensure(size, config.indexed_fields())
     with collection.writing(), scope():
-        found = discovery.discover(spark, root, config.indexing)
+        found = discovery.discover(spark, root, config.indexing).persist()  # listed once
         state = collection.state()
         planned = plan(discovery.load(spark, found, root, config.indexing), state, config, full, root).persist()  # each file is read and validated once
         try:
@@ -114,6 +114,8 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
             n_chunks = new_state.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
             if counts.get("ready") or n_gone or full:
                 collection.apply(fresh, gone, new_state, full)
+            n_found = found.count()
         finally:
             planned.unpersist()
-        return Summary(found.count(), counts.get("ready", 0), counts.get("skipped", 0), counts.get("invalid", 0), n_gone, n_chunks)
+            found.unpersist()
+        return Summary(n_found, counts.get("ready", 0), counts.get("skipped", 0), counts.get("invalid", 0), n_gone, n_chunks)

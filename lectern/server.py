@@ -7,10 +7,13 @@ gracefully on SIGTERM or SIGINT: no new requests, running ones and a running ind
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
+import math
 import os
 import signal
+import socket
 import threading
 import time
 from collections.abc import Mapping
@@ -21,13 +24,14 @@ from lectern.config import Config
 from lectern.operators import documents, search, service, webhook
 from lectern.operators.embedding import Embedder
 from lectern.plans import indexer
-from lectern.sources import store
-from lectern.streaming.reindex import Instructions
+from lectern.sources import spool, store
+from lectern.streaming.reindex import Instructions, on_deliveries
 
 log = logging.getLogger(__name__)
 
 PROTOCOL = "2025-03-26"
 IDLE_SECONDS = 60.0
+CONNECTION_SECONDS = 30.0  # that a connection may keep silent
 # Fixed values of JSON-RPC 2.0.
 INVALID_REQUEST, NO_METHOD, INVALID_PARAMS, INTERNAL = -32600, -32601, -32602, -32603
 
@@ -39,24 +43,30 @@ class RpcError(Exception):
 
 
 class Limiter:
-    """Token bucket for each client, as theoretical arrival times; idle clients are forgotten."""
+    """Token bucket for each client, as theoretical arrival times: `burst` requests at once, one more every `interval` seconds. Idle clients are forgotten."""
 
-    def __init__(self, per_second: float, burst: int, clock=time.monotonic):
-        self.step, self.burst, self.clock = 1.0 / per_second, burst, clock
+    def __init__(self, interval: float, burst: int, clock=time.monotonic):
+        self.step, self.burst, self.clock = float(interval), burst, clock
         self.tat: dict[str, float] = {}
         self.swept, self.lock = clock(), threading.Lock()
 
-    def admit(self, client: str) -> bool:
+    def check(self, client: str) -> tuple[bool, int, float]:
+        """Whether a request is admitted, how many more would be now, and the seconds until the next is if none would."""
         now = self.clock()
         with self.lock:
             if now - self.swept > IDLE_SECONDS:
                 self.tat = {k: v for k, v in self.tat.items() if v > now}
                 self.swept = now
             after = max(self.tat.get(client, now), now) + self.step
-            if after - now > self.burst * self.step + 1e-9:
-                return False
+            over = after - now - self.burst * self.step
+            if over > 1e-9:
+                return False, 0, over
             self.tat[client] = after
-            return True
+            left = int((self.burst * self.step - (after - now)) / self.step + 1e-9)
+            return True, left, 0.0 if left else after + self.step - now - self.burst * self.step
+
+    def admit(self, client: str) -> bool:
+        return self.check(client)[0]
 
 
 class App:
@@ -69,6 +79,7 @@ class App:
         self.secret = env.get(config.webhook.secret_env) or None
         git = config.source
         self.update = webhook.GitUpdate(git.data_path, git.git_url, git.branch, env.get(git.git_token_env) or None) if git.git_url else None
+        self.spool = spool.Spool(config.webhook.spool) if config.webhook.spool and self.secret else None
         self.limiter = Limiter(config.rate_limit.per_second, config.rate_limit.burst_size)
         self.collection.ensure(config.embedding.vector_size, config.indexed_fields())
         self.instructions = Instructions(self._instructions())
@@ -78,6 +89,15 @@ class App:
         self.threads = [threading.Thread(target=f, daemon=True) for f in (self._refresh, self._reindex)]
         for t in self.threads:
             t.start()
+        self.deliveries = self._follow(config) if self.spool else None
+
+    def _follow(self, config: Config):
+        """Runs driven by the spool: what was accepted and not run when the service went down is run now."""
+        folder = self.spool.folder
+        return on_deliveries(spool.stream(self.spark, folder), self._run, config.webhook.provider, self.secret, config.source.branch, f"file://{folder}/_checkpoint", self.update)
+
+    def _run(self) -> None:
+        indexer.run_index(self.spark, self.config, self.embedder, collection=self.collection)
 
     def _instructions(self) -> str:
         return search.instructions_text(self.collection.facet, self.config.indexed_fields(), self.config.mcp.instructions or search.BASE_INSTRUCTIONS)
@@ -94,7 +114,7 @@ class App:
                 return
             self.wanted.clear()
             try:
-                indexer.run_index(self.spark, self.config, self.embedder, collection=self.collection)
+                self._run()
             except Exception:
                 log.exception("reindex failed")
             if not self.wanted.is_set():
@@ -107,6 +127,9 @@ class App:
     def stop(self) -> None:
         """Waits for a running index run."""
         self.idle.wait(600)
+        if self.deliveries:
+            self.deliveries.processAllAvailable()
+            self.deliveries.stop()
         self.stopping.set()
         self.wanted.set()
         for t in self.threads:
@@ -116,16 +139,30 @@ class App:
 
     def handle(self, method: str, path: str, headers: Mapping[str, str], body: bytes, client: str) -> tuple[int, str, bytes]:
         """(status, content type, body) of one request; header names are lower-case."""
+        return self.respond(method, path, headers, body, client)[:3]
+
+    def respond(self, method: str, path: str, headers: Mapping[str, str], body: bytes, client: str) -> tuple[int, str, bytes, dict[str, str]]:
+        """As `handle`, with the headers that tell the client its limit."""
         forwarded = headers.get("x-forwarded-for", "").split(",")[0].strip() or headers.get("x-real-ip")
-        if not self.limiter.admit(forwarded or client):
-            return 429, "text/plain", b"Too Many Requests"
+        admitted, left, wait = self.limiter.check(forwarded or client)
+        said = {"x-ratelimit-limit": str(self.limiter.burst), "x-ratelimit-remaining": str(left)}
+        if not admitted:
+            seconds = str(math.ceil(wait))
+            return 429, "text/plain", b"Too Many Requests", said | {"x-ratelimit-after": seconds, "retry-after": seconds}
+        return *self._route(method, path, headers, body), said
+
+    def _route(self, method: str, path: str, headers: Mapping[str, str], body: bytes) -> tuple[int, str, bytes]:
         route = (method, path.split("?")[0].rstrip("/"))
         if route == ("GET", "/health"):
             h = service.health({"qdrant": self.collection.indexed, "embeddings": lambda: self.embedder.embed(["health"])}, log.warning)
             return h.http_status, "application/json", json.dumps(h.body()).encode()
         if route == ("POST", "/hooks/reindex") and self.secret:
             provider = self.config.webhook.provider
-            status, said = webhook.respond(body, headers.get(webhook.HEADERS[provider]), provider, self.secret, self.config.source.branch, self.update, self.trigger)
+            signature = headers.get(webhook.HEADERS[provider])
+            if self.spool:  # what is answered with 200 is on disk; the source is updated by the run
+                status, said = webhook.respond(body, signature, provider, self.secret, self.config.source.branch, None, lambda: self.spool.append(body.decode("utf-8", "replace"), signature))
+            else:
+                status, said = webhook.respond(body, signature, provider, self.secret, self.config.source.branch, self.update, self.trigger)
             return status, "text/plain", said.encode()
         if route == ("POST", "/mcp"):
             if not webhook.same_token(self.token, headers.get("authorization")):
@@ -181,23 +218,66 @@ class App:
         return {"content": [{"type": "text", "text": said}], "isError": False}
 
 
-def http_server(app: App, host: str = "0.0.0.0", port: int | None = None) -> ThreadingHTTPServer:
+class Server(ThreadingHTTPServer):
+    """Closing waits for the requests that are being answered, and for no others: connections that only wait are closed."""
+
+    daemon_threads = False
+
+    def __init__(self, *args):
+        self.guard, self.waiting, self.stopping = threading.Lock(), set(), False
+        super().__init__(*args)
+
+    def waits(self, connection) -> bool:
+        """Notes that a connection waits for a request; not any more once the server stops."""
+        with self.guard:
+            if not self.stopping:
+                self.waiting.add(connection)
+            return not self.stopping
+
+    def works(self, connection) -> None:
+        with self.guard:
+            self.waiting.discard(connection)
+
+    def server_close(self) -> None:
+        with self.guard:
+            self.stopping = True
+            for c in self.waiting:
+                with contextlib.suppress(OSError):
+                    c.shutdown(socket.SHUT_RD)  # its thread reads the end of the stream
+        super().server_close()
+
+
+def http_server(app: App, host: str = "0.0.0.0", port: int | None = None) -> Server:
     class Handler(BaseHTTPRequestHandler):
         protocol_version = "HTTP/1.1"
+        timeout = CONNECTION_SECONDS
+
+        def handle_one_request(self):
+            if not self.server.waits(self.connection):
+                self.close_connection = True
+                return
+            try:
+                super().handle_one_request()
+            finally:
+                self.server.works(self.connection)
 
         def answer(self):
-            size = int(self.headers.get("content-length") or 0)
-            if size > webhook.MOST_BODY:
+            self.server.works(self.connection)
+            length, more = self.headers.get("content-length") or "0", {}
+            if not length.strip().isdecimal():
+                status, kind, body = 400, "text/plain", b"bad content length"
+                self.close_connection = True
+            elif (size := int(length)) > webhook.MOST_BODY:
                 status, kind, body = 413, "text/plain", b"body too large"
                 self.close_connection = True
                 for _ in range(min(size, 8 * webhook.MOST_BODY) >> 16):  # so that the client reads the answer
                     self.rfile.read(1 << 16)
                 self.rfile.read(min(size, 8 * webhook.MOST_BODY) & 0xFFFF)
             else:
-                status, kind, body = app.handle(self.command, self.path, {k.lower(): v for k, v in self.headers.items()}, self.rfile.read(size), self.client_address[0])
+                status, kind, body, more = app.respond(self.command, self.path, {k.lower(): v for k, v in self.headers.items()}, self.rfile.read(size), self.client_address[0])
             self.send_response(status)
-            self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(body)))
+            for name, value in {"Content-Type": kind, "Content-Length": str(len(body)), **more}.items():
+                self.send_header(name, value)
             self.end_headers()
             self.wfile.write(body)
 
@@ -206,9 +286,7 @@ def http_server(app: App, host: str = "0.0.0.0", port: int | None = None) -> Thr
         def log_message(self, form, *args):
             log.debug(form, *args)
 
-    server = ThreadingHTTPServer((host, app.config.mcp.port if port is None else port), Handler)
-    server.daemon_threads = False  # so that closing waits for running requests
-    return server
+    return Server((host, app.config.mcp.port if port is None else port), Handler)
 
 
 def serve(spark, config: Config, embedder: Embedder) -> int:

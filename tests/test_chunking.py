@@ -1,6 +1,11 @@
 import random
+import re
+import time
 
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.config import Chunking
@@ -87,6 +92,75 @@ def test_force_split_bounds_and_keeps_text(spark):
     assert "".join("".join(c[1] for c in got).split()) == "".join(text.split())
 
 
+ATOMS = ["word ", "é", "e\u0301", "👩\u200d👩\u200d👧", "🇩🇪", "한", "\r\n", "\n", "\n\n", "A sentence ends here. ", "[a link](https://x.org/y) ", "`some code` ", "**two words** ", "![", "](", "* ", "<a@b.c> ", "x" * 30, "# h\n", "`", "_"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ATOMS), max_size=60), st.integers(8, 60))
+def test_no_part_begins_inside_a_cluster_or_an_inline_element(atoms, most):
+    """Checked on the parts alone: where they stand in the text, what they leave out, and what stands across each cut."""
+    text = "".join(atoms).strip()
+    parts, at, cuts = chunking.force_split(text, most), 0, []
+    for p in parts:
+        k = text.index(p, at)
+        assert not text[at:k].strip() and 0 < len(p) <= most
+        cuts.append((at, k))
+        at = k + len(p)
+    assert not text[at:].strip()
+    clusters, held = [0], 0
+    for c in regex.findall(r"\X", text):
+        held += len(c)
+        clusters.append(held)
+    elements = [(m.start(), m.end()) for m in re.finditer(r"\[a link\]\(https://x.org/y\)|`some code`|\*\*two words\*\*|<a@b\.c>", text)]
+    code = text.count("`") == 2 * text.count("`some code`") and "![" not in text and "](" not in text.replace("[a link](", "") and "* " not in text.replace("** ", "")
+    for a, b in cuts[1:]:
+        # A cluster that fits is whole; only one longer than a part may be cut.
+        inside = [x for x in zip(clusters, clusters[1:]) if x[0] < a < x[1] and x[0] < b < x[1]]
+        assert all(y - x > most for x, y in inside), (a, b)
+        if code:
+            assert not [e for e in elements if e[0] < a <= b < e[1] and e[1] - e[0] <= most], (a, b)
+
+
+def by_the_rules(parts, before, most):
+    """The documented merge of a split section's parts into the chunks before, one rule after the other."""
+    size = lambda t: len(t.strip().encode())
+    chunks, pending = list(before), None
+    for p in parts:
+        if pending is None and size(p) < 200:
+            pending = p
+        elif pending is None:
+            chunks.append(p)
+        elif size(pending + "\n\n" + p) < 200:
+            pending += "\n\n" + p
+        else:
+            chunks.append(pending + "\n\n" + p)
+            pending = None
+    if pending is not None:
+        if chunks and size(chunks[-1]) + 2 + size(pending) <= most:
+            chunks[-1] += "\n\n" + pending
+        else:
+            chunks.append(pending)
+    return chunks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 500), min_size=1, max_size=12), st.integers(0, 490))
+def test_parts_are_merged_by_the_rules(sizes, before):
+    text = "\n\n".join("x" * n for n in sizes)
+    most = 501
+    first = "# " + "y" * before
+    got = [t for t, _, _ in chunking.chunk_sections([(first, 1, 1), (text, 2, 9)], most, 1)]
+    want = by_the_rules(chunking.force_split(text, most), [first], most) if len(text) > most else [first, text]
+    assert got == want
+
+
+@pytest.mark.parametrize("junk", ["[", "`", "*a", "<", "![](", "_", "[x](", "é"])
+def test_broken_inline_elements_take_linear_time(junk):
+    began = time.monotonic()
+    assert "".join(chunking.force_split(junk * 100_000, 1000)) == junk * 100_000
+    assert time.monotonic() - began < 10
+
+
 @pytest.mark.parametrize("text", ["x" * 1000, "é" * 700, "a b " * 300, "```\n" + "code\n" * 200 + "```"])
 def test_force_split_parts(text):
     parts = chunking.force_split(text, 100)

@@ -2,14 +2,22 @@
 
 import hashlib
 import hmac
+import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern import config as settings
+from lectern import config as conf
 from lectern.functions import identity, text, vectors
-from lectern.operators import documents, embedding, frontmatter, search, service, webhook
+from lectern.operators import blocks, documents, embedding, frontmatter, search, service, webhook
+from lectern.sources import spool
+from lectern.streaming import limiter as stream_limiter
 
 
 def one(spark, value, expr, kind="string"):
@@ -39,13 +47,13 @@ def test_frontmatter(spark, content, fields, body):
 
 def test_rules_defaults_and_lint(spark):
     df = frontmatter.parse(spark.createDataFrame([("a.md", "---\ntitle: T\nstatus: null\n---\n")], "file_path string, content string"))
-    rules = settings.Frontmatter(required=("title", "type", "status"), defaults={"status": "active", "lang": "en"})
-    r = frontmatter.validate(df, rules, settings.Validation(lint_command=("sh", "-c", "echo bad >&2; exit 1", "--"))).first()
+    rules = conf.Frontmatter(required=("title", "type", "status"), defaults={"status": "active", "lang": "en"})
+    r = frontmatter.validate(df, rules, conf.Validation(lint_command=("sh", "-c", "echo bad >&2; exit 1", "--"))).first()
     assert r["fields"] == {"title": '"T"', "status": "null", "lang": '"en"'}
     assert r["errors"] == ["Missing required frontmatter field: 'type'", "Lint command failed: bad"] and not r["valid"]
-    r = frontmatter.validate(df, settings.Frontmatter(), settings.Validation(lint_command=("/no/such/program",))).first()
+    r = frontmatter.validate(df, conf.Frontmatter(), conf.Validation(lint_command=("/no/such/program",))).first()
     assert r["errors"][0].startswith("Failed to run lint command")
-    assert frontmatter.validate(df, settings.Frontmatter(), settings.Validation(lint_command=())).first()["valid"]
+    assert frontmatter.validate(df, conf.Frontmatter(), conf.Validation(lint_command=())).first()["valid"]
 
 
 @pytest.mark.parametrize("name", ["docs/a.md", "é/ü.md", ""])
@@ -108,6 +116,79 @@ def test_requests():
             search.SearchRequest(**bad).check()
 
 
+def test_batch_search_equals_single_searches(spark, monkeypatch):
+    """Blocks of queries and tiles of points; ties, nulls, zeros, and fewer points than asked for."""
+    rng = random.Random(3)
+    vectors = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] for _ in range(150)]
+    rows = [(f"p{k:03d}", v) for k, v in enumerate(vectors)] + [("zero", [0.0] * 4), ("none", None), ("hole", [1.0, None, 0.0, 1.0]), ("short", [1.0])]
+    points = spark.createDataFrame(rows, "id string, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(k, vectors[k]) for k in range(0, 150, 9)], "query_id bigint, qv array<double>")
+    for k, block, tile in ((5, blocks.BLOCK_BYTES, blocks.TILE), (5, 300, 64), (200, 300, 64), (0, 300, 64)):
+        monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+        monkeypatch.setattr(blocks, "TILE", tile)
+        got = {}
+        for r in search.top_k_batch(points, queries, k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"] is None, r["score"] or 0))
+        for q in queries.collect() if k else []:
+            single = sorted((-_cosine(v, q["qv"]) if v and len(v) == 4 and None not in v and any(v) and any(q["qv"]) else 9.0, i) for i, v in rows)[:k]
+            assert sorted(got[q["query_id"]]) == [(n + 1, i, s == 9.0, 0 if s == 9.0 else -s) for n, (s, i) in enumerate(single)]
+        assert k or not got
+    assert search.top_k_batch(points.limit(0), queries, 3).isEmpty() and search.top_k_batch(points, queries.limit(0), 3).isEmpty()
+
+
+def _cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 5)), max_size=12), max_size=8), st.integers(1, 7))
+def test_requests_are_sorted_outside_of_memory(parts, most):
+    given_ = [(np.array([t for t, _ in p], np.int64), np.array([o for _, o in p], np.int64)) for p in parts]
+    pieces = [np.stack(x, axis=1) for x in stream_limiter.in_order(iter(given_), most)]
+    got = [tuple(r) for p in pieces for r in p.tolist()]
+    assert got == sorted(x for p in parts for x in p) and all(len(p) <= 2 * most + 8 for p in pieces)
+
+
+def test_a_stream_decides_as_the_batch_form(monkeypatch):
+    """Many requests of one key, held a thousand at a time."""
+    rng = np.random.default_rng(1)
+    at, order = rng.integers(0, 50_000, 20_000), np.arange(20_000)
+    monkeypatch.setattr(stream_limiter, "HELD", 1000)
+    bucket = stream_limiter.TokenBucket(3, 4, None)
+
+    class Value:
+        v = None
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    bucket.tat, tat, want = Value(), None, []
+    monkeypatch.setattr(stream_limiter.in_order, "__defaults__", (1000,))
+    chunks = iter([pd.DataFrame({"at": at[k : k + 700], "order": order[k : k + 700]}) for k in range(0, 20_000, 700)])
+    got = pd.concat(bucket.handleInputRows((7,), chunks, None))
+    for t, o in sorted(zip(at.tolist(), order.tolist())):
+        nxt = (t if tat is None else max(tat, t)) + 4
+        want.append((o, nxt - t <= 12))
+        tat = nxt if nxt - t <= 12 else tat
+    assert list(zip(got["order"], got["accepted"])) == want and bucket.tat.v == (tat,)
+
+
+def test_deliveries_get_numbers_that_go_on(tmp_path):
+    box = spool.Spool(f"file://{tmp_path}/spool")
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(lambda k: box.append(f"b{k}", None), range(40))) == list(range(1, 41))
+    reader = spool.DeliveriesReader(box)
+    end = reader.latestOffset()
+    assert end == {"number": 40} and len({d[1] for p in reader.partitions({"number": 0}, end) for d in reader.read(p)}) == 40
+    reader.commit(end)
+    assert list(box.numbers()) == [40] and box.append("é", "s") == 41
+    assert [d for p in reader.partitions(end, reader.latestOffset()) for d in reader.read(p)] == [(41, "é", "s")]
+    with pytest.raises(ValueError):
+        spool.Spool("s3://bucket/x")
+
+
 def test_search_without_results(spark):
     df = spark.createDataFrame([], "id string, vector array<float>, title string, file_path string, line_start bigint, line_end bigint, domain string, type string, tags array<string>, text string")
     assert search.result_text(search.top_k(df, [1.0], 5)) == "No results found."
@@ -199,10 +280,10 @@ ENV = {"EMBEDDING_BASE_URL": "u", "EMBEDDING_MODEL": "m", "QDRANT_URL": "/store"
 
 
 def test_config_defaults_and_environment(tmp_path):
-    c = settings.load(tmp_path / "missing.yaml", ENV | {"EMBEDDING_VECTOR_SIZE": "4"})
+    c = conf.load(tmp_path / "missing.yaml", ENV | {"EMBEDDING_VECTOR_SIZE": "4"})
     assert (c.embedding.vector_size, c.chunking.target, c.qdrant.collection, c.indexed_fields()) == (4, 1000, "knowledge-base", ["file_path"])
     (tmp_path / "c.yaml").write_text("chunking: {max_chunk_size: 500, target_chunk_size: null}\nfrontmatter: {indexed_fields: [file_path, tags]}\nindexing: {include: ['*.txt']}\n")
-    c = settings.load(tmp_path / "c.yaml", ENV)
+    c = conf.load(tmp_path / "c.yaml", ENV)
     assert c.chunking.target == 500 and c.indexed_fields() == ["file_path", "tags"] and c.indexing.include == ("*.txt",)
 
 
@@ -215,13 +296,13 @@ def test_config_defaults_and_environment(tmp_path):
     ],
 )
 def test_config_errors(yaml, message):
-    with pytest.raises(settings.ConfigError, match=message):
-        settings.resolve(settings.parse(yaml), ENV)
+    with pytest.raises(conf.ConfigError, match=message):
+        conf.resolve(conf.parse(yaml), ENV)
 
 
 def test_config_lists_all_that_is_missing():
-    with pytest.raises(settings.ConfigError) as e:
-        settings.resolve(settings.Config(), {})
+    with pytest.raises(conf.ConfigError) as e:
+        conf.resolve(conf.Config(), {})
     assert all(x in str(e.value) for x in ("base_url", "model", "qdrant.url"))
 
 
