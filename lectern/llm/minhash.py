@@ -29,6 +29,7 @@ from lectern.llm.components import merge
 
 COORDINATES = 64
 PERCENT = 85  # similarity of a link
+DEALT = 2  # lists of a class, the longest of those it is met in, in which groups are dealt; in a group of near copies all lists hold much the same members
 MISS = 1e-9  # chance that a pair of exactly that similarity agrees in too few coordinates
 
 
@@ -80,12 +81,12 @@ def _describe(batches):
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(shingle, rid, hub) of the posting lists in which each class has to be met; `shingle` is coordinate and value in one number."""
+    """(shingle, rid, hub, deal) of the posting lists in which each class has to be met; `shingle` is coordinate and value in one number, `deal` marks the longest of them."""
     posted = classes.select("rid", F.posexplode("sig").alias("k", "v")).select("rid", F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("token"))
     lists = posted.groupBy(F.col("token").alias("_token")).agg(F.count("*").alias("length"), F.min("rid").alias("hub")).where("length > 1")
     shared = posted.join(lists.hint("merge"), F.col("token") == F.col("_token")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("length", "token", "hub"))).alias("at"))
-    met = shared.where(F.size("at") >= LEAST).select("rid", F.explode(F.slice("at", F.lit(1), F.size("at") - (LEAST - 1))).alias("x"))
-    return met.select(F.col("x.token").alias("shingle"), "rid", F.col("x.hub").alias("hub"))
+    met = shared.where(F.size("at") >= LEAST).select("rid", F.size("at").alias("lists"), F.posexplode(F.slice("at", F.lit(1), F.size("at") - (LEAST - 1))).alias("k", "x"))
+    return met.select(F.col("x.token").alias("shingle"), "rid", F.col("x.hub").alias("hub"), (F.col("k") + LEAST + DEALT > F.col("lists")).alias("deal"))
 
 
 # Columns of two classes, ending in a and b: their sizes allow the similarity, they agree in enough coordinates, and their parity bitmaps
@@ -168,12 +169,14 @@ def _link(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     records = cut(classes.join(met, F.col("rid") == F.col("_m"), "left_semi").select("rid", "n", "sig", "bits"))
     labels = cut(records.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
+    longest = members.where("deal")
+
     # First each class against the hub that it shares most lists with, and the hubs of its groups.
     near = members.where("rid <> hub").groupBy("hub", "rid").agg(F.count("*").alias("k"))
     best = near.groupBy("rid").agg(F.max_by("hub", F.struct("k", "hub")).alias("a")).select("a", F.col("rid").alias("b"))
     for pairs in (
-        lambda: _counted(best.unionByName(jaccard.dealt(members, labels, jaccard.DEALS[0])).distinct(), records),
-        lambda: _counted(jaccard.dealt(members, labels, jaccard.DEALS[1]), records),
+        lambda: _counted(best.unionByName(jaccard.dealt(longest, labels, jaccard.DEALS[0])).distinct(), records),
+        lambda: _counted(jaccard.dealt(longest, labels, jaccard.DEALS[1]), records),
         lambda: _across(members, records, labels),
     ):
         labels = merge(labels, _confirmed(pairs(), reps, body))
