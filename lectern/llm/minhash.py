@@ -96,8 +96,12 @@ _ALIKE = f"""100 * least(na, nb) >= {PERCENT} * greatest(na, nb)
     AND {100 + PERCENT} * aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (d, x) -> d + x) <= {100 - PERCENT} * (na + nb)"""
 
 
+# The first of the lists that both have to be met in and do meet in: there a pair is taken, and in no other.
+_FIRST = "array_position(transform(zip_with(siga, sigb, (x, y) -> x = y), (e, k) -> e AND (shiftright(posteda & postedb, k) & 1) = 1), true) = shiftright(l.shingle, 32) + 1"
+
+
 def _record(records: DataFrame, x: str) -> DataFrame:
-    return records.select(F.col("rid").alias(f"_{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "sig", "bits")])
+    return records.select(F.col("rid").alias(f"_{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "sig", "bits", "posted")])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -138,8 +142,8 @@ def _across(members: DataFrame, records: DataFrame, labels: DataFrame) -> DataFr
     lists = cut(lists)
     outside = lists.where("c <> hc")
     inside = lists.join(outside.select("shingle").distinct(), "shingle", "left_semi")
-    side = lambda rows, x: rows.join(_record(records, x), F.col("rid") == F.col(f"_{x}")).select("shingle", F.col("hc").alias(f"hc{x}"), F.col("rid").alias(f"rid{x}"), F.col("c").alias(f"c{x}"), f"n{x}", f"sig{x}", f"bits{x}")
-    met = F.expr(f"ca <> cb AND (cb = hcb OR rida < ridb) AND {_ALIKE}")
+    side = lambda rows, x: rows.join(_record(records, x), F.col("rid") == F.col(f"_{x}")).select("shingle", F.col("hc").alias(f"hc{x}"), F.col("rid").alias(f"rid{x}"), F.col("c").alias(f"c{x}"), f"n{x}", f"sig{x}", f"bits{x}", f"posted{x}")
+    met = F.expr(f"ca <> cb AND (cb = hcb OR rida < ridb) AND {_ALIKE} AND {_FIRST}")
     pairs = side(outside, "a").alias("l").join(side(inside, "b").alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & met)
     return cut(pairs.select(F.least("rida", "ridb").alias("a"), F.greatest("rida", "ridb").alias("b")).distinct())
 
@@ -165,8 +169,9 @@ def _link(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     classes = cut(classes.withColumn("rid", F.monotonically_increasing_id()))
     reps = jaccard.representatives(classes, sets)
     members = cut(_members(classes))
-    met = members.select(F.col("rid").alias("_m")).distinct()
-    records = cut(classes.join(met, F.col("rid") == F.col("_m"), "left_semi").select("rid", "n", "sig", "bits"))
+    coordinate = F.shiftright("shingle", 32).cast("int")
+    posted = members.groupBy(F.col("rid").alias("_m")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), coordinate)).alias("posted"))
+    records = cut(classes.join(posted, F.col("rid") == F.col("_m")).select("rid", "n", "sig", "bits", "posted"))
     labels = cut(records.select(F.col("rid").alias("node"), F.col("rid").alias("c")))
 
     longest = members.where("deal")
