@@ -6,23 +6,29 @@ and facts about the capture) and a `conversion` record (text/plain). Both deriva
 carry WARC-Refers-To with the response's record id and the response's target URI and
 date. Where the source has record ids, payload digests or WARC headers of its own, those are
 kept. Ids that are made are UUIDs of version 5 from target, date and payload digest, so a rerun
-makes the same ones; digests that are made are labelled base32 SHA-1. All of it is JVM expressions.
+makes the same ones; digests that are made are labelled base32 SHA-1. Markup is taken off in Python, in linear time; all else is JVM expressions.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lectern.llm._spark import session_for_texts
 
 CRLF = "\r\n"
 # Name space of URLs in RFC 4122, alphabet of RFC 4648 base32.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# Elements whose content is no text, elements that break lines.
+# Elements whose content is no text (in this form for the SQL), elements that break lines.
+_ELEMENTS = ("script", "style", "noscript", "template", "head")
 _DROPPED = "(?is)<(?:!--.*?-->|script[ >].*?</script *>|style[ >].*?</style *>|noscript[ >].*?</noscript *>|template[ >].*?</template *>|head[ >].*?</head *>|!doctype[^>]*>)"
 _BREAKS = "(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ /][^>]*)?>"
 _TAGS = "</?[A-Za-z][^>]*>"
@@ -30,6 +36,9 @@ _TAGS = "</?[A-Za-z][^>]*>"
 _PIECES = "[^&]+|&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|&"
 _BARE = "^&(" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
 _C1 = (0x20AC, 0, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0, 0x017D, 0, 0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0, 0x017E, 0x0178)
+_OPENING = re.compile(f"<(?:(!--)|({'|'.join(_ELEMENTS)})[ >]|(!doctype))", re.I | re.A)
+_CLOSING = {k: re.compile(f"</{k} *>", re.I | re.A) for k in _ELEMENTS} | {"!--": re.compile("-->"), "!doctype": re.compile(">")}
+_PY_BREAKS, _PY_TAGS = re.compile(_BREAKS.replace("(?i)", ""), re.I | re.A), re.compile(_TAGS)
 NAME_SLOTS = 1024  # the names are spread over so many small maps, as a map is searched from its start
 
 
@@ -70,12 +79,34 @@ def decoded(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), one), "")
 
 
+def without_markup(html: str) -> str:
+    """Dropped elements as blanks, block ends as line breaks, other tags gone. The time is linear, whatever is never closed:
+    where one search for an element's end fails, no later one is made, and behind the last > there are no tags."""
+    out, at, endless = [], 0, set()
+    for m in _OPENING.finditer(html):
+        kind = m[m.lastindex].lower()
+        if m.start() < at or kind in endless:
+            continue
+        if end := _CLOSING[kind].search(html, m.end()):
+            out += (html[at : m.start()], " ")
+            at = end.end()
+        else:
+            endless.add(kind)
+    text = "".join((*out, html[at:]))
+    for pattern, to in ((_PY_BREAKS, "\n"), (_PY_TAGS, "")):
+        last = text.rfind(">") + 1
+        text = pattern.sub(to, text[:last]) + text[last:]
+    return text
+
+
+@F.pandas_udf(StringType())
+def _without_markup(html: pd.Series) -> pd.Series:
+    return html.map(without_markup, na_action="ignore")
+
+
 def html_text(html: Column) -> Column:
     """Readable text: dropped elements gone, block ends as line breaks, character references decoded, blanks squeezed."""
-    t = F.regexp_replace(html, _DROPPED, " ")
-    t = F.regexp_replace(t, _BREAKS, "\n")
-    t = F.regexp_replace(t, _TAGS, "")
-    t = decoded(t)
+    t = decoded(_without_markup(html))
     t = F.regexp_replace(t, "[\\t\\r\\x0B\\f][ \\t\\r\\x0B\\f]*| [ \\t\\r\\x0B\\f]+", " ")  # single blanks are not touched
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.btrim(t, F.lit(" \n"))
@@ -120,6 +151,7 @@ def derive(df: DataFrame, id_col: str = "page_id", url: str = "url", payload: st
     state itself, the metadata record lists them all. A null payload or URL is empty; equal responses get equal made ids, as repeated
     captures of one date are one resource; an empty table gives no rows. No shuffle.
     """
+    session_for_texts(df.sparkSession)
     optional = lambda c: df[f"`{c}`"].cast("string") if c else F.lit(None).cast("string")
     body = df.select(
         df[f"`{id_col}`"].alias("id"),

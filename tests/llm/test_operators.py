@@ -313,6 +313,26 @@ def test_warc_records(spark):
     assert warc.derive(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+UNITS = ["<!-- ", "-->", "<script >", "<SCRIPT ", "</script >", "<style>", "</Style>", "<head ", "</head>", "<!doctype", ">", "<p", "<p ", "</div>", "<a", "<a href=1>", "text", "\n", "<", "</", "<!--", "ſ", "<noscript>", "</noscript   >"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(UNITS), max_size=30).map("".join))
+def test_markup_goes_as_the_patterns_say(html):
+    ascii_ = lambda p: re.compile(p.replace("(?is)", "").replace("(?i)", ""), re.I | re.S | re.A)
+    want = re.compile(warc._TAGS).sub("", ascii_(warc._BREAKS).sub("\n", ascii_(warc._DROPPED).sub(" ", html)))
+    assert warc.without_markup(html) == want
+
+
+def test_two_megabytes_of_openings_take_linear_time():
+    import time
+
+    for unit in ("<!-- a", "<script ", "<head >x", "<!doctype", "<p ", "<a", "</div ", "<script </script ", "<!-- <style> ", "< ", "<!--><p>"):
+        began = time.time()
+        warc.without_markup(unit * (2_000_000 // len(unit)))
+        assert time.time() - began < 4, unit
+
+
 def test_warc_decodes_every_reference(spark):
     import html
 
@@ -425,7 +445,35 @@ def test_constants_that_double_and_names_of_any_length():
     assert named(f'a = "Zk93!f"\na = a + "jw#Qz81"\npassphrase = a\n') == ['Zk93!f"\na = a + "jw#Qz81']
     assert named(f'secret.{"x" * 500} = "{value}"') == [value] and named(f'passphrase{" " * 300}= "{value}"') == [value]
     assert named(f'credential: str = "{value}"') == [value] and named(f'x["passphrase"] = "{value}"') == [value]
-    assert named('passphrase = "' + "aB3$kd92LmQ!x7Zp" * 256 + '"') and not named('passphrase = "' + "aB3$kd92LmQ!x7Zp" * 256 + 'a"')
+
+
+def test_literals_of_any_length():
+    import base64
+    import time
+
+    rng, began = random.Random(3), time.time()
+    named = lambda text: [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "named"]
+    for n in (4000, 6300, 100_000, 3_000_000):
+        value = base64.b64encode(rng.randbytes(n)).decode()[:n]
+        assert named(f"db_passphrase = '{value}'") == [value]
+        assert named(f"a = '{value}'\nb = a + '!'\ndb_passphrase = b\n") == [f"{value}'\nb = a + '!"]
+        for hidden in ("x" * n, "<" + value + ">", "${" + value + "}", "your_" + value, value + " " + value, "*" * n):
+            assert not named(f"db_passphrase = '{hidden}'")
+    grown = named("passphrase = 'aB3$kd92LmQ!x7Zp'\n" + "passphrase = passphrase + passphrase\n" * 3000)
+    assert len(grown) == 1  # one span, from the constant itself
+    named("".join(f"token{k} = '{'aB3$kd92LmQ!x7Zp' * 4}'\ntoken{k} = token{k - 1} + token{k}\n" for k in range(1, 5000)))
+    assert time.time() - began < 30
+
+
+@given(st.lists(st.text(alphabet="xX*.<>${}%ab Zk9!_your-", max_size=40), min_size=1, max_size=5))
+def test_scores_of_sums_are_those_of_the_whole(parts):
+    whole = "".join(parts)
+    total = secrets.Characters.of("")
+    for p in parts:
+        total = total + secrets.Characters.of(p)
+    assert abs(secrets.character_score(total) - secrets.literal_score(whole)) < 1e-9
+    long = secrets.Characters.of(whole * 20)
+    assert "\n" in whole or secrets.is_placeholder(long) == bool(secrets.PLACEHOLDER.match(whole * 20))
 
 
 def test_secrets_query_on_documents(spark):
