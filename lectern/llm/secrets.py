@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,8 +42,6 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|non
 THRESHOLD = 0.55
 LEAST_LITERAL = 8
 
-MOST_LITERAL = 4096  # longer literals are data and no credentials: they score 0
-
 _OPERATOR = re.compile(r"=>|:=|[=:]")
 # A name before its operator, read backwards: blanks, a closing quote, a bracket or both, or a type, the name.
 _EMAN = re.compile(r"""[ \t]*(?:\]?["']|\]|\w*[A-Za-z_][^\S\n]*:[^\S\n]*)?([A-Za-z0-9_.\-]*[A-Za-z_])""", re.ASCII)
@@ -75,44 +74,90 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+HEAD, TAIL = 64, 2  # characters that say whether a literal is a placeholder
+
+
+@dataclass(frozen=True)
+class Characters:
+    """What a score needs of a literal of any length: how often it holds each character, and its ends. Those of a sum follow from its parts'."""
+
+    length: float
+    head: str
+    tail: str
+    codes: array
+    counts: array
+
+    @classmethod
+    def of(cls, literal: str) -> Characters:
+        n = Counter(literal)
+        return cls(len(literal), literal[:HEAD], literal[-TAIL:], array("I", map(ord, n)), array("d", n.values()))
+
+    def __add__(self, other: Characters) -> Characters:
+        n = Counter(dict(zip(self.codes, self.counts)))
+        for c, k in zip(other.codes, other.counts):
+            n[c] += k
+        length = self.length + other.length
+        scale = 1.0 if length < 1e15 else 1e-3  # a constant doubled for ever; only shares count
+        head = self.head if len(self.head) == HEAD else (self.head + other.head)[:HEAD]
+        tail = other.tail if len(other.tail) == TAIL else (self.tail + other.tail)[-TAIL:]
+        return Characters(length * scale, head, tail, array("I", n), array("d", (k * scale for k in n.values())))
+
+
+class Runs:
+    """Characters of the ends of bare words. In `a=b=c` each operator begins a literal up to the end of the same word: they are summed from the right, once."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.starts, self.sums = text, -1, [], []
+
+    def characters(self, a: int, b: int) -> Characters:
+        if b != self.end:
+            self.end, self.starts = b, [m.end() for m in _OPERATOR.finditer(self.text, a, b)]
+            total, sums = Characters.of(""), []
+            for x, y in zip(reversed(self.starts), reversed([*self.starts[1:], b])):
+                total = Characters.of(self.text[x:y]) + total
+                sums.append(total)
+            self.sums = sums[::-1]
+        i = bisect_left(self.starts, a)
+        return Characters.of(self.text[a : self.starts[i]]) + self.sums[i] if i < len(self.starts) else Characters.of(self.text[a:b])
+
+
 class Literal:
-    """A run of the text, or two literals joined. Joining copies nothing, so constants built of constants cost a node each."""
+    """A run of the text, or two literals joined. Joining copies nothing, so constants built of constants cost a node each, until a score is asked for."""
 
-    __slots__ = ("first", "start", "end", "length", "parts")
+    __slots__ = ("first", "start", "end", "empty", "parts", "known", "bare")
 
     def __init__(self, start: int, end: int, parts: tuple[Literal, Literal] | None = None):
         self.first = parts[0].first if parts else start
-        self.start, self.end, self.parts = start, end, parts
-        self.length = parts[0].length + parts[1].length if parts else end - start
-        if self.length > MOST_LITERAL:
-            self.length, self.parts = MOST_LITERAL + 1, None  # what it says is not asked for any more
+        self.start, self.end, self.parts, self.known = start, end, parts, None
+        self.empty, self.bare = not parts and start == end, False
 
     def __add__(self, other: Literal) -> Literal:
         start, end = min(self.start, other.start), max(self.end, other.end)
-        if not other.length or not self.length:
-            kept = Literal.__new__(Literal)
-            x = self if self.length else other
-            kept.first, kept.start, kept.end, kept.length, kept.parts = x.first, start, end, x.length, x.parts or ((x, _NOTHING) if x.length and (start, end) != (x.start, x.end) else None)
+        if self.empty or other.empty:
+            x = other if self.empty else self
+            kept = Literal(start, end, (x, _NOTHING))
+            kept.empty = x.empty
             return kept
         return Literal(start, end, (self, other))
 
-    def read(self, text: str) -> str | None:
-        """Its characters, None if they are over MOST_LITERAL."""
-        if self.length > MOST_LITERAL:
-            return None
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if not x.length:
+    def characters(self, runs: Runs) -> Characters:
+        stack = [self]
+        while self.known is None:
+            x = stack[-1]
+            waiting = [p for p in x.parts or () if p.known is None]
+            if waiting:
+                stack += waiting
                 continue
-            if x.parts:
-                stack += reversed(x.parts)
-            else:
-                out.append(text[x.start : x.end])
-        return "".join(out)
+            x.known = x.parts[0].known + x.parts[1].known if x.parts else runs.characters(x.start, x.end) if x.bare else Characters.of(runs.text[x.start : x.end])
+            x.parts = None  # its sum says all
+            stack.pop()
+            while stack and stack[-1].known is not None:
+                stack.pop()
+        return self.known
 
 
 _NOTHING = Literal(0, 0)
+_NOTHING.known = Characters.of("")
 
 
 @dataclass(frozen=True)
@@ -162,6 +207,7 @@ def name_literal_pairs(text: str) -> Iterator[Pair]:
             else:
                 break
             piece = Literal(a, b)
+            piece.bare = not is_quoted
             if not is_quoted:
                 word, known = piece, _IDENTIFIER.fullmatch(text, a, b)
                 if known and (known[1] in constants or known[1] in unquoted):
@@ -201,14 +247,27 @@ def name_score(name: str) -> float:
     return min(1.0, weights[0] + 0.25 * sum(weights[1:])) if weights else 0.0
 
 
-def literal_score(literal: str) -> float:
-    """0 for placeholders, prose, short and overlong values; nears 1 for long values of high entropy."""
-    n = len(literal)
-    if not LEAST_LITERAL <= n <= MOST_LITERAL or any(c.isspace() for c in literal) or PLACEHOLDER.match(literal):
+def is_placeholder(c: Characters) -> bool:
+    """PLACEHOLDER of a literal of any length: long ones are no fixed words, so their ends and characters decide."""
+    if c.length <= HEAD:
+        return bool(PLACEHOLDER.match(c.head))
+    kinds = {chr(x) for x in c.codes}
+    enclosed = any(c.head.startswith(a) and c.tail.endswith(b) for a, b in (("<", ">"), ("${", "}"), ("{{", "}}"), ("%", "%")))
+    return enclosed or kinds <= {"x", "X"} or kinds == {"*"} or kinds == {"."} or c.head[:5].lower() in ("your_", "your-")
+
+
+def character_score(c: Characters) -> float:
+    """0 for placeholders, prose and short values; nears 1 for long values of high entropy, however long."""
+    n = c.length
+    if n < LEAST_LITERAL or any(chr(x).isspace() for x in c.codes) or is_placeholder(c):
         return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (0.5 + 0.5 * min(1.0, classes / 2)) * min(1.0, n / 12)
+    entropy = -sum(k / n * math.log2(k / n) for k in c.counts)
+    kinds = {"a" if "a" <= x <= "z" else "A" if "A" <= x <= "Z" else "0" if "0" <= x <= "9" else "." for x in map(chr, c.codes)}
+    return min(1.0, entropy / 4) * (0.5 + 0.5 * min(1.0, len(kinds) / 2)) * min(1.0, n / 12)
+
+
+def literal_score(literal: str) -> float:
+    return character_score(Characters.of(literal))
 
 
 def named_spans(text: str, base: list[Span]) -> list[Span]:
@@ -218,12 +277,12 @@ def named_spans(text: str, base: list[Span]) -> list[Span]:
     covered = sorted((s.start, s.end) for s in base)
     starts, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
     found: dict[tuple[int, int], float] = {}
+    runs = Runs(text)
     for pair in name_literal_pairs(text):
         sensitive = name_score(pair.name)
-        literal = pair.literal.read(text) if sensitive else None
-        if not literal:
+        if not sensitive or pair.literal.empty:
             continue
-        score = sensitive * literal_score(literal)
+        score = sensitive * character_score(pair.literal.characters(runs))
         before = bisect_right(starts, pair.span[0])
         if score >= THRESHOLD and not (before and reach[before - 1] >= pair.span[1]):
             found[pair.span] = max(score, found.get(pair.span, 0.0))
