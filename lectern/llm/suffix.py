@@ -315,7 +315,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         last, _ = _settle(_next(docs, open_, _compared, _ROWS.replace("hull bigint", "hull binary")))
         marks = marks.unionByName(more).unionByName(last)
     every = marks.select("id", "th", "lo", (F.col("hi") + LENGTH).alias("hi"))
-    own = every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
+    # A set: rows repeated under one id have the same ranges, and each range travels once.
+    own = every.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("lo", "hi")).alias("items"))
     return own.mapInArrow(_maximal, f"_id {kind}, _th bigint, items array<struct<lo:bigint,hi:bigint>>")
 
 
