@@ -53,7 +53,7 @@ def status(spark, config, out=print) -> int:
 
 def find(spark, config, request: search.SearchRequest) -> str:
     collection = store.Collection(spark, config.qdrant.url, config.qdrant.collection)
-    return search.find(collection.points(request.filters()), embedder_of(config), request)
+    return search.find(collection, embedder_of(config), request)
 
 
 def check_health(url: str, out=print) -> int:

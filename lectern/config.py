@@ -63,6 +63,7 @@ class Qdrant:
 
     url: str | None = None
     collection: str = "knowledge-base"
+    graph: bool = False  # single searches by a graph of the points, which runs keep up
 
 
 @dataclass(frozen=True)

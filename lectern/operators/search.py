@@ -98,6 +98,10 @@ def where_all(df: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
 def top_k(points: DataFrame, vector: Sequence[float], k: int, filters: Mapping[str, Any] | None = None, column: str = "vector", id_col: str = "id") -> DataFrame:
     """The k points of highest cosine similarity with `score` and `rank`, ties to the smaller id."""
     scored = where_all(points, filters or {}).withColumn("score", vectors.cosine(F.col(column), vectors.literal(vector)))
+    return ranked(scored, k, id_col)
+
+
+def ranked(scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     best = scored.orderBy(F.desc_nulls_last("score"), F.col(id_col)).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.col(id_col))).cast("bigint"))
 
@@ -126,10 +130,10 @@ def result_text(results: DataFrame) -> str:
     return "".join(r[0] for r in rows).strip() or "No results found."
 
 
-def find(points: DataFrame, embedder: Embedder, request: SearchRequest) -> str:
-    """The text that answers a request on stored points; title, domain, type and tags are shown where they are strings."""
+def find(collection, embedder: Embedder, request: SearchRequest) -> str:
+    """The text that answers a request on a store; title, domain, type and tags are shown where they are strings."""
     request.check()
-    best = top_k(points, embed_query(embedder, request.query), resolve_limit(request.limit), request.filters())
+    best = collection.nearest(embed_query(embedder, request.query), resolve_limit(request.limit), request.filters())
     text = lambda k: json_string(F.col("payload"), f"$.{k}")
     return result_text(best.withColumns({"title": text("title"), "domain": text("domain"), "type": text("type"), "tags": json_strings(F.col("payload"), "$.tags")}))
 

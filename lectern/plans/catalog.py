@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern._workers import scratch
 from lectern.config import Chunking
 from lectern.functions import identity, text, vectors
-from lectern.operators import chunking, frontmatter, limiter, search, webhook
+from lectern.operators import chunking, frontmatter, graph, limiter, search, webhook
 from lectern.plans import corpus as data
 from lectern.plans import indexer
 from lectern.sources import store
@@ -130,6 +130,15 @@ def embedded_words(spark, sf_dir):
     return slots.select("vec_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+@_query()
+def graph_search(spark, sf_dir):
+    """Single searches by graphs, without and with a filter; the tests hold them against all points."""
+    p, q = data.points(spark, sf_dir), data.query_vector(spark, sf_dir)
+    built = graph.build(p)
+    found = [(n, graph.top_k(built, p, q, 10, f)) for n, f in (("all", None), ("t1", {"type": "t1"}), ("any", {"tags": ["t1", "u2"]}))]
+    return reduce(DataFrame.unionByName, [_shown(best).withColumn("name", F.lit(n)) for n, best in found])
+
+
 # -- stored points: typed filters and facets --------------------------------------------------------
 
 @_query(f"WITH {data.TYPED_SQL} SELECT vec_id FROM typed WHERE vec_id % 2 = 0 AND vec_id % 7 = 3")

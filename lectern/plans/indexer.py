@@ -22,6 +22,8 @@ from lectern.sources import discovery, store
 
 log = logging.getLogger(__name__)
 
+GRAPH_AGE = 0.2  # share of points in no graph from which it is built again
+
 
 class ValidationFailed(RuntimeError):
     pass
@@ -114,6 +116,8 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
             n_chunks = new_state.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
             if counts.get("ready") or n_gone or full:
                 collection.apply(fresh, gone, new_state, full)
+                if config.qdrant.graph:
+                    collection.build_graph(GRAPH_AGE)
             n_found = found.count()
         finally:
             planned.unpersist()

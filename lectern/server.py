@@ -204,9 +204,7 @@ class App:
                 kinds = {"query": str, "domain": str, "type": str, "tags": list, "limit": int}
                 if not isinstance(given.get("query"), str) or any(v is not None and (not isinstance(v, kinds.get(k, object)) or isinstance(v, bool)) for k, v in given.items()) or (given.get("limit") or 0) < 0 or not all(isinstance(t, str) for t in given.get("tags") or []):
                     raise search.RequestError("arguments of the wrong type")
-                request = search.SearchRequest(**{k: v for k, v in given.items() if k in kinds})
-                request.check()
-                said = search.find(self.collection.points(request.filters()), self.embedder, request)
+                said = search.find(self.collection, self.embedder, search.SearchRequest(**{k: v for k, v in given.items() if k in kinds}))
             elif name == "get_document":
                 if not isinstance(given.get("path"), str):
                     raise documents.DocumentError("arguments of the wrong type")

@@ -50,6 +50,8 @@ class VectorStore(Protocol):
     def indexed(self) -> list[str]: ...
     def points(self, filters: Mapping[str, Any] | None = None) -> DataFrame: ...
     def facet(self, field: str, limit: int) -> DataFrame: ...
+    def nearest(self, vector, k: int, filters: Mapping[str, Any] | None = None) -> DataFrame: ...
+    def build_graph(self, least: float = 0.0) -> bool: ...
     def state(self) -> DataFrame: ...
     def count(self) -> int | None: ...
     def apply(self, fresh: DataFrame, stale: DataFrame, new_state: DataFrame, full: bool = False) -> int: ...
@@ -271,6 +273,52 @@ class Collection:
         pointer = self.versions.latest()
         return sum(s["rows"] - s["dead"] for s in pointer["points"]["segments"]) if pointer else None
 
+    def nearest(self, vector, k: int, filters: Mapping[str, Any] | None = None) -> DataFrame:
+        """The k points of highest cosine that meet the filters, without their vectors, with score and rank: by the graph, if there is one.
+
+        What has come since it was built is scanned, what has gone is left out; where the graph finds fewer than k, all points are scanned.
+        """
+        from lectern.operators import graph, search
+
+        pointer = self._have()
+        built = pointer.get("graph")
+        scan = lambda: search.top_k(self.points(filters), vector, k, filters).drop("vector")
+        if not built or not k:
+            return scan()
+        have = [s["id"] for s in pointer["points"]["segments"]]
+        old, fresh = ([i for i in have if (i in built["segments"]) == known] for known in (True, False))
+        unused = {c for f in pointer["indexed"] if f != "file_path" for c in promoted_names(f)} - set(pointer["used"])
+        rows = search.where_all(self._scan(pointer, "points", segments=old).drop(*unused), filters or {}).drop("vector")
+        more = k if filters else 2 * k + 16  # some may have gone
+        found = graph.search(self.spark.read.schema(graph.GRAPH).parquet(f"{self.path}/{built['id']}"), vector, more, rows.select("id") if filters else None)
+        found = [(r["id"], r["score"]) for r in found.orderBy(F.desc("score"), "id").limit(more).collect()]
+        hits = rows.where(F.col("id").isin([i for i, _ in found])).join(F.broadcast(self.spark.createDataFrame(found, "id string, score double")), "id") if found else None
+        if fresh:
+            own = search.top_k(self._scan(pointer, "points", segments=fresh).drop(*unused), vector, k, filters).drop("vector", "rank")
+            hits = own if hits is None else hits.select(own.columns).unionByName(own)
+        if hits is None or hits.limit(k).count() < k:
+            return scan()
+        return search.ranked(hits, k)
+
+    def build_graph(self, least: float = 0.0) -> bool:
+        """Builds the graph of all points, if more than a share `least` of them is in none. Whether it did."""
+        from lectern.operators import graph
+
+        pointer, self._made = self._have(), []
+        segments = pointer["points"]["segments"]
+        known = set((pointer.get("graph") or {}).get("segments", ()))
+        new, total = (sum(s["rows"] - s["dead"] for s in some) for some in ([s for s in segments if s["id"] not in known], segments))
+        if not total or new <= least * total:
+            return False
+        name = self._new("graph")
+        graph.build(self._scan(pointer, "points"), count=total).write.parquet(f"{self.path}/{name}")
+        for _ in range(ATTEMPTS):  # others may go on meanwhile: the graph is of the segments that it names
+            if self._put(pointer, {"graph": {"id": name, "segments": [s["id"] for s in segments]}}) is not None:
+                return True
+            pointer = self._have()
+        self.versions.delete(f"{self.path}/{name}")
+        return False
+
     # -- writing -------------------------------------------------------------------------------------
 
     def _new(self, what: str) -> str:
@@ -430,4 +478,5 @@ def _size(segment: dict) -> int:
 def _folders(pointer: dict) -> set[str]:
     """Everything that a version names."""
     tables = [pointer[k] for k in ("points", "state")]
-    return {x["id"] for t in tables for part in ("segments", "deletes") for x in t[part]} | set(pointer["keywords"])
+    graph = [pointer["graph"]["id"]] if pointer.get("graph") else []
+    return {x["id"] for t in tables for part in ("segments", "deletes") for x in t[part]} | {*pointer["keywords"], *graph}

@@ -6,12 +6,13 @@ import threading
 import time
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern import config as settings
-from lectern.operators import documents, search
+from lectern.operators import documents, graph, search
 from lectern.operators.embedding import HashingEmbedder
 from lectern.plans import indexer
 from lectern.sources import discovery, store
@@ -202,6 +203,61 @@ def test_filters_read_the_files_that_hold_them(spark, tmp_path):
         assert found.count() == rows and len(col.points(filters).inputFiles()) == few <= all_files == 5, filters
 
 
+def exact_top(rows, query, k):
+    unit = lambda v: np.array(v, float) / np.linalg.norm(np.array(v, float))
+    return [i for _, i in sorted((-float(unit(v) @ unit(query)), i) for i, v in rows)[:k]]
+
+
+def test_graph_search_finds_what_a_scan_finds(spark):
+    """Recall on clustered vectors over several blocks, all queries against all points; filters are respected."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24)) * 2
+    vectors = (centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24))).astype(np.float32)
+    rows = [(f"p{k:04d}", v.tolist(), f"d{k % 3}", f"rare{k % 500}") for k, v in enumerate(vectors)] + [("null", None, "d0", "x"), ("zero", [0.0] * 24, "d0", "x")]
+    points = spark.createDataFrame(rows, "id string, vector array<float>, domain string, tag string").cache()
+    built = graph.build(points, block=2000).cache()
+    assert built.count() == 4 and sum(len(r["ids"]) for r in built.select("ids").collect()) == 6000
+    hit = 0
+    for filters, chosen in ((None, rows[:6000]), ({"domain": "d1"}, [r for r in rows[:6000] if r[2] == "d1"]), ({"tag": "rare7"}, [r for r in rows if r[3] == "rare7"])):
+        for q in rng.choice(6000, 7, replace=False):
+            query = vectors[q] + 0.3 * rng.normal(size=24)
+            allowed = None if filters is None else search.where_all(points, filters).select("id")
+            got = [r["id"] for r in graph.search(built, query.tolist(), 10, allowed).orderBy(F.desc("score"), "id").limit(10).collect()]
+            want = exact_top([(r[0], r[1]) for r in chosen], query, 10)
+            assert set(got) <= {r[0] for r in chosen} and (filters != {"tag": "rare7"} or got == want)
+            hit += len(set(got) & set(want))
+    assert hit >= 0.95 * 210
+    few = graph.top_k(built, points, vectors[0].tolist(), 14, {"tag": "rare7"})  # more than there are
+    assert few.count() == 12 and graph.search(built, [0.0] * 24, 3).isEmpty() and graph.search(built, [1.0], 3).isEmpty()
+
+
+def test_a_collection_searches_by_its_graph(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    col = store.Collection(spark, f"file://{tmp_path}/s", "c")
+    col.ensure(8, ["domain"])
+    vectors = {f"{k}.md": rng.normal(size=8).astype(np.float32).tolist() for k in range(300)}
+
+    def rows(paths):
+        return spark.createDataFrame([(f"id-{p}", vectors[p], "{}", p, 0, p, 1, 1, f"d{len(p)}", None, None, None, None, None) for p in paths], store.points_schema(["domain"]))
+
+    files = Files(spark)
+    col.apply(rows(vectors), files.gone([]), files.state(vectors))
+    assert not col.build_graph(1.0) and col.build_graph(0.2) and not col.build_graph(0.2)
+    query = rng.normal(size=8).tolist()
+    top = lambda k, f=None: [r["text"] for r in col.nearest(query, k, f).orderBy("rank").collect()]
+    assert top(10) == exact_top(vectors.items(), query, 10) and top(0) == []
+    assert top(5, {"domain": "d4"}) == exact_top([x for x in vectors.items() if len(x[0]) == 4], query, 5)
+    best = top(3)
+    vectors[best[0]] = [-x for x in query]  # moved to the far end
+    vectors["new.md"] = query
+    col.apply(rows([best[0], "new.md"]), files.gone([best[1]]), files.state([best[0], "new.md"]))
+    del vectors[best[1]]
+    assert top(8) == exact_top(vectors.items(), query, 8) and top(8)[0] == "new.md"
+    assert len(top(300)) == 300 and "vector" not in col.nearest(query, 3).columns
+    folders = len(list((tmp_path / "s/c/graph").iterdir()))
+    assert col.build_graph(0.0) and top(8) == exact_top(vectors.items(), query, 8) and folders == 1
+
+
 def test_a_writer_that_has_lost_the_lock_changes_nothing(spark, tmp_path):
     col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
     col.ensure(1, ["n"])
