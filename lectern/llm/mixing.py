@@ -165,6 +165,18 @@ def cube_sample(units: DataFrame, largest: int, block: int = BLOCK) -> DataFrame
         salt += 1
 
 
+STEP = 10_000  # copies of a row that are made from one array
+
+
+def _times(rows: DataFrame, n, name: str, spread: bool = False) -> DataFrame:
+    """Every row n times, numbered from 1 in `name`, STEP at a time; `spread` deals the steps of a row to many tasks."""
+    steps = rows.withColumn("_times", n).where("_times > 0").withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_times") - 1) / F.lit(STEP)))))
+    if spread:
+        steps = steps.repartition(F.xxhash64(*[c for c in rows.columns if c != "_row"], "_step"))
+    within = F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(STEP).cast("bigint"), F.col("_times") - F.col("_step") * F.lit(STEP)))
+    return steps.withColumn(name, F.explode(within)).withColumn(name, F.col(name) + F.col("_step") * F.lit(STEP)).drop("_times", "_step")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size and a `key` drawn from id and text; equal rows share a key and differ in `dup`."""
     base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source}`"].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[f"`{text}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("key"))
@@ -192,8 +204,8 @@ def _mix(docs, id_col, text, source, weights, share, most) -> DataFrame:
     mixed = cut(targets(sources, weights, share, most, few))
     largest = mixed.agg(F.max("n_docs")).first()[0] or 0
     # Rows equal in key, source and size are interchangeable: they are counted, not told apart.
-    grouped = every.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("_n"))
-    apart = grouped.withColumn("dup", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n").withColumn("dup", F.col("dup").cast("bigint"))
+    grouped = cut(every.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("_n")))
+    apart = _times(grouped, F.col("_n"), "dup", spread=not grouped.where(F.col("_n") > STEP).isEmpty()).drop("_n")
     rate = mixed.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumnRenamed("source", "_source")
     full = apart.join(F.broadcast(rate) if few else rate, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor(F.col("rate") + F.lit(EPS))
@@ -205,19 +217,40 @@ def _mix(docs, id_col, text, source, weights, share, most) -> DataFrame:
     return out.select("doc_id", "key", "dup", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", copies.alias("n_copies"), (copies * F.col("size")).alias("taken"))
 
 
-BROADCAST_ROWS = 500_000  # documents up to this many (some 30 MB of keys) are broadcast to the scan; more are joined by shuffle
+BROADCAST_ROWS = 500_000  # keys up to this many (some 30 MB) are broadcast to the scan; more are joined by shuffle
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs as often as the mix holds them, all columns kept."""
-    drawn = cut(mix(docs, id_col, text, source, **options).where("n_copies > 0").select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("dup").alias("_dup"), "n_copies"))
+    """The rows of docs as often as the mix holds them, all columns kept.
+
+    Rows of one id, text and source share what the mix takes of them as evenly as can be; where it does not come out even, those
+    whose other columns have the smaller hashes are taken once more.
+    """
+    taken = mix(docs, id_col, text, source, **options).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.sum("n_copies").alias("_total"), F.count("*").alias("_rows"))
+    drawn = cut(taken.where("_total > 0"))
     # The row travels as one struct, so its columns' names cannot clash with the keys'.
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("_k"), docs[f"`{source}`"].cast("string").alias("_s"))
-    if keyed.groupBy("_k", "_s").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
-        keyed = keyed.withColumn("_d", F.lit(1).cast("bigint"))
-    else:
-        keyed = keyed.withColumn("_d", F.row_number().over(Window.partitionBy("_k", "_s").orderBy(F.to_json("_row"))).cast("bigint"))
-    if drawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        drawn = F.broadcast(drawn)
-    found = keyed.join(drawn, (F.col("_k") == F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_d") == F.col("_dup")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    small = drawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = keyed.join(F.broadcast(drawn) if small else drawn, (F.col("_k") == F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")))
+    odd = F.col("_total") % F.col("_rows") != 0
+    out = _times(found.where(~odd), F.expr("_total div _rows"), "_copy").select("_row")
+    if not drawn.where(odd).isEmpty():
+        out = out.unionByName(_shared(found.where(odd)))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """`_row` of rows of one key (_k, _s) that share _total copies among _rows: the first _total % _rows in the order of hashes get one more.
+
+    Equal rows are counted first and rank as a block, and blocks are ranked over ranges of the order, so no key meets in one task.
+    """
+    blocks = found.groupBy("_k", "_s", F.sha2(F.to_json("_row"), 256).alias("_v"), "_total", "_rows").agg(F.first("_row").alias("_row"), F.count("*").cast("double").alias("_m"))
+    placed = cut(_running(blocks, False, [F.col("_k").asc(), F.col("_s").asc_nulls_last(), F.col("_v").asc()], "_m"))
+    begin = cut(placed.groupBy(F.col("_k").alias("_bk"), F.col("_s").alias("_bs")).agg(F.min("_before_m").alias("_begin")))
+    small = begin.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ranked = placed.join(F.broadcast(begin) if small else begin, (F.col("_k") == F.col("_bk")) & F.col("_s").eqNullSafe(F.col("_bs")))
+    before, m = (F.col("_before_m") - F.col("_begin")).cast("bigint"), F.col("_m").cast("bigint")
+    more = F.greatest(F.lit(0), F.least(before + m, F.col("_total") % F.col("_rows")) - before)
+    copies = F.expr("_total div _rows") * m + more
+    counted = ranked.select("_row", "_k", "_s", "_v", copies.cast("bigint").alias("_copies")).where("_copies > 0")
+    return _times(counted, F.col("_copies"), "_copy", spread=True).select("_row")

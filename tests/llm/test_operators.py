@@ -575,6 +575,30 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_share_what_the_mix_takes(spark, monkeypatch):
+    """Rows of one id, text and source, equal or not in other columns: shares differ by one at most, whatever the steps and partitions."""
+    rows = [(1, "a b c", "x", i % 3) for i in range(500)] + [(2, "a b", "x", i) for i in range(300)] + [(None, None, None, 0)] * 40 + [(10 + i, "w " * (i % 9), ("x", "y", None)[i % 3], 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra bigint")
+    want = collections.Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"]] += r["n_copies"]
+    have = collections.Counter(rows)
+    results = []
+    for step, broadcast, parts in ((10_000, 500_000, 4), (7, 0, 3)):
+        monkeypatch.setattr(mixing, "STEP", step)
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+        got = collections.Counter(map(tuple, mixing.mixed_rows(df.repartition(parts)).collect()))
+        by_id = collections.Counter()
+        for r, n in got.items():
+            by_id[r[0]] += n
+        assert by_id == +want and all(n <= 2 * have[r] for r, n in got.items())
+        for i, n in ((1, 500), (2, 300), (None, 40)):
+            least = want[i] // n
+            assert all(least * m <= got[r] <= (least + 1) * m for r, m in have.items() if r[0] == i)
+        results.append(got)
+    assert results[0] == results[1]
+
+
 def test_mixing_query_on_documents(spark):
     """Targets, bounds and sizes of the query's rows, the same rows on a rerun, and words near every target."""
     sf = SF.replace("0.001", "0.01")
