@@ -9,7 +9,9 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import os
 import subprocess
+import tempfile
 from functools import cache
 
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern._workers import importable
 from lectern.config import Frontmatter, Validation
+from lectern.sources import trees
 
 _FENCE = r"(?s)^---[ \t]*\r?\n(.*?)(?:(?<=\n)|(?<=^---\n))---[ \t]*(?:\r?\n|$)"
 _MAP = "map<string,string>"
@@ -96,23 +99,42 @@ def string_field(fields: Column, name: str) -> Column:
 
 
 def lint(files: DataFrame, command, root: str = "") -> DataFrame:
-    """files plus `lint_errors`: the command is run with each file's path; no command is no check."""
+    """files plus `lint_errors`: the command is run with each file's path; no command is no check.
+
+    Under a root that is not on a disk the command gets a copy of the file, of the same relative name, which the task makes from `content`.
+    """
     if not command:
         return files.withColumn("lint_errors", F.array().cast("array<string>"))
     command = list(command)
     importable(files.sparkSession)
 
     columns, place = files.columns, files.columns.index("file_path")
+    tree = trees.portable(root) if root else None
+    on_disk = not root or isinstance(tree, trees.LocalTree)
+    base = tree.root if root and on_disk else ""
+
+    def check(path: str, shown: str) -> list[str]:
+        try:
+            done = subprocess.run([*command, path], capture_output=True, text=True)
+        except OSError as e:
+            return [f"Failed to run lint command: {e}"]
+        return [] if done.returncode == 0 else [f"Lint command failed: {(done.stderr or done.stdout).strip().replace(path, shown)}"]
+
+    def copied(path: str, content: str) -> list[str]:
+        with tempfile.TemporaryDirectory() as folder:
+            at = os.path.join(folder, path)
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(at, "w", encoding="utf-8", newline="") as f:
+                f.write(content)
+            return check(at, f"{root.rstrip('/')}/{path}")
 
     def run(batches):
         for b in batches:
-            found = []
-            for p in b.column(place).to_pylist():
-                try:
-                    done = subprocess.run([*command, f"{root}/{p}" if root else p], capture_output=True, text=True)
-                    found.append([] if done.returncode == 0 else [f"Lint command failed: {(done.stderr or done.stdout).strip()}"])
-                except OSError as e:
-                    found.append([f"Failed to run lint command: {e}"])
+            paths = b.column(place).to_pylist()
+            if on_disk:
+                found = [check(p, p) for p in (f"{base}/{p}" if base else p for p in paths)]
+            else:
+                found = [copied(*x) for x in zip(paths, b.column(columns.index("content")).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*columns, "lint_errors"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)

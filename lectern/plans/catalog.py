@@ -492,6 +492,66 @@ def discovered_files(spark, sf_dir):
     return discovery.load(spark, found, root).select("file_path", identity.content_hash(F.col("content")).alias("content_hash"))
 
 
+@_query(f"""WITH {data.CORPUS_SQL} SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) AND doc_id % 10 <> 7 THEN sha256(body) END AS content_hash,
+    CASE WHEN doc_id % 6 = 2 THEN 'File path is outside the data directory' WHEN doc_id % 6 = 3 THEN 'File not found: none/' || doc_id || '.md'
+        WHEN doc_id % 6 = 4 OR doc_id % 10 = 7 AND doc_id % 6 <> 5 THEN 'File type not permitted' WHEN doc_id % 6 = 5 THEN 'File not found: ' || doc_id || '.md/x' END AS error FROM corpus""")
+def retrieved_documents(spark, sf_dir):
+    """A path for every document: plain, roundabout, out of the root, of no file, of another type, below a file, or of a link to a folder."""
+    from lectern.operators import documents
+
+    d = data.corpus(spark, sf_dir)
+    n = F.col("doc_id").cast("string")
+    ending = F.when(F.col("doc_id") % 6 == 4, ".txt").otherwise(".md")
+    root = scratch(spark, "raw")
+    data.write_tree(d.select(F.concat(n, ending).alias("path"), "body", ((F.col("doc_id") % 10 == 7) & (F.col("doc_id") % 6 != 5)).alias("link")), root)
+    kinds = [F.concat(n, ending), F.concat(F.lit("./../"), F.lit(root.rsplit("/", 1)[1]), F.lit("/"), n, ending), F.lit(".."), F.concat(F.lit("none/"), n, ending), F.concat(n, ending), F.concat(n, ending, F.lit("/x"))]
+    asked = d.select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % 6 + 1).cast("int")).alias("path"))
+    return documents.get_documents(asked, root, ["**/*.md"]).select("doc_id", identity.content_hash(F.col("document")).alias("content_hash"), "error")
+
+
+_CHANGED_SQL = f"""changed AS (
+    SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN body || chr(10) || chr(10) || '## Added' || chr(10) || 'later' ELSE body END AS body) FROM corpus WHERE doc_id % 11 <> 3)"""
+_RUNS_SQL = _PACKED_SQL.replace(",\n    lines AS", f",\n    {_CHANGED_SQL},\n    lines AS", 1).replace("FROM corpus)", "FROM changed WHERE title IS NOT NULL)")
+
+
+@_query(f"""{_RUNS_SQL}, texts AS (
+        SELECT file_path, count(*)::BIGINT AS chunk_count, sha256(string_agg(coalesce(description || chr(10) || chr(10), '') || text, chr(10) ORDER BY chunk_index)) AS text_hash FROM chunks GROUP BY file_path)
+    SELECT file_path, sha256('---' || chr(10) || 'title: ' || title || chr(10) || CASE WHEN description IS NULL THEN '' ELSE 'description: ' || description || chr(10) END || '---' || chr(10) || body) AS content_hash,
+        chunk_count, chunk_count AS n_points, text_hash, true AS dated,
+        (SELECT count(*) FROM changed)::BIGINT AS discovered, (SELECT count(*) FROM changed WHERE title IS NOT NULL AND doc_id % 5 = 0)::BIGINT AS indexed,
+        (SELECT count(*) FROM changed WHERE title IS NOT NULL AND doc_id % 5 <> 0)::BIGINT AS skipped, (SELECT count(*) FROM changed WHERE title IS NULL)::BIGINT AS invalid,
+        (SELECT count(*) FROM corpus WHERE title IS NOT NULL AND doc_id % 11 = 3)::BIGINT AS orphans
+    FROM changed JOIN texts USING (file_path)""")
+def indexed_runs(spark, sf_dir):
+    """Two index runs of the corpus as files: between them every fifth file grows, and every eleventh makes way for a link and so is gone.
+
+    The collection's state and points after the second, its chunks put together in order, and that run's summary. Files without a title are invalid.
+    """
+    from lectern import config
+    from lectern.operators.embedding import HashingEmbedder
+
+    n, root = F.col("doc_id"), scratch(spark, "files")
+    field = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}: "), F.col(k), F.lit("\n"))).otherwise("")
+    files = lambda d: d.select(F.col("file_path").alias("path"), F.concat(F.lit("---\n"), field("title"), field("description"), F.lit("---\n"), "body").alias("body"), (n % 11 == 3).alias("link"))
+    settings = config.Config(
+        source=config.Source(data_path=root), chunking=_WHOLE, embedding=config.Embedding(vector_size=8), qdrant=config.Qdrant(url=scratch(spark, "runs")),
+        frontmatter=config.Frontmatter(required=("title",), indexed_fields=("title",)),
+    )
+    docs = data.corpus(spark, sf_dir)
+    data.write_tree(files(docs).withColumn("link", F.lit(False)), root)
+    indexer.run_index(spark, settings, HashingEmbedder(8))
+    grown = docs.withColumn("body", F.when(n % 5 == 0, F.concat("body", F.lit("\n\n## Added\nlater"))).otherwise(F.col("body")))
+    data.write_tree(files(grown.where((n % 5 == 0) | (n % 11 == 3))), root)
+    began = spark.range(1).select(F.current_timestamp()).first()[0]
+    s = indexer.run_index(spark, settings, HashingEmbedder(8))
+    c = store.Collection(spark, settings.qdrant.url, settings.qdrant.collection)
+    texts = c.points().groupBy("file_path").agg(F.count("*").alias("n_points"), F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("own"))
+    whole = texts.select("file_path", "n_points", F.sha2(F.array_join(F.col("own")["text"], "\n"), 256).alias("text_hash"))
+    dated = F.col("indexed_at").isNotNull() & ((F.col("indexed_at") >= F.lit(began)) == F.col("file_path").rlike(r"[05]\.md$"))
+    said = [F.lit(getattr(s, k)).cast("bigint").alias(k) for k in ("discovered", "indexed", "skipped", "invalid", "orphans")]
+    return c.state().select("file_path", "content_hash", "chunk_count", dated.alias("dated")).join(whole, "file_path", "full").select("*", *said)
+
+
 @_query(f"""WITH {data.TYPED_SQL} SELECT vec_id, '{{"active":' || (vec_id % 3 = 0) || ',"priority":' || CASE WHEN vec_id % 2 = 0 THEN (vec_id % 7)::VARCHAR ELSE '"' || (vec_id % 7) || '"' END
     || ',"tags":["x' || (vec_id % 5) || '","u' || vec_id || '",' || (vec_id % 4) || ',true],"file_path":"vec/' || vec_id || '","chunk_index":0,"text":"' || vec_id || '","line_start":1,"line_end":1}}' AS payload FROM typed""")
 def stored_payloads(spark, sf_dir):

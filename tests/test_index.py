@@ -470,3 +470,19 @@ def test_limiter_takes_long_keys_in_one_pass(spark):
 
     df = spark.range(200_000).select(F.lit("k").alias("k"), F.timestamp_seconds(F.col("id")).alias("t"), F.col("id").alias("i"))
     assert limiter.admitted(df, "k", "t", "i", 1, 2).where("accepted").count() == 100_000
+
+
+@pytest.mark.parametrize("idle_ms, again", [(1, True), (3_600_000, False)])
+def test_idle_keys_lose_their_state(spark, tmp_path, idle_ms, again):
+    """A bucket that was silent for longer than idle_ms is full once more; one that was not stays empty."""
+    from lectern.streaming.limiter import admit
+
+    schema = "key bigint, at bigint, order bigint"
+    for run in range(2):
+        spark.createDataFrame([(1, 1_000_000, run)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        requests = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = admit(requests, 1, 3600, idle_ms).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        time.sleep(1)
+    accepted = {r["order"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert accepted == {0: True, 1: again}

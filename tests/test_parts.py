@@ -56,6 +56,21 @@ def test_rules_defaults_and_lint(spark):
     assert frontmatter.validate(df, conf.Frontmatter(), conf.Validation(lint_command=())).first()["valid"]
 
 
+def test_lint_of_files_that_are_on_no_disk(spark):
+    """Tasks lint copies of the same name and content; messages name the file where it is."""
+    rows = [("sub/a.md", "good\n"), ("sub/é.md", "bad\r\n")]
+    df = spark.createDataFrame(rows, "file_path string, content string")
+    command = ("sh", "-c", 'grep -q good "$1" || { echo "$1: $(wc -c < "$1") bytes"; exit 1; }', "--")
+    got = {r["file_path"]: r["lint_errors"] for r in frontmatter.lint(df, command, "s3://bucket/data/").collect()}
+    assert got == {"sub/a.md": [], "sub/é.md": ["Lint command failed: s3://bucket/data/sub/é.md: 5 bytes"]}
+
+
+def test_lint_by_a_file_url(spark, tmp_path):
+    (tmp_path / "a.md").write_text("good")
+    df = spark.createDataFrame([("a.md", "not looked at")], "file_path string, content string")
+    assert frontmatter.lint(df, ("grep", "-q", "good"), f"file://{tmp_path}").first()["lint_errors"] == []
+
+
 @pytest.mark.parametrize("name", ["docs/a.md", "é/ü.md", ""])
 def test_point_id(spark, name):
     assert one(spark, name, lambda x: identity.point_id(x, F.lit(3))) == str(uuid.uuid5(uuid.NAMESPACE_X500, f"{name}::3"))
@@ -208,6 +223,28 @@ def test_documents(tmp_path):
             get(path)
 
 
+def test_many_documents_as_one(spark, tmp_path):
+    """The batch form says what the single form says, for each row and with its other columns."""
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "out.md").write_text("secret")
+    (tmp_path / "in" / "sub" / "a.md").write_text("é")
+    (tmp_path / "in" / "b.txt").write_text("x")
+    (tmp_path / "in" / "c.md").write_bytes(b"\xff")
+    (tmp_path / "in" / "l.md").symlink_to(tmp_path / "out.md")
+    root, paths = str(tmp_path / "in"), ["sub/a.md", "./sub/../sub/a.md", f"{tmp_path}/in/sub/a.md", "b.txt", "c.md", "l.md", "../out.md", "/etc/passwd", "none.md", "sub", "", "sub/a.md"]
+
+    def single(p):
+        try:
+            return documents.get_document(root, p, ["**/*.md"]), None
+        except documents.DocumentError as e:
+            return None, str(e)
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*paths, None])], "n int, path string")
+    got = {r["n"]: (r["document"], r["error"]) for r in documents.get_documents(df, root, ["**/*.md"]).collect()}
+    assert got == {**{i: single(p) for i, p in enumerate(paths)}, len(paths): (None, "File not found")}
+    assert got[0] == ("é", None) and got[5][1] == got[6][1] == "File path is outside the data directory"
+
+
 def test_webhook_providers(spark):
     body = '{"ref":"refs/heads/master"}'
     mac = hmac.new(b"s", body.encode(), hashlib.sha256).hexdigest()
