@@ -1,9 +1,14 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals (operator 10).
 
 Coarse centroids and residual codebooks are fitted by k-means on a bounded sample;
-every vector is indexed. A query visits the lists of its best centroids, ranks
-their members by asymmetric distance tables (query against codewords) and reranks the
-best of each portion exactly on the original vectors in double precision.
+every vector is indexed. A query visits lists, estimates its inner products with their members
+by asymmetric distance tables (query against codewords) and scores exactly, on the original vectors
+in double precision, those members that can be among its nearest.
+
+What is passed over is passed over by bounds, so the answer is exact whatever the vectors are: an inner product differs from that with the
+centroid by at most the query's length times the member's distance from the centroid, and from the estimate by at most the query's length
+times what quantising left of the member. Both are held against a floor under the query's k nearest, first from the sample, then from the
+portion itself. Vectors in clusters lie in few lists that pass; vectors without clusters, like those of the test tables, in most.
 
 Equal vectors are one class: whatever the query, they tie, and ties go to the smaller
 id, so of a class only its k + 1 smallest ids can ever be returned. The index is a table of
@@ -11,9 +16,8 @@ classes in the order of their lists, cut into portions of some PORTION classes w
 list is many tasks. Queries come in blocks of bounded size, which are broadcast to a scan of the index;
 vectors are never copied or shuffled for a query.
 
-PROBE_SHARE is high because vectors without clusters, like those of the test tables, have
-their neighbours in most lists; for clustered embeddings a few percent do. With probe_share=1 and shortlist=None the
-search is exact.
+With probe_share a query visits that share of the lists only, and with a shortlist so many members of a portion are scored: then the search is
+approximate, and how much of the truth it finds depends on the vectors.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ from lectern.llm._spark import Scope, cut, session_for_texts
 K = 20
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on
 MOST_LISTS = 1024
-PROBE_SHARE = 0.8  # share of the lists a query visits ...
-LEAST_PROBES = 16  # ... but at least so many
+LEAST_PROBES = 16  # lists that a query visits at least where probe_share limits them
 SUBSPACES = 16
 CODEWORDS = 256
-SHORTLIST = 256  # classes of a portion that are reranked for a query
 PORTION = 8192  # classes that are looked at together
-BLOCK_BYTES = 16 << 20  # of the queries that are broadcast at a time, and of the lists each of them visits
+BLOCK_BYTES = 16 << 20  # of the queries that are broadcast at a time, and of their products with the centroids
+FLOOR_BYTES = 8 << 20  # of the sample's vectors that give queries their floor
+ROUNDING = 1e-9  # more than sums of products can be off, as a share of the lengths' product
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.RandomState) -> np.ndarray:
@@ -59,6 +63,11 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, 1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
+def _parts(x: np.ndarray, m: int, w: int) -> np.ndarray:
+    """Vectors in m parts of w components, the last one filled up with zeros."""
+    return np.pad(x, ((0, 0), (0, m * w - x.shape[1]))).reshape(len(x), m, w)
+
+
 @dataclass
 class Index:
     """Coarse centroids (lists x d) and residual codebooks (subspaces x codewords x width)."""
@@ -76,9 +85,9 @@ class Index:
         x = sample.astype(np.float64)
         centroids = _kmeans(x, min(lists, len(x)), 12, rng)
         residual = x - centroids[_nearest(x, centroids)]
-        d = x.shape[1]
-        m = max(s for s in range(1, min(SUBSPACES, d) + 1) if d % s == 0)
-        parts = residual.reshape(len(x), m, d // m)
+        w = -(-x.shape[1] // SUBSPACES)
+        m = -(-x.shape[1] // w)
+        parts = _parts(residual, m, w)
         books = np.stack([_kmeans(parts[:, j], min(CODEWORDS, len(x)), 8, rng) for j in range(m)])
         return cls(centroids, books)
 
@@ -86,9 +95,14 @@ class Index:
         """List and residual codes of each vector."""
         near = _nearest(x, self.centroids)
         m, _, w = self.codebooks.shape
-        parts = (x - self.centroids[near]).reshape(len(x), m, w)
+        parts = _parts(x - self.centroids[near], m, w)
         return near, np.stack([_nearest(np.ascontiguousarray(parts[:, j]), self.codebooks[j]) for j in range(m)], 1).astype(np.uint8)
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What is known of vectors from their lists and codes."""
+        residual = np.concatenate([self.codebooks[j][codes[:, j]] for j in range(len(self.codebooks))], 1)
+        return self.centroids[lists] + residual[:, : self.dimension]
+
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         """The n lists whose centroids have the largest inner product with each query."""
         s = q @ self.centroids.T
@@ -98,7 +112,7 @@ class Index:
     def asymmetric(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Estimated inner products, queries x vectors, from one table for each query and subspace."""
         m, _, w = self.codebooks.shape
-        tables = np.einsum("qjw,jkw->jqk", q.reshape(len(q), m, w), self.codebooks)
+        tables = np.einsum("qjw,jkw->jqk", _parts(q, m, w), self.codebooks)
         out = (q @ self.centroids.T)[:, lists]
         for j in range(m):
             out += tables[j][:, codes[:, j]]
@@ -118,8 +132,8 @@ def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return body.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probe_share: float = PROBE_SHARE, least_probes: int = LEAST_PROBES, shortlist: int | None = SHORTLIST, most_lists: int = MOST_LISTS) -> DataFrame:
-    """Each query's k nearest among all other rows by inner product: query_id, rank, the id, score.
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probe_share: float | None = None, least_probes: int = LEAST_PROBES, shortlist: int | None = None, most_lists: int = MOST_LISTS) -> DataFrame:
+    """Each query's k nearest among all other rows by inner product: query_id, rank, the id, score. None is missed, unless probe_share or a shortlist limits the search.
 
     Ties go to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty, zero,
     hold null or non-finite components, or have another length than most, take no part; rows
@@ -148,12 +162,14 @@ def _search(vectors, queries, id_col, vector, k, probe_share, least_probes, shor
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     classes = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")))
     n = classes.count()
-    sample = classes.orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
+    sample = classes.orderBy("h", "v").limit(SAMPLE).select("v", F.col("ids")[0].alias("id")).toArrow()
     lists = int(min(most_lists, max(1, round(math.sqrt(n)))))
     index = Index.fit(_matrix(sample.column(0), d), lists)
     lists = len(index.centroids)
-    probes = min(lists, max(least_probes, math.ceil(probe_share * lists)))
+    probes = lists if probe_share is None else min(lists, max(least_probes, math.ceil(probe_share * lists)))
     packed = pickle.dumps(index)
+    # Rows of different ids: k + 1 of them are k neighbours at least, whichever id asks. A limited search may find none as near, so it has no floor.
+    lone = _matrix(sample.column("v"), d)[_lone(sample.column("id").to_pylist())][: FLOOR_BYTES // (d * 8)] if probes == lists and shortlist is None else np.zeros((0, d))
 
     def assign(batches):
         ix = pickle.loads(packed)
@@ -165,9 +181,18 @@ def _search(vectors, queries, id_col, vector, k, probe_share, least_probes, shor
     members = cut(members.repartitionByRange(max(1, math.ceil(n / PORTION)), "list", "h").sortWithinPartitions("list", "h"))
     asked = usable(queries, id_col, vector).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     asked = cut(asked.withColumn("h", F.xxhash64("v")))
-    blocks = max(1, math.ceil(asked.count() * (d * 8 + probes * 4 + lists) / BLOCK_BYTES))
+    blocks = max(1, math.ceil(asked.count() * (d + lists) * 8 / BLOCK_BYTES))
+
+    def floors(batches):
+        for b in batches:
+            q = _matrix(b.column(0), d)
+            with np.errstate(all="ignore"):
+                floor = _next_best(q @ lone.T - ROUNDING * _length(q)[:, None] * _length(lone), k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor)], ["v", "h", "key", "floor"])
+
     # Equal queries are answered together; a block is read by itself and holds about BLOCK_BYTES.
-    distinct = cut(asked.groupBy("v", "h").agg(F.min("id").alias("key")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "block")
+    distinct = asked.groupBy("v", "h").agg(F.min("id").alias("key")).select("v", "h", "key").mapInArrow(floors, f"v array<double>, h bigint, key {kind}, floor double")
+    distinct = cut(distinct.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "block")
     found = [cut(_visited(members, distinct.where(F.col("block") == i), packed, d, k, kind, id_type, probes, shortlist)) for i in range(blocks)]
     every = reduce(DataFrame.unionByName, found)
     # An id in several classes counts with its nearest.
@@ -181,30 +206,74 @@ def _search(vectors, queries, id_col, vector, k, probe_share, least_probes, shor
     return rows.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("x")["id"].alias(id_col), F.col("x")["score"].alias("score"))
 
 
+def _length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def _lone(ids: list) -> np.ndarray:
+    """The first place of each id."""
+    return np.array(sorted({x: i for i, x in reversed(list(enumerate(ids)))}.values()), int)
+
+
+def _next_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the score of rank k + 1; -inf where there are fewer."""
+    if scores.shape[1] <= k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(np.where(np.isnan(scores), -np.inf, scores), -k - 1, 1)[:, -k - 1]
+
+
 def _visited(members: DataFrame, queries: DataFrame, packed: bytes, d: int, k: int, kind: str, id_type, probes: int, shortlist: int | None) -> DataFrame:
-    """(key, id, score): of each portion of the index the k + 1 ids nearest to each query of a block that visits one of its lists."""
-    block = queries.select("key", "v").toArrow()
-    asked, keys = _matrix(block.column("v"), d).copy(), block.column("key").to_pylist()
-    near = pickle.loads(packed).probes(asked, probes).astype(np.int32) if len(keys) else np.zeros((0, probes), np.int32)
+    """(key, id, score): of each portion of the index the k + 1 ids nearest to each query of a block, as far as they can be among its k + 1 nearest of all."""
+    block = queries.select("key", "v", "floor").toArrow()
+    asked, keys, floor = _matrix(block.column("v"), d).copy(), block.column("key").to_pylist(), block.column("floor").to_numpy()
 
-    def portion(ix, visits, x, ids, lists, codes):
+    def portion(ix, x, ids, lists, codes):
         out_q, out_id, out_s = [], [], []
-        present = np.unique(lists)
-        some = np.flatnonzero(visits[:, present].any(1))
+        present, place = np.unique(lists, return_inverse=True)
+        far, left = _length(x - ix.centroids[lists]), _length(x - ix.decode(lists, codes))
+        rounding = ROUNDING * (_length(x) + 2 * far + left)
+        reach = np.zeros(len(present))
+        np.maximum.at(reach, place, far + rounding)
+        lone = np.zeros(len(x), bool)
+        lone[_lone([i[0] for i in ids])] = True
+        coarse = asked @ ix.centroids.T
+        size = _length(asked)
+        visits = ~(coarse[:, present] + size[:, None] * reach < floor[:, None])
+        if probes < len(ix.centroids):
+            near = np.zeros(coarse.shape, bool)
+            np.put_along_axis(near, ix.probes(asked, probes), True, 1)
+            visits &= near[:, present]
+        some = np.flatnonzero(visits.any(1))
+        some = some[np.argsort(coarse[some].argmax(1), kind="stable")]  # those that visit the same lists together
         for at in range(0, len(some), 128):
             rows = some[at : at + 128]
-            q = asked[rows]
-            estimate = np.where(visits[rows][:, lists], ix.asymmetric(q, lists, codes), -np.inf)
-            short = np.argpartition(-estimate, shortlist - 1, 1)[:, :shortlist] if shortlist and len(x) > shortlist else np.tile(np.arange(len(x)), (len(q), 1))
+            own = np.flatnonzero(visits[rows].any(0)[place])
+            q, v, only = asked[rows], x[own], lone[own]
+            seen = visits[rows][:, place[own]]
+            estimate = np.where(seen, ix.asymmetric(q, lists[own], codes[own]), -np.inf)
+            slack = size[rows][:, None] * (left + rounding)[own]
+            least = np.fmax(floor[rows], _next_best((estimate - slack)[:, only], k))
+            able = seen & ~(estimate + slack < least[:, None])
+            if shortlist and len(own) > shortlist:
+                short = np.zeros(able.shape, bool)
+                np.put_along_axis(short, np.argpartition(-estimate, shortlist - 1, 1)[:, :shortlist], True, 1)
+                able &= short
+            left_over = np.flatnonzero(able.any(0))
+            own, v, only, able = own[left_over], v[left_over], only[left_over], able[:, left_over]
+            # Products narrow it down to the k + 1 best and what is within rounding of them; what counts is each one's own sum.
+            slack = size[rows][:, None] * rounding[own]
+            products = np.where(able, q @ v.T, -np.inf)
+            least = np.fmax(least, _next_best((products - slack)[:, only], k))
+            able &= ~(products + slack < least[:, None])
             for i in range(len(q)):
-                own = np.sort(short[i][estimate[i, short[i]] > -np.inf])
-                exact = (x[own] * q[i]).sum(1)
+                best = own[able[i]]
+                exact = (x[best] * q[i]).sum(1)
                 got: dict = {}
                 last = None  # the score after which no class can add an id
                 for j in np.argsort(-exact, kind="stable").tolist():
                     if last is not None and exact[j] < last:
                         break
-                    for y in ids[own[j]]:
+                    for y in ids[best[j]]:
                         got.setdefault(y, exact[j])
                     if last is None and len(got) > k:
                         last = exact[j]
@@ -216,17 +285,16 @@ def _visited(members: DataFrame, queries: DataFrame, packed: bytes, d: int, k: i
 
     def run(batches):
         ix = pickle.loads(packed)
-        visits = np.zeros((len(keys), len(ix.centroids)), bool)
-        np.put_along_axis(visits, near.astype(np.int64), True, 1)
         held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(b)
-            if n >= PORTION:
-                yield portion(ix, visits, *columns(held))
-                held, n = [], 0
-        if n:
-            yield portion(ix, visits, *columns(held))
+        with np.errstate(all="ignore"):  # a comparison with what is no number leaves nothing out
+            for b in batches:
+                held.append(b)
+                n += len(b)
+                if n >= PORTION:
+                    yield portion(ix, *columns(held))
+                    held, n = [], 0
+            if n:
+                yield portion(ix, *columns(held))
 
     def columns(held):
         t = pa.Table.from_batches(held)

@@ -909,6 +909,27 @@ def test_ann_repeated_rows_and_any_ids(spark, monkeypatch):
         assert got == {q: sorted(x, key=lambda i: (-x[i], i))[:10] for q, x in best.items()}
 
 
+@pytest.mark.parametrize("kind", ["prime", "lengths", "outliers", "clusters"])
+def test_ann_misses_none_whatever_the_vectors(spark, monkeypatch, kind):
+    """Dimensions that 16 does not divide, lengths that differ widely, few vectors far longer than the rest, tight clusters: the exact answer."""
+    monkeypatch.setattr(ann, "PORTION", 700)
+    rng = np.random.RandomState(14)
+    x = rng.randn(2000, 67 if kind == "prime" else 32)
+    if kind == "lengths":
+        x *= np.exp(rng.randn(len(x), 1))
+    if kind == "outliers":
+        x[::50] *= 100
+    if kind == "clusters":
+        x = 3 * x[rng.randint(0, 20, len(x))] + 0.01 * x
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 20):
+        s = (x * x[q]).sum(1)
+        assert got[q] == [i for i in np.lexsort((np.arange(len(x)), -s)).tolist() if i != q][:20]
+
+
 # -- scratch tables ---------------------------------------------------------------------------------
 
 def test_operators_remove_their_scratch_tables(spark):
