@@ -24,7 +24,7 @@ NEAR = 48  # nearest points that links are chosen among
 LINKS = 16  # links that a point chooses; as many again may come from points that choose it
 BEAM = 96  # points that a search keeps in view
 FEW = 0.1  # share of a block's points up to which a filter's are all scored
-TILE = 2048  # points compared with a block at a time
+TILE_BYTES = 16 << 20  # of similarities, or of vectors, that a step works on: a task holds a few of these besides its block
 
 GRAPH = "block int, ids array<string>, vectors binary, links binary, pivots binary"
 
@@ -33,21 +33,24 @@ def _nearest(unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the k most similar others and their similarity, best first."""
     n = len(unit)
     at, sim = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
-    for a in range(0, n, TILE):
-        s = unit[a : a + TILE] @ unit.T
+    step = max(1, TILE_BYTES // (4 * n))
+    for a in range(0, n, step):
+        s = unit[a : a + step] @ unit.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < n else np.argsort(-s, axis=1)[:, :k]
+        np.negative(s, out=s)  # the least first
+        best = np.argpartition(s, k - 1, axis=1)[:, :k] if k < n else np.argsort(s, axis=1)[:, :k]
         found = np.take_along_axis(s, best, 1)
-        order = np.argsort(-found, axis=1, kind="stable")
-        at[a : a + TILE], sim[a : a + TILE] = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+        order = np.argsort(found, axis=1, kind="stable")
+        at[a : a + step], sim[a : a + step] = np.take_along_axis(best, order, 1), -np.take_along_axis(found, order, 1)
     return at, sim
 
 
 def _spread(unit: np.ndarray, at: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """Which of the near points to link: none that is closer to one already linked than to the point itself, so that links lead in different directions."""
     chosen = np.zeros(at.shape, bool)
-    for a in range(0, len(at), TILE // 4):
-        near, own, keep = unit[at[a : a + TILE // 4]], sim[a : a + TILE // 4], chosen[a : a + TILE // 4]
+    step = max(1, TILE_BYTES // (4 * at.shape[1] * max(at.shape[1], unit.shape[1])))
+    for a in range(0, len(at), step):
+        near, own, keep = unit[at[a : a + step]], sim[a : a + step], chosen[a : a + step]
         between = np.einsum("nid,njd->nij", near, near, optimize=True)
         for r in range(at.shape[1]):
             covered = ((between[:, r, :r] > own[:, r, None]) & keep[:, :r]).any(axis=1) if r else np.zeros(len(near), bool)

@@ -134,7 +134,9 @@ def embedded_words(spark, sf_dir):
 def graph_search(spark, sf_dir):
     """Single searches by graphs, without and with a filter; the tests hold them against all points."""
     p, q = data.points(spark, sf_dir), data.query_vector(spark, sf_dir)
-    built = graph.build(p)
+    at = scratch(spark, "graph")
+    graph.build(p).write.parquet(at)  # once for all searches
+    built = spark.read.schema(graph.GRAPH).parquet(at)
     found = [(n, graph.top_k(built, p, q, 10, f)) for n, f in (("all", None), ("t1", {"type": "t1"}), ("any", {"tags": ["t1", "u2"]}))]
     return reduce(DataFrame.unionByName, [_shown(best).withColumn("name", F.lit(n)) for n, best in found])
 

@@ -231,6 +231,17 @@ def test_graph_search_finds_what_a_scan_finds(spark):
     assert few.count() == 12 and graph.search(built, [0.0] * 24, 3).isEmpty() and graph.search(built, [1.0], 3).isEmpty()
 
 
+def test_linking_a_block_takes_bounded_memory():
+    import tracemalloc
+
+    vectors = np.random.default_rng(6).normal(size=(6000, 24)).astype(np.float32)
+    tracemalloc.start()
+    links, _ = graph.linked(vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links.shape == (6000, 32) and peak < 120 << 20
+
+
 def test_a_collection_searches_by_its_graph(spark, tmp_path):
     rng = np.random.default_rng(5)
     col = store.Collection(spark, f"file://{tmp_path}/s", "c")
