@@ -8,7 +8,9 @@ import math
 import time
 import urllib.error
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -33,6 +35,12 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+@lru_cache(1 << 16)
+def _hashed(word: str) -> tuple[int, float]:
+    h = hashlib.md5(word.encode()).digest()
+    return int.from_bytes(h[:4], "little"), 1.0 if h[4] & 1 else -1.0
+
+
 class HashingEmbedder:
     """Signed feature hashing of lower-cased words: deterministic and offline, for tests and trials."""
 
@@ -43,9 +51,9 @@ class HashingEmbedder:
         out = []
         for t in texts:
             v = [0.0] * self.size
-            for w in t.lower().split():
-                h = hashlib.md5(w.encode()).digest()
-                v[int.from_bytes(h[:4], "little") % self.size] += 1.0 if h[4] & 1 else -1.0
+            for w, n in Counter(t.lower().split()).items():
+                slot, sign = _hashed(w)
+                v[slot % self.size] += sign * n
             n = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / n for x in v])
         return out

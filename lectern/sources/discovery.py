@@ -29,6 +29,7 @@ log = logging.getLogger(__name__)
 
 PORTION = 10_000  # paths in a batch
 PORTION_BYTES = 32 << 20  # of contents that the driver reads at a time, where only it can
+BATCH, BATCH_BYTES = 1000, 1 << 20  # files, and characters of their contents, from which a task sends a batch
 
 
 # -- what is selected ------------------------------------------------------------------------------
@@ -194,9 +195,9 @@ def read(files: DataFrame, root: str) -> DataFrame:
         return _written(spark, rows, "file_path string, content string", lambda r: len(r[1]) / PORTION_BYTES + 1 / PORTION)
 
     def run(batches):
-        for b in batches:
-            for p, content in _contents(tree, b.column(0).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([content], pa.string())], ["file_path", "content"])
+        paths = (p for b in batches for p in b.column(0).to_pylist())
+        for some in _portions(_contents(tree, paths), lambda r: len(r[1]) / BATCH_BYTES + 1 / BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], ["file_path", "content"])
 
     importable(spark)
     # Paths are small and their contents are not: dealt out by number, not by size.

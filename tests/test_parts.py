@@ -370,3 +370,17 @@ def test_http_embedder_batches_and_sorts():
     e._post = lambda texts: {"data": []}
     with pytest.raises(embedding.EmbeddingError, match="count mismatch"):
         e.embed(["a"])
+
+
+def test_words_are_hashed_once_however_often_they_occur(monkeypatch):
+    plain, seen = hashlib.md5, []
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda b: seen.append(b) or plain(b))
+    words = [f"Once{i}" for i in range(50)]
+    got = embedding.HashingEmbedder(8).embed([" ".join(words * 40), " ".join(words[:7])])
+    assert len(seen) <= len(words)
+    for vector, said in zip(got, (words * 40, words[:7])):
+        want = np.zeros(8)
+        for w in said:
+            h = plain(w.lower().encode()).digest()
+            want[int.from_bytes(h[:4], "little") % 8] += 1 if h[4] & 1 else -1
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1))
