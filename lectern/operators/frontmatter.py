@@ -65,7 +65,7 @@ def parse(files: DataFrame) -> DataFrame:
     importable(files.sparkSession)
     # One search of each text; what is inside is read from the fence alone.
     fenced = files.withColumn("_fence", F.regexp_extract("content", _FENCE, 0))
-    split = fenced.withColumn("_yaml", F.regexp_extract("_fence", _FENCE, 1)).withColumn("body", F.when(F.col("_fence") != "", F.substr("content", F.char_length("_fence") + 1)).otherwise(F.col("content"))).drop("_fence")
+    split = fenced.withColumn("_yaml", F.coalesce(F.regexp_extract("_fence", _FENCE, 1), F.lit(""))).withColumn("body", F.when(F.col("_fence") != "", F.substr("content", F.char_length("_fence") + 1)).otherwise(F.col("content"))).drop("_fence")
 
     @F.pandas_udf("string")
     def to_json(s):
@@ -99,7 +99,7 @@ def string_field(fields: Column, name: str) -> Column:
 
 
 def lint(files: DataFrame, command, root: str = "") -> DataFrame:
-    """files plus `lint_errors`: the command is run with each file's path; no command is no check.
+    """files plus `lint_errors`: the command is run with each file's path, unless its `content` is null; no command is no check.
 
     Under a root that is not on a disk the command gets a copy of the file, of the same relative name, which the task makes from `content`.
     """
@@ -131,10 +131,11 @@ def lint(files: DataFrame, command, root: str = "") -> DataFrame:
     def run(batches):
         for b in batches:
             paths = b.column(place).to_pylist()
-            if on_disk:
-                found = [check(p, p) for p in (f"{base}/{p}" if base else p for p in paths)]
-            else:
-                found = [copied(*x) for x in zip(paths, b.column(columns.index("content")).to_pylist())]
+            contents = b.column(columns.index("content")).to_pylist() if "content" in columns else [""] * len(paths)
+            found = []
+            for p, content in zip(paths, contents):
+                at = f"{base}/{p}" if base else p
+                found.append([] if content is None else check(at, at) if on_disk else copied(p, content))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*columns, "lint_errors"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)

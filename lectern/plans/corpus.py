@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,9 +118,10 @@ def write_tree(files: DataFrame, root: str) -> None:
             for path, body, link in zip(*(c.to_pylist() for c in b.columns)):
                 at = Path(top, path)
                 at.parent.mkdir(parents=True, exist_ok=True)
-                if link:
-                    at.unlink(missing_ok=True)
-                    at.symlink_to(top)
+                if link:  # put in one step, as a task may be tried again, or twice at a time
+                    beside = at.with_name(f"{uuid.uuid4().hex}.new")
+                    beside.symlink_to(top)
+                    os.replace(beside, at)
                 else:
                     at.write_bytes(body.encode())
             yield b.slice(0, 0).select(["path"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern._workers import scope
+from lectern._workers import scope, scratch
 from lectern.config import Config
 from lectern.functions.identity import content_hash, point_id
 from lectern.operators import chunking, frontmatter
@@ -31,8 +31,16 @@ class ValidationFailed(RuntimeError):
 
 def join_state(files: DataFrame, state: DataFrame, full: bool = False, hash_column: str = "content_hash") -> DataFrame:
     """files (file_path, hash) plus `was_indexed` and `changed`: new, of another hash, or all in a full run."""
+    return _compared(_with_state(files, state), full, hash_column)
+
+
+def _with_state(files: DataFrame, state: DataFrame) -> DataFrame:
+    """files with the path and hash that the state has of them, if any."""
     old = state.select(F.col("file_path").alias("_sp"), F.col("content_hash").alias("_sh"))
-    joined = files.join(old, F.col("file_path") == F.col("_sp"), "left")
+    return files.join(old, F.col("file_path") == F.col("_sp"), "left")
+
+
+def _compared(joined: DataFrame, full: bool, hash_column: str = "content_hash") -> DataFrame:
     same = F.col(hash_column).eqNullSafe(F.col("_sh")) & F.col("_sp").isNotNull()
     return joined.withColumn("was_indexed", F.col("_sp").isNotNull()).withColumn("changed", F.lit(True) if full else ~same).drop("_sp", "_sh")
 
@@ -47,23 +55,24 @@ def outcome(changed, valid, n_chunks):
     return F.when(~changed, "skipped").when(~valid, "invalid").when(n_chunks == 0, "empty").otherwise("ready")
 
 
-def plan(files: DataFrame, state: DataFrame, config: Config, full: bool = False, root: str = "") -> DataFrame:
-    """One row per readable file: file_path, hash, was_indexed, outcome, errors, fields, chunks.
+def plan(found: DataFrame, state: DataFrame, config: Config, full: bool = False, root: str = "") -> DataFrame:
+    """One row per readable file of those found (file_path): file_path, hash, was_indexed, outcome, errors, fields, chunks.
 
-    Only changed files are parsed and chunked.
+    Paths meet the state before files are read, so contents are in no shuffle, and each file is read once. Only changed files are
+    parsed, linted and chunked: the content of the others is null from here on.
     """
-    hashed = join_state(files.withColumn("content_hash", content_hash(F.col("content"))), state, full)
-    skipped = hashed.where(~F.col("changed"))
-    work = hashed.where("changed")
+    files = discovery.load(found.sparkSession, _with_state(found, state), root, config.indexing)
+    hashed = _compared(files.withColumn("content_hash", content_hash(F.col("content"))), full)
+    work = hashed.withColumn("content", F.when(F.col("changed"), F.col("content")))
     if config.validation.enabled:
         checked = frontmatter.validate(frontmatter.parse(work), config.frontmatter, config.validation, root)
     else:  # the raw file, frontmatter included, and no description
         checked = work.withColumn("body", F.col("content")).withColumn("fields", F.create_map().cast("map<string,string>")).withColumn("errors", F.array().cast("array<string>")).withColumn("valid", F.lit(True))
     described = checked.withColumn("description", frontmatter.string_field(F.col("fields"), "description"))
     chunked = chunking.chunk(described.withColumn("body", F.when(F.col("valid"), F.col("body")).otherwise("")), config.chunking)
-    done = chunked.select("file_path", "content_hash", "was_indexed", outcome(F.col("changed"), F.col("valid"), F.size("chunks")).alias("outcome"), "errors", "fields", "chunks")
-    idle = skipped.select("file_path", "content_hash", "was_indexed", F.lit("skipped").alias("outcome"), F.array().cast("array<string>").alias("errors"), F.create_map().cast("map<string,string>").alias("fields"), F.array().cast(chunking.CHUNK).alias("chunks"))
-    return done.unionByName(idle)
+    own = lambda c, none: F.when(F.col("changed"), F.col(c)).otherwise(none.cast(chunked.schema[c].dataType)).alias(c)
+    said = outcome(F.col("changed"), F.col("valid"), F.size("chunks")).alias("outcome")
+    return chunked.select("file_path", "content_hash", "was_indexed", said, own("errors", F.array()), own("fields", F.create_map()), own("chunks", F.array()))
 
 
 def point_rows(ready: DataFrame, indexed: list[str], embedder: Embedder, size: int) -> DataFrame:
@@ -99,8 +108,11 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
     with collection.writing(), scope():
         found = discovery.discover(spark, root, config.indexing).persist()  # listed once
         state = collection.state()
-        planned = plan(discovery.load(spark, found, root, config.indexing), state, config, full, root).persist()  # each file is read and validated once
         try:
+            at = scratch(spark, "planned")
+            planned = plan(found, state, config, full, root)
+            planned.write.parquet(at)  # each file is read and validated once
+            planned = spark.read.schema(planned.schema).parquet(at)
             counts = {r["outcome"]: r["count"] for r in planned.groupBy("outcome").count().collect()}
             if counts.get("invalid"):
                 for r in planned.where("outcome = 'invalid'").orderBy("file_path").select("file_path", "errors").toLocalIterator():
@@ -120,6 +132,5 @@ def run_index(spark: SparkSession, config: Config, embedder: Embedder, full: boo
                     collection.build_graph(GRAPH_AGE)
             n_found = found.count()
         finally:
-            planned.unpersist()
             found.unpersist()
         return Summary(n_found, counts.get("ready", 0), counts.get("skipped", 0), counts.get("invalid", 0), n_gone, n_chunks)

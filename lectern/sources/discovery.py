@@ -162,7 +162,7 @@ def discover(spark: SparkSession, root: str, indexing: Indexing | None = None) -
 # -- reading ---------------------------------------------------------------------------------------
 
 def load(spark: SparkSession, found: DataFrame, root: str, indexing: Indexing | None = None) -> DataFrame:
-    """(file_path, content) of the files that `discover` found under a root."""
+    """(file_path, content, and what else `found` has) of the files that `discover` found under a root."""
     return read(found, root)
 
 
@@ -174,32 +174,39 @@ def _text(path: str, data: bytes) -> str | None:
         return None
 
 
-def _contents(tree, paths) -> Iterator[tuple[str, str]]:
-    for p in paths:
+def _contents(tree, paths) -> Iterator[tuple[int, str, str]]:
+    """(place among the paths, path, content)"""
+    for i, p in enumerate(paths):
         try:
             content = _text(p, tree.read(p))
         except OSError as e:
             log.error("cannot read %s: %s", p, e)
             continue
         if content is not None:
-            yield p, content
+            yield i, p, content
 
 
 def read(files: DataFrame, root: str) -> DataFrame:
-    """(file_path, content) of readable UTF-8 files; what cannot be read or decoded is logged and left out."""
+    """(file_path, content, and what else `files` has) of readable UTF-8 files; what cannot be read or decoded is logged and left out."""
     spark = files.sparkSession
     tree = trees.portable(root)
+    more = [c for c in files.columns if c != "file_path"]
     if tree is None:
         hadoop = trees.HadoopTree(spark, root)
-        rows = _contents(hadoop, (r[0] for r in files.select("file_path").toLocalIterator()))
-        return _written(spark, rows, "file_path string, content string", lambda r: len(r[1]) / PORTION_BYTES + 1 / PORTION)
+        rows = ((p, c) for _, p, c in _contents(hadoop, (r[0] for r in files.select("file_path").toLocalIterator())))
+        texts = _written(spark, rows, "file_path string, content string", lambda r: len(r[1]) / PORTION_BYTES + 1 / PORTION)
+        return texts.join(files, "file_path").select("file_path", "content", *more) if more else texts
 
     def run(batches):
-        paths = (p for b in batches for p in b.column(0).to_pylist())
-        for some in _portions(_contents(tree, paths), lambda r: len(r[1]) / BATCH_BYTES + 1 / BATCH):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], ["file_path", "content"])
+        for b in batches:
+            for some in _portions(_contents(tree, b.column(0).to_pylist()), lambda r: len(r[2]) / BATCH_BYTES + 1 / BATCH):
+                places, paths, contents = zip(*some)
+                own = b.take(pa.array(places, pa.int64())).columns[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.string()), *own], ["file_path", "content", *more])
 
     importable(spark)
-    # Paths are small and their contents are not: dealt out by number, not by size.
+    # Paths are small and their contents are not: dealt out by number, not by size, and by a hash of its own, as after a join by path
+    # the exchange would be left out and the join's, which AQE makes as few as there are bytes of paths, would deal instead.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.select("file_path").repartition(tasks, "file_path").mapInArrow(run, "file_path string, content string")
+    schema = ", ".join(["file_path string, content string", *[f"`{c}` {files.schema[c].dataType.simpleString()}" for c in more]])
+    return files.select("file_path", *more).repartition(tasks, F.xxhash64("file_path")).mapInArrow(run, schema)

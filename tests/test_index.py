@@ -14,7 +14,7 @@ from lectern import cli
 from lectern import config as settings
 from lectern.operators import documents, graph, search
 from lectern.operators.embedding import HashingEmbedder
-from lectern.plans import indexer
+from lectern.plans import corpus, indexer
 from lectern.sources import discovery, store
 from lectern.streaming import reindex
 
@@ -104,6 +104,41 @@ def test_strict_validation_aborts(spark, config):
     assert indexer.run_index(spark, off, HashingEmbedder(8), full=True).indexed == 3
 
 
+def test_a_later_run_reads_files_once_and_checks_the_changed_ones_only(spark, config, tmp_path):
+    indexer.run_index(spark, config, HashingEmbedder(8))
+    (tmp_path / "data/a.md").write_text("---\ntitle: A2\n---\n# A\nchanged")
+    linted = tmp_path / "linted"
+    linting = replace(config, validation=settings.Validation(lint_command=("sh", "-c", f'echo "$1" >> {linted}', "--")))
+    root = config.source.data_path
+    found, state = discovery.discover(spark, root, config.indexing), store.Collection(spark, config.qdrant.url, "kb").state()
+    planned = indexer.plan(found, state, config, root=root)
+    steps = planned._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("MapInArrow") == 1 and steps.index("MapInArrow") < steps.index("Join")  # read after the join, by one step
+    assert planned.rdd.getNumPartitions() == 4  # dealt out by number, however few bytes the paths have
+    got = {r["file_path"]: r.asDict() for r in indexer.plan(found, state, linting, root=root).collect()}
+    assert {p: (r["outcome"], r["was_indexed"], len(r["chunks"]), r["fields"]) for p, r in got.items()} == {
+        "a.md": ("ready", True, 1, {"title": '"A2"'}), "sub/b.md": ("skipped", True, 0, {}), "sub/.hidden/_c.md": ("skipped", True, 0, {})
+    }
+    assert linted.read_text().splitlines() == [f"{root}/a.md"]
+
+
+def test_links_are_put_by_two_tasks_at_a_time(spark, tmp_path):
+    root = f"file://{tmp_path}/tree"
+    corpus.write_tree(spark.createDataFrame([("d/a.md", "x", False)], "path string, body string, link boolean"), root)
+    corpus.write_tree(spark.createDataFrame([("d/a.md", "x", True)] * 4000, "path string, body string, link boolean").repartition(4), root)
+    assert [p.name for p in (tmp_path / "tree/d").iterdir()] == ["a.md"] and (tmp_path / "tree/d/a.md").is_symlink()
+
+
+def test_a_lock_that_is_being_renewed_is_not_lost(spark, tmp_path, monkeypatch):
+    col, files = store.Collection(spark, f"file://{tmp_path}/s", "c"), Files(spark)
+    col.ensure(1, ["n"])
+    read, empty = col.versions._read, [True]
+    monkeypatch.setattr(col.versions, "_read", lambda p: "" if p.endswith("LOCK") and empty and empty.pop() else read(p))
+    with col.writing():
+        files.update(col, ["a.md"], "one")
+    assert not empty and col.count() == 1 and not (tmp_path / "s/c/LOCK").exists()
+
+
 def test_store_rules(spark, tmp_path):
     col = store.Collection(spark, f"file://{tmp_path}/s", "c")
     with pytest.raises(store.StoreError):
